@@ -53,13 +53,12 @@ REFERENCES = [
 
 _ORPHANS_SQL = " UNION ALL ".join(
     f"""SELECT DISTINCT '{r.tbl}' AS tbl, ref_id, '{r.fk}' AS fk,
-  CASE WHEN n IS NULL THEN 'missing' WHEN late THEN 'late' ELSE 'deleted' END AS kind, ref_ts
-FROM (SELECT r.ref_id, r.ref_ts, p.n,
-    coalesce(list_bool_or(list_transform(p.v, x -> x.b > r.ref_ts)), false) AS late,
-    coalesce(list_bool_or(list_transform(p.v, x -> x.b <= r.ref_ts AND (x.e IS NULL OR x.e > r.ref_ts))), false) AS there
-  FROM {r.tbl} r LEFT JOIN (SELECT {r.key} AS k, count(*) AS n, list({{'b': ingest_ts, 'e': removed_ts}}) AS v FROM {r.target} WHERE {r.key} IS NOT NULL GROUP BY 1) p ON p.k = r.{r.fk}
-  WHERE r.{r.fk} IS NOT NULL AND r.{r.fk} <> -1)
-WHERE n IS NULL OR (NOT there AND ref_ts IS NOT NULL)"""
+  CASE WHEN n = 0 THEN 'missing' WHEN late THEN 'late' ELSE 'deleted' END AS kind, ref_ts
+FROM (SELECT r.ref_id, r.ref_ts, count(p.{r.key}) AS n, coalesce(bool_or(p.ingest_ts > r.ref_ts), false) AS late,
+    coalesce(bool_or(p.ingest_ts <= r.ref_ts AND (p.removed_ts IS NULL OR p.removed_ts > r.ref_ts)), false) AS there
+  FROM (SELECT DISTINCT ref_id, {r.fk}, ref_ts FROM {r.tbl} WHERE {r.fk} IS NOT NULL AND {r.fk} <> -1) r
+  LEFT JOIN {r.target} p ON p.{r.key} = r.{r.fk} GROUP BY r.ref_id, r.{r.fk}, r.ref_ts)
+WHERE n = 0 OR (NOT there AND ref_ts IS NOT NULL)"""
     for r in REFERENCES
 )
 

@@ -17,6 +17,7 @@ def local_session(cpus: int | str = "*", name: str = "tickloom") -> SparkSession
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TICKLOOM_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
