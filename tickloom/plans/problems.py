@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tickloom.operators.eager import eager_join_aggregate, heavy_keys
 from tickloom.operators.references import Reference, orphan_references, orphan_report
 from tickloom.operators.spikes import faulty_waveforms
-from tickloom.session import table
+from tickloom.session import shared_dir, table
+from tickloom.sources.compaction import consolidate_reports
+from tickloom.sources.rescue import conform, field_changes, promote
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -120,3 +122,37 @@ def p4_tpcs(spark: SparkSession, d: str) -> DataFrame:
     return (
         h.join(r, "hit_row").groupBy("hit_tpc_id").agg(F.sum(F.col("n") * F.col("m")).alias("n_refs"), F.sum(F.col("n") * F.col("e")).cast("double").alias("energy"))
     )
+
+
+# ---------------------------------------------------------------- 5 drifting schemas
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return field_changes(table(spark, d, "raw_records"))
+
+
+#: First names and types of the fields of each dataset.
+HITS_FULL = {"id": "bigint", "x": "double", "y": "double", "z": "double", "E": "double", "Q": "double", "io_group": "int", "io_channel": "int", "ts_pps": "bigint", "is_disabled": "boolean", "pixel": "string"}
+EXTRAS = {"n_hits": "bigint", "raw_sub_peak": "double", "raw_sub_mean": "double", "hits_evt_first": "bigint", "seed_list": "array<double>", "unit_variance": "boolean", "var_model": "string", "rel_sigma": "double"}
+APPROVED = {"gain_db": "double", "board": "string"}
+
+
+def _conformed(spark: SparkSession, d: str, dataset: str, target: dict[str, str]) -> DataFrame:
+    raw = table(spark, d, "raw_records").where(F.col("dataset") == dataset).dropDuplicates(["raw_id", "payload"])
+    return promote(conform(raw, target, field_changes(raw)), APPROVED).withColumn("_rescued", F.to_json("_rescued"))
+
+
+@query("p5_hits_full")
+def p5_hits_full(spark: SparkSession, d: str) -> DataFrame:
+    return _conformed(spark, d, "hits_full", HITS_FULL)
+
+
+@query("p5_extras")
+def p5_extras(spark: SparkSession, d: str) -> DataFrame:
+    return _conformed(spark, d, "extras", EXTRAS)
+
+
+# ---------------------------------------------------------------- 6 many small files
+@query("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    out = consolidate_reports(table(spark, d, "shard_files"), shared_dir(spark, "reports"))
+    return out.select("file", "event_id")
