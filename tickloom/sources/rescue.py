@@ -213,12 +213,10 @@ def conform(records: DataFrame, target: dict[str, str], changes: DataFrame, payl
         .select(*FILE, "names")
     )
     rows = records.join(broadcast_if_small(of_file), FILE, "left").withColumn("_m", F.from_json(payload, "map<string,variant>"))
-    # field names are case-sensitive in JSON: a target column per first name, suffixed where Spark would see two alike
     out, taken = [], []
     for field, kind in target.items():
         here = F.coalesce(F.element_at("names", F.lit(field)), F.lit(field))
-        # a later, unrelated field may bear this first name while the field itself bears another
-        v = F.element_at(F.map_filter("_m", lambda k, _, h=here: k == h), here)
+        v = F.element_at("_m", here)
         out.append(_typed(v, kind).alias(field))
         taken.append(F.struct(here.alias("name"), (_typed(v, kind).isNotNull() | v.isNull() | F.is_variant_null(v)).alias("ok")))
     used = F.transform(F.filter(F.array(*taken), lambda x: x["ok"]), lambda x: x["name"])
@@ -235,9 +233,12 @@ def promote(table: DataFrame, approved: dict[str, str], rescued: str = "_rescued
 
     Values that still can't be cast stay rescued. A field that nobody wrote gives a NULL column.
     """
+
+    def replay(t: DataFrame, field: str, kind: str) -> DataFrame:
+        got = _typed(F.try_parse_json(F.element_at(rescued, F.lit(field))), kind)
+        left = F.map_filter(rescued, lambda k, _: (k != field) | got.isNull())
+        return t.withColumns({field: got, rescued: F.when(F.size(left) > 0, left)})
+
     for field, kind in approved.items():
-        v = F.try_parse_json(F.element_at(rescued, F.lit(field)))
-        got = _typed(v, kind)
-        left = F.map_filter(rescued, lambda k, _, f=field, g=got: (k != f) | g.isNull())
-        table = table.withColumns({field: got, rescued: F.when(F.size(left) > 0, left)})
+        table = replay(table, field, kind)
     return table
