@@ -33,6 +33,7 @@ LOOK = 4
 _split = regex.compile(PATTERN)
 #: White space after anything else always begins a pre-token, wherever pre-tokenising began.
 _sure = regex.compile(r"\S\s")
+_space = regex.compile(r"\s")
 
 
 @lru_cache(maxsize=2)
@@ -55,16 +56,18 @@ def decode(ids: list[int], path: str = VOCABULARY) -> str:
 
 
 def boundaries(chunk: str, last: bool) -> list[int]:
-    """Ends of the pre-tokens of ``chunk`` that can be relied upon, 0 included.
+    """Ends of the pre-tokens of ``chunk`` at which a text may be cut.
 
-    Matches that end at, or begin close to, the end of a chunk might go on in the text.
+    Matches that end at, or begin close to, the end of a chunk might go on in the text. After white
+    space a cut would change how that is divided, as its last character goes to the next word.
     """
-    out = [0]
+    out = []
     limit = len(chunk) if last else len(chunk) - LOOK
     for m in _split.finditer(chunk):
         if not last and (m.start() >= limit or m.end() >= len(chunk)):
             break
-        out.append(m.end())
+        if not _space.match(chunk, m.end() - 1):
+            out.append(m.end())
     return out
 
 
