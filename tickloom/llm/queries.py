@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.nearest import nearest_in_time
 from tickloom.llm.packing import pack
+from tickloom.llm.reading import reading_levels
 from tickloom.llm.tokens import encode_corpus
 from tickloom.session import table
 
@@ -73,3 +74,19 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
         F.max("used").alias("fullest"),
         F.round(1 - F.sum("used") / (F.count(F.lit(1)) * CAPACITY), 6).alias("slack_share"),
     )
+
+
+# ---------------------------------------------------------------- 9 reading level
+@query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels")).select("doc_id", "band")
+
+
+@query("p9_profile")
+def p9_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, words and mean level by source and band."""
+    docs = table(spark, d, "documents")
+    levels = reading_levels(docs, table(spark, d, "reading_labels"))
+    return levels.join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "band").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum("n_words").alias("n_words"), F.round(F.avg("level"), 4).alias("mean_level")
+    )
