@@ -18,6 +18,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, by: list[str], also: list[str] | None = None, how: str = "inner") -> DataFrame:
+    """``left`` with the other columns of ``right``, matching NULL with NULL in ``by`` and plainly in ``also``."""
+    keys = [*by, *(also or [])]
+    r = right.select(*[F.col(k).alias(f"_by{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_by{i}")) if k in by else F.col(k) == F.col(f"_by{i}") for i, k in enumerate(keys)]
+    return left.join(r, on, how).drop(*[f"_by{i}" for i in range(len(keys))])
+
+
 def slices_for(df: DataFrame) -> int:
     return max(32, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -40,11 +48,7 @@ def sliced_rank(df: DataFrame, by: list[str], order: list[str], slices: int | No
     left = cut.withColumn(
         "_in", F.row_number().over(Window.partitionBy(*by, "_slice").orderBy(*order)).cast("long") - 1
     )
-    on = [left[c].eqNullSafe(offsets[c]) for c in by] + [left["_slice"] == offsets["_slice"]]
-    joined = left.join(offsets, on, "inner").select(
-        *[left[c] for c in df.columns], (left["_in"] + offsets["_before"]).alias(name)
-    )
-    return joined
+    return join_null_safe(left, offsets, by, ["_slice"]).select(*df.columns, (F.col("_in") + F.col("_before")).alias(name))
 
 
 def salt_of(rows: Column | int, per_group: int) -> Column:

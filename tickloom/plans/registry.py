@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tickloom.plans import problems
+from tickloom.plans import detector, problems
 
-QUERIES = dict(problems.QUERIES)
-SQL = dict(problems.SQL)
-FLAGSHIP = "p4_found"
+QUERIES = problems.QUERIES | detector.QUERIES
+SQL = problems.SQL | detector.SQL
+FLAGSHIP = "truth_residual_summary"
