@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tickloom.plans import detector, problems
+from tickloom.plans import detector_light, problems
 
-QUERIES = problems.QUERIES | detector.QUERIES
-SQL = problems.SQL | detector.SQL
+QUERIES = problems.QUERIES | detector_light.QUERIES
+SQL = problems.SQL | detector_light.SQL
 FLAGSHIP = "truth_residual_summary"
