@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tickloom.plans import detector_light, problems
+from tickloom.plans import detector_stages, problems
 
-QUERIES = problems.QUERIES | detector_light.QUERIES
-SQL = problems.SQL | detector_light.SQL
+QUERIES = problems.QUERIES | detector_stages.QUERIES
+SQL = problems.SQL | detector_stages.SQL
 FLAGSHIP = "truth_residual_summary"
