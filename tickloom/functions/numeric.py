@@ -208,8 +208,8 @@ def choose_k(curve: list[tuple[int, float, float]], rss_cut: float) -> int:
     return under[0] if under else min(curve, key=lambda c: (c[2], c[1]))[0] if curve else 0
 
 
-def keep_largest(p: np.ndarray, label: np.ndarray, k: int) -> np.ndarray:
-    """Only the ``k`` largest lines, renumbered by size; points of the others join the nearest kept line."""
+def keep_largest(p: np.ndarray, label: np.ndarray, k: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Only the ``k`` largest lines, renumbered by size, and these lines; points of the others join the nearest kept one."""
     ids, n = np.unique(label[label >= 0], return_counts=True)
     order = ids[np.lexsort((ids, -n))][:k]
     out = np.full(len(p), -1)
@@ -221,15 +221,14 @@ def keep_largest(p: np.ndarray, label: np.ndarray, k: int) -> np.ndarray:
     if lines and rest.any():
         gap = np.stack([line_gap(p[rest], c, u) for c, u in lines])
         out[rest] = gap.argmin(0)
-    return out
+    return out, lines
 
 
-def near_own_line(p: np.ndarray, label: np.ndarray, most: float) -> np.ndarray:
+def near_own_line(p: np.ndarray, label: np.ndarray, lines: list[tuple[np.ndarray, np.ndarray]], most: float) -> np.ndarray:
     """Labels without the points further than ``most`` from their line."""
     out = label.copy()
-    for c in np.unique(label[label >= 0]):
+    for c, (centre, u) in enumerate(lines):
         at = np.nonzero(label == c)[0]
-        centre, u, _ = principal(p[at])
         out[at[line_gap(p[at], centre, u) > most]] = -1
     return out
 
@@ -271,8 +270,8 @@ def fit_track_labels(p: np.ndarray, reach: float = 1.2, rss_cut: float = 1.5e6,
     """Lines by RANSAC, their number by RSS, points near them, lines long enough."""
     label = fit_tracks(p, iters, least, reach, seed=seed)
     curve = rss_curve(p[label >= 0], label[label >= 0]) if (label >= 0).any() else []
-    label = keep_largest(p, label, choose_k(curve, rss_cut))
-    return long_enough(p, near_own_line(p, label, reach), min_length)
+    label, lines = keep_largest(p, label, choose_k(curve, rss_cut))
+    return long_enough(p, near_own_line(p, label, lines, reach), min_length)
 
 
 def trimmed_axis(p: np.ndarray, w: np.ndarray, keep: float = 0.85, rounds: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

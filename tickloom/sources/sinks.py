@@ -15,8 +15,8 @@ def to_short(c: Column) -> Column:
 
 def overflow_counts(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """``by, n_high, n_low, largest``: values beyond 16 bits, and the largest absolute one."""
-    v = F.col(value).cast("double")
-    return df.groupBy(*by).agg(F.count_if(v > SHORT[1]).alias("n_high"), F.count_if(v < SHORT[0]).alias("n_low"), F.max(F.when(~F.isnan(v), F.abs(v))).alias("largest"))
+    v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
+    return df.groupBy(*by).agg(F.count_if(v > SHORT[1]).alias("n_high"), F.count_if(v < SHORT[0]).alias("n_low"), F.max(F.abs(v)).alias("largest"))
 
 
 def scatter(all_hits: DataFrame, shards: DataFrame, by: list[str], row: str = "hit_row") -> DataFrame:
