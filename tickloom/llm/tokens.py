@@ -18,7 +18,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -31,8 +32,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LOOK = 4
 
 _split = regex.compile(PATTERN)
-#: White space after anything else always begins a pre-token, wherever pre-tokenising began.
-_sure = regex.compile(r"\S\s")
+#: White space after anything else always begins a pre-token, wherever pre-tokenising began; found from the end.
+_sure = regex.compile(r"(?r)\S\s")
 _space = regex.compile(r"\s")
 
 
@@ -55,16 +56,16 @@ def decode(ids: list[int], path: str = VOCABULARY) -> str:
     return b"".join(raw[i] for i in ids).decode("utf-8", errors="replace")
 
 
-def boundaries(chunk: str, last: bool) -> list[int]:
-    """Ends of the pre-tokens of ``chunk`` at which a text may be cut.
+def boundaries(chunk: str, last: bool, begin: int = 0, until: int | None = None) -> list[int]:
+    """Ends of the pre-tokens of ``chunk`` from ``begin`` to ``until`` at which a text may be cut.
 
     Matches that end at, or begin close to, the end of a chunk might go on in the text. After white
     space a cut would change how that is divided, as its last character goes to the next word.
     """
     out = []
     limit = len(chunk) if last else len(chunk) - LOOK
-    for m in _split.finditer(chunk):
-        if not last and (m.start() >= limit or m.end() >= len(chunk)):
+    for m in _split.finditer(chunk, begin):
+        if not last and (m.start() >= limit or m.end() >= len(chunk)) or until is not None and m.end() >= until:
             break
         if not _space.match(chunk, m.end() - 1):
             out.append(m.end())
@@ -109,16 +110,20 @@ def _chunks(chunk: int, overlap: int):
 
 
 def _ends(chunk: int, overlap: int):
-    """Boundaries in the overlaps: of a chunk with the one before (head) and the one after (tail)."""
+    """Boundaries in the overlaps: of a chunk with the one before (head) and the one after (tail).
+
+    The tail is pre-tokenised from the last white space before it that follows a word, which begins
+    a pre-token; without one only the first chunk, which begins the text, has a tail to trust.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             heads, tails = [], []
             for i, last, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                at = np.array(boundaries(text, last), dtype=np.int64)
-                heads.append((at[at < overlap] + i * chunk).tolist())
-                sound = i == 0 or _sure.search(text, 0, chunk)
-                tails.append((at[at >= chunk] + i * chunk).tolist() if sound else [])
+                heads.append([b + i * chunk for b in boundaries(text, last, 0, overlap)])
+                sure = _sure.search(text, 0, chunk)
+                begin = sure.start() + 1 if sure else 0
+                tails.append([b + i * chunk for b in boundaries(text, last, begin) if b >= chunk] if sure or i == 0 else [])
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(heads, kind), pa.array(tails, kind)], names=["key", "i", "head", "tail"])
 
@@ -151,16 +156,13 @@ def encode_corpus(
     is_long = F.coalesce(F.length("_text") > chunk, F.lit(False))
     short = docs.where(~is_long).mapInArrow(_encoder([key], "_text", path, count_only, name), f"{key} {key_kind}, {name} {kind}")
 
-    keyed = docs.where(is_long).withColumn("_key", F.sha2("_text", 256))
+    # the long texts are read from storage once; the branches below share them
+    keyed = docs.where(is_long).withColumn("_key", F.sha2("_text", 256)).persist(StorageLevel.MEMORY_AND_DISK)
     texts = keyed.groupBy("_key").agg(F.first("_text").alias("text")).select(F.col("_key").alias("key"), "text")
     chunks = texts.mapInArrow(_chunks(chunk, overlap), "key string, i int, last boolean, chunk string").repartition("key", "i")
     ends = chunks.mapInArrow(_ends(chunk, overlap), "key string, i int, head array<long>, tail array<long>")
-    before = ends.select("key", (F.col("i") + 1).alias("i"), "tail")
-    cuts = (
-        before.join(ends.select("key", "i", "head"), ["key", "i"])
-        .groupBy("key")
-        .agg(F.collect_list(F.array_min(F.array_intersect("tail", "head"))).alias("cuts"))
-    )
+    after = F.lead("head").over(Window.partitionBy("key").orderBy("i"))  # a few numbers for each chunk of a text
+    cuts = ends.withColumn("after", after).groupBy("key").agg(F.collect_list(F.array_min(F.array_intersect("tail", "after"))).alias("cuts"))
     pieces = texts.join(cuts, "key", "left").select("key", "text", "cuts").mapInArrow(_pieces, "key string, j int, piece string").repartition("key", "j")
     coded = pieces.mapInArrow(_encoder(["key", "j"], "piece", path, count_only, name), f"key string, j int, {name} {kind}")
     if count_only:
