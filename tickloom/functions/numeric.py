@@ -324,9 +324,14 @@ def gmm_split(p: np.ndarray, most: int = 4, seed: int = 0, rounds: int = 60) ->
     rng = np.random.default_rng(seed)
     best, label = np.inf, np.zeros(n, int)
     for k in range(1, min(most, max(1, n // 4)) + 1):
-        mu = p[rng.choice(n, k, replace=False)]
-        cov = np.stack([np.cov(p.T, bias=True) + 1e-3 * np.eye(d)] * k)
-        pi = np.full(k, 1 / k)
+        mu = p[rng.integers(0, n, 1)]
+        for _ in range(k - 1):  # each next centre is the point furthest from those before
+            mu = np.vstack([mu, p[((p[:, None] - mu[None]) ** 2).sum(2).min(1).argmax()]])
+        for _ in range(10):
+            near = ((p[:, None] - mu[None]) ** 2).sum(2).argmin(1)
+            mu = np.stack([p[near == j].mean(0) if (near == j).any() else mu[j] for j in range(k)])
+        pi = np.maximum(np.bincount(near, minlength=k), 1) / n
+        cov = np.stack([(np.cov(p[near == j].T, bias=True) if (near == j).sum() > d else np.cov(p.T, bias=True) / k) + 1e-3 * np.eye(d) for j in range(k)])
         ll = -np.inf
         for _ in range(rounds):
             logp = np.empty((n, k))
