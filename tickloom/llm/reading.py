@@ -222,8 +222,8 @@ def judged(labels: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
     return clear.select("doc_id", F.col("m.band").alias("band")).orderBy(F.xxhash64("doc_id")).limit(sample)
 
 
-def fit_reading_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> ReadingModel:
-    """The model of the judged documents; the driver sees the words of at most ``sample`` documents."""
+def fit_reading_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> ReadingModel | None:
+    """The model of the judged documents that hold prose, None without any; the driver sees the words of at most ``sample`` documents."""
     chosen = F.broadcast(judged(labels, sample))  # at most ``sample`` rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +235,7 @@ def fit_reading_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_D
 
     got = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "band").mapInArrow(run, "words map<string,int>, build map<string,int>, band string").collect()
     rows = sorted(((sorted(r["words"].items()), sorted(r["build"].items()), BANDS.index(r["band"])) for r in got))
-    return ReadingModel().fit([(Counter(dict(w)), Counter(dict(b)), band) for w, b, band in rows])
+    return ReadingModel().fit([(Counter(dict(w)), Counter(dict(b)), band) for w, b, band in rows]) if rows else None
 
 
 def reading_levels(docs: DataFrame, labels: DataFrame, least_words: int = LEAST_WORDS, sample: int = SAMPLE_DOCS) -> DataFrame:
@@ -248,9 +248,10 @@ def reading_levels(docs: DataFrame, labels: DataFrame, least_words: int = LEAST_
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     ddl = f"doc_id {kind}, band string, level double, n_words int"
-    if labels.where(F.col("band").isin(BANDS)).limit(1).count() == 0:
+    fitted = fit_reading_model(docs, labels, sample)
+    if fitted is None:
         return spark.createDataFrame([], ddl)
-    model = spark.sparkContext.broadcast(fit_reading_model(docs, labels, sample))
+    model = spark.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
