@@ -169,6 +169,11 @@ def test_long_chain_component(spark):
     n = 300
     nodes, edges = spark.range(n).withColumnRenamed("id", "node"), spark.range(n - 1).selectExpr("id AS a", "id + 1 AS b")
     assert {r.component for r in components.connected_components(nodes, edges).collect()} == {0}
+    assert {r.component for r in components.connected_components(nodes, edges, group_edges=10).collect()} == {0}
+    g = spark.createDataFrame([(i % 3, i, i + 3) for i in range(60)] + [(7, 1, 2)], "g int, a long, b long")
+    v = spark.createDataFrame([(i % 3, i) for i in range(63)] + [(7, 1), (7, 2), (7, 3)], "g int, node long")
+    for most in (1_000_000, 5):
+        assert {(r.g, r.node, r.component) for r in components.connected_components(v, g, ["g"], group_edges=most).collect()} == {(i % 3, i, i % 3) for i in range(63)} | {(7, 1, 1), (7, 2, 1), (7, 3, 3)}
 
 
 def test_principal_axes_match_numpy(spark):

@@ -4,25 +4,52 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.numeric import components
+from tickloom.operators.skew import join_null_safe
 from tickloom.operators.spatial import XYZ, close_pairs, within
 from tickloom.session import ensure_checkpoint_dir
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, by: list[str] | None = None, node: str = "node", most_rounds: int = 50) -> DataFrame:
-    """``by, node, component``: the smallest node reachable over ``edges`` (``a``, ``b``).
+#: Edges of a group that are solved in one task.
+GROUP_EDGES = 1_000_000
 
-    Alternating large-star and small-star rounds: each moves edges onto ever smaller nodes, so the
-    number of rounds grows with the logarithm of the longest path. A node's edges are reduced by
-    aggregates, never gathered. The lineage is cut by checkpoints in the shared folder. Isolated
+
+def _solve(by: list[str], node: str):
+    """Components of one group's edges, in memory."""
+
+    def run(t: pa.Table) -> pa.Table:
+        a, b = t["a"].to_numpy(), t["b"].to_numpy()
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = components(len(ids), at[: len(a)], at[len(a) :])
+        key = {k: pa.array([t[k][0].as_py()] * len(ids), t[k].type) for k in by}
+        return pa.table({**key, node: pa.array(ids), "component": pa.array(ids[root])})
+
+    return run
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, by: list[str] | None = None, node: str = "node", most_rounds: int = 50, group_edges: int = GROUP_EDGES) -> DataFrame:
+    """``by, node, component``: the smallest node (an integer) reachable over ``edges`` (``a``, ``b``).
+
+    Groups counted to have at most ``group_edges`` edges are solved in one task each. The others
+    take alternating large-star and small-star rounds: each moves edges onto ever smaller nodes, so
+    the number of rounds grows with the logarithm of the longest path; a node's edges are reduced by
+    aggregates, never gathered, and the lineage is cut by checkpoints in the shared folder. Isolated
     nodes are their own component; edges between unknown nodes do no harm.
     """
     by = by or []
     ensure_checkpoint_dir(nodes.sparkSession)
-    e = edges.select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct().checkpoint()
-    for i in range(most_rounds):
+    e = edges.select(*by, F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).where("a < b").distinct().checkpoint()
+    sizes = e.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in e.select(*by).schema.fields) + (", " if by else "")
+    some = join_null_safe(e, sizes, by) if by else e.crossJoin(F.broadcast(sizes))  # one row
+    small, e = some.where(F.col("_n") <= group_edges).drop("_n"), some.where(F.col("_n") > group_edges).drop("_n")
+    solved = small.groupBy(*by).applyInArrow(_solve(by, node), f"{kinds}{node} long, component long")
+    e, before = e.checkpoint(), None
+    for _ in range(most_rounds if e.limit(1).count() else 0):
         # large star: every larger neighbour of a node, and none else, is linked to the smallest of node and neighbours
         both = e.unionByName(e.select(*by, F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(*by, "a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -32,11 +59,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame, by: list[str] | Non
         small = large.join(low, [*by, "b"])
         new = small.select(*by, F.col("m").alias("a"), F.col("a").alias("b")).unionByName(low.select(*by, F.col("m").alias("a"), "b")).where("a < b").distinct()
         new = new.checkpoint()
-        state = [new.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*by, "a", "b").cast("decimal(38,0)"))).first(), e.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*by, "a", "b").cast("decimal(38,0)"))).first()]
+        now = new.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*by, "a", "b"))).first()
         e = new
-        if state[0] == state[1]:
+        if now == before:
             break
-    root = e.groupBy(*by, F.col("b").alias(node)).agg(F.min("a").alias("component"))
+        before = now
+    root = e.groupBy(*by, F.col("b").alias(node)).agg(F.min("a").alias("component")).unionByName(solved)
     return nodes.select(*by, node).distinct().join(root, [*by, node], "left").withColumn("component", F.coalesce("component", node))
 
 

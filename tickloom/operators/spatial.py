@@ -1,9 +1,9 @@
 """Distance joins on a grid, nearest neighbours, and the geometry of lines and segments.
 
-Points within r of each other lie in the same or adjacent cells of side r. One side is replicated
-to its 27 neighbouring cells and joined on cells, so a distance join is an equi-join with a filter,
-and no group is ever paired with itself as a whole: crowded cells are split by AQE, and ``pair`` joins
-see each unordered pair once.
+Space is cut into cells of side 2 r. One side of a join is put into every cell that the ball of
+radius r around a point touches (8 at most), and joined on cells: a distance join is an equi-join
+with a filter, each pair meets in one cell only, and no group is ever paired with itself as a whole.
+Crowded cells are split by AQE.
 """
 
 from __future__ import annotations
@@ -15,14 +15,15 @@ XYZ = ("x", "y", "z")
 
 
 def _cells(df: DataFrame, r: float, axes: tuple[str, ...]) -> DataFrame:
-    return df.withColumns({f"_c{a}": F.floor(F.col(a) / r) for a in axes})
+    return df.withColumns({f"_c{a}": F.floor(F.col(a) / (2 * r)) for a in axes})
 
 
 def _around(df: DataFrame, r: float, axes: tuple[str, ...]) -> DataFrame:
     out = df
     for a in axes:
-        c = F.floor(F.col(a) / r)
-        out = out.withColumn(f"_c{a}", F.explode(F.array(c - 1, c, c + 1)))
+        # a hair more than r, so that rounding never parts a pair at the very radius
+        lo, hi = F.floor((F.col(a) - r * 1.000001) / (2 * r)), F.floor((F.col(a) + r * 1.000001) / (2 * r))
+        out = out.withColumn(f"_c{a}", F.explode(F.sequence(lo, hi)))
     return out
 
 
