@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 BANDS = ["basic", "intermediate", "advanced"]
 #: Words of prose that make a document a case, and the most judged documents the model is fitted on.
 LEAST_WORDS = 40
-SAMPLE_DOCS = 4_000
+SAMPLE_DOCS = 2_000
 QUANTILES = [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]
 
 # Function words of English, and of the languages that English is told from.
