@@ -9,7 +9,7 @@ Only running English prose is read: tables, logs, code and other languages are l
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,16 +37,15 @@ FOREIGN = frozenset(
 ) - frozenset("a no o y as an in on is do me".split())
 
 _token = regex.compile(r"\S+")
-_word = regex.compile(r"\p{L}+(?:['’\-‐]\p{L}+)*")
+_word = regex.compile(r"\p{Latin}+(?:['’\-‐]\p{Latin}+)*")
 _odd = regex.compile(r"[=\[\]{}<>|_\\@^~]|\w\(|0x")
 _number = regex.compile(r"[+\-±]?\d[\d.,:]*%?")
 _end = regex.compile(r"(?<=[.!?])[\"')\]]*\s+(?=[\"'(]*\p{Lu}|[-*•]\s)")
-_latin = regex.compile(r"[\p{Latin}'’\-‐]+")
 _STRIP = ".,;:!?()\"'’“”…*#-–—•"
 
 
-def prose_lines(text: str) -> list[list[str]]:
-    """The lines of running English prose, as their words in lower case, '' standing for a number.
+def prose_lines(text: str) -> list[tuple[int, str, list[str]]]:
+    """The lines of running English prose: number, text, and words in lower case, '' standing for a number.
 
     A line counts when at least three quarters of it are words (signs of code or tables weigh
     double against it), and when English function words outweigh those of other languages, in the
@@ -54,13 +53,13 @@ def prose_lines(text: str) -> list[list[str]]:
     """
     lines = []
     english = foreign = 0
-    for raw in text.splitlines():
+    for no, raw in enumerate(text.splitlines()):
         words, numbers, other = [], 0, 0
         for tok in _token.findall(raw):
             core = tok.strip(_STRIP)
             if not core:
                 continue
-            if _word.fullmatch(core) and _latin.fullmatch(core):
+            if _word.fullmatch(core):
                 words.append(core.lower())
             elif _number.fullmatch(core) and not _odd.search(tok):
                 words.append("")
@@ -73,7 +72,7 @@ def prose_lines(text: str) -> list[list[str]]:
         e = sum(w in ENGLISH for w in words)
         f = sum(w in FOREIGN and w not in ENGLISH for w in words) + 0.5 * sum(not w.isascii() for w in words)
         english, foreign = english + e, foreign + f
-        lines.append((words, e, f, n))
+        lines.append(((no, raw, words), e, f, n))
     total = sum(n for *_, n in lines)
     if english <= 2 * foreign or english < 0.05 * total:
         # the document as a whole is not English: only lines that clearly are
@@ -94,34 +93,27 @@ def describe(text: str | None) -> tuple[int, Counter, Counter]:
     if not text or text.isspace():
         return 0, Counter(), Counter()
     kept = prose_lines(text)
-    n = sum(len(w) for w in kept)
     words: Counter = Counter()
-    for w in kept:
-        words.update(w)
-    words.pop("", None)
     build: Counter = Counter()
-    if n:
-        keep = {tuple(w) for w in kept}
-        # lines of a paragraph belong together unless they are items of a list
-        prose: list[str] = []
-        for raw in text.splitlines():
-            cores = [t.strip(_STRIP) for t in _token.findall(raw)]
-            ws = tuple("" if _number.fullmatch(c) else c.lower() for c in cores if c and (_word.fullmatch(c) or _number.fullmatch(c)))
-            if ws in keep:
-                item = raw.lstrip()[:1] in "-*•"
-                if prose and not item and not prose[-1].rstrip().endswith((".", "!", "?", ":")) and not prose[-1].endswith("\n"):
-                    prose[-1] += " " + raw.strip()
-                else:
-                    prose.append(raw.strip())
-            elif prose:
-                prose[-1] += "\n"
-        for p in prose:
-            for s in sentences(p):
-                length = len(_token.findall(s))
-                if length >= 3:
-                    build[f"\0n{_bucket(length, (6, 9, 13, 18, 25, 35, 50))}"] += 1
-                    build[f"\0c{min(s.count(',') + s.count(';'), 6)}"] += 1
-    return n, words, build
+    # lines of a paragraph belong together unless they are items of a list
+    prose: list[str] = []
+    before = None
+    for no, raw, ws in kept:
+        words.update(ws)
+        line = raw.strip()
+        if before == no - 1 and line[:1] not in "-*•" and not prose[-1].endswith((".", "!", "?", ":")):
+            prose[-1] += " " + line
+        else:
+            prose.append(line)
+        before = no
+    words.pop("", None)
+    for p in prose:
+        for s in sentences(p):
+            length = len(s.split())
+            if length >= 3:
+                build[f"\0n{_bucket(length, (6, 9, 13, 18, 25, 35, 50))}"] += 1
+                build[f"\0c{min(s.count(',') + s.count(';'), 6)}"] += 1
+    return sum(len(ws) for *_, ws in kept), words, build
 
 
 class ReadingModel:
@@ -130,58 +122,60 @@ class ReadingModel:
     def __init__(self, strength: float = 1.0):
         self.strength = strength
 
-    def _grades(self, docs: list[tuple[Counter, int]], weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        seen: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(3))
-        total = np.zeros(3)
-        for (terms, band), w in zip(docs, weight):
-            total[band] += w
-            for t in terms:
-                seen[t][band] += w
-        return dict(seen), total
-
-    def _grade(self, counts: np.ndarray, total: np.ndarray) -> float:
-        rate = (counts + self.strength * counts.sum() / max(total.sum(), 1) / 3 + 1e-9) / (total + self.strength)
-        share = rate / rate.sum()
-        n = counts.sum()
-        return float((share @ [0, 1, 2]) * n / (n + self.strength) + self.strength / (n + self.strength))
-
-    def _features(self, words: Counter, build: Counter, grade) -> np.ndarray:
+    def _grade(self, counts: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Expected band (0 to 2) of texts that hold a word, bands counting alike, for rows of counts by band."""
+        n = counts.sum(1, keepdims=True)
+        rate = (counts + self.strength * n / max(total.sum(), 1) / 3 + 1e-9) / (total + self.strength)
+        mean = (rate / rate.sum(1, keepdims=True)) @ [0.0, 1.0, 2.0]
+        return (mean * n[:, 0] + self.strength) / (n[:, 0] + self.strength)
+
+    @staticmethod
+    def _quantiles(grade: np.ndarray, count: np.ndarray) -> list[float]:
+        if not len(grade):
+            return [1.0] * (len(QUANTILES) + 1)
+        order = np.argsort(grade, kind="stable")
+        share = np.cumsum(count[order]) / count.sum()
+        at = np.minimum(np.searchsorted(share, QUANTILES), len(grade) - 1)
+        return [*grade[order][at].tolist(), float(grade @ count / count.sum())]
+
+    def _features(self, words: Counter, build: Counter) -> np.ndarray:
         out = []
         for terms in (words, build):
-            known = [(g, c) for t, c in terms.items() if (g := grade(t)) is not None]
-            if not known:
-                out += [1.0] * (len(QUANTILES) + 1)
-                continue
-            g, c = (np.array(x, dtype=float) for x in zip(*known))
-            order = np.argsort(g, kind="stable")
-            share = np.cumsum(c[order]) / c.sum()
-            out += [g[order][min(np.searchsorted(share, q), len(g) - 1)] for q in QUANTILES] + [float(g @ c / c.sum())]
+            known = [(g, c) for t, c in terms.items() if (g := self.grades.get(t)) is not None]
+            out += self._quantiles(*np.array(known, dtype=float).reshape(-1, 2).T)
         return np.array(out)
 
     def fit(self, docs: list[tuple[Counter, Counter, int]]) -> ReadingModel:
-        """Fit on judged documents; one that contradicts all the others' model strongly is set aside, once."""
+        """Fit on judged documents; those that contradict the others' model strongly are set aside, twice."""
+        no: dict[str, int] = {}
+        ids = [[np.array([no.setdefault(t, len(no)) for t in terms], dtype=int) for terms in d[:2]] for d in docs]
+        times = [[np.fromiter(terms.values(), float, len(terms)) for terms in d[:2]] for d in docs]
+        y = np.array([b for *_, b in docs])
         weight = np.ones(len(docs))
         for round_ in range(3):
-            both = [(set(w) | set(b), band) for w, b, band in docs]
-            seen, total = self._grades(both, weight)
+            seen = np.zeros((len(no), 3))
+            for parts, band, w in zip(ids, y, weight):
+                for i in parts:
+                    seen[i, band] += w
+            total = np.bincount(y, weights=weight, minlength=3)
             x = []
-            for (words, build, band), w in zip(docs, weight):
+            for parts, counts, band, w in zip(ids, times, y, weight):
                 # a document's own say is taken out of the grades it is described by
                 less = np.eye(3)[band] * w
-
-                def own(t: str, less=less) -> float | None:
-                    c = seen.get(t)
-                    if c is None or (c - less).sum() < 0.5:
-                        return None
-                    return self._grade(c - less, total - less)
-
-                x.append(self._features(words, build, own))
-            x, y = np.array(x), np.array([b for *_, b in docs])
+                row = []
+                for i, c in zip(parts, counts):
+                    rest = seen[i] - less
+                    known = rest.sum(1) >= 0.5
+                    row += self._quantiles(self._grade(rest[known], total - less), c[known])
+                x.append(row)
+            x = np.array(x)
             self._calibrate(x, y, weight)
             p = self._probabilities(x)[np.arange(len(y)), y]
             if round_ < 2:
                 weight = np.where(p < 0.15, 0.0, 1.0)
-        self.grades = {t: self._grade(c, total) for t, c in seen.items() if c.sum() > 0}
+        kept = seen.sum(1) > 0
+        grade = self._grade(seen, total)
+        self.grades = {t: float(grade[i]) for t, i in no.items() if kept[i]}
         return self
 
     def _calibrate(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
@@ -207,7 +201,7 @@ class ReadingModel:
 
     def level(self, words: Counter, build: Counter) -> tuple[str, float]:
         """Band, and the expected band as a number from 0 to 2."""
-        p = self._probabilities(self._features(words, build, self.grades.get)[None, :])[0]
+        p = self._probabilities(self._features(words, build)[None, :])[0]
         return BANDS[int(p.argmax())], float(p @ [0, 1, 2])
 
 
