@@ -10,6 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` evaluated once: inside a lambda an outer expression is evaluated for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def asum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
 
@@ -21,24 +26,20 @@ def amean(a: Column) -> Column:
 
 def avar(a: Column) -> Column:
     """Population variance; NULL for an empty array."""
-    m = amean(a)
-    return F.greatest(amean(F.transform(a, lambda v: v * v)) - m * m, F.lit(0.0))
+    return let(amean(a), lambda m: F.greatest(amean(F.transform(a, lambda v: v * v)) - m * m, F.lit(0.0)))
 
 
 def baseline_subtracted(samples: Column, head: int = 75) -> Column:
     """Samples less the mean of the first ``head`` (of all, when there are fewer)."""
     s = samples.cast("array<double>")
-    b = amean(F.slice(s, 1, head))
-    return F.transform(s, lambda v: v - b)
+    return let(amean(F.slice(s, 1, head)), lambda b: F.transform(s, lambda v: v - b))
 
 
 def noise_variance(samples: Column, dead: Column, head: int = 75, rel_sigma: float = 0.10, floor: float = 2500.0, dead_variance: float = 1e12) -> Column:
     """Per tick max(variance of the head, floor) + (rel_sigma * max(v, 0))^2; huge throughout dead channels."""
     s = samples.cast("array<double>")
-    base = F.greatest(avar(F.slice(s, 1, head)), F.lit(floor))
-    return F.when(F.coalesce(dead, F.lit(False)), F.transform(s, lambda _: F.lit(dead_variance))).otherwise(
-        F.transform(s, lambda v: base + F.pow(rel_sigma * F.greatest(v, F.lit(0.0)), 2))
-    )
+    alive = let(F.greatest(avar(F.slice(s, 1, head)), F.lit(floor)), lambda base: F.transform(s, lambda v: base + F.pow(rel_sigma * F.greatest(v, F.lit(0.0)), 2)))
+    return F.when(F.coalesce(dead, F.lit(False)), F.transform(s, lambda _: F.lit(dead_variance))).otherwise(alive)
 
 
 def shift_interpolated(samples: Column, shift: Column, baseline: float = 0.0) -> Column:
@@ -46,43 +47,43 @@ def shift_interpolated(samples: Column, shift: Column, baseline: float = 0.0) ->
 
     So the last sample becomes the baseline even for a shift of 0.
     """
-    s = samples.cast("array<double>")
-    n = F.size(s)
+    def run(s: Column) -> Column:
+        def at(_: Column, j: Column) -> Column:
+            src = j - shift
+            lo = F.floor(src).cast("int")
+            w = src - lo
+            return F.when((lo >= 0) & (lo + 1 < F.size(s)), F.get(s, lo) * (1 - w) + F.get(s, lo + 1) * w).otherwise(F.lit(baseline))
 
-    def at(_: Column, j: Column) -> Column:
-        src = j - shift
-        lo = F.floor(src).cast("int")
-        w = src - lo
-        return F.when((lo >= 0) & (lo + 1 < n), F.get(s, lo) * (1 - w) + F.get(s, lo + 1) * w).otherwise(F.lit(baseline))
+        return F.transform(s, at)
 
-    return F.transform(s, at)
+    return let(samples.cast("array<double>"), run)
 
 
 def shift_clamped(samples: Column, shift: Column) -> Column:
     """Shift by a fraction with zeros outside; the last sample is kept."""
-    s = samples.cast("array<double>")
-    n = F.size(s)
+    def run(s: Column) -> Column:
+        def at(_: Column, j: Column) -> Column:
+            src = j - shift
+            lo = F.floor(src).cast("int")
+            w = src - lo
+            inside = (src >= 0) & (src <= F.size(s) - 1)
+            return F.when(inside, F.get(s, lo) * (1 - w) + F.coalesce(F.get(s, lo + 1), F.lit(0.0)) * w).otherwise(F.lit(0.0))
 
-    def at(_: Column, j: Column) -> Column:
-        src = j - shift
-        lo = F.floor(src).cast("int")
-        w = src - lo
-        inside = (src >= 0) & (src <= n - 1)
-        return F.when(inside, F.get(s, lo) * (1 - w) + F.coalesce(F.get(s, lo + 1), F.lit(0.0)) * w).otherwise(F.lit(0.0))
+        return F.transform(s, at)
 
-    return F.transform(s, at)
+    return let(samples.cast("array<double>"), run)
 
 
 def shift_whole(samples: Column, ticks: Column) -> Column:
     """Shift by whole ticks (later when positive), zeros moved in."""
-    s = samples.cast("array<double>")
-    return F.transform(s, lambda _, j: F.coalesce(F.get(s, (j - ticks).cast("int")), F.lit(0.0)))
+    return let(
+        F.struct(samples.cast("array<double>").alias("s"), ticks.cast("int").alias("k")), lambda b: F.transform(b["s"], lambda _, j: F.coalesce(F.get(b["s"], j - b["k"]), F.lit(0.0)))
+    )
 
 
 def pulse(amplitude: Column, template: Column) -> Column:
     """The template scaled so that its largest value is ``amplitude``."""
-    peak = F.array_max(template)
-    return F.transform(template, lambda v: amplitude * v / peak)
+    return let(template, lambda t: let(amplitude / F.array_max(t), lambda k: F.transform(t, lambda v: k * v)))
 
 
 def double_exponential(amplitude: Column, t0: Column, ticks: int, fast: float, slow: float) -> Column:
@@ -105,8 +106,11 @@ def default_template(ticks: int, peak_tick: int, tau: float) -> Column:
 
 def expand_peak(peak: Column, template: Column, peak_tick: Column, clip: float = 60780.0) -> Column:
     """A pulse of height ``peak`` with its maximum at ``peak_tick``, clipped to 0..clip."""
-    top = F.array_position(template, F.array_max(template)) - 1
-    return F.transform(shift_whole(pulse(peak, template), peak_tick - top), lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(clip)))
+    def run(t: Column) -> Column:
+        top = F.array_position(t, F.array_max(t)) - 1
+        return F.transform(shift_whole(pulse(peak, t), peak_tick - top), lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(clip)))
+
+    return let(template, run)
 
 
 def zip_sum(a: Column, b: Column, f) -> Column:

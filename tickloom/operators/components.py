@@ -183,3 +183,13 @@ def endpoint_vertices(tracks: pd.DataFrame, eps: float, least: int, most_distanc
             out[free] = no
             no += 1
     return tracks.assign(vertex=out)
+
+
+def promoted_islands(points: DataFrame, density: DataFrame, key: str, label: str, by: list[str], r: float = 4.0, least: int = 6, quantile: float = 0.45, noise: int = -1) -> DataFrame:
+    """``by, key, island``: connected noise points that are many and, on the mean, as dense as the group's quantile."""
+    lost = points.where(F.col(label) == noise)
+    part = radius_components(lost.select(*by, key, *XYZ), key, r, by)
+    cut = density.groupBy(*by).agg(F.percentile("rho", quantile).alias("_q"))
+    size = part.join(density.select(*by, key, "rho"), [*by, key]).groupBy(*by, "component").agg(F.count(F.lit(1)).alias("_n"), F.avg("rho").alias("_m"))
+    good = size.join(cut, by).where((F.col("_n") >= least) & (F.col("_m") >= F.col("_q"))).select(*by, "component")
+    return part.join(good, [*by, "component"], "left_semi").select(*by, key, F.col("component").alias("island"))

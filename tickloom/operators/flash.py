@@ -176,3 +176,13 @@ def snap_to_charge(candidates: DataFrame, hits: DataFrame, by: list[str], window
     moved = weighted_quantiles(near, "hit_t0", "energy", {"_m": 0.5}, [*by, "t0"])
     both = first.join(moved, [*by, "t0"], "left").select(*by, F.coalesce("_m", "t0").alias("t0"))
     return canonicalize(both, by, "t0", merge_ticks)
+
+
+def canonical_insert(candidates: DataFrame, by: list[str], t0: Column, merge_ticks: float = 5.0) -> DataFrame:
+    """Candidates (by, t0) with those within ``merge_ticks`` of the new time, or rounding to 0, replaced by it, then merged to medians.
+
+    ``t0`` is the new time of each row's group.
+    """
+    far = candidates.where((F.abs(F.col("t0") - t0) > merge_ticks) & (F.rint("t0") != 0)).select(*by, "t0")
+    new = candidates.select(*by, t0.cast("double").alias("t0")).distinct()
+    return canonicalize(far.unionByName(new), by, "t0", merge_ticks)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.arrays import let
 from tickloom.operators.skew import join_null_safe
 
 
@@ -85,11 +86,12 @@ def merge_candidates(values: Column, more: Column, separation: float, highest: f
     return F.aggregate(more, values, lambda acc, x: insert_candidate(acc, x, separation, highest))
 
 
-def top_peaks(curve: Column, n: int, separation: int, least: float) -> Column:
+def top_peaks(curve: Column, n: int, separation: int, least: float | Column) -> Column:
     """Positions of up to ``n`` highest values of an array, none below ``least``, each further than
     ``separation - 1`` from all higher ones taken (the first of equal heights goes first)."""
+    floor = F.lit(least) if not isinstance(least, Column) else least
     indexed = F.transform(curve, lambda v, i: F.struct((-v).alias("h"), i.alias("i"), v.alias("v")))
-    ranked = F.array_sort(F.filter(indexed, lambda s: s["v"] >= least))
+    ranked = let(floor, lambda f: F.array_sort(F.filter(indexed, lambda s: s["v"] >= f)))
     return F.aggregate(
         ranked,
         F.array().cast("array<int>"),
@@ -104,23 +106,28 @@ def separated_minima(curve: Column, n: int, separation: int) -> Column:
 
 def local_maxima(curve: Column) -> Column:
     """Inner positions that are no lower than the one before and higher than the one after."""
-    inner = F.sequence(F.lit(1), F.greatest(F.size(curve) - 2, F.lit(0)))
-    return F.when(F.size(curve) < 3, F.array().cast("array<int>")).otherwise(
-        F.filter(inner, lambda i: (F.get(curve, i) >= F.get(curve, i - 1)) & (F.get(curve, i) > F.get(curve, i + 1)))
-    )
+    def run(c: Column) -> Column:
+        inner = F.sequence(F.lit(1), F.size(c) - 2)
+        peaks = F.filter(inner, lambda i: (F.get(c, i) >= F.get(c, i - 1)) & (F.get(c, i) > F.get(c, i + 1)))
+        return F.when(F.size(c) < 3, F.array().cast("array<int>")).otherwise(peaks)
+
+    return let(curve, run)
 
 
 def moving_average(curve: Column, width: int) -> Column:
     """Centred mean over ``width`` samples with zeros beyond the ends."""
     half = width // 2
-    n = F.size(curve)
-    return F.transform(
-        curve,
-        lambda _, i: F.aggregate(
-            F.slice(curve, F.greatest(i - half, F.lit(0)) + 1, F.least(i + half, n - 1) - F.greatest(i - half, F.lit(0)) + 1), F.lit(0.0), lambda a, v: a + v
-        )
-        / width,
-    )
+
+    def run(c: Column) -> Column:
+        n = F.size(c)
+
+        def at(_: Column, i: Column) -> Column:
+            lo = F.greatest(i - half, F.lit(0))
+            return F.aggregate(F.slice(c, lo + 1, F.least(i + half, n - 1) - lo + 1), F.lit(0.0), lambda a, v: a + v) / width
+
+        return F.transform(c, at)
+
+    return let(curve, run)
 
 
 def islands(df: DataFrame, by: list[str], index: str, max_gap: int) -> DataFrame:

@@ -134,3 +134,28 @@ def first_seen_rank(df: DataFrame, keys: list[str], position: str, name: str = "
     first = df.groupBy(*keys).agg(F.min(position).alias("_p"))
     ranked = first.withColumn(name, (F.dense_rank().over(Window.orderBy("_p")) - 1).cast("int")).drop("_p")
     return df.join(ranked, keys)
+
+
+# ---------------------------------------------------------------- light in channel order
+def formatted_light(waveforms: DataFrame, channels: DataFrame, by: list[str], dead: DataFrame | None = None, head: int = BASELINE_SAMPLES) -> DataFrame:
+    """``by, tpc, channel, samples``: baseline-subtracted waveforms at their place in the TPC's channel order.
+
+    ``channels`` has adc, ch, tpc, channel; waveforms of channels without a place drop out. Dead
+    channels are all zero.
+    """
+    from tickloom.functions.arrays import baseline_subtracted
+
+    j = waveforms.select(*by, "adc", "ch", "samples").join(channels.select("adc", "ch", "tpc", "channel"), ["adc", "ch"])
+    s = baseline_subtracted(F.col("samples"), head)
+    if dead is None:
+        return j.select(*by, "tpc", "channel", s.alias("samples"))
+    j = dead_mask(j, dead)
+    return j.select(*by, "tpc", "channel", F.when(F.col("dead"), F.transform(s, lambda _: F.lit(0.0))).otherwise(s).alias("samples"))
+
+
+def fill_channels(patch: DataFrame, channels: DataFrame, by: list[str], ticks: int, baseline: float = 0.0) -> DataFrame:
+    """``patch`` (by, tpc, channel, samples) for every channel of every group in it; those it lacks hold the baseline."""
+    keys = list(dict.fromkeys([*by, "tpc", "channel"]))
+    # the TPC belongs to the group, so a group meets the channels of its own TPC only
+    every = patch.select(*dict.fromkeys([*by, "tpc"])).distinct().join(channels.select("tpc", "channel").distinct(), "tpc")
+    return every.join(patch.select(*keys, "samples"), keys, "left").withColumn("samples", F.coalesce(F.col("samples").cast("array<double>"), F.array_repeat(F.lit(baseline), ticks)))

@@ -197,3 +197,33 @@ def force_override(limits: dict[str, float]) -> Column:
     for name, least in limits.items():
         ok = ok & (F.col(name) >= least)
     return F.coalesce(ok, F.lit(False))
+
+
+def event_peak(light: DataFrame, by: list[str], samples: str = "samples") -> DataFrame:
+    """``by, tick, channel, value``: the strongest sample of a group; of equal ones the lowest channel, then the earliest tick."""
+    from tickloom.functions.arrays import peak_tick
+
+    v = F.array_max(samples).cast("double")
+    best = light.where(v.isNotNull()).groupBy(*by).agg(F.max(F.struct(v.alias("value"), (-F.col("channel")).alias("c"), (-peak_tick(F.col(samples))).alias("t"))).alias("_b"))
+    return best.select(*by, (-F.col("_b.t")).cast("int").alias("tick"), (-F.col("_b.c")).alias("channel"), F.col("_b.value").alias("value"))
+
+
+def add_images(base: DataFrame, images: DataFrame, by: list[str], clip: float = 60780.0) -> DataFrame:
+    """``base`` (by, channel, samples) plus all shifted images (by, channel, samples, t0) of a place, clipped to 0..clip."""
+    from tickloom.functions.arrays import shift_clamped
+
+    moved = images.select(*by, "channel", F.posexplode(shift_clamped(F.col("samples"), F.col("t0"))).alias("tick", "v"))
+    rows = base.select(*by, "channel", F.posexplode("samples").alias("tick", "v")).unionByName(moved)
+    cells = rows.groupBy(*by, "channel", "tick").agg(F.greatest(F.lit(0.0), F.least(F.lit(clip), F.sum("v"))).alias("v"))
+    return cells.groupBy(*by, "channel").agg(F.transform(F.sort_array(F.collect_list(F.struct("tick", "v"))), lambda s: s["v"]).alias("samples"))
+
+
+def waveform_pairs(samples: DataFrame, template, by: list[str], clip: float = 60780.0) -> DataFrame:
+    """(actual, predicted) pairs: the predicted peaks of a group's channels as pulses at the tick of its strongest sample.
+
+    ``samples``: by, channel, samples, peak (the predicted height). ``template`` is an array column.
+    """
+    from tickloom.functions.arrays import expand_peak
+
+    at = event_peak(samples, by).select(*by, F.col("tick").alias("_t"))
+    return samples.join(at, by).select(*by, "channel", F.col("samples").alias("actual"), expand_peak(F.col("peak"), template, F.col("_t"), clip).alias("predicted"))

@@ -189,3 +189,39 @@ def multi_vertex_events(df: DataFrame, event: str, vertex: str, least_vertices:
     n = df.where(F.col(vertex) >= 0).groupBy(event, vertex).agg(F.count(F.lit(1)).alias("_h"))
     e = n.groupBy(event).agg(F.count(F.lit(1)).alias("n_vertices"), F.sum("_h").alias("n_hits"))
     return e.where((F.col("n_vertices") >= least_vertices) & (F.col("n_hits") >= least_hits)).orderBy(F.desc("n_vertices"), event).limit(most)
+
+
+def cluster_evaluation(hits: DataFrame, by: list[str], reco: str, truth: str, energy: str, tolerance: float) -> DataFrame:
+    """Per cluster: median reco time, energy-weighted truth, energy, hits, and whether they agree within ``tolerance``."""
+    t, e = F.when(~F.isnan(truth), F.col(truth)), F.col(energy).cast("double")
+    got = F.median(F.when(~F.isnan(reco) & (F.col(reco) >= 0), F.col(reco)))
+    want = F.sum(t * e) / F.sum(F.when(t.isNotNull(), e))
+    d = hits.groupBy(*by).agg(F.count(F.lit(1)).alias("n_hits"), F.sum(e).alias("energy"), got.alias("reco"), want.alias("truth"))
+    return d.withColumn("correct", F.coalesce(F.abs(F.col("reco") - F.col("truth")) <= tolerance, F.lit(False)))
+
+
+def event_rollup(groups: DataFrame, event: list[str], share: str, least: float) -> DataFrame:
+    """Per event: groups, the median of their shares, how many fall below ``least``."""
+    return groups.groupBy(*event).agg(F.count(F.lit(1)).alias("n_groups"), F.median(share).alias("median_share"), F.count_if(F.col(share) < least).alias("n_below"))
+
+
+def interaction_success(hits: DataFrame, by: list[str], truth: str, ok: Column, energy: str, rounding: float) -> DataFrame:
+    """Success of the hits of one TPC whose true times round (half to even) to the same multiple of ``rounding``."""
+    t = F.rint(F.col(truth) / rounding)
+    return group_success(hits.where(~F.isnan(truth)).withColumn("interaction", t), [*by, "interaction"], ok, energy)
+
+
+def assignment_audit(log: DataFrame, hits: DataFrame, by: list[str], cluster: str = "cluster") -> DataFrame:
+    """The last log entry of each cluster (``seq``) with its hits' dominant time and share; ``position``: assigned first, then by energy, then id."""
+    cols = [c for c in log.columns if c not in (*by, cluster)]
+    last = log.groupBy(*by, cluster).agg(F.max_by(F.struct(*cols), "seq").alias("_l")).select(*by, cluster, "_l.*")
+    j = last.join(dominant_value(hits, [*by, cluster], "t0"), [*by, cluster], "left")
+    w = Window.partitionBy(*by).orderBy(F.desc("assigned"), F.desc("energy"), cluster)
+    return j.withColumn("position", F.row_number().over(w))
+
+
+def cluster_state(hits: DataFrame, by: list[str], t0: str, energy: str, least: int = 1, tolerance: float = 1e-3) -> DataFrame:
+    """Per cluster of ``least`` hits: hits, energy, median time of the assigned ones, and whether these are all alike."""
+    t = F.when(~F.isnan(t0) & (F.col(t0) >= 0), F.col(t0))
+    d = hits.groupBy(*by).agg(F.count(F.lit(1)).alias("n_hits"), F.sum(energy).alias("energy"), F.median(t).alias("t0"), (F.max(t) - F.min(t) <= tolerance).alias("uniform"), F.count(t).alias("n_assigned"))
+    return d.where(F.col("n_hits") >= least)

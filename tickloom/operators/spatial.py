@@ -238,3 +238,29 @@ def swap_candidates(tracks: DataFrame, centroids: DataFrame, by: list[str], ener
     ok = j.where((F.col("energy_ratio") >= energy_ratio) & (F.col("n_shared") >= least_shared) & (F.col("n_other") <= most_other) & (F.col("cosine") >= F.cos(F.radians(F.lit(angle)))) & (F.col("shared_yz") <= shared_yz) & (F.col("endpoint_yz") <= endpoint_yz))
     priority = 5.0 * F.col("n_shared") - 1.5 * F.col("n_other") + 3.0 * F.col("energy_ratio") + 4.0 * F.col("cosine") - 0.08 * F.col("shared_yz") - 0.04 * F.col("endpoint_yz")
     return ok.select(*by, "a", "b", "n_shared", "n_other", "energy_ratio", "cosine", "shared_yz", "endpoint_yz", priority.alias("priority"))
+
+
+def mixed_time_pairs(hits: DataFrame, key: str, t0: str, by: list[str], r: float = 4.0, most: int = 24, least_gap: float = 1.0) -> DataFrame:
+    """``by, ta, tb, n_pairs, n_hits, rank``: pairs of times whose hits lie within ``r`` of each other, most pairs first.
+
+    Times are rounded half to even; pairs of times less than ``least_gap`` apart are the same time.
+    """
+    p = hits.where(~F.isnan(t0) & (F.col(t0) >= 0)).select(*by, F.col(key).alias("k"), F.rint(t0).alias("t"), *XYZ)
+    j = within(p, p, r, by).where(F.col("r_t") - F.col("l_t") >= least_gap)
+    n = j.groupBy(*by, F.col("l_t").alias("ta"), F.col("r_t").alias("tb")).agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("l_k").alias("_a"), F.count_distinct("r_k").alias("_b"))
+    w = Window.partitionBy(*by).orderBy(F.desc("n_pairs"), "ta", "tb")
+    return n.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select(*by, "ta", "tb", "n_pairs", (F.col("_a") + F.col("_b")).alias("n_hits"), "rank")
+
+
+def density_seeds(density: DataFrame, points: DataFrame, key: str, by: list[str], separation: float = 8.0, quantile: float = 0.8, most: int = 12) -> DataFrame:
+    """``by, key, rank``: points of high density that no denser point lies within ``separation`` of, the densest first.
+
+    Only points from the group's ``quantile`` of density on can be seeds. (Of equally dense
+    neighbours the smaller key stands.)
+    """
+    cut = density.groupBy(*by).agg(F.percentile("rho", quantile).alias("_q"))
+    high = density.join(cut, by).where(F.col("rho") >= F.col("_q")).select(*by, key, "rho").join(points.select(*by, key, *XYZ), [*by, key])
+    p = high.withColumnRenamed(key, "k")
+    beaten = within(p, p, separation, by).where("r_rho > l_rho OR (r_rho = l_rho AND r_k < l_k)").select(*by, F.col("l_k").alias(key)).distinct()
+    w = Window.partitionBy(*by).orderBy(F.desc("rho"), key)
+    return high.join(beaten, [*by, key], "left_anti").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select(*by, key, "rank")

@@ -112,3 +112,12 @@ def compact_labels(df: DataFrame, label: str, by: list[str], least: int = 1, noi
     n = df.where(F.col(label) != noise).groupBy(*by, label).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
     no = n.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(label)) - 1).cast("int")).drop("_n")
     return df.join(no, [*by, label], "left").withColumn(name, F.coalesce(name, F.lit(noise)))
+
+
+def light_event_of(charge: DataFrame, light: DataFrame, refs: DataFrame) -> DataFrame:
+    """``event_id, light_id``: the referenced light event, else the one of the same id, else the one at the same position."""
+    ref = first_match(refs, "event_id", "light_id", "ref_id").withColumnRenamed("light_id", "_by_ref")
+    own = light.select(F.col("light_id").alias("event_id"), F.col("light_id").alias("_by_id")).distinct()
+    at = light.groupBy("row").agg(F.min("light_id").alias("_by_row"))
+    j = charge.select("event_id", "row").join(ref, "event_id", "left").join(own, "event_id", "left").join(at, "row", "left")
+    return j.select("event_id", F.coalesce("_by_ref", "_by_id", "_by_row").alias("light_id")).distinct()

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions import arrays as A
 from tickloom.functions import scans
-from tickloom.plans.detector import QUERIES, SQL, event_flashes, loaded, query
-from tickloom.plans.detector_light import _C, _TICK, TICKS, light_candidates, light_table
+from tickloom.operators import components, geometry, light, metrics, spatial, truth
 from tickloom.operators import flash as fl
 from tickloom.operators.geometry import TWO
+from tickloom.plans.detector import _LOADED, QUERIES, SQL, event_flashes, loaded, query
+from tickloom.plans.detector_light import _C, _D, _L0, _TICK, _W, TICKS, light_candidates, light_table, points, waveforms
+from tickloom.session import table
 from tickloom.sources import sinks
 from tickloom.stages import match as M
 from tickloom.stages import models, pipeline
@@ -127,3 +130,129 @@ def move_relabel(spark, d):
     lab = hits_in_tpcs(spark, d).select("event_id", "hit_row", F.col("tpc").alias("cluster_id"))
     moves = lab.where("hit_row % 50 = 0").groupBy("event_id", (F.col("hit_row") % 7).alias("seq")).agg(F.sort_array(F.collect_list("hit_row")).alias("hits")).withColumn("kind", F.when(F.col("seq") % 2 == 0, F.lit("a spatial")).otherwise(F.lit("b light")))
     return sinks.move_relabel(lab, moves, ["event_id"])
+
+
+# ---------------------------------------------------------------- evaluation and smaller operators
+@query(
+    "cluster_evaluation",
+    f"""SELECT event_id, cluster, n_hits, round(energy, 5) AS energy, reco, round(truth, 4) AS truth, coalesce(abs(reco - truth) <= 10, false) AS correct FROM (SELECT event_id, t_cluster_id AS cluster, count(*) AS n_hits, sum(e) AS energy,
+  median(CASE WHEN t_0 >= 0 THEN t_0::DOUBLE END) AS reco, sum(x * e) / sum(e) AS truth FROM {_LOADED} GROUP BY 1, 2)""",
+)
+def cluster_evaluation(spark, d):
+    h = loaded(spark, d).withColumn("cluster", F.col("t_cluster_id")).withColumn("t0", F.col("t_0").cast("double"))
+    c = metrics.cluster_evaluation(h, ["event_id", "cluster"], "t0", "x", "e", 10.0)
+    return c.withColumn("energy", F.round("energy", 5)).withColumn("truth", F.round("truth", 4))
+
+
+@query(
+    "interaction_success",
+    f"SELECT hit_tpc_id, round_even(z / 50, 0) AS interaction, count(*) AS n_hits, round(sum(e), 5) AS energy, count_if(y > 0) / count(*) AS hit_share, round(sum(CASE WHEN y > 0 THEN e ELSE 0 END) / sum(e), 7) AS energy_share FROM {_LOADED} WHERE e > 0 GROUP BY 1, 2",
+)
+def interaction_success(spark, d):
+    s = metrics.interaction_success(loaded(spark, d).where("e > 0"), ["hit_tpc_id"], "z", F.col("y") > 0, "e", 50.0)
+    return s.withColumn("energy", F.round("energy", 5)).withColumn("energy_share", F.round("energy_share", 7))
+
+
+@query(
+    "event_rollup",
+    f"SELECT event_id, count(*) AS n_groups, median(share) AS median_share, CAST(count_if(share < 0.4) AS BIGINT) AS n_below FROM (SELECT event_id, t_cluster_id, count_if(y > 0) / count(*) AS share FROM {_LOADED} GROUP BY 1, 2) GROUP BY 1",
+)
+def event_rollup(spark, d):
+    g = metrics.group_success(loaded(spark, d), ["event_id", "t_cluster_id"], F.col("y") > 0, "e")
+    return metrics.event_rollup(g, ["event_id"], "hit_share", 0.4)
+
+
+@query(
+    "cluster_state",
+    f"""SELECT event_id, t_cluster_id, count(*) AS n_hits, round(sum(e), 5) AS energy, median(t) AS t0, max(t) - min(t) <= 0.001 AS uniform, count(t) AS n_assigned FROM (SELECT *, CASE WHEN t_0 >= 0 THEN t_0::DOUBLE END AS t FROM {_LOADED}) GROUP BY 1, 2 HAVING count(*) >= 3""",
+)
+def cluster_state(spark, d):
+    s = metrics.cluster_state(loaded(spark, d).withColumn("t", F.col("t_0").cast("double")), ["event_id", "t_cluster_id"], "t", "e", 3)
+    return s.withColumn("energy", F.round("energy", 5))
+
+
+@query(
+    "assignment_audit",
+    f"""WITH l AS (SELECT event_id, t_cluster_id AS cluster, max(hit_row) AS seq, arg_max(e, hit_row) AS energy, arg_max(e > 1, hit_row) AS assigned FROM {_LOADED} WHERE t_cluster_id IS NOT NULL GROUP BY 1, 2)
+SELECT event_id, cluster, seq, energy, assigned, row_number() OVER (PARTITION BY event_id ORDER BY assigned DESC, energy DESC, cluster) AS position FROM l""",
+)
+def assignment_audit(spark, d):
+    h = loaded(spark, d).where("t_cluster_id IS NOT NULL").select("event_id", F.col("t_cluster_id").alias("cluster"), F.col("hit_row").alias("seq"), F.col("e").alias("energy"), (F.col("e") > 1).alias("assigned"), F.col("t_0").cast("double").alias("t0"))
+    return metrics.assignment_audit(h.drop("t0"), h, ["event_id"]).select("event_id", "cluster", "seq", "energy", "assigned", F.col("position").cast("bigint").alias("position"))
+
+
+@query(
+    "mixed_time_pairs",
+    f"""SELECT event_id, ta, tb, n_pairs, CAST(rank AS INTEGER) AS rank FROM (SELECT event_id, ta, tb, count(*) AS n_pairs, row_number() OVER (PARTITION BY event_id ORDER BY count(*) DESC, ta, tb) AS rank FROM
+  (SELECT a.event_id, a.t AS ta, b.t AS tb FROM (SELECT *, t_0::DOUBLE AS t FROM {_LOADED} WHERE t_0 >= 0) a JOIN (SELECT *, t_0::DOUBLE AS t FROM {_LOADED} WHERE t_0 >= 0) b ON a.event_id = b.event_id AND b.t - a.t >= 1 AND abs(a.x - b.x) <= 12 AND {_D} <= 12) GROUP BY 1, 2, 3) WHERE rank <= 24""",
+)
+def mixed_time_pairs(spark, d):
+    h = loaded(spark, d).withColumn("t", F.col("t_0").cast("double"))
+    return spatial.mixed_time_pairs(h, "hit_row", "t", ["event_id"], 12.0).drop("n_hits")
+
+
+@query("density_seeds")
+def density_seeds(spark, d):
+    p = points(spark, d)
+    return spatial.density_seeds(spatial.local_density(p, "e", "hit_row", r=12.0, by=["event_id"]), p, "hit_row", ["event_id"])
+
+
+@query("promoted_islands")
+def promoted_islands(spark, d):
+    p = points(spark, d)
+    return components.promoted_islands(p, spatial.local_density(p, "e", "hit_row", r=12.0, by=["event_id"]), "hit_row", "cluster", ["event_id"], 12.0, 2, noise=7)
+
+
+@query(
+    "event_peak",
+    f"SELECT light_id, CAST(-(m).t AS INTEGER) AS tick, CAST(-(m).c AS INTEGER) AS channel, (m).v AS value FROM (SELECT light_id, max({{'v': list_max(samples)::DOUBLE, 'c': -(adc * 100 + ch), 't': -(list_position(samples, list_max(samples)) - 1)}}) AS m FROM {_W} GROUP BY 1)",
+)
+def event_peak(spark, d):
+    return light.event_peak(waveforms(spark, d).withColumn("channel", F.col("adc") * 100 + F.col("ch")), ["light_id"])
+
+
+@query(
+    "formatted_light",
+    f"SELECT light_id, tpc, channel, round(CASE WHEN tpc = 3 AND ch > 40 THEN 0 ELSE list_max(actual) END, 3) + 0.0::DOUBLE AS peak FROM {_L0}",
+)
+def formatted_light(spark, d):
+    w = waveforms(spark, d)
+    c = w.select("adc", "ch").distinct().select("adc", "ch", F.col("adc").alias("tpc"), F.lit(0).alias("side"), F.col("ch").alias("y_rel"))
+    dead = w.where("adc = 3 AND ch > 40").select("adc", "ch").distinct()
+    f = geometry.formatted_light(w, geometry.channel_order(c), ["light_id"], dead, 12)
+    return f.select("light_id", "tpc", "channel", (F.round(F.array_max("samples"), 3) + 0.0).alias("peak"))
+
+
+@query("filled_channels")
+def filled_channels(spark, d):
+    l = light_table(spark, d)
+    patch = l.where("channel % 2 = 0").select("light_id", "tpc", "channel", F.col("actual").alias("samples")).dropDuplicates(["light_id", "tpc", "channel"])
+    f = geometry.fill_channels(patch, l, ["light_id"], TICKS)
+    return f.select("light_id", "tpc", "channel", F.round(F.array_max("samples"), 3).alias("peak"))
+
+
+@query("added_images")
+def added_images(spark, d):
+    l = light_table(spark, d).dropDuplicates(["light_id", "tpc", "channel"])
+    base = l.select("light_id", "tpc", "channel", F.transform("actual", lambda v: F.abs(v)).alias("samples"))
+    img = l.join(light_candidates(spark, d).withColumn("tpc", F.col("tpc").cast("int")), ["light_id", "tpc"]).select("light_id", "tpc", "channel", F.col("model").alias("samples"), "t0")
+    return light.add_images(base, img, ["light_id", "tpc"]).select("light_id", "tpc", "channel", F.round(F.array_max("samples"), 3).alias("peak"))
+
+
+@query("waveform_pairs")
+def waveform_pairs(spark, d):
+    l = light_table(spark, d).dropDuplicates(["light_id", "tpc", "channel"]).select("light_id", "tpc", "channel", F.col("actual").alias("samples"), F.array_max("model").alias("peak"))
+    p = light.waveform_pairs(l, A.default_template(TICKS, 10, 8.0), ["light_id", "tpc"])
+    return p.select("light_id", "tpc", "channel", F.round(F.array_max("predicted"), 3).alias("peak"))
+
+
+@query(
+    "light_event_of",
+    """SELECT DISTINCT e.event_id, coalesce(r.light_id, i.light_id, l.light_id) AS light_id FROM (SELECT DISTINCT event_id, event_id % 300 AS row FROM charge_events) e
+LEFT JOIN (SELECT event_id, arg_min(light_id, ref_id) AS light_id FROM charge_light WHERE event_id IS NOT NULL AND light_id IS NOT NULL GROUP BY 1) r ON r.event_id = e.event_id
+LEFT JOIN (SELECT DISTINCT light_id FROM light_events) i ON i.light_id = e.event_id LEFT JOIN (SELECT light_id % 300 AS row, min(light_id) AS light_id FROM light_events GROUP BY 1) l ON l.row = e.row""",
+)
+def light_event_of(spark, d):
+    c = table(spark, d, "charge_events").select("event_id", (F.col("event_id") % 300).alias("row")).distinct()
+    l = table(spark, d, "light_events").select("light_id", (F.col("light_id") % 300).alias("row"))
+    return truth.light_event_of(c, l, table(spark, d, "charge_light"))

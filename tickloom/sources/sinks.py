@@ -108,3 +108,12 @@ def move_summary(moves: DataFrame, by: list[str]) -> DataFrame:
 def write_by_file(df: DataFrame, path: str, file: str = "file_id", mode: str = "overwrite") -> None:
     """Parquet, partitioned by file; rows of a file are brought together first, so that each makes few files."""
     df.repartition(file).write.mode(mode).partitionBy(file).parquet(path)
+
+
+def export_where(parts: dict[str, DataFrame], condition: Column, path: str) -> list[str]:
+    """Each table restricted to ``condition`` under its own name below ``path``; the folders written."""
+    out = []
+    for name, df in parts.items():
+        df.where(condition).write.mode("overwrite").parquet(f"{path}/{name}")
+        out.append(f"{path}/{name}")
+    return out
