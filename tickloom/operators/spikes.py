@@ -154,7 +154,7 @@ def faulty_waveforms(
 
     Waveforms (unless their file marks the channel dead): ``impossible`` (a reading that is no
     finite number in range), ``stuck`` (a long run without change below the rail), ``spike``.
-    Marks, for a file and channel with three or more waveforms: ``unmarked`` (nothing varies) or
+    Marks, for a file and channel with three or more waveforms (empty ones counted): ``unmarked`` (nothing varies) or
     ``alive`` (marked dead, varies like a living channel). Settings: ``setting`` (not finite, or off
     the adc's median by more than 1 %).
 
@@ -186,15 +186,13 @@ def faulty_waveforms(
     faulty = faulty.join(dead, ["file_id", "adc", "ch"], "left_anti").select(F.lit("wvfm").alias("tbl"), F.col("wvfm_row").alias("row_id"), "reason")
 
     channels = (
-        f.where("spread IS NOT NULL")
-        .groupBy("file_id", "adc", "ch")
+        f.groupBy("file_id", "adc", "ch")
         .agg(
             F.count_distinct("wvfm_row").alias("rows"),
             F.max("spread").alias("most"),
             F.count_if(F.col("spread") > rules.stuck_counts).alias("vary"),
-            F.count(F.lit(1)).alias("all"),
+            F.count("spread").alias("all"),
             F.avg("noise").alias("noise"),
-            F.min("noise").alias("least"),
         )
         .where(F.col("rows") >= rules.least_rows)
         .join(channel, ["adc", "ch"], "left")
