@@ -140,7 +140,7 @@ def test_line_helpers():
     assert N.gmm_split(two).max() == 1 and L.split_mixed(two, np.zeros(120, int), [0]).max() == 1
 
 
-def test_pipeline_in_spark_reports_failures(spark):
+def test_pipeline_in_spark_reports_failures(spark, monkeypatch):
     xyz, e, tpc, actual, var, model, true = event()
     hits = [(1, i, *map(float, p), float(w), int(t)) for i, (p, w, t) in enumerate(zip(xyz, e, tpc))]
     hits += [(2, i, *r[2:]) for i, r in enumerate(hits[:5])] + [(1, 9999, float("nan"), 0.0, 0.0, 1.0, 0), hits[0]]
@@ -154,6 +154,9 @@ def test_pipeline_in_spark_reports_failures(spark):
     s = {r.event_id: (r.ok, r.error) for r in pipeline.status(out).collect()}
     assert s[1] == (True, None) and s[2] == (False, "ValueError: no light")
     assert pipeline.match(h.limit(0), l, pipeline.Options()).count() == 0
+    monkeypatch.setattr(pipeline, "MOST_HITS", 5)
+    s = {r.event_id: r.error for r in pipeline.status(pipeline.match(h.where("event_id = 1"), l, pipeline.Options())).collect()}
+    assert s == {1: "more than 5 hits"}
 
 
 def test_models_in_spark(spark):
