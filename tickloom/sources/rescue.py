@@ -10,9 +10,11 @@ further typed columns.
 from __future__ import annotations
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.arrays import let
 from tickloom.operators.skew import broadcast_if_small
 
 FILE = ["dataset", "campaign", "file_no"]
@@ -22,7 +24,10 @@ TYPES = ["integer", "fraction", "string", "boolean", "array", "object"]
 
 def _type(v: Column) -> Column:
     """One of TYPES, or NULL for a JSON null. A whole number is an integer only when written without a fraction."""
-    t = F.schema_of_variant(v)
+    return let(F.schema_of_variant(v), _type_of_schema)
+
+
+def _type_of_schema(t: Column) -> Column:
     return (
         F.when(t == "BIGINT", "integer")
         .when(t.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), "integer")  # too long for 64 bits
@@ -44,13 +49,16 @@ def _inner(v: Column, kind: Column) -> Column:
 
 
 def exploded(records: DataFrame, payload: str = "payload") -> DataFrame:
-    """A row per record and field: FILE, ``field``, ``value`` (variant). What is no JSON object has none."""
+    """A row per record and field: FILE, ``field``, ``value`` (variant); a NULL field where a record is no JSON object or has none."""
     fields = records.select(*FILE, F.from_json(payload, "map<string,variant>").alias("_m"))
-    return fields.select(*FILE, F.explode("_m").alias("field", "value"))
+    return fields.select(*FILE, F.explode_outer("_m").alias("field", "value"))
 
 
 def field_profile(records: DataFrame, payload: str = "payload") -> DataFrame:
-    """One row per file and field: counts by type and what the field's quantity looks like."""
+    """One row per file and field: counts by type and what the field's quantity looks like.
+
+    The NULL field stands for the records without fields.
+    """
     e = exploded(records, payload).withColumn("kind", _type(F.col("value")))
     e = e.withColumn("text", _inner(F.col("value"), F.col("kind")))
     e = e.withColumn("long", F.when(F.col("kind") == "array", F.try_variant_get("value", "$[1]", "string").isNotNull()))
@@ -137,10 +145,12 @@ def field_changes(records: DataFrame, payload: str = "payload") -> DataFrame:
     of a campaign has no changes.
     """
     records = records.where(F.col("file_no").isNotNull()).withColumns({"file_no": F.col("file_no").cast("long"), **{c: F.coalesce(c, F.lit("")) for c in ("dataset", "campaign")}})
-    files = records.select(*FILE).distinct()
+    # the records are parsed once; all that follows works on a few rows for each file
+    profile = field_profile(records, payload).persist(StorageLevel.MEMORY_AND_DISK)
+    files = profile.select(*FILE).distinct()
     order = Window.partitionBy("dataset", "campaign").orderBy("file_no")
     files = files.withColumn("next_no", F.lead("file_no").over(order)).withColumn("prev_no", F.lag("file_no").over(order))
-    profile = field_profile(records, payload)
+    profile = profile.where("field IS NOT NULL")
     common = F.greatest(*[F.col(t) for t in TYPES])
     kind = F.when(common > 0, F.coalesce(*[F.when(F.col(t) == common, t) for t in TYPES]))
     past = Window.partitionBy("dataset", "campaign", "field").orderBy("file_no").rowsBetween(Window.unboundedPreceding, 0)
@@ -184,15 +194,15 @@ def first_names(changes: DataFrame) -> DataFrame:
 
 
 def _typed(v: Column, kind: str) -> Column:
-    k = _type(v)
-    text = _inner(v, k)
     if kind.startswith("array"):
         return F.try_variant_get(v, "$", kind)
-    if kind == "boolean":
-        return F.when(F.lower(text).isin("true", "false"), F.lower(text) == "true")
-    if kind == "string":
-        return F.when(~k.isin("array", "object") | text.isNotNull(), text)
-    return text.try_cast(kind)
+
+    def cast(text: Column) -> Column:
+        if kind == "boolean":
+            return F.when(F.lower(text).isin("true", "false"), F.lower(text) == "true")
+        return text if kind == "string" else text.try_cast(kind)
+
+    return let(let(F.struct(v.alias("v"), _type(v).alias("k")), lambda b: _inner(b["v"], b["k"])), cast)
 
 
 def conform(records: DataFrame, target: dict[str, str], changes: DataFrame, payload: str = "payload") -> DataFrame:
@@ -212,20 +222,19 @@ def conform(records: DataFrame, target: dict[str, str], changes: DataFrame, payl
         .where((F.col("file_no") >= F.col("from_no")) & (F.col("until_no").isNull() | (F.col("file_no") < F.col("until_no"))))
         .select(*FILE, "names")
     )
+    keep = [c for c in records.columns if c != payload and c not in target]
     rows = records.join(broadcast_if_small(of_file), FILE, "left").withColumn("_m", F.from_json(payload, "map<string,variant>"))
-    out, taken = [], []
-    for field, kind in target.items():
-        here = F.coalesce(F.element_at("names", F.lit(field)), F.lit(field))
-        v = F.element_at("_m", here)
-        out.append(_typed(v, kind).alias(field))
-        taken.append(F.struct(here.alias("name"), (_typed(v, kind).isNotNull() | v.isNull() | F.is_variant_null(v)).alias("ok")))
-    used = F.transform(F.filter(F.array(*taken), lambda x: x["ok"]), lambda x: x["name"])
-    rest = F.map_filter("_m", lambda k, _: ~F.array_contains(used, k))
-    rescued = F.when(F.col("_m").isNull() & F.col(payload).isNotNull(), F.create_map(F.lit(""), F.col(payload))).when(
-        F.size(rest) > 0, F.transform_values(rest, lambda _, v: F.to_json(v))
+    # each value is found, then typed, once; what was typed, or holds nothing, needs no rescue
+    here = {f: F.coalesce(F.element_at("names", F.lit(f)), F.lit(f)) for f in target}
+    rows = rows.select(*keep, F.col(payload).alias("_p"), "_m", *[here[f].alias(f"_n{i}") for i, f in enumerate(target)])
+    rows = rows.select("*", *[F.element_at("_m", F.col(f"_n{i}")).alias(f"_v{i}") for i in range(len(target))])
+    rows = rows.select("*", *[_typed(F.col(f"_v{i}"), kind).alias(f"_t{i}") for i, kind in enumerate(target.values())])
+    used = F.array_compact(F.array(*[F.when(F.col(f"_t{i}").isNotNull() | F.is_variant_null(f"_v{i}"), F.col(f"_n{i}")) for i in range(len(target))]))
+    rest = let(used, lambda u: F.map_filter("_m", lambda k, _: ~F.array_contains(u, k)))
+    rescued = F.when(F.col("_m").isNull() & F.col("_p").isNotNull(), F.create_map(F.lit(""), F.col("_p"))).otherwise(
+        let(rest, lambda r: F.when(F.size(r) > 0, F.transform_values(r, lambda _, v: F.to_json(v))))
     )
-    keep = [c for c in records.columns if c != payload and c not in target]
-    return rows.select(*keep, *out, rescued.alias("_rescued"))
+    return rows.select(*keep, *[F.col(f"_t{i}").alias(f) for i, f in enumerate(target)], rescued.alias("_rescued"))
 
 
 def promote(table: DataFrame, approved: dict[str, str], rescued: str = "_rescued") -> DataFrame:
