@@ -19,11 +19,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators.skew import sliced_rank
+from tickloom.operators.skew import join_null_safe, sliced_rank
 
 TARGET_BYTES = 128 << 20
 MAX_GROUPS = 4096
@@ -142,11 +142,18 @@ def _write(batches: Iterator[pa.RecordBatch], staging: str) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["group_id", "name", "n_rows", "check"])
 
 
-def consolidate(rows: DataFrame, out: str) -> list[str]:
+def rows_and_check(df: DataFrame, body: list[str]) -> tuple[int, int]:
+    """Number of rows, and the exclusive or of their hashes."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*body)).alias("x")).first()
+    return r["n"], r["x"] or 0
+
+
+def consolidate(rows: DataFrame, out: str, expected: tuple[int, int] | None = None) -> list[str]:
     """Write ``rows`` (with ``group_id``) as one Parquet file per group below ``out``; the files of the manifest.
 
     The files are published only if their rows and the exclusive or of the rows' hashes agree with
-    what was to be written; else nothing is published and an error is raised.
+    what was to be written (``expected``, or counted here); else nothing is published and an error
+    is raised.
     """
     spark: SparkSession = rows.sparkSession
     body = [c for c in rows.columns if c != "group_id"]
@@ -154,12 +161,12 @@ def consolidate(rows: DataFrame, out: str) -> list[str]:
     staging = f"{out}/data"
     placed = hashed.repartition("group_id").sortWithinPartitions("group_id")
     written = placed.mapInArrow(lambda it: _write(it, staging), "group_id int, name string, n_rows long, check long").collect()
-    want = hashed.agg(F.count(F.lit(1)).alias("n"), F.bit_xor("_hash").alias("x")).first()
+    want, want_check = expected or rows_and_check(rows, body)
     got_rows, got = sum(r["n_rows"] for r in written), 0
     for r in written:
         got ^= r["check"]
-    if got_rows != want["n"] or got != (want["x"] or 0) or len({r["group_id"] for r in written}) != len(written):
-        raise RuntimeError(f"{out}: {got_rows} rows written where {want['n']} were to be, or their hashes differ; nothing is published")
+    if got_rows != want or got != want_check or len({r["group_id"] for r in written}) != len(written):
+        raise RuntimeError(f"{out}: {got_rows} rows written where {want} were to be, or their hashes differ; nothing is published")
     manifest = {"files": sorted(r["name"] for r in written), "rows": got_rows, "check": got}
     fs, root = pafs.FileSystem.from_uri(out)
     fs.create_dir(root, recursive=True)
@@ -253,8 +260,11 @@ def consolidate_reports(shards: DataFrame, out: str, target_bytes: int = TARGET_
     The tiny files are the scheduled items, as large as the reports that they still contribute.
     """
     kept = unique_reports(shards)
-    files = kept.groupBy("shard_id").agg(F.sum(F.octet_length("report")).alias("bytes"))
-    plan = plan_groups(files, "shard_id", "bytes", target_bytes).select(F.col("shard_id").alias("_s"), "group_id")
-    rows = kept.join(plan, kept["shard_id"].eqNullSafe(F.col("_s"))).drop("_s")
-    consolidate(rows, out)
+    # one row per tiny file, kept: the contents are parsed once for the plan and once to be written
+    files = kept.groupBy("shard_id").agg(F.sum(F.octet_length("report")).alias("bytes"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*kept.columns)).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    whole = files.agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x")).first()
+    plan = plan_groups(files.select("shard_id", "bytes"), "shard_id", "bytes", target_bytes).drop("bytes")
+    rows = join_null_safe(kept, plan, ["shard_id"])
+    consolidate(rows.select(*kept.columns, "group_id"), out, (whole["n"] or 0, whole["x"] or 0))
+    files.unpersist()
     return read_consolidated(shards.sparkSession, out, REPORT_DDL)
