@@ -212,9 +212,12 @@ def matched_segments(segments: DataFrame, by: list[str], dist_tol: float, angle_
     d, angle = segment_distance(p1, q1, p2, q2), angle_deg(sub(q1, p1), sub(q2, p2))
     score = d / dist_tol + 0.45 * F.col("_n.dist") / endpoint_tol + 0.35 * angle / angle_tol - 0.15 * F.least("a_linearity", "b_linearity")
     ok = j.withColumn("_d", d).withColumn("_g", angle).withColumn("score", score).where((F.col("_d") <= dist_tol) & (F.col("_g") <= angle_tol) & (F.col("_n.dist") <= endpoint_tol))
-    wa = Window.partitionBy(*by, "a", "_n.l_end").orderBy("score", "b")
-    wb = Window.partitionBy(*by, "b", "_n.r_end").orderBy("score", "a")
-    return ok.withColumn("_ra", F.row_number().over(wa)).withColumn("_rb", F.row_number().over(wb)).where("_ra = 1 AND _rb = 1").select(*by, "a", "b", "score")
+    # each pair counts at an end of both its segments, and stays if it is the best at both
+    sides = F.array(F.struct(F.col("a").alias("seg"), F.col("_n.l_end").alias("end")), F.struct(F.col("b").alias("seg"), F.col("_n.r_end").alias("end")))
+    at = ok.select(*by, "a", "b", "score", F.inline(sides))
+    w = Window.partitionBy(*by, "seg", "end").orderBy("score", "a", "b")
+    first = at.withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    return first.groupBy(*by, "a", "b").agg(F.first("score").alias("score"), F.count(F.lit(1)).alias("_k")).where("_k = 2").drop("_k")
 
 
 def swap_candidates(tracks: DataFrame, centroids: DataFrame, by: list[str], energy_ratio: float = 0.5, least_shared: int = 1, most_other: int = 3, angle: float = 20.0, shared_yz: float = 35.0, endpoint_yz: float = 45.0) -> DataFrame:
