@@ -129,6 +129,12 @@ def smooth(a: np.ndarray, width: int) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- Spark forms
+def matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Equally long arrays of a column as the rows of a matrix, without Python objects in between."""
+    a = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return a.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(a), -1)
+
+
 def scan_groups(images: DataFrame, by: list[str], kernel: Callable[..., np.ndarray], search: int, lowest: bool = True) -> DataFrame:
     """``by, t0, score`` of the best shift per group of channel rows with arrays predicted, base, actual, variance.
 
@@ -139,7 +145,7 @@ def scan_groups(images: DataFrame, by: list[str], kernel: Callable[..., np.ndarr
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in images.select(*by).schema.fields)
 
     def run(t: pa.Table) -> pa.Table:
-        p, b, a, v = (np.array(t[c].to_pylist(), dtype=float) for c in arrays)
+        p, b, a, v = (matrix(t[c]) for c in arrays)
         curve = kernel(p, b, a, v, search)
         k = int(curve.argmin() if lowest else curve.argmax())
         return pa.table({**{c: t[c].slice(0, 1) for c in by}, "t0": pa.array([k], pa.int32()), "score": pa.array([float(curve[k])])})
@@ -175,10 +181,10 @@ def loss_matrix(images: DataFrame, candidates: DataFrame, by: list[str], cluster
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t0 = batch.column("t0").to_pylist()
-            cols = [batch.column(c).to_pylist() for c in ("predicted", "base", "actual", "variance")]
+            cols = [matrix(batch.column(c)) for c in ("predicted", "base", "actual", "variance")] if t0 else []
             loss, n = [], []
             for t, *arr in zip(t0, *cols):
-                p, b, a, v = (np.asarray(x, dtype=float)[None] for x in arr)
+                p, b, a, v = (x[None] for x in arr)
                 loss.append(chi2_at(p, b, a, v, float(t), clip))
                 n.append(p.shape[1])
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kinds], pa.array(loss, pa.float64()), pa.array(n, pa.int64())], names=[*kinds, "_l", "_n"])

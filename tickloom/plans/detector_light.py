@@ -419,7 +419,7 @@ def compact_labels(spark, d):
 
 
 # ---------------------------------------------------------------- sinks
-_SH = "(SELECT file_id, hit_row, max((CASE WHEN t_0 >= 0 THEN t_0 END, t_cluster_id)) AS v FROM hits WHERE hit_row % 3 <> 0 AND hit_row IS NOT NULL GROUP BY 1, 2)"
+_SH = "(SELECT file_id, hit_row, arg_max({'t': t_0, 'c': t_cluster_id}, (greatest(coalesce(t_0, -1), -1), coalesce(t_cluster_id, -32768))) AS v FROM hits WHERE hit_row % 3 <> 0 AND hit_row IS NOT NULL GROUP BY 1, 2)"
 
 
 def shards(spark, d) -> DataFrame:
@@ -427,10 +427,10 @@ def shards(spark, d) -> DataFrame:
     return h.select("file_id", "hit_row", F.col("v.t").cast("double").alias("t0"), F.col("v.c").cast("int").alias("cluster_id"), F.lit(True).alias("ok"), F.lit(1).alias("shard_id"))
 
 
-_SCATTER = f"(SELECT h.file_id, h.hit_row, CAST(coalesce(v[1], -1) AS FLOAT) AS t0, coalesce(v[2], CAST(-1 AS SMALLINT)) AS cluster_id FROM (SELECT DISTINCT file_id, hit_row FROM hits WHERE hit_row IS NOT NULL) h LEFT JOIN {_SH} s ON s.file_id = h.file_id AND s.hit_row = h.hit_row)"
+_SCATTER = f"(SELECT h.file_id, h.hit_row, CAST(CASE WHEN v.t >= 0 THEN v.t ELSE -1 END AS FLOAT) AS t0, CAST(coalesce(v.c, -1) AS SMALLINT) AS cluster_id FROM (SELECT DISTINCT file_id, hit_row FROM hits WHERE hit_row IS NOT NULL) h LEFT JOIN {_SH} s ON s.file_id = h.file_id AND s.hit_row = h.hit_row)"
 
 
-@query("scatter")
+@query("scatter", f"SELECT * FROM {_SCATTER}")
 def scatter(spark, d):
     return sinks.scatter(table(spark, d, "hits").where("hit_row IS NOT NULL"), shards(spark, d), ["file_id"])
 
@@ -447,7 +447,11 @@ def file_summary(spark, d):
     return s.select("file_id", "n_calib_hits", "n_assigned", "n_unassigned", F.size("all_event_ids").cast("bigint").alias("n_events"))
 
 
-@query("final_from_prompt")
+@query(
+    "final_from_prompt",
+    f"""SELECT r.file_id, r.final_row, r.prompt_row, coalesce(s.t0, CAST(-1 AS FLOAT)) AS t0, coalesce(s.cluster_id, CAST(-1 AS SMALLINT)) AS cluster_id
+FROM (SELECT DISTINCT file_id, ref_id AS final_row, hit_row AS prompt_row FROM event_hits WHERE hit_row IS NOT NULL AND file_id IS NOT NULL) r LEFT JOIN {_SCATTER} s ON s.file_id = r.file_id AND s.hit_row = r.prompt_row""",
+)
 def final_from_prompt(spark, d):
     fp = table(spark, d, "event_hits").where("hit_row IS NOT NULL AND file_id IS NOT NULL").select("file_id", F.col("ref_id").alias("final_row"), F.col("hit_row").alias("prompt_row")).distinct()
     return sinks.final_from_prompt(fp, scatter(spark, d), ["file_id"])

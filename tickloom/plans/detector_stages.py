@@ -32,9 +32,9 @@ _SHIFT = f"""(SELECT c.light_id, c.tpc, g.s0 AS t0, c.a, coalesce(p.m, 0) AS p,
   LEFT JOIN {_CELL} p ON p.light_id = c.light_id AND p.tpc = c.tpc AND p.channel = c.channel AND p.tick = c.tick - g.s0)"""
 
 
-@query("scan_unit", f"SELECT light_id, tpc, CAST(arg_min(t0, (round(v, 9), t0)) AS INTEGER) AS t0, round(min(v), 4) AS score FROM (SELECT light_id, tpc, t0, avg((a - p) ** 2) AS v FROM {_SHIFT} GROUP BY 1, 2, 3) GROUP BY 1, 2")
+@query("scan_unit", f"SELECT light_id, tpc, CAST(arg_min(t0, (round(v, 9), t0)) AS INTEGER) AS t0, round(sqrt(min(v)), 5) AS rms FROM (SELECT light_id, tpc, t0, avg((a - p) ** 2) AS v FROM {_SHIFT} GROUP BY 1, 2, 3) GROUP BY 1, 2")
 def scan_unit(spark, d):
-    return scans.scan_unit(images(spark, d), ["light_id", "tpc"], SEARCH).withColumn("score", F.round("score", 4))
+    return scans.scan_unit(images(spark, d), ["light_id", "tpc"], SEARCH).select("light_id", "tpc", "t0", F.round(F.sqrt("score"), 5).alias("rms"))
 
 
 @query("scan_chi2", f"SELECT light_id, tpc, CAST(arg_min(t0, (round(v, 9), t0)) AS INTEGER) AS t0, round(min(v), 3) AS score FROM (SELECT light_id, tpc, t0, sum((least(p, 60780) - a) ** 2 / greatest(s, 1e-6)) AS v FROM {_SHIFT} GROUP BY 1, 2, 3) GROUP BY 1, 2")

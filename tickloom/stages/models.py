@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.scans import matrix
+
 
 class LightModel(Protocol):
     channels: int
@@ -94,7 +96,7 @@ def predict_batches(samples: DataFrame, column: str, make: Callable[[], Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for b in batches:
-            got = f(np.array(b.column(names.index(column)).to_pylist(), dtype=float)) if b.num_rows else np.zeros((0, 0))
+            got = f(matrix(b.column(names.index(column)))) if b.num_rows else np.zeros((0, 0))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([list(map(float, r)) for r in got], pa.list_(pa.float64()))], names=[*names, out])
 
     return samples.mapInArrow(run, f"{kinds}, `{out}` array<double>")
