@@ -8,9 +8,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 @pytest.fixture(scope="session")
 def spark():
-    from tickloom.session import local_session
+    from tickloom.session import local_session, ship_package
 
     s = local_session(4)
     s.sparkContext.setLogLevel("ERROR")
     s.conf.set("spark.sql.shuffle.partitions", "4")
+    ship_package(s)
     return s

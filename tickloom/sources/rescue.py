@@ -139,8 +139,8 @@ def field_changes(records: DataFrame, payload: str = "payload") -> DataFrame:
 
     A file has a field when any of its records has it, JSON null included. Its type is the
     commonest of its values (ties in the order of TYPES); a field that is null throughout keeps the
-    type it had before. ``added`` and ``removed`` fields of one file that carry the same quantity
-    are one ``renamed`` field. A file whose records hold no field at all (empty, broken or no
+    type it had before, and the quantity it showed before or, failing that, shows later. ``added`` and
+    ``removed`` fields of one file that carry the same quantity are one ``renamed`` field. A file whose records hold no field at all (empty, broken or no
     objects) still counts as a file. Records without ``file_no`` belong to no file. The first file
     of a campaign has no changes.
     """
@@ -153,8 +153,13 @@ def field_changes(records: DataFrame, payload: str = "payload") -> DataFrame:
     profile = profile.where("field IS NOT NULL")
     common = F.greatest(*[F.col(t) for t in TYPES])
     kind = F.when(common > 0, F.coalesce(*[F.when(F.col(t) == common, t) for t in TYPES]))
-    past = Window.partitionBy("dataset", "campaign", "field").orderBy("file_no").rowsBetween(Window.unboundedPreceding, 0)
-    profile = profile.withColumn("kind", F.last(kind, ignorenulls=True).over(past)).join(files, FILE)
+    along = Window.partitionBy("dataset", "campaign", "field").orderBy("file_no")
+    past, ahead = along.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(1, Window.unboundedFollowing)
+    # a field that is null throughout shows its quantity in the files before, or else after
+    stats = [c for c in profile.columns if c not in (*FILE, "field")]
+    shown = F.when(F.col("n_num") + F.col("n_bool") + F.col("n_word") > 0, F.struct(*stats))
+    profile = profile.withColumns({"kind": F.last(kind, ignorenulls=True).over(past), "_s": F.coalesce(F.last(shown, ignorenulls=True).over(past), F.first(shown, ignorenulls=True).over(ahead), F.struct(*stats))})
+    profile = profile.select(*FILE, "field", "kind", "_s.*").join(files, FILE)
     here = profile.where("prev_no IS NOT NULL").drop("next_no").withColumn("at_no", F.col("file_no"))
     # the fields of a file, as the file after it sees them
     there = profile.where("next_no IS NOT NULL").drop("prev_no").withColumn("at_no", F.col("next_no"))
