@@ -1,8 +1,8 @@
-"""Building blocks against skew: size-checked broadcasts, sliced ranks, salted groups."""
+"""Building blocks against skew: size-checked broadcasts, ranks in slices, joins on NULLs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a side counts as small enough to broadcast once it has been counted.
@@ -49,9 +49,3 @@ def sliced_rank(df: DataFrame, by: list[str], order: list[str], slices: int | No
         "_in", F.row_number().over(Window.partitionBy(*by, "_slice").orderBy(*order)).cast("long") - 1
     )
     return join_null_safe(left, offsets, by, ["_slice"]).select(*df.columns, (F.col("_in") + F.col("_before")).alias(name))
-
-
-def salt_of(rows: Column | int, per_group: int) -> Column:
-    """Number of salts that a group of ``rows`` rows is cut into."""
-    r = rows if isinstance(rows, Column) else F.lit(rows)
-    return F.greatest(F.lit(1), F.ceil(r / F.lit(per_group))).cast("int")

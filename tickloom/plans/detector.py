@@ -11,9 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions import arrays as A
 from tickloom.operators import flash as fl
-from tickloom.operators import gaps, geometry, light, metrics, spatial, support, truth
+from tickloom.operators import gaps, geometry, metrics, truth
 from tickloom.operators.geometry import ND, TWO
 from tickloom.session import table
 from tickloom.sources import sinks, tables

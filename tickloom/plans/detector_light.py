@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import arrays as A
-from tickloom.operators import components, geometry, light, metrics, spatial, support, truth
-from tickloom.operators import gaps
+from tickloom.operators import components, gaps, geometry, light, metrics, spatial, support, truth
 from tickloom.plans.detector import _LOADED, QUERIES, SQL, loaded, query
 from tickloom.session import table
 from tickloom.sources import sinks, tables
