@@ -80,11 +80,33 @@ def reference_time_ns(events: DataFrame, light: DataFrame, refs: DataFrame) -> D
 def event_of_range(ranges: DataFrame, regions: DataFrame, cell: int = 4096) -> DataFrame:
     """``probe_id, event_row`` of the region that holds [lo, hi]: start <= lo and hi < stop.
 
-    Regions are cut into cells of row numbers, so that the range join is an equi-join.
+    Of the regions that cover a cell of row numbers whole only the smallest ``event_row`` matters to
+    ranges within that cell; exact checks are made in the two border cells of a region. Whole cells
+    are kept as blocks of 2^level cells, a few for each region however wide it is.
     """
-    cells = regions.where("stop > start").withColumn("_c", F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor((F.col("stop") - 1) / cell))))
-    probes = ranges.withColumn("_c", F.floor(F.col("lo") / cell))
-    return probes.join(cells, "_c").where("start <= lo AND hi < stop").groupBy("probe_id").agg(F.min("event_row").alias("event_row"))
+    at = lambda c: F.floor(c / cell)
+    r = regions.where("stop > start").select("event_row", "start", "stop", F.ceil(F.col("start") / cell).alias("_a"), at(F.col("stop")).alias("_b"))
+    borders = F.array_distinct(F.array(F.when(F.col("start") < F.col("_a") * cell, at(F.col("start"))), F.when(F.col("stop") > F.col("_b") * cell, F.col("_b"))))
+    border = r.select("event_row", "start", "stop", F.explode(F.array_compact(borders)).alias("_c"))
+    levels = r.where("_a < _b").withColumn("_l", F.explode(F.sequence(F.lit(0), F.ceil(F.log2(F.col("_b") - F.col("_a"))).cast("int"))))
+    levels = levels.selectExpr("event_row", "start", "stop", "_l", "-shiftright(-_a, _l) AS _x", "shiftright(_b, _l) AS _y").where("_x < _y")
+    blocks = levels.selectExpr("event_row", "start", "stop", "_l", "explode(array_compact(array(if(_x & 1 = 1, _x, NULL), if(_y & 1 = 1, _y - 1, NULL)))) AS _c")
+    probes = ranges.select("probe_id", "lo", "hi", at(F.col("lo")).alias("_c"), (at(F.col("hi")) == at(F.col("lo"))).alias("_in"))
+
+    def above(df: DataFrame) -> DataFrame:
+        """Each cell under all the blocks that hold it: row numbers have 63 bits at most."""
+        return df.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(62)))).withColumn("_k", F.expr("shiftright(_c, _l)"))
+
+    inside = probes.where("_in")
+    least = blocks.groupBy("_l", F.col("_c").alias("_k")).agg(F.min("event_row").alias("event_row"))
+    whole = above(inside.select("_c").distinct()).join(least, ["_l", "_k"]).groupBy("_c").agg(F.min("event_row").alias("event_row"))
+    cover = border.withColumn("_l", F.lit(0)).unionByName(blocks).withColumnRenamed("_c", "_k")
+    found = [
+        inside.join(border, "_c").where("start <= lo AND hi < stop").select("probe_id", "event_row"),
+        inside.join(whole, "_c").select("probe_id", "event_row"),
+        above(probes.where("NOT _in")).join(cover, ["_l", "_k"]).where("start <= lo AND hi < stop").select("probe_id", "event_row"),
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2]).groupBy("probe_id").agg(F.min("event_row").alias("event_row"))
 
 
 def rows_by_index(index: DataFrame, rows: DataFrame, key: str, position: str) -> DataFrame:

@@ -110,7 +110,7 @@ def rows_by_index(spark, d):
   JOIN (SELECT event_id, min(hit_row) AS a, max(hit_row) + 1 AS b FROM event_hits WHERE hit_row > 0 AND event_id > 0 GROUP BY 1) g ON g.a <= p.hit_row AND p.hit_row < g.b AND g.b - g.a <= 5000 GROUP BY 1""",
 )
 def event_of_range(spark, d):
-    regions = table(spark, d, "event_hits").where("hit_row > 0 AND event_id > 0").groupBy(F.col("event_id").alias("event_row")).agg(F.min("hit_row").alias("start"), (F.max("hit_row") + 1).alias("stop")).where("stop - start <= 5000")
+    regions = table(spark, d, "event_hits").where("hit_row > 0 AND event_id > 0").groupBy(F.col("event_id").alias("event_row")).agg(F.min("hit_row").alias("start"), (F.max("hit_row") + 1).alias("stop"))
     probes = table(spark, d, "hits").where("hit_row IS NOT NULL").select(F.col("hit_row").alias("probe_id")).distinct().select("probe_id", F.col("probe_id").alias("lo"), F.col("probe_id").alias("hi"))
     return truth.event_of_range(probes, regions)
 
