@@ -1,9 +1,12 @@
 """Registered queries and operators do their whole job: cases that were cut before."""
 
+import json
+
 import numpy as np
 
 from tickloom.operators import truth
 from tickloom.plans import detector
+from tickloom.sources import rescue
 
 
 def write(spark, folder, **tables):
@@ -36,3 +39,16 @@ def test_event_of_range_against_brute_force(spark):
     for i, lo, hi in probes:
         want = brute_event(lo, hi, [r for r in regions if r[1] < r[2] and lo // 8 <= (r[2] - 1) // 8])
         assert got.get(i) == want, (i, lo, hi)
+
+
+def test_what_a_column_does_not_take_is_rescued(spark):
+    payloads = [
+        {"id": {"v": 1, "src": "cal"}, "y": [2.5, 3.5], "l": [1, "a"]},
+        {"id": {"v": 2}, "y": [2.5], "l": [1, None], "gain": {"v": 4, "src": "cal"}},
+        {"id": 3, "y": [], "l": ["1.5"], "gain": {"v": 5}},
+    ]
+    raw = spark.createDataFrame([(i, "h", "c", 1, json.dumps(p)) for i, p in enumerate(payloads)], "raw_id long, dataset string, campaign string, file_no int, payload string")
+    changes = spark.createDataFrame([], "dataset string, campaign string, file_no long, change string, field_old string, field_new string")
+    out = rescue.promote(rescue.conform(raw, {"id": "bigint", "y": "double", "l": "array<double>"}, changes), {"gain": "double"}).orderBy("raw_id").collect()
+    assert [(r.id, r.y, r.gain) for r in out] == [(1, 2.5, None), (2, 2.5, 4.0), (3, None, 5.0)]
+    assert [{k: json.loads(v) for k, v in (r._rescued or {}).items()} for r in out] == [payloads[0], {"gain": payloads[1]["gain"]}, {"y": []}]

@@ -210,13 +210,22 @@ def _typed(v: Column, kind: str) -> Column:
     return let(let(F.struct(v.alias("v"), _type(v).alias("k")), lambda b: _inner(b["v"], b["k"])), cast)
 
 
+def _whole(v: Column, typed: Column, kind: str) -> Column:
+    """Whether ``typed`` holds all of ``v``: a scalar, an array of exactly one, an object with nothing but ``v``; of a typed array, each element."""
+    items = F.try_variant_get(v, "$", "array<variant>")
+    if kind.startswith("array"):
+        return F.size(F.filter(items, lambda x: x.isNotNull() & ~F.is_variant_null(x))) == F.size(F.filter(typed, lambda x: x.isNotNull()))
+    return F.coalesce(F.size(F.try_variant_get(v, "$", "map<string,variant>")), F.size(items), F.lit(1)) == 1
+
+
 def conform(records: DataFrame, target: dict[str, str], changes: DataFrame, payload: str = "payload") -> DataFrame:
     """One row per record: the columns of ``records`` but the payload, those of ``target``, and ``_rescued``.
 
     ``target`` maps first names of fields to types. A value is found under the name that its field
-    bears in the record's file, taken out of an array of one or an object's ``v``, and cast; what
-    no column takes (unknown fields, values that can't be cast) is kept in ``_rescued``, a map from
-    the name in the file to JSON (NULL when empty). JSON nulls and missing fields are NULL. A
+    bears in the record's file, taken out of an array's first element or an object's ``v``, and cast;
+    what no column takes (unknown fields, values that can't be cast, values of which more than the
+    column holds was written, these whole) is kept in ``_rescued``, a map from the name in the file to
+    JSON (NULL when empty). JSON nulls and missing fields are NULL. A
     payload that is no JSON object gives NULL columns and is rescued whole under the name ''.
     """
     names = first_names(changes)
@@ -229,12 +238,12 @@ def conform(records: DataFrame, target: dict[str, str], changes: DataFrame, payl
     )
     keep = [c for c in records.columns if c != payload and c not in target]
     rows = records.join(broadcast_if_small(of_file), FILE, "left").withColumn("_m", F.from_json(payload, "map<string,variant>"))
-    # each value is found, then typed, once; what was typed, or holds nothing, needs no rescue
+    # each value is found, then typed, once; what was typed whole, or holds nothing, needs no rescue
     here = {f: F.coalesce(F.element_at("names", F.lit(f)), F.lit(f)) for f in target}
     rows = rows.select(*keep, F.col(payload).alias("_p"), "_m", *[here[f].alias(f"_n{i}") for i, f in enumerate(target)])
     rows = rows.select("*", *[F.element_at("_m", F.col(f"_n{i}")).alias(f"_v{i}") for i in range(len(target))])
     rows = rows.select("*", *[_typed(F.col(f"_v{i}"), kind).alias(f"_t{i}") for i, kind in enumerate(target.values())])
-    used = F.array_compact(F.array(*[F.when(F.col(f"_t{i}").isNotNull() | F.is_variant_null(f"_v{i}"), F.col(f"_n{i}")) for i in range(len(target))]))
+    used = F.array_compact(F.array(*[F.when(F.col(f"_t{i}").isNotNull() & _whole(F.col(f"_v{i}"), F.col(f"_t{i}"), kind) | F.is_variant_null(f"_v{i}"), F.col(f"_n{i}")) for i, kind in enumerate(target.values())]))
     rest = let(used, lambda u: F.map_filter("_m", lambda k, _: ~F.array_contains(u, k)))
     rescued = F.when(F.col("_m").isNull() & F.col("_p").isNotNull(), F.create_map(F.lit(""), F.col("_p"))).otherwise(
         let(rest, lambda r: F.when(F.size(r) > 0, F.transform_values(r, lambda _, v: F.to_json(v))))
@@ -245,12 +254,13 @@ def conform(records: DataFrame, target: dict[str, str], changes: DataFrame, payl
 def promote(table: DataFrame, approved: dict[str, str], rescued: str = "_rescued") -> DataFrame:
     """Rescued values of the ``approved`` fields replayed into typed columns; the rest stays rescued.
 
-    Values that still can't be cast stay rescued. A field that nobody wrote gives a NULL column.
+    Values that still can't be cast stay rescued, as do those of which the column holds a part only. A field that nobody wrote gives a NULL column.
     """
 
     def replay(t: DataFrame, field: str, kind: str) -> DataFrame:
-        got = _typed(F.try_parse_json(F.element_at(rescued, F.lit(field))), kind)
-        left = F.map_filter(rescued, lambda k, _: (k != field) | got.isNull())
+        value = F.try_parse_json(F.element_at(rescued, F.lit(field)))
+        got = _typed(value, kind)
+        left = F.map_filter(rescued, lambda k, _: (k != field) | got.isNull() | ~_whole(value, got, kind))
         return t.withColumns({field: got, rescued: F.when(F.size(left) > 0, left)})
 
     for field, kind in approved.items():
