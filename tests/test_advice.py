@@ -3,10 +3,12 @@
 import json
 
 import numpy as np
+import pytest
 
 from tickloom.operators import truth
-from tickloom.plans import detector
+from tickloom.plans import detector, detector_stages
 from tickloom.sources import rescue
+from tickloom.stages import models, pipeline
 
 
 def write(spark, folder, **tables):
@@ -52,3 +54,25 @@ def test_what_a_column_does_not_take_is_rescued(spark):
     out = rescue.promote(rescue.conform(raw, {"id": "bigint", "y": "double", "l": "array<double>"}, changes), {"gain": "double"}).orderBy("raw_id").collect()
     assert [(r.id, r.y, r.gain) for r in out] == [(1, 2.5, None), (2, 2.5, 4.0), (3, None, 5.0)]
     assert [{k: json.loads(v) for k, v in (r._rescued or {}).items()} for r in out] == [payloads[0], {"gain": payloads[1]["gain"]}, {"y": []}]
+
+
+def test_tracks_are_drawn_as_often_as_in_the_reference(monkeypatch):
+    seen = []
+
+    def stop(*_, iters, **__):
+        seen.append(iters)
+        raise StopIteration
+
+    monkeypatch.setattr(pipeline.L, "labels_2x2", stop)
+    monkeypatch.setattr(pipeline.L, "labels_nd", stop)
+    monkeypatch.setattr(pipeline, "match", lambda hits, light, o, make: options.append(o))
+    monkeypatch.setattr(pipeline, "status", lambda result: result)
+    for name in ("hits_in_tpcs", "event_light"):
+        monkeypatch.setattr(detector_stages, name, lambda spark, d: None)
+    options = [pipeline.Options("2x2"), pipeline.Options("nd")]
+    detector_stages.match_2x2(None, "")
+    detector_stages.match_nd(None, "")
+    for o in options:
+        with pytest.raises(StopIteration):
+            pipeline.run_event(np.zeros((2, 3)), np.ones(2), np.zeros(2, int), {0: np.zeros((12, 120))}, {0: np.ones((12, 120))}, {}, models.LinearLight(12, 120, 20), o)
+    assert seen == [1200, 800, 1200, 800]

@@ -114,14 +114,14 @@ def event_light(spark, d) -> DataFrame:
 
 @query("match_2x2")
 def match_2x2(spark, d):
-    o = pipeline.Options("2x2", grow=True, colocate=True, rescue=True, expand=True, iters=60, rules=RULES, eps=30.0, reach=8.0)
+    o = pipeline.Options("2x2", grow=True, colocate=True, rescue=True, expand=True, iters=1200, rules=RULES, eps=30.0, reach=8.0)
     return pipeline.match(hits_in_tpcs(spark, d), event_light(spark, d), o, lambda: models.LinearLight(6, TICKS, PEAK))
 
 
 @query("match_nd")
 def match_nd(spark, d):
     rules = M.rules_of("nd", search=SEARCH, peak=PEAK, resolution=2.0, separation=1.0, half_window=4, overflow_adc=50.0, model_adc=50.0, least_channels=3, gate_channels=1)
-    o = pipeline.Options("nd", rescue=True, absorb=True, expand=True, iters=60, rules=rules, eps=30.0, reach=8.0)
+    o = pipeline.Options("nd", rescue=True, absorb=True, expand=True, iters=800, rules=rules, eps=30.0, reach=8.0)
     return pipeline.status(pipeline.match(hits_in_tpcs(spark, d), event_light(spark, d), o, lambda: models.LinearLight(6, TICKS, PEAK)))
 
 
