@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tickloom.operators import truth
-from tickloom.plans import detector, detector_stages
+from tickloom.plans import detector, detector_light, detector_stages
 from tickloom.sources import rescue
 from tickloom.stages import models, pipeline
 
@@ -76,3 +76,28 @@ def test_tracks_are_drawn_as_often_as_in_the_reference(monkeypatch):
         with pytest.raises(StopIteration):
             pipeline.run_event(np.zeros((2, 3)), np.ones(2), np.zeros(2, int), {0: np.zeros((12, 120))}, {0: np.ones((12, 120))}, {}, models.LinearLight(12, 120, 20), o)
     assert seen == [1200, 800, 1200, 800]
+
+
+def test_every_assigned_hit_is_scattered(spark, tmp_path):
+    d = write(
+        spark, tmp_path,
+        hits=([(1, i, i + 10, i) for i in range(6)], "file_id long, hit_row long, t_0 short, t_cluster_id short"),
+        charge_events=([(1, 1)], "file_id long, event_id long"),
+        event_hits=([(1, i + 50, i) for i in range(6)], "file_id long, ref_id long, hit_row long"),
+    )
+    assert {r.hit_row: (r.t0, r.cluster_id) for r in detector_light.scatter(spark, d).collect()} == {i: (i + 10, i) for i in range(6)}
+    assert [(r.n_assigned, r.n_unassigned) for r in detector_light.file_summary(spark, d).collect()] == [(6, 0)]
+    assert {r.final_row: r.t0 for r in detector_light.final_from_prompt(spark, d).collect()} == {i + 50: i + 10 for i in range(6)}
+
+
+def test_training_samples_use_the_mask_of_the_own_file(spark, tmp_path, monkeypatch):
+    wave = [100.0] * detector_light.TICKS
+    d = write(
+        spark, tmp_path,
+        wvfm=([(i, i, f, 0, 5, wave) for i, f in ((1, 1), (2, 2), (3, 3))], "wvfm_row long, light_id long, file_id long, adc int, ch int, samples array<float>"),
+        channel_mask=([(2, 0, 5, True), (3, 0, 5, None), (1, 0, 5, False)], "file_id long, adc int, ch int, dead boolean"),
+    )
+    hits = spark.createDataFrame([(i, 0, 1.0, 1.0, 1.0, 1.0) for i in (1, 2, 3)], "light_id long, hit_tpc_id int, x double, y double, z double, e double")
+    monkeypatch.setattr(detector_light, "loaded", lambda spark, d: hits)
+    monkeypatch.setattr(detector_light, "BOX", {c: (-1000.0, 1000.0, 5) for c in "xyz"})
+    assert {r.light_id: r.targets for r in detector_light.training_samples(spark, d).collect()} == {1: [100.0], 2: [-10000.0], 3: [100.0]}

@@ -422,7 +422,7 @@ _SH = "(SELECT file_id, hit_row, arg_max({'t': t_0, 'c': t_cluster_id}, (greates
 
 
 def shards(spark, d) -> DataFrame:
-    h = table(spark, d, "hits").where("hit_row % 3 <> 0 AND hit_row IS NOT NULL").groupBy("file_id", "hit_row").agg(F.max(F.struct(F.when(F.col("t_0") >= 0, F.col("t_0")).alias("t"), F.col("t_cluster_id").alias("c"))).alias("v"))
+    h = table(spark, d, "hits").where("hit_row IS NOT NULL").groupBy("file_id", "hit_row").agg(F.max(F.struct(F.when(F.col("t_0") >= 0, F.col("t_0")).alias("t"), F.col("t_cluster_id").alias("c"))).alias("v"))
     return h.select("file_id", "hit_row", F.col("v.t").cast("double").alias("t0"), F.col("v.c").cast("int").alias("cluster_id"), F.lit(True).alias("ok"), F.lit(1).alias("shard_id"))
 
 
@@ -465,8 +465,10 @@ def overflow_counts(spark, d):
 def training_samples(spark, d):
     w = waveforms(spark, d)
     lut = w.select("adc", "ch").distinct().withColumn("channel", (F.row_number().over(Window.partitionBy("adc").orderBy("ch")) - 1).cast("int"))
+    # a waveform's channel is dead where the mask of its own file says so
+    w = w.join(table(spark, d, "wvfm").select("wvfm_row", "file_id").distinct(), "wvfm_row")
     h = loaded(spark, d).withColumn("tpc", F.col("hit_tpc_id") % 8)
     l = w.join(lut, ["adc", "ch"]).withColumn("tpc", F.col("adc"))
     pairs = h.select("light_id", "tpc").distinct()
-    dead = table(spark, d, "channel_mask").where("dead AND file_id = 1")
-    return tables.training_samples(pairs, h, l, BOX, ["light_id", "tpc"], dead)
+    dead = table(spark, d, "channel_mask").where("dead")
+    return tables.training_samples(pairs, h, l, BOX, ["light_id", "tpc"], dead, mask_by=["file_id", "adc", "ch"])

@@ -147,18 +147,18 @@ def missing_assets(assets: dict[str, list[str]]) -> list[str]:
 
 
 # ---------------------------------------------------------------- training samples
-def training_samples(pairs: DataFrame, hits: DataFrame, light: DataFrame, box: dict, by: list[str], dead: DataFrame | None = None, dead_value: float = -10000.0) -> DataFrame:
+def training_samples(pairs: DataFrame, hits: DataFrame, light: DataFrame, box: dict, by: list[str], dead: DataFrame | None = None, dead_value: float = -10000.0, mask_by: tuple[str, ...] | list[str] = ("adc", "ch")) -> DataFrame:
     """``by, voxels, targets``: sparse voxel energies and peak light per channel of (event, TPC) pairs.
 
     ``voxels`` are sorted structs (vox, energy); ``targets`` are the channels' largest samples in
-    channel order, ``dead_value`` on dead channels. Pairs without hits or light drop out.
+    channel order, ``dead_value`` on dead channels: those that ``dead`` names by ``mask_by``. Pairs without hits or light drop out.
     """
     from tickloom.operators.geometry import voxelize
 
     vox = voxelize(hits.join(pairs.select(*by).distinct(), by, "left_semi"), by, box).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("vox", "energy"))).alias("voxels"))
-    l = light.join(pairs.select(*by).distinct(), by, "left_semi").select(*by, "adc", "ch", "channel", F.array_max("samples").cast("double").alias("_p"))
+    l = light.join(pairs.select(*by).distinct(), by, "left_semi").select(*dict.fromkeys([*by, *mask_by]), "channel", F.array_max("samples").cast("double").alias("_p"))
     if dead is not None:
-        l = l.join(dead.select("adc", "ch").distinct().withColumn("_d", F.lit(True)), ["adc", "ch"], "left").withColumn("_p", F.when(F.col("_d"), F.lit(dead_value)).otherwise(F.col("_p")))
+        l = l.join(dead.select(*mask_by).distinct().withColumn("_d", F.lit(True)), list(mask_by), "left").withColumn("_p", F.when(F.col("_d"), F.lit(dead_value)).otherwise(F.col("_p")))
     targets = l.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("channel", "_p"))), lambda s: s["_p"]).alias("targets"))
     return vox.join(targets, by)
 
