@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tickloom.operators import truth
-from tickloom.plans import detector, detector_light, detector_stages
+from tickloom.plans import detector, detector_light, detector_stages, problems
 from tickloom.sources import rescue
 from tickloom.stages import models, pipeline
 
@@ -101,3 +101,13 @@ def test_training_samples_use_the_mask_of_the_own_file(spark, tmp_path, monkeypa
     monkeypatch.setattr(detector_light, "loaded", lambda spark, d: hits)
     monkeypatch.setattr(detector_light, "BOX", {c: (-1000.0, 1000.0, 5) for c in "xyz"})
     assert {r.light_id: r.targets for r in detector_light.training_samples(spark, d).collect()} == {1: [100.0], 2: [-10000.0], 3: [100.0]}
+
+
+def test_tpcs_count_hits_without_references_and_each_once(spark, tmp_path):
+    hits = [(1, 0, 1.0, 1), (1, 0, 2.0, 2), (2, 0, 4.0, 1), (3, 1, 8.0, 1), (4, 1, float("nan"), 1), (None, 2, 1.0, 1), (None, 2, 1.5, 1)]
+    d = write(
+        spark, tmp_path,
+        hits=(hits, "hit_row long, hit_tpc_id int, e double, ingest_ts long"),
+        event_hits=([(1, 1), (1, 2), (1, 3), (None, 1)], "hit_row long, event_id long"),
+    )
+    assert {r.hit_tpc_id: (r.n_hits, r.energy, r.n_refs) for r in problems.p4_tpc_hits(spark, d).collect()} == {0: (2, 6.0, 3), 1: (2, 8.0, 0), 2: (2, 2.5, 0)}

@@ -124,6 +124,18 @@ def p4_tpcs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("p4_tpc_hits")
+def p4_tpc_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Hits and energy of each TPC over all its hits, each hit once; ``n_refs`` counts the references to them."""
+    e = F.when(~F.isnan("e"), F.col("e")).cast(_E)
+    # versions of a hit count once, with the latest energy; rows without a number are hits of their own
+    h = table(spark, d, "hits").groupBy("hit_row", "hit_tpc_id").agg(F.max_by(e, F.struct("ingest_ts", e)).alias("e"), F.sum(e).alias("s"), F.count(F.lit(1)).alias("m"))
+    h = h.withColumns({"e": F.when(F.col("hit_row").isNull(), F.col("s")).otherwise(F.col("e")), "m": F.when(F.col("hit_row").isNull(), F.col("m")).otherwise(1)})
+    r = table(spark, d, "event_hits").where("hit_row IS NOT NULL").groupBy("hit_row").agg(F.count(F.lit(1)).alias("n"))
+    t = h.join(r, "hit_row", "left").groupBy("hit_tpc_id")
+    return t.agg(F.sum("m").alias("n_hits"), F.sum("e").cast("double").alias("energy"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_refs"))
+
+
 # ---------------------------------------------------------------- 5 drifting schemas
 @query("p5_found")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
