@@ -113,14 +113,16 @@ def quiet(rng, n=48, level=3000, sigma=10):
 
 def test_features_of_known_shapes():
     rng = np.random.default_rng(0)
-    flat, spike, dip, pulse, stuck = quiet(rng), quiet(rng), quiet(rng), quiet(rng), quiet(rng)
+    flat, spike, dip, pulse, stuck, both = (quiet(rng) for _ in range(6))
     spike[20:22] += 600
     dip[2:5] -= 400
     pulse[15:] += 4000 * np.exp(-np.arange(33) / 15)
     stuck[5:25] = 2950
-    spread, noise, level, peak = waveform_features(np.stack([flat, spike, dip, pulse, stuck, np.full(48, 5.0)]), SpikeRules())
-    assert not peak[0] > 150 and peak[1] > 400 and peak[2] > 250 and not peak[3] > 150
-    assert level[4] == 2950 and level[5] == 5.0 and np.isnan(level[:4]).all()
+    both[30:32] += [700, -450]  # swings to both sides
+    spread, low, high, level, peak = waveform_features(np.stack([flat, spike, dip, pulse, stuck, np.full(48, 5.0), both]), SpikeRules())
+    noise = (high - low) / 1.908
+    assert not peak[0] > 150 and peak[1] > 400 and peak[2] < -250 and not abs(peak[3]) > 150 and 600 < peak[6] < 800
+    assert level[4] == 2950 and level[5] == 5.0 and np.isnan(level[[0, 1, 2, 3, 6]]).all()
     assert np.isnan(noise[5]) and 5 < noise[0] < 18 and spread[5] == 0
 
 
@@ -128,30 +130,48 @@ def test_faulty_waveforms_masks_and_settings(spark):
     rng = np.random.default_rng(1)
     rows = []
     for i in range(60):
-        rows.append((i, 1, 0, 1 + i % 2, quiet(rng).tolist()))
+        rows.append((i, 1, 0, 1 + i % 2, quiet(rng).tolist(), i % 6))
     rows[0][4][10] = float("nan")
     rows[1][4][10] = 70000.0
-    rows[2] = (2, 1, 0, 1, [2000.0] * 48)
+    rows[2] = (2, 1, 0, 1, [2000.0] * 48, None)
     rows[3][4][20] += 900
-    rows[4] = (4, 1, 0, 1, None)
-    rows[5] = (5, 1, 0, 1, [])
-    rows[6] = (6, 1, 0, 1, [60000.0] * 30 + [2000.0] * 2)  # held at the rail
-    rows[7] = (7, 1, 0, 1, [3000.0, 3001.0])
-    rows += [(100 + i, 2, 0, 1, [2500.0] * 48) for i in range(3)]  # dead, not marked
-    rows += [(200 + i, 3, 0, 1, quiet(rng).tolist()) for i in range(3)]  # alive, marked
-    rows += [(300 + i, 4, 0, 1, [2500.0] * 48) for i in range(3)]  # dead and marked
-    rows += [rows[2], (400, 5, None, None, [1.0, -5.0])]
-    w = spark.createDataFrame(rows, "wvfm_row long, file_id long, adc int, ch int, samples array<float>").withColumn("dead", F.lit("?"))
+    rows[4] = (4, 1, 0, 1, None, 1)
+    rows[5] = (5, 1, 0, 1, [], 1)
+    rows[6] = (6, 1, 0, 1, [60000.0] * 30 + [2000.0] * 2, 1)  # held at the rail
+    rows[7] = (7, 1, 0, 1, [3000.0, 3001.0], 99)
+    rows += [(100 + i, 2, 0, 1, [2500.0] * 48, 2) for i in range(3)]  # dead, not marked
+    rows += [(200 + i, 3, 0, 1, quiet(rng).tolist(), 3) for i in range(3)]  # alive, marked
+    rows += [(300 + i, 4, 0, 1, [2500.0] * 48, 2) for i in range(3)]  # dead and marked
+    rows += [rows[2], (400, 5, None, None, [1.0, -5.0], 3)]
+    w = spark.createDataFrame(rows, "wvfm_row long, file_id long, adc int, ch int, samples array<float>, light_id long").withColumn("dead", F.lit("?"))
     m = spark.createDataFrame([(1, 1, 0, 1, None), (2, 2, 0, 1, False), (3, 3, 0, 1, True), (4, 4, 0, 1, True), (5, 4, 0, 2, True)], "mask_row long, file_id long, adc int, ch int, dead boolean")
     c = spark.createDataFrame([(i, i, 0, 59990.0 + i) for i in range(20)] + [(50, 1, 0, 61000.0), (51, 1, 0, float("inf")), (52, 1, 0, None), (53, 1, 0, float("nan"))], "set_row long, file_id long, adc int, saturation_clip_threshold double")
-    got = {(r.tbl, r.row_id): r.reason for r in faulty_waveforms(w, m, c).collect()}
+    hours = [(i, [1.7e12 + 3.6e6 * i]) for i in range(5)] + [(5, None), (4, []), (3, [float("nan")]), (None, [1.0])]
+    l = spark.createDataFrame(hours, "light_id long, utime_ms array<double>")
+    got = {(r.tbl, r.row_id): r.reason for r in faulty_waveforms(w, m, c, l).collect()}
     assert got == {
         ("wvfm", 0): "impossible", ("wvfm", 1): "impossible", ("wvfm", 2): "stuck", ("wvfm", 3): "spike", ("wvfm", 400): "impossible",
         **{("wvfm", 100 + i): "stuck" for i in range(3)},
         ("channel_mask", 2): "unmarked", ("channel_mask", 3): "alive",
         ("clip_settings", 50): "setting", ("clip_settings", 51): "setting", ("clip_settings", 53): "setting",
     }
-    assert faulty_waveforms(w.limit(0), m.limit(0), c.limit(0)).count() == 0
+    assert faulty_waveforms(w.limit(0), m.limit(0), c.limit(0), l.limit(0)).count() == 0
+
+
+
+def test_a_noisy_hour_has_fences_of_its_own(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, 1, 0, 1, quiet(rng, sigma=100 if i % 2 else 10).tolist(), i % 2) for i in range(400)]
+    rows[0][4][20] += 600  # far outside in the quiet hour
+    rows[1][4][20] += 600  # nothing in the noisy one
+    w = spark.createDataFrame(rows, "wvfm_row long, file_id long, adc int, ch int, samples array<double>, light_id long")
+    m = spark.createDataFrame([], "mask_row long, file_id long, adc int, ch int, dead boolean")
+    c = spark.createDataFrame([], "set_row long, file_id long, adc int, saturation_clip_threshold double")
+    l = spark.createDataFrame([(0, [0.0]), (1, [3.6e6])], "light_id long, utime_ms array<double>")
+    assert [(r.row_id, r.reason) for r in faulty_waveforms(w, m, c, l).collect()] == [(0, "spike")]
+    # with too few waveforms for an hour, the channel is judged at all hours
+    few = SpikeRules(least_context=1000)
+    assert faulty_waveforms(w, m, c, l.limit(0)).count() == faulty_waveforms(w, m, c, l, few).count()
 
 
 # ---------------------------------------------------------------- 5 drifting schemas

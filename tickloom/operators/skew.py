@@ -1,7 +1,8 @@
-"""Building blocks against skew: size-checked broadcasts, ranks in slices, joins on NULLs."""
+"""Building blocks against skew: kept frames, size-checked broadcasts, ranks in slices, joins on NULLs."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +10,21 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+_kept: list[DataFrame] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` persisted (recomputed where an executor is lost) until ``release()``."""
+    _kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
+
+
+def release() -> None:
+    """Unpersist what operators have kept; results not read yet are still right, they are computed anew."""
+    while _kept:
+        _kept.pop().unpersist()
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint only when ``df`` is counted to hold at most ``max_rows`` rows.
 

@@ -1,9 +1,10 @@
 """Implausible readings: spikes, stuck values and impossible values, relative to each source's normal.
 
-One pass over the waveforms reduces each to a few numbers (range, noise, lowest stuck level, height
-of the sharpest short excursion). Quantile sketches of these, per source and context and merged over
-contexts and partitions, say what a source normally does; a row is faulty when it lies outside the
-expanded fence of its source, moves implausibly fast and back, or does not move at all.
+One pass over the waveforms reduces each to a few numbers (range, quartiles of its steps, lowest stuck
+level, height of the sharpest short excursion). Quantile sketches of the quartiles, per source and hour
+of the day and merged over partitions, say how a source normally moves at that hour; hours with few
+waveforms take the sketch of the whole source. A row is faulty when it leaves the expanded
+interquartile fence of its source and comes back within a few ticks, or does not move at all.
 """
 
 from __future__ import annotations
@@ -13,11 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.skew import broadcast_if_small
+from tickloom.operators.skew import broadcast_if_small, kept
 
 
 @dataclass(frozen=True)
@@ -33,8 +33,10 @@ class SpikeRules:
     #: ticks before and after the excursion that must be alike, and how alike, in shares of its height
     shoulder: int = 3
     alike: float = 0.5
-    #: quantile of the waveforms' own noise that stands for the source (pulses raise the upper half)
-    noise_quantile: float = 0.4
+    #: quantile of the waveforms' own quartiles that stands for the source (pulses widen the other half)
+    quiet_quantile: float = 0.4
+    #: an hour of a source has fences of its own from so many waveforms on
+    least_context: int = 50
     #: levels from this share of the rail on are readings held at the rail
     rail_share: float = 0.999
     setting_share: float = 0.01
@@ -43,6 +45,10 @@ class SpikeRules:
     living_share: float = 0.25
 
 
+#: steps between two readings spread by the square root of 2 more than the readings; quartiles lie 1.349 deviations apart
+STEP_IQR = 1.349 * 2**0.5
+
+
 def _rolling(a: np.ndarray, n: int, f) -> np.ndarray:
     """f over each window of n columns, by doubling."""
     out, have = a, 1
@@ -52,12 +58,13 @@ def _rolling(a: np.ndarray, n: int, f) -> np.ndarray:
     return out
 
 
-def waveform_features(s: np.ndarray, rules: SpikeRules) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Range, noise, stuck level, spike height of equally long waveforms; NaN where there is none.
+def waveform_features(s: np.ndarray, rules: SpikeRules) -> tuple[np.ndarray, ...]:
+    """Range, quartiles of steps (two), stuck level, spike height of equally long waveforms; NaN where there is none.
 
-    ``s`` is rows by ticks; a tick that is no finite number is NaN. The noise is the interquartile
-    range of tick-to-tick steps, scaled to a standard deviation, of waveforms that vary by more
-    than the stuck counts.
+    ``s`` is rows by ticks; a tick that is no finite number is NaN. Quartiles are those of the
+    tick-to-tick steps of waveforms that vary by more than the stuck counts, at least 0.3 deviations
+    apart. An excursion's height is how far it leads out of the corridor of the ticks around it;
+    it may swing to both sides, and is negative when it leads farther down than up.
     """
     n, ticks = s.shape
     nan = np.full(n, np.nan)
@@ -65,15 +72,17 @@ def waveform_features(s: np.ndarray, rules: SpikeRules) -> tuple[np.ndarray, np.
         lo, hi = np.where(np.isnan(s), np.inf, s), np.where(np.isnan(s), -np.inf, s)
         spread = hi.max(1) - lo.min(1)
         spread = np.where(np.isfinite(spread), spread, np.nan)
-        noise, stuck, spike = nan.copy(), nan.copy(), nan.copy()
+        low, high, stuck, spike = nan.copy(), nan.copy(), nan.copy(), nan.copy()
         if ticks >= 8:
             d = np.sort(np.diff(s, axis=1), axis=1)  # NaN last
             m = (ticks - 1) - np.isnan(d).sum(1)
             q1, q3 = d[np.arange(n), (m * 0.25).astype(int)], d[np.arange(n), np.minimum((m * 0.75).astype(int), np.maximum(m - 1, 0))]
-            noise = np.where((m >= 7) & (spread > rules.stuck_counts), np.maximum((q3 - q1) / 1.349 / np.sqrt(2), 0.3), np.nan)
+            narrow = np.maximum(0.3 * STEP_IQR - (q3 - q1), 0) / 2
+            moves = (m >= 7) & (spread > rules.stuck_counts)
+            low, high = np.where(moves, q1 - narrow, np.nan), np.where(moves, q3 + narrow, np.nan)
         if ticks >= rules.stuck_ticks:
-            top, low = _rolling(s, rules.stuck_ticks, np.maximum), _rolling(s, rules.stuck_ticks, np.minimum)
-            level = np.where(top - low <= rules.stuck_counts, top, np.inf).min(1)
+            top, bottom = _rolling(s, rules.stuck_ticks, np.maximum), _rolling(s, rules.stuck_ticks, np.minimum)
+            level = np.where(top - bottom <= rules.stuck_counts, top, np.inf).min(1)
             stuck = np.where(np.isfinite(level), level, np.nan)
         best = np.zeros(n)
         k = rules.shoulder
@@ -88,15 +97,23 @@ def waveform_features(s: np.ndarray, rules: SpikeRules) -> tuple[np.ndarray, np.
             b_hi, b_lo = _rolling(before, k, np.fmax), _rolling(before, k, np.fmin)
             a_hi, a_lo = _rolling(after, k, np.fmax), _rolling(after, k, np.fmin)
             ceiling, floor = np.maximum(b_hi, a_hi), np.minimum(b_lo, a_lo)
-            inner = s[:, 1 : ticks - 1]
-            up = _rolling(inner, w, np.minimum) - ceiling
-            down = floor - _rolling(inner, w, np.maximum)
-            least = np.maximum(up, down)
-            peak = np.where(up >= down, _rolling(inner, w, np.maximum) - ceiling, floor - _rolling(inner, w, np.minimum))
+            # how far each tick of the excursion lies above the corridor, or below it
+            ticks_in = [s[:, 1 + j : 1 + j + c] for j in range(w)]
+            up = [x - ceiling for x in ticks_in]
+            down = [floor - x for x in ticks_in]
+            out = [np.maximum(u, v) for u, v in zip(up, down)]
+            least, peak = np.minimum.reduce(out), np.maximum.reduce(out)
             ok = (least > 0) & (ceiling - floor < rules.alike * least) & (peak <= 4 * least)
-            best = np.fmax(best, np.where(ok, peak, 0).max(1))
-        spike = np.where(best > 0, best, np.nan)
-    return spread, noise, stuck, spike
+            signed = np.where(np.maximum.reduce(up) >= np.maximum.reduce(down), peak, -peak)
+            at = np.where(ok, peak, 0).argmax(1)
+            rows = np.arange(n)
+            here = np.where(ok[rows, at], signed[rows, at], 0)
+            best = np.where(np.abs(here) > np.abs(best), here, best)
+        spike = np.where(best != 0, best, np.nan)
+    return spread, low, high, stuck, spike
+
+
+FEATURES = ["spread", "low", "high", "stuck", "spike"]
 
 
 def _features(batches: Iterator[pa.RecordBatch], rules: SpikeRules, keys: list[str], samples: str) -> Iterator[pa.RecordBatch]:
@@ -113,7 +130,7 @@ def _features(batches: Iterator[pa.RecordBatch], rules: SpikeRules, keys: list[s
         values = np.where(finite, values, np.nan)
         sums = np.concatenate([[0], np.cumsum(odd)])
         bad = sums[offsets + lengths] > sums[offsets]
-        out = [np.full(n, np.nan) for _ in range(4)]
+        out = [np.full(n, np.nan) for _ in FEATURES]
         for ticks in np.unique(lengths[lengths > 0]):
             rows = np.nonzero(lengths == ticks)[0]
             for part in np.array_split(rows, max(1, len(rows) * int(ticks) // 500_000)):
@@ -123,63 +140,81 @@ def _features(batches: Iterator[pa.RecordBatch], rules: SpikeRules, keys: list[s
         arrays = [batch.column(batch.schema.get_field_index(k)) for k in keys]
         arrays += [pa.array(lengths.astype(np.int32)), pa.array(bad)]
         arrays += [pa.array(o, mask=np.isnan(o)) for o in out]
-        yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "ticks", "bad", "spread", "noise", "stuck", "spike"])
+        yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "ticks", "bad", *FEATURES])
 
 
 def features(df: DataFrame, keys: list[str], samples: str, rules: SpikeRules = SpikeRules()) -> DataFrame:
-    """The keys and ``ticks, bad, spread, noise, stuck, spike`` of each waveform, without a shuffle."""
+    """The keys, ``ticks``, ``bad`` and FEATURES of each waveform, without a shuffle."""
     df = df.select(*keys, F.col(samples).cast("array<double>").alias(samples))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
     return df.mapInArrow(
         lambda it: _features(it, rules, keys, samples),
-        f"{kinds}, ticks int, bad boolean, spread double, noise double, stuck double, spike double",
+        f"{kinds}, ticks int, bad boolean, {', '.join(f'{c} double' for c in FEATURES)}",
     )
 
 
-def source_sketches(df: DataFrame, source: list[str], context: Column, value: str) -> DataFrame:
-    """A mergeable quantile sketch of ``value`` per source and context."""
-    return df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*source, context.alias("context")).agg(F.kll_sketch_agg_double(value).alias("sketch"))
+def source_fences(f: DataFrame, source: list[str], context: str, rules: SpikeRules) -> DataFrame:
+    """One row per source: ``iqr`` of its steps, its fence ``always``, and fences ``in_context`` (a map) of contexts with enough waveforms.
 
+    Sketches of the quartiles of steps are made for each source and context, map-side, and merged
+    to those of the source. A fence reaches from the lower quartile to the upper one, widened at
+    both ends by so many interquartile ranges that it ends at ``spike_noise`` deviations of the noise.
+    """
+    moving = f.where(F.col("low").isNotNull())
+    sketches = moving.groupBy(*source, context).agg(
+        F.kll_sketch_agg_double("low").alias("low"), F.kll_sketch_agg_double("high").alias("high"), F.count(F.lit(1)).alias("n")
+    )
+    wider = rules.spike_noise / STEP_IQR - 0.5
 
-def merged_quantiles(sketches: DataFrame, by: list[str], quantiles: dict[str, float]) -> DataFrame:
-    """Quantiles of the sketches merged over all that is not in ``by``."""
-    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("_s"))
-    return merged.select(*by, *[F.kll_sketch_get_quantile_double("_s", F.lit(q)).alias(k) for k, q in quantiles.items()])
+    def fence(low: Column, high: Column) -> Column:
+        q1, q3 = F.kll_sketch_get_quantile_double(low, F.lit(1 - rules.quiet_quantile)), F.kll_sketch_get_quantile_double(high, F.lit(rules.quiet_quantile))
+        return F.struct((q1 - wider * (q3 - q1)).alias("low"), (q3 + wider * (q3 - q1)).alias("high"), (q3 - q1).alias("iqr"))
 
+    own = F.when((F.col("n") >= rules.least_context) & F.col(context).isNotNull(), F.struct(F.col(context), fence(F.col("low"), F.col("high"))))
+    merged = sketches.groupBy(*source).agg(
+        fence(F.kll_merge_agg_double("low"), F.kll_merge_agg_double("high")).alias("always"), F.map_from_entries(F.collect_list(own)).alias("in_context")
+    )
+    return merged.select(*source, "always", "in_context", F.col("always.iqr").alias("iqr"))
+
+
+def light_hours(light: DataFrame) -> DataFrame:
+    """``light_id, hour`` (of the day, UTC) of each light event; NULL where no version of it has a time."""
+    ms = F.get("utime_ms", F.lit(0))
+    ms = F.when(~F.isnan(ms) & (F.abs(ms) < 1e15), ms)
+    hours = light.where(F.col("light_id").isNotNull()).groupBy("light_id").agg(F.min(ms).alias("ms"))
+    return hours.select("light_id", F.pmod(F.floor(F.col("ms") / 3_600_000), F.lit(24)).cast("int").alias("hour"))
 
-def faulty_waveforms(
-    waveforms: DataFrame, masks: DataFrame, settings: DataFrame, rules: SpikeRules = SpikeRules(), file_context: int = 64
-) -> DataFrame:
+
+def faulty_waveforms(waveforms: DataFrame, masks: DataFrame, settings: DataFrame, light: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFrame:
     """``tbl, row_id, reason`` of implausible waveforms, dead marks and clip settings, each row once.
 
     Waveforms (unless their file marks the channel dead): ``impossible`` (a reading that is no
-    finite number in range), ``stuck`` (a long run without change below the rail), ``spike``.
+    finite number in range), ``stuck`` (a long run without change below the rail), ``spike`` (out of
+    the fence of its channel, at the hour of its light event, and back).
     Marks, for a file and channel with three or more waveforms (empty ones counted): ``unmarked`` (nothing varies) or
     ``alive`` (marked dead, varies like a living channel). Settings: ``setting`` (not finite, or off
     the adc's median by more than 1 %).
 
     NULL, empty arrays and NULL elements are no readings and no fault; arrays too short for a rule
     escape that rule. A NULL mark means not marked; a NULL setting is no case. A source without a
-    normal (NULL channel, no settings) has no spikes, and no rail. Repeated rows come out once;
-    empty tables give no rows. Extra columns are not read.
+    normal (NULL channel, no settings) has no spikes, and no rail; a waveform without light event or
+    hour is judged by its channel at all hours. Repeated rows come out once; empty tables give no
+    rows. Extra columns are not read.
     """
-    f = features(waveforms, ["wvfm_row", "file_id", "adc", "ch"], "samples", rules).persist(StorageLevel.MEMORY_AND_DISK)
-    sketches = source_sketches(f, ["adc", "ch"], F.floor(F.col("file_id") / file_context), "noise")
-    normal = merged_quantiles(sketches, ["adc", "ch"], {"normal": rules.noise_quantile})
+    f = features(waveforms, ["wvfm_row", "light_id", "file_id", "adc", "ch"], "samples", rules)
+    f = kept(f.join(broadcast_if_small(light_hours(light)), "light_id", "left").drop("light_id"))
     thr = F.col("saturation_clip_threshold").cast("double")
     finite = thr.isNotNull() & ~F.isnan(thr) & (F.abs(thr) != float("inf"))
-    rails = merged_quantiles(
-        source_sketches(settings.where(finite).select("adc", "file_id", thr.alias("thr")), ["adc"], F.floor(F.col("file_id") / file_context), "thr"), ["adc"], {"rail": 0.5}
-    )
-    normal = normal.join(rails, "adc", "full").select("adc", "ch", "normal", "rail")
-    channel = broadcast_if_small(normal.where("ch IS NOT NULL").drop("rail"))
-    rail = broadcast_if_small(rails)
+    rails = settings.where(finite).groupBy("adc").agg(F.kll_sketch_agg_double(thr).alias("_s"))
+    rail = broadcast_if_small(rails.select("adc", F.kll_sketch_get_quantile_double("_s", F.lit(0.5)).alias("rail")))
+    channel = broadcast_if_small(source_fences(f, ["adc", "ch"], "hour", rules))
 
     seen = f.join(channel, ["adc", "ch"], "left").join(rail, ["adc"], "left")
+    fence = F.coalesce(F.element_at("in_context", F.col("hour")), F.col("always"))
     reason = (
         F.when(F.col("bad"), "impossible")
         .when(F.col("stuck") < F.coalesce(F.col("rail") * rules.rail_share, F.lit(float("inf"))), "stuck")
-        .when(F.col("spike") > rules.spike_noise * F.col("normal"), "spike")
+        .when((F.col("spike") > fence["high"]) | (F.col("spike") < fence["low"]), "spike")
     )
     faulty = seen.withColumn("reason", reason).where("reason IS NOT NULL")
     dead = masks.where("dead").select("file_id", "adc", "ch").distinct()
@@ -192,7 +227,7 @@ def faulty_waveforms(
             F.max("spread").alias("most"),
             F.count_if(F.col("spread") > rules.stuck_counts).alias("vary"),
             F.count("spread").alias("all"),
-            F.avg("noise").alias("noise"),
+            F.avg(F.col("high") - F.col("low")).alias("own_iqr"),
         )
         .where(F.col("rows") >= rules.least_rows)
         .join(channel, ["adc", "ch"], "left")
@@ -202,7 +237,7 @@ def faulty_waveforms(
         F.lit("channel_mask").alias("tbl"),
         F.col("mask_row").alias("row_id"),
         F.when(~F.col("dead") & (F.col("most") <= rules.stuck_counts), "unmarked")
-        .when(F.col("dead") & (2 * F.col("vary") > F.col("all")) & (F.col("noise") >= rules.living_share * F.coalesce("normal", F.lit(0.0))), "alive")
+        .when(F.col("dead") & (2 * F.col("vary") > F.col("all")) & (F.col("own_iqr") >= rules.living_share * F.coalesce("iqr", F.lit(0.0))), "alive")
         .alias("reason"),
     ).where("reason IS NOT NULL")
 

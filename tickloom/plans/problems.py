@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None):
 
 # ---------------------------------------------------------------- 1 implausible readings
 def _faulty(spark: SparkSession, d: str) -> DataFrame:
-    return faulty_waveforms(table(spark, d, "wvfm"), table(spark, d, "channel_mask"), table(spark, d, "clip_settings"))
+    return faulty_waveforms(table(spark, d, "wvfm"), table(spark, d, "channel_mask"), table(spark, d, "clip_settings"), table(spark, d, "light_events"))
 
 
 @query("p1_found")
