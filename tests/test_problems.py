@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators.eager import eager_join_aggregate, heavy_keys
+from tickloom.operators.eager import KeyedJoin, eager_join_aggregate, heavy_keys
 from tickloom.operators.references import Reference, orphan_references, orphan_report, probe_sorted
 from tickloom.operators.skew import broadcast_if_small, sliced_rank
 from tickloom.operators.spikes import SpikeRules, faulty_waveforms, waveform_features
@@ -47,10 +47,19 @@ def test_eager_aggregation_equals_the_join(spark):
     assert eager_join_aggregate(left.limit(0), right, "k", ["g"], {"s": F.col("v")}).count() == 0
 
 
+def test_left_sums_and_stored_rows(spark):
+    left = spark.createDataFrame([(1, "a", 2.0)] * 3 + [(1, "b", None), (2, "b", 1.0), (None, "a", 7.0), (9, None, 1.0)], "k int, g string, v double")
+    right = spark.createDataFrame([(1, 0.5), (1, 1.5), (2, 1.0), (None, 4.0)], "k int, v double")
+    got = {r.g: (r.n, r.s, r.t, r.stored) for r in eager_join_aggregate(left, right, "k", ["g"], {"s": F.col("v")}, "n", {"t": F.col("v")}, "stored").collect()}
+    assert got == {"a": (6, 6.0, 12.0, 4), "b": (3, 3.0, 1.0, 2), None: (0, None, None, 1)}
+
+
 def test_heavy_keys_count_null_rows_in_the_total(spark):
-    df = spark.createDataFrame([(1,)] * 6 + [(2,)] * 5 + [(None,)] * 89, "k int")
-    assert [(r.key_id, r.n_rows) for r in heavy_keys({"k": df}, 0.05).collect()] == [(1, 6)]
-    assert heavy_keys({"k": df.limit(0)}, 0.05).count() == 0
+    df = spark.createDataFrame([(1, 1)] * 6 + [(2, 3)] * 5 + [(None, None)] * 89, "k int, j int")
+    other = spark.createDataFrame([(1,), (1,)], "j int")
+    assert [(r.key_id, r.n_rows, r.n_joined) for r in heavy_keys([KeyedJoin(df, other, "j", "k", {})], 0.05).collect()] == [(1, 6, 12)]
+    assert heavy_keys([KeyedJoin(df.limit(0), other, "j", "k", {})], 0.05).count() == 0
+    assert [r.key_id for r in heavy_keys([KeyedJoin(df, other.limit(0), "j", "k", {})], 0.05).collect()] == [1]
 
 
 # ---------------------------------------------------------------- 2 references

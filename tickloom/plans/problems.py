@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators.eager import eager_join_aggregate, heavy_keys
+from tickloom.operators.eager import KeyedJoin, eager_join_aggregate, heavy_keys
 from tickloom.operators.references import Reference, orphan_references, orphan_report
+from tickloom.operators.skew import join_null_safe
 from tickloom.operators.spikes import faulty_waveforms
 from tickloom.session import shared_dir, table
 from tickloom.sources.compaction import consolidate_reports
@@ -91,21 +92,26 @@ UNION ALL SELECT 'hit_tpc_id', CAST(hit_tpc_id AS BIGINT) FROM hits WHERE hit_tp
   HAVING count(*) > 0.05 * (SELECT count(*) FROM hits)""",
 )
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return heavy_keys({"event_id": table(spark, d, "event_hits"), "hit_tpc_id": table(spark, d, "hits")}, 0.05).select("key_name", "key_id")
+    refs, hits = table(spark, d, "event_hits"), table(spark, d, "hits")
+    joins = [KeyedJoin(refs, hits, "hit_row", "event_id", {"energy": energy()}), KeyedJoin(hits, refs, "hit_row", "hit_tpc_id", {})]
+    return heavy_keys(joins, 0.05).select("key_name", "key_id")
 
 
 #: Energies are summed as exact decimals, so that no order of the rows changes a result.
 _E = "decimal(18,6)"
 
 
+def energy() -> Column:
+    return F.when(~F.isnan("e"), F.col("e")).cast(_E)
+
+
 @query(
     "p4_events",
     f"""SELECT r.event_id, CAST(count(*) AS BIGINT) AS n_hits, CAST(sum(CAST(CASE WHEN isnan(h.e) THEN NULL ELSE h.e END AS {_E.upper()})) AS DOUBLE) AS energy
 FROM event_hits r JOIN hits h ON r.hit_row = h.hit_row GROUP BY r.event_id""",
 )
 def p4_events(spark: SparkSession, d: str) -> DataFrame:
-    e = F.when(~F.isnan("e"), F.col("e")).cast(_E)
-    out = eager_join_aggregate(table(spark, d, "event_hits"), table(spark, d, "hits"), "hit_row", ["event_id"], {"energy": e}, "n_hits")
+    out = eager_join_aggregate(table(spark, d, "event_hits"), table(spark, d, "hits"), "hit_row", ["event_id"], {"energy": energy()}, "n_hits")
     return out.withColumn("energy", F.col("energy").cast("double"))
 
 
@@ -116,24 +122,27 @@ FROM event_hits r JOIN hits h ON r.hit_row = h.hit_row GROUP BY h.hit_tpc_id""",
 )
 def p4_tpcs(spark: SparkSession, d: str) -> DataFrame:
     # seen from the hits: the references are the side whose numbers multiply
-    e = F.when(~F.isnan("e"), F.col("e")).cast(_E)
-    h = table(spark, d, "hits").groupBy("hit_row", "hit_tpc_id").agg(F.sum(e).alias("e"), F.count(F.lit(1)).alias("m"))
-    r = table(spark, d, "event_hits").where("hit_row IS NOT NULL").groupBy("hit_row").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        h.join(r, "hit_row").groupBy("hit_tpc_id").agg(F.sum(F.col("n") * F.col("m")).alias("n_refs"), F.sum(F.col("n") * F.col("e")).cast("double").alias("energy"))
-    )
+    out = eager_join_aggregate(table(spark, d, "hits"), table(spark, d, "event_hits"), "hit_row", ["hit_tpc_id"], {}, "n_refs", {"energy": energy()})
+    return out.withColumn("energy", F.col("energy").cast("double"))
 
 
-@query("p4_tpc_hits")
+@query(
+    "p4_tpc_hits",
+    f"""WITH v AS (SELECT hit_row, hit_tpc_id, ingest_ts, CAST(CASE WHEN isnan(e) THEN NULL ELSE e END AS {_E.upper()}) AS e FROM hits),
+h AS (SELECT hit_row, hit_tpc_id, e FROM (SELECT *, row_number() OVER (PARTITION BY hit_row, hit_tpc_id ORDER BY ingest_ts DESC NULLS LAST, e DESC NULLS LAST) AS r FROM v) WHERE r = 1 OR hit_row IS NULL)
+SELECT h.hit_tpc_id, count(*) AS n_hits, CAST(sum(h.e) AS DOUBLE) AS energy, CAST(coalesce(sum(r.n), 0) AS BIGINT) AS n_refs FROM h LEFT JOIN (SELECT hit_row, count(*) AS n FROM event_hits GROUP BY 1) r ON r.hit_row = h.hit_row GROUP BY 1""",
+)
 def p4_tpc_hits(spark: SparkSession, d: str) -> DataFrame:
     """Hits and energy of each TPC over all its hits, each hit once; ``n_refs`` counts the references to them."""
-    e = F.when(~F.isnan("e"), F.col("e")).cast(_E)
+    e = energy()
     # versions of a hit count once, with the latest energy; rows without a number are hits of their own
-    h = table(spark, d, "hits").groupBy("hit_row", "hit_tpc_id").agg(F.max_by(e, F.struct("ingest_ts", e)).alias("e"), F.sum(e).alias("s"), F.count(F.lit(1)).alias("m"))
-    h = h.withColumns({"e": F.when(F.col("hit_row").isNull(), F.col("s")).otherwise(F.col("e")), "m": F.when(F.col("hit_row").isNull(), F.col("m")).otherwise(1)})
-    r = table(spark, d, "event_hits").where("hit_row IS NOT NULL").groupBy("hit_row").agg(F.count(F.lit(1)).alias("n"))
-    t = h.join(r, "hit_row", "left").groupBy("hit_tpc_id")
-    return t.agg(F.sum("m").alias("n_hits"), F.sum("e").cast("double").alias("energy"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_refs"))
+    h = table(spark, d, "hits").groupBy("hit_row", "hit_tpc_id").agg(F.max_by(e, F.struct("ingest_ts", e)).alias("last"), F.sum(e).alias("all_e"), F.count(F.lit(1)).alias("m"))
+    own = F.col("hit_row").isNull()
+    h = h.select("hit_row", "hit_tpc_id", F.when(own, F.col("all_e")).otherwise(F.col("last")).alias("hit_e"), F.when(own, F.col("m")).otherwise(1).alias("hits"))
+    # TPCs are few: their own numbers and those of their references meet in one row each
+    own_numbers = h.groupBy("hit_tpc_id").agg(F.sum("hits").alias("n_hits"), F.sum("hit_e").cast("double").alias("energy"))
+    refs = eager_join_aggregate(h, table(spark, d, "event_hits"), "hit_row", ["hit_tpc_id"], {}, "n_refs", stored="_states")
+    return join_null_safe(own_numbers, refs.drop("_states"), ["hit_tpc_id"])
 
 
 # ---------------------------------------------------------------- 5 drifting schemas
