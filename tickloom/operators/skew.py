@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a side counts as small enough to broadcast once it has been counted.
@@ -65,3 +65,36 @@ def sliced_rank(df: DataFrame, by: list[str], order: list[str], slices: int | No
         "_in", F.row_number().over(Window.partitionBy(*by, "_slice").orderBy(*order)).cast("long") - 1
     )
     return join_null_safe(left, offsets, by, ["_slice"]).select(*df.columns, (F.col("_in") + F.col("_before")).alias(name))
+
+
+#: Width of the cells within which rows along an order are sorted at once.
+CELL = 1024
+
+
+def carried(
+    df: DataFrame, by: list[str], at: str, past: dict[str, Column], ahead: dict[str, Column] | None = None, own: bool = True, width: int = CELL
+) -> DataFrame:
+    """``df`` with the last value before (``past``) and the next one after (``ahead``) each row that isn't NULL.
+
+    Rows of a group are ordered by the whole number ``at``; with ``own`` a row's own value counts as
+    the nearest. Only cells of ``width`` numbers are sorted row by row; what crosses their borders is
+    carried over one row per cell, so that a group may hold most of the rows. ``by`` and ``at`` hold
+    no NULL; rows alike in them are one another's neighbours in any order.
+    """
+    ahead = ahead or {}
+    c = df.withColumn("_cell", F.floor(F.col(at) / width))
+    upto = 0 if own else -1
+    inside = Window.partitionBy(*by, "_cell")
+    forth, back = (inside.orderBy(o).rowsBetween(Window.unboundedPreceding, upto) for o in (F.asc(at), F.desc(at)))
+    near = c.withColumns({n: F.last(v, ignorenulls=True).over(forth) for n, v in past.items()} | {n: F.last(v, ignorenulls=True).over(back) for n, v in ahead.items()})
+    place = {n: F.when(v.isNotNull(), F.col(at)) for n, v in (past | ahead).items()}
+    cells = c.groupBy(*by, "_cell").agg(
+        *[F.max_by(v, place[n]).alias(f"_o_{n}") for n, v in past.items()], *[F.min_by(v, place[n]).alias(f"_o_{n}") for n, v in ahead.items()]
+    )
+    along = Window.partitionBy(*by)
+    before, after = (along.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_cell"), F.desc("_cell")))
+    far = cells.select(
+        *by, "_cell", *[F.last(f"_o_{n}", ignorenulls=True).over(before).alias(f"_f_{n}") for n in past], *[F.last(f"_o_{n}", ignorenulls=True).over(after).alias(f"_f_{n}") for n in ahead]
+    )
+    names = [*past, *ahead]
+    return near.join(far, [*by, "_cell"], "left").withColumns({n: F.coalesce(n, f"_f_{n}") for n in names}).select(*df.columns, *names)

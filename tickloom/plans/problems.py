@@ -146,20 +146,20 @@ def p4_tpc_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- 5 drifting schemas
-@query("p5_found")
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return field_changes(table(spark, d, "raw_records"))
-
-
 #: First names and types of the fields of each dataset.
 HITS_FULL = {"id": "bigint", "x": "double", "y": "double", "z": "double", "E": "double", "Q": "double", "io_group": "int", "io_channel": "int", "ts_pps": "bigint", "is_disabled": "boolean", "pixel": "string"}
 EXTRAS = {"n_hits": "bigint", "raw_sub_peak": "double", "raw_sub_mean": "double", "hits_evt_first": "bigint", "seed_list": "array<double>", "unit_variance": "boolean", "var_model": "string", "rel_sigma": "double"}
 APPROVED = {"gain_db": "double", "board": "string"}
 
 
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return field_changes(table(spark, d, "raw_records"), HITS_FULL | EXTRAS)
+
+
 def _conformed(spark: SparkSession, d: str, dataset: str, target: dict[str, str]) -> DataFrame:
     raw = table(spark, d, "raw_records").where(F.col("dataset") == dataset).dropDuplicates(["raw_id", "payload"])
-    return promote(conform(raw, target, field_changes(raw)), APPROVED).withColumn("_rescued", F.to_json("_rescued"))
+    return promote(conform(raw, target, field_changes(raw, target)), APPROVED).withColumn("_rescued", F.to_json("_rescued"))
 
 
 @query("p5_hits_full")

@@ -1,23 +1,24 @@
 """Rescue-column ingestion of JSON records whose fields drift from file to file.
 
-``field_profile`` reduces the fields of each file to a few statistics; ``field_changes`` compares
-each file with the one before it, and tells a renamed field by the quantity that it carries on;
-``conform`` reads all files into one typed table: fields under their first name, a ``_rescued``
-column with every unknown or uncastable value as JSON; ``promote`` replays rescued values into
-further typed columns.
+``ingest`` enforces a target schema and rescues what does not fit. ``field_changes`` ingests strictly,
+reduces the typed and rescued fields of each file to a few statistics and compares each file with
+the one before it; it tells a renamed field by the quantity that it carries on. ``conform`` replays
+these changes: it ingests again, under the names that each file uses, into one typed table with
+fields under their first name and a ``_rescued`` column with every unknown or uncastable value as
+JSON; ``promote`` replays rescued values into further typed columns.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.arrays import let
-from tickloom.operators.skew import broadcast_if_small
+from tickloom.operators.skew import broadcast_if_small, carried, kept
 
-FILE = ["dataset", "campaign", "file_no"]
+CAMPAIGN = ["dataset", "campaign"]
+FILE = [*CAMPAIGN, "file_no"]
 #: Types of a field, in the order in which a tie between equally common ones is decided.
 TYPES = ["integer", "fraction", "string", "boolean", "array", "object"]
 
@@ -48,23 +49,97 @@ def _inner(v: Column, kind: Column) -> Column:
     )
 
 
-def exploded(records: DataFrame, payload: str = "payload") -> DataFrame:
-    """A row per record and field: FILE, ``field``, ``value`` (variant); a NULL field where a record is no JSON object or has none."""
-    fields = records.select(*FILE, F.from_json(payload, "map<string,variant>").alias("_m"))
-    return fields.select(*FILE, F.explode_outer("_m").alias("field", "value"))
+def _typed(v: Column, kind: str) -> Column:
+    if kind.startswith("array"):
+        return F.try_variant_get(v, "$", kind)
+
+    def cast(text: Column) -> Column:
+        if kind == "boolean":
+            return F.when(F.lower(text).isin("true", "false"), F.lower(text) == "true")
+        return text if kind == "string" else text.try_cast(kind)
+
+    return let(let(F.struct(v.alias("v"), _type(v).alias("k")), lambda b: _inner(b["v"], b["k"])), cast)
+
+
+def _whole(v: Column, typed: Column, kind: str) -> Column:
+    """Whether ``typed`` holds all of ``v``: a scalar, an array of exactly one, an object with nothing but ``v``; of a typed array, each element."""
+    items = F.try_variant_get(v, "$", "array<variant>")
+    if kind.startswith("array"):
+        return F.size(F.filter(items, lambda x: x.isNotNull() & ~F.is_variant_null(x))) == F.size(F.filter(typed, lambda x: x.isNotNull()))
+    return F.coalesce(F.size(F.try_variant_get(v, "$", "map<string,variant>")), F.size(items), F.lit(1)) == 1
 
 
-def field_profile(records: DataFrame, payload: str = "payload") -> DataFrame:
+#: What a column of a type takes when nothing but values written as its own type are let in.
+_WRITTEN = {"bigint": "integer", "int": "integer", "double": "fraction", "string": "string", "boolean": "boolean", "array<double>": "array"}
+
+
+def ingest(records: DataFrame, target: dict[str, str], payload: str = "payload", strict: bool = False, names: Column | None = None) -> DataFrame:
+    """The target schema enforced: the columns of ``records``, ``_t0, _t1, ..`` of ``target``, and ``_rescued``.
+
+    ``_rescued`` maps names to the values (variants) that no column took whole: unknown fields, what
+    can't be cast, what holds more than the column does. It is NULL for a payload that is no JSON
+    object. ``names`` is a map of first names to the names in the record's file. Casts are generous
+    (numbers written as strings, arrays of one, objects around a ``v``), and JSON nulls are dropped;
+    with ``strict`` a column takes only values written as its own type, and all else is rescued,
+    JSON nulls too.
+    """
+    rows = records.withColumn("_m", F.from_json(payload, "map<string,variant>"))
+    here = [F.lit(f) if names is None else F.coalesce(F.element_at(names, F.lit(f)), F.lit(f)) for f in target]
+    # each value is found, then typed, once
+    rows = rows.select("*", *[n.alias(f"_n{i}") for i, n in enumerate(here)])
+    rows = rows.select("*", *[F.element_at("_m", F.col(f"_n{i}")).alias(f"_v{i}") for i in range(len(here))])
+
+    def typed(i: int, kind: str) -> Column:
+        v = F.col(f"_v{i}")
+        if not strict:
+            return _typed(v, kind)
+        got = F.when(_type(v) == _WRITTEN[kind], F.try_variant_get(v, "$", kind))
+        if kind.startswith("array"):
+            got = let(got, lambda t: F.when((F.size(t) > 0) & _whole(v, t, kind) & F.forall(t, lambda x: x.isNotNull()), t))
+        return got
+
+    rows = rows.select("*", *[typed(i, kind).alias(f"_t{i}") for i, kind in enumerate(target.values())])
+    taken = []
+    for i, kind in enumerate(target.values()):
+        v, t = F.col(f"_v{i}"), F.col(f"_t{i}")
+        done = t.isNotNull() if strict else t.isNotNull() & _whole(v, t, kind) | F.is_variant_null(v)
+        taken.append(F.when(done, F.col(f"_n{i}")))
+    rest = let(F.array_compact(F.array(*taken)), lambda u: F.map_filter("_m", lambda k, _: ~F.array_contains(u, k))) if taken else F.col("_m")
+    return rows.select(*records.columns, *[f"_t{i}" for i in range(len(taken))], rest.alias("_rescued"))
+
+
+def _entries(target: dict[str, str]) -> Column:
+    """All fields of a strictly ingested record: ``field, kind``, and ``text`` or ``num`` of the quantity, ``long`` for arrays of several."""
+
+    def entry(field: Column, kind: Column, text: Column, num: Column, long: Column) -> Column:
+        return F.struct(field.alias("field"), kind.alias("kind"), text.cast("string").alias("text"), num.cast("double").alias("num"), long.cast("boolean").alias("long"))
+
+    own, none = [], F.lit(None)
+    for i, (field, kind) in enumerate(target.items()):
+        t, as_text = F.col(f"_t{i}"), _WRITTEN[kind] in ("string", "boolean")
+        first, long = (F.get(t, F.lit(0)), F.size(t) > 1) if kind.startswith("array") else (t, none)
+        own.append(F.when(t.isNotNull(), entry(F.lit(field), F.lit(_WRITTEN[kind]), first if as_text else none, none if as_text else first, long)))
+
+    def rescued(e: Column) -> Column:
+        many = F.when(e["k"] == "array", F.try_variant_get(e["v"], "$[1]", "string").isNotNull())
+        return entry(e["f"], e["k"], _inner(e["v"], e["k"]), none, many)
+
+    others = F.transform(F.map_entries("_rescued"), lambda e: F.struct(e["key"].alias("f"), e["value"].alias("v"), _type(e["value"]).alias("k")))
+    return F.array_compact(F.concat(F.array(*own), F.coalesce(F.transform(others, rescued), F.array()))) if own else F.transform(others, rescued)
+
+
+def field_profile(records: DataFrame, target: dict[str, str], payload: str = "payload") -> DataFrame:
     """One row per file and field: counts by type and what the field's quantity looks like.
 
-    The NULL field stands for the records without fields.
+    Taken from the strictly ingested records: fields of ``target`` that are written as they should
+    be are read off their columns, all others off the rescued values. The profile does not depend
+    on ``target``. The NULL field stands for the records without fields.
     """
-    e = exploded(records, payload).withColumn("kind", _type(F.col("value")))
-    e = e.withColumn("text", _inner(F.col("value"), F.col("kind")))
-    e = e.withColumn("long", F.when(F.col("kind") == "array", F.try_variant_get("value", "$[1]", "string").isNotNull()))
+    e = ingest(records.select(*FILE, payload), target, payload, strict=True).select(*FILE, F.inline_outer(_entries(target)))
     truth = F.lower("text").isin("true", "false")
-    e = e.withColumn("num", F.when(~truth, F.expr("try_cast(text AS double)")))
+    e = e.withColumn("num", F.coalesce("num", F.when(~truth, F.expr("try_cast(text AS double)"))))
     word = F.col("text").isNotNull() & F.col("num").isNull() & ~truth
+    frac = F.when(F.col("kind") == "array", F.col("num") != F.rint("num")).otherwise((F.col("kind") == "fraction") | F.coalesce(F.col("text").rlike(r"[.eE]"), F.lit(False)))
     shape = F.regexp_replace(F.regexp_replace(F.col("text"), r"\p{L}", "a"), r"\d", "9")
     return e.groupBy(*FILE, "field").agg(
         *[F.count_if(F.col("kind") == t).alias(t) for t in TYPES],
@@ -74,7 +149,7 @@ def field_profile(records: DataFrame, payload: str = "payload") -> DataFrame:
         F.stddev_pop("num").alias("std"),
         F.min("num").alias("low"),
         F.max("num").alias("high"),
-        F.count_if(F.col("num").isNotNull() & F.col("text").rlike(r"[.eE]")).alias("n_frac"),
+        F.count_if(F.col("num").isNotNull() & frac).alias("n_frac"),
         F.count_if(truth).alias("n_bool"),
         F.count_if(F.lower("text") == "true").alias("n_true"),
         F.count_if(word).alias("n_word"),
@@ -117,8 +192,8 @@ def _likeness(a: dict, b: dict) -> float | None:
 
 
 def _match(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a removed and an added field of one file that carry the same quantity, closest first."""
-    gone, new = (group[group["side"] == s].to_dict("records") for s in ("removed", "added"))
+    """The changes of one file; a removed and an added field that carry the same quantity are one, closest pairs first."""
+    gone, new, other = (group[group["side"] == s].to_dict("records") for s in ("removed", "added", "retyped"))
     pairs = sorted((d, a["field"], b["field"]) for a in gone for b in new if (d := _likeness(a, b)) is not None)
     olds, news, out = set(), set(), []
     for _, a, b in pairs:
@@ -128,54 +203,51 @@ def _match(group: pd.DataFrame) -> pd.DataFrame:
             out.append(("renamed", a, b))
     out += [("removed", a["field"], "") for a in gone if a["field"] not in olds]
     out += [("added", "", b["field"]) for b in new if b["field"] not in news]
+    out += [("retyped", x["field"], x["field"]) for x in other]
     first = group.iloc[0]
     return pd.DataFrame(
         [(first["dataset"], first["campaign"], first["file_no"], *row) for row in out], columns=[*FILE, "change", "field_old", "field_new"]
     )
 
 
-def field_changes(records: DataFrame, payload: str = "payload") -> DataFrame:
+def _filed(records: DataFrame) -> DataFrame:
+    """``records`` with a whole ``file_no``, and '' for a NULL dataset or campaign."""
+    return records.withColumns({"file_no": F.col("file_no").cast("long"), **{c: F.coalesce(c, F.lit("")) for c in CAMPAIGN}})
+
+
+def field_changes(records: DataFrame, target: dict[str, str] | None = None, payload: str = "payload") -> DataFrame:
     """``dataset, campaign, file_no, change, field_old, field_new`` of each file against the one before.
 
-    A file has a field when any of its records has it, JSON null included. Its type is the
-    commonest of its values (ties in the order of TYPES); a field that is null throughout keeps the
-    type it had before, and the quantity it showed before or, failing that, shows later. ``added`` and
-    ``removed`` fields of one file that carry the same quantity are one ``renamed`` field. A file whose records hold no field at all (empty, broken or no
-    objects) still counts as a file. Records without ``file_no`` belong to no file. The first file
-    of a campaign has no changes.
+    The records are ingested under the ``target`` schema first; the changes are those of the typed
+    columns and rescued fields of each file, whatever ``target`` has. A file has a field when any of
+    its records has it, JSON null included. Its type is the commonest of its values (ties in the
+    order of TYPES); a field that is null throughout keeps the type it had before, and the quantity
+    it showed before or, failing that, shows later. ``added`` and ``removed`` fields of one file that
+    carry the same quantity are one ``renamed`` field. A file whose records hold no field at all
+    (empty, broken or no objects) still counts as a file. A NULL dataset or campaign is named ''.
+    Records without ``file_no`` belong to no file. The first file of a campaign has no changes.
     """
-    records = records.where(F.col("file_no").isNotNull()).withColumns({"file_no": F.col("file_no").cast("long"), **{c: F.coalesce(c, F.lit("")) for c in ("dataset", "campaign")}})
+    records = _filed(records).where(F.col("file_no").isNotNull())
     # the records are parsed once; all that follows works on a few rows for each file
-    profile = field_profile(records, payload).persist(StorageLevel.MEMORY_AND_DISK)
-    files = profile.select(*FILE).distinct()
-    order = Window.partitionBy("dataset", "campaign").orderBy("file_no")
-    files = files.withColumn("next_no", F.lead("file_no").over(order)).withColumn("prev_no", F.lag("file_no").over(order))
-    profile = profile.where("field IS NOT NULL")
+    profile = kept(field_profile(records, target or {}, payload))
+    no = F.col("file_no")
+    files = carried(profile.select(*FILE).distinct(), CAMPAIGN, "file_no", {"prev_no": no}, {"next_no": no}, own=False)
     common = F.greatest(*[F.col(t) for t in TYPES])
     kind = F.when(common > 0, F.coalesce(*[F.when(F.col(t) == common, t) for t in TYPES]))
-    along = Window.partitionBy("dataset", "campaign", "field").orderBy("file_no")
-    past, ahead = along.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(1, Window.unboundedFollowing)
     # a field that is null throughout shows its quantity in the files before, or else after
-    stats = [c for c in profile.columns if c not in (*FILE, "field")]
-    shown = F.when(F.col("n_num") + F.col("n_bool") + F.col("n_word") > 0, F.struct(*stats))
-    profile = profile.withColumns({"kind": F.last(kind, ignorenulls=True).over(past), "_s": F.coalesce(F.last(shown, ignorenulls=True).over(past), F.first(shown, ignorenulls=True).over(ahead), F.struct(*stats))})
-    profile = profile.select(*FILE, "field", "kind", "_s.*").join(files, FILE)
-    here = profile.where("prev_no IS NOT NULL").drop("next_no").withColumn("at_no", F.col("file_no"))
-    # the fields of a file, as the file after it sees them
-    there = profile.where("next_no IS NOT NULL").drop("prev_no").withColumn("at_no", F.col("next_no"))
-    key = ["dataset", "campaign", "at_no", "field"]
-    h, t = here.withColumn("_h", F.lit(True)), there.withColumn("_t", F.lit(True))
-    retyped = (
-        h.select(*key, F.col("kind").alias("new_kind")).join(t.select(*key, F.col("kind").alias("old_kind")), key).where("new_kind <> old_kind")
-        .select("dataset", "campaign", F.col("at_no").alias("file_no"), F.lit("retyped").alias("change"), F.col("field").alias("field_old"), F.col("field").alias("field_new"))
-    )
-    side = h.join(t.select(*key), key, "left_anti").drop("_h", "prev_no").withColumn("side", F.lit("added"))
-    side = side.unionByName(t.join(h.select(*key), key, "left_anti").drop("_t", "next_no").withColumn("side", F.lit("removed")))
-    side = side.withColumn("file_no", F.col("at_no")).drop("at_no", "kind")
-    moved = side.groupBy(*FILE).applyInPandas(
-        _match, "dataset string, campaign string, file_no long, change string, field_old string, field_new string"
-    )
-    return retyped.unionByName(moved)
+    stats = F.struct(*[c for c in profile.columns if c not in (*FILE, "field")])
+    shown = F.when(F.col("n_num") + F.col("n_bool") + F.col("n_word") > 0, stats)
+    fields = profile.where("field IS NOT NULL").select(*FILE, "field", kind.alias("own_kind"), shown.alias("shown"), stats.alias("stats"))
+    fields = carried(fields, [*CAMPAIGN, "field"], "file_no", {"kind": F.col("own_kind"), "before": F.col("shown")}, {"after": F.col("shown")})
+    fields = kept(fields.select(*FILE, "field", "kind", F.coalesce("before", "after", "stats").alias("s")).join(broadcast_if_small(files), FILE))
+    # the fields of a file beside those that the file before had
+    key = [*CAMPAIGN, "at_no", "field"]
+    here = fields.where("prev_no IS NOT NULL").select(*CAMPAIGN, no.alias("at_no"), "field", F.col("kind").alias("new_kind"), F.col("s").alias("new"))
+    there = fields.where("next_no IS NOT NULL").select(*CAMPAIGN, F.col("next_no").alias("at_no"), "field", F.col("kind").alias("old_kind"), F.col("s").alias("old"))
+    both = here.join(there, key, "full").withColumnRenamed("at_no", "file_no")
+    side = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("new_kind") != F.col("old_kind"), "retyped")
+    changed = both.withColumn("side", side).where("side IS NOT NULL").select(*FILE, "field", "side", F.inline(F.array(F.coalesce("new", "old"))))
+    return changed.groupBy(*FILE).applyInPandas(_match, "dataset string, campaign string, file_no long, change string, field_old string, field_new string")
 
 
 def first_names(changes: DataFrame) -> DataFrame:
@@ -198,26 +270,6 @@ def first_names(changes: DataFrame) -> DataFrame:
     return renames.groupBy("dataset", "campaign").applyInPandas(chain, "dataset string, campaign string, from_no long, names map<string,string>")
 
 
-def _typed(v: Column, kind: str) -> Column:
-    if kind.startswith("array"):
-        return F.try_variant_get(v, "$", kind)
-
-    def cast(text: Column) -> Column:
-        if kind == "boolean":
-            return F.when(F.lower(text).isin("true", "false"), F.lower(text) == "true")
-        return text if kind == "string" else text.try_cast(kind)
-
-    return let(let(F.struct(v.alias("v"), _type(v).alias("k")), lambda b: _inner(b["v"], b["k"])), cast)
-
-
-def _whole(v: Column, typed: Column, kind: str) -> Column:
-    """Whether ``typed`` holds all of ``v``: a scalar, an array of exactly one, an object with nothing but ``v``; of a typed array, each element."""
-    items = F.try_variant_get(v, "$", "array<variant>")
-    if kind.startswith("array"):
-        return F.size(F.filter(items, lambda x: x.isNotNull() & ~F.is_variant_null(x))) == F.size(F.filter(typed, lambda x: x.isNotNull()))
-    return F.coalesce(F.size(F.try_variant_get(v, "$", "map<string,variant>")), F.size(items), F.lit(1)) == 1
-
-
 def conform(records: DataFrame, target: dict[str, str], changes: DataFrame, payload: str = "payload") -> DataFrame:
     """One row per record: the columns of ``records`` but the payload, those of ``target``, and ``_rescued``.
 
@@ -227,28 +279,22 @@ def conform(records: DataFrame, target: dict[str, str], changes: DataFrame, payl
     column holds was written, these whole) is kept in ``_rescued``, a map from the name in the file to
     JSON (NULL when empty). JSON nulls and missing fields are NULL. A
     payload that is no JSON object gives NULL columns and is rescued whole under the name ''.
+    Files of a NULL dataset or campaign are those that ``changes`` name ''.
     """
-    names = first_names(changes)
-    files = records.select(*FILE).distinct().withColumn("file_no", F.col("file_no").cast("long"))
-    spans = names.withColumn("until_no", F.lead("from_no").over(Window.partitionBy("dataset", "campaign").orderBy("from_no")))
-    of_file = (
-        files.join(spans, ["dataset", "campaign"])
-        .where((F.col("file_no") >= F.col("from_no")) & (F.col("until_no").isNull() | (F.col("file_no") < F.col("until_no"))))
-        .select(*FILE, "names")
-    )
+    steps = first_names(changes).select(*CAMPAIGN, F.col("from_no").alias("file_no"), "names")
+    files = _filed(records.select(*FILE)).where("file_no IS NOT NULL").distinct()
+    # the names of a file are those of the latest step up to it
+    marks = files.withColumn("names", F.lit(None).cast("map<string,string>")).withColumn("_file", F.lit(True)).unionByName(steps.withColumn("_file", F.lit(False)))
+    marks = marks.groupBy(*FILE).agg(F.max("_file").alias("_file"), F.first("names", ignorenulls=True).alias("names"))
+    of_file = carried(marks, CAMPAIGN, "file_no", {"_names": F.col("names")}).where(F.col("_file") & F.col("_names").isNotNull())
+    of_file = of_file.select(*[F.col(c).alias(f"_file_{c}") for c in FILE], "_names")
+    on = [F.coalesce(records[c], F.lit("")) == F.col(f"_file_{c}") for c in CAMPAIGN] + [records["file_no"].cast("long") == F.col("_file_file_no")]
+    rows = ingest(records.join(broadcast_if_small(of_file), on, "left"), target, payload, names=F.col("_names"))
     keep = [c for c in records.columns if c != payload and c not in target]
-    rows = records.join(broadcast_if_small(of_file), FILE, "left").withColumn("_m", F.from_json(payload, "map<string,variant>"))
-    # each value is found, then typed, once; what was typed whole, or holds nothing, needs no rescue
-    here = {f: F.coalesce(F.element_at("names", F.lit(f)), F.lit(f)) for f in target}
-    rows = rows.select(*keep, F.col(payload).alias("_p"), "_m", *[here[f].alias(f"_n{i}") for i, f in enumerate(target)])
-    rows = rows.select("*", *[F.element_at("_m", F.col(f"_n{i}")).alias(f"_v{i}") for i in range(len(target))])
-    rows = rows.select("*", *[_typed(F.col(f"_v{i}"), kind).alias(f"_t{i}") for i, kind in enumerate(target.values())])
-    used = F.array_compact(F.array(*[F.when(F.col(f"_t{i}").isNotNull() & _whole(F.col(f"_v{i}"), F.col(f"_t{i}"), kind) | F.is_variant_null(f"_v{i}"), F.col(f"_n{i}")) for i, kind in enumerate(target.values())]))
-    rest = let(used, lambda u: F.map_filter("_m", lambda k, _: ~F.array_contains(u, k)))
-    rescued = F.when(F.col("_m").isNull() & F.col("_p").isNotNull(), F.create_map(F.lit(""), F.col("_p"))).otherwise(
-        let(rest, lambda r: F.when(F.size(r) > 0, F.transform_values(r, lambda _, v: F.to_json(v))))
+    json = F.when(F.col("_rescued").isNull() & F.col(payload).isNotNull(), F.create_map(F.lit(""), F.col(payload))).otherwise(
+        F.when(F.size("_rescued") > 0, F.transform_values("_rescued", lambda _, v: F.to_json(v)))
     )
-    return rows.select(*keep, *[F.col(f"_t{i}").alias(f) for i, f in enumerate(target)], rescued.alias("_rescued"))
+    return rows.select(*keep, *[F.col(f"_t{i}").alias(f) for i, f in enumerate(target)], json.alias("_rescued"))
 
 
 def promote(table: DataFrame, approved: dict[str, str], rescued: str = "_rescued") -> DataFrame:
