@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.eager import KeyedJoin, eager_join_aggregate, heavy_keys
 from tickloom.operators.references import Reference, orphan_references, orphan_report, probe_sorted
-from tickloom.operators.skew import broadcast_if_small, sliced_rank
+from tickloom.operators.skew import broadcast_if_small, carried, ordered_rank, sliced_rank
 from tickloom.operators.spikes import SpikeRules, faulty_waveforms, waveform_features
 from tickloom.session import shared_dir
 from tickloom.sources import compaction, rescue
@@ -83,19 +83,20 @@ def reference_case(rng, n_refs, n_parents, keys):
     return refs + refs[:9], parents
 
 
-@pytest.mark.parametrize("crowd", [None, 40])
-def test_orphans_against_brute_force(spark, monkeypatch, crowd):
-    import tickloom.operators.references as R
-
-    if crowd:  # many ranges and salts
-        monkeypatch.setattr(R, "REFS_PER_GROUP", crowd)
-        monkeypatch.setattr(R, "PARENTS_PER_RANGE", 25)
-    refs, parents = reference_case(np.random.default_rng(3), 600, 200, 60)
+@pytest.mark.parametrize("limits", [{}, {"per_group": 40, "per_range": 25}, {"per_group": 7, "per_range": 3, "quantile_ranges": 2}])
+@pytest.mark.parametrize("hot", [0, 300])
+def test_orphans_against_brute_force(spark, limits, hot):
+    rng = np.random.default_rng(3)
+    refs, parents = reference_case(rng, 600, 200, 60)
+    # one key with many versions, some without begin or end
+    parents += [(7, None if i % 50 == 0 else T(1 + int(rng.integers(0, 20)), int(rng.integers(0, 24))), T(1 + int(rng.integers(0, 20))) if i % 7 else None) for i in range(hot)]
+    if hot:
+        parents = [(k, b, e) for k, b, e in parents if k != 7 or e is not None]
     tabs = {
         "refs": spark.createDataFrame([(*r, "x") for r in refs], "ref_id long, k long, ref_ts timestamp_ntz, key string"),
         "par": spark.createDataFrame([(*p, 1) for p in parents], "pk long, ingest_ts timestamp_ntz, removed_ts timestamp_ntz, target int"),
     }
-    got = orphan_references(tabs.__getitem__, [Reference("refs", "k", "par", "pk")])
+    got = orphan_references(tabs.__getitem__, [Reference("refs", "k", "par", "pk")], **limits)
     want = {(i, brute_kind(k, at, parents)) for i, k, at in refs if k is not None and k != -1}
     rows = [(r.ref_id, r.kind) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == {w for w in want if w[1]}
@@ -237,6 +238,38 @@ def test_reports_of_layouts():
     assert compaction.file_name("/a//b.FLOW.hdf5") == compaction.file_name("./b.FLOW") == "b.FLOW"
 
 
+def test_blocks_of_groups_are_balanced(spark):
+    rng = np.random.default_rng(7)
+    sizes = rng.integers(1, 2000, 3000)
+    files = spark.createDataFrame([(int(i), int(n)) for i, n in enumerate(sizes)], "f long, n long")
+    for limit in (1024, 8):  # one block, or several
+        p = compaction.plan_groups(files, "f", "n", target_bytes=40_000, block_groups=limit).toPandas()
+        load = p.groupby("group_id").n.sum()
+        assert len(p) == 3000 and p.f.is_unique and abs(len(load) - sizes.sum() / 40_000) <= 8
+        assert load.max() < 1.25 * load.mean() and load.min() > 0.7 * load.mean()
+
+
+def test_ordered_rank_and_carried(spark):
+    rng = np.random.default_rng(8)
+    rows = [(None if i % 5 == 0 else "g", None if i % 11 == 0 else 1e12 if i == 7 else float(rng.integers(0, 40)), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, x double, i int")
+    for by in ([], ["g"]):
+        want = {}
+        for key in {r[0] if by else 0 for r in rows}:
+            own = sorted((r for r in rows if not by or r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+            want |= {r[2]: k for k, r in enumerate(own)}
+        assert {r.i: r.rank for r in ordered_rank(df, by, ["x", "i"]).collect()} == want
+    assert ordered_rank(df.limit(0), [], ["x", "i"]).count() == 0
+    seen = {n: (n * 10 if n % 3 == 0 else None) for n in range(-20, 60, 2)}
+    d = spark.createDataFrame([("a", n, v) for n, v in seen.items()], "k string, n int, v int")
+    for own in (True, False):
+        got = {r.n: (r.p, r.q) for r in carried(d, ["k"], "n", {"p": F.col("v")}, {"q": F.col("v")}, own, width=7).collect()}
+        for n in seen:
+            before = [v for m, v in seen.items() if v is not None and (m < n or own and m == n)]
+            after = [v for m, v in seen.items() if v is not None and (m > n or own and m == n)]
+            assert got[n] == (before[-1] if before else None, after[0] if after else None)
+
+
 def test_deal_classes_balances():
     classes = [(k, float(2 ** (k / 4)), 200 - k) for k in range(40)] + [(100, 1e5, 3)]
     groups = 7

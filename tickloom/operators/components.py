@@ -5,11 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import components
-from tickloom.operators.skew import join_null_safe
+from tickloom.operators.skew import join_null_safe, ordered_rank
 from tickloom.operators.spatial import XYZ, close_pairs, within
 from tickloom.session import ensure_checkpoint_dir
 
@@ -38,7 +38,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, by: list[str] | Non
     take alternating large-star and small-star rounds: each moves edges onto ever smaller nodes, so
     the number of rounds grows with the logarithm of the longest path; a node's edges are reduced by
     aggregates, never gathered, and the lineage is cut by checkpoints in the shared folder. Isolated
-    nodes are their own component; edges between unknown nodes do no harm.
+    nodes are their own component; edges between unknown nodes do no harm. Rounds that have not come
+    to rest after ``most_rounds`` raise an error.
     """
     by = by or []
     ensure_checkpoint_dir(nodes.sparkSession)
@@ -64,6 +65,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame, by: list[str] | Non
         if now == before:
             break
         before = now
+    else:
+        if before is not None:
+            raise RuntimeError(f"components still change after {most_rounds} rounds")
     root = e.groupBy(*by, F.col("b").alias(node)).agg(F.min("a").alias("component")).unionByName(solved)
     return nodes.select(*by, node).distinct().join(root, [*by, node], "left").withColumn("component", F.coalesce("component", node))
 
@@ -97,8 +101,8 @@ def dbscan(points: DataFrame, key: str, eps: float, least: int, by: list[str] |
 def labels_by_energy(clusters: DataFrame, hits: DataFrame, key: str, energy: str, by: list[str], first: int = 0) -> DataFrame:
     """``by, key, label``: clusters numbered from ``first`` by summed energy, largest first; -1 for none."""
     e = clusters.join(hits.select(*by, key, energy), [*by, key]).where("cluster IS NOT NULL").groupBy(*by, "cluster").agg(F.sum(energy).alias("_e"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("_e"), "cluster")
-    no = e.select(*by, "cluster", (F.row_number().over(w) + first - 1).cast("int").alias("label"))
+    ranked = ordered_rank(e.withColumn("_less", -F.col("_e")), by, ["_less", "cluster"], "_r")
+    no = ranked.select(*by, "cluster", (F.col("_r") + first).cast("int").alias("label"))
     return clusters.join(no, [*by, "cluster"], "left").select(*by, key, F.coalesce("label", F.lit(-1)).alias("label"))
 
 

@@ -5,26 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.skew import join_null_safe
+from tickloom.operators.skew import join_null_safe, quantile_buckets
 
 
 def cumulative(df: DataFrame, by: list[str], x: str, w: str, buckets: int = 64) -> DataFrame:
     """``by, x, w, cum, total``: running weight over distinct ``x`` in ascending order.
 
-    The range of each group is cut into buckets whose weights are summed first, so that a group,
+    Each group is cut at quantiles into buckets whose weights are summed first, so that a group,
     even the only one, is ordered in many tasks.
     """
     state = df.groupBy(*by, F.col(x).alias("_x")).agg(F.sum(w).alias("_w"))
-    span = state.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_w").alias("total"))
-    if by:
-        s = join_null_safe(state, span, by)
-    else:
-        s = state.crossJoin(F.broadcast(span))  # one row
-    b = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets), F.lit(buckets - 1))).otherwise(F.lit(0))
-    s = s.withColumn("_b", b.cast("int"))
+    s = quantile_buckets(state, by, "_x", buckets)
     part = s.groupBy(*by, "_b").agg(F.sum("_w").alias("_bw"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.select(*by, "_b", F.coalesce(F.sum("_bw").over(before), F.lit(0.0)).alias("_before"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # one row a bucket
+    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select(*by, "_b", F.coalesce(F.sum("_bw").over(before), F.lit(0.0)).alias("_before"), F.sum("_bw").over(group).alias("total"))
     s = join_null_safe(s, part, by, ["_b"])
     inner = Window.partitionBy(*by, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     return s.select(*by, F.col("_x").alias("x"), F.col("_w").alias("w"), (F.col("_before") + F.sum("_w").over(inner)).alias("cum"), "total")

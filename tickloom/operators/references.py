@@ -2,8 +2,10 @@
 
 Keys are cut into ranges at quantiles of the parents' keys. Each range of parents becomes sorted
 arrays in one Python worker; the references of the range are probed against them by binary search,
-a whole Arrow table at a time. Ranges that hold too many references (one key may hold a third of
-all) are salted: their references are spread over several groups, each with a copy of the range.
+a whole Arrow table at a time. No range outgrows a task: one of too many parents is cut by a hash of
+the keys; a key of too many versions is cut along time, where each slab also gets what the versions
+before and after it can mean for its references; a range of too many references (one key may hold a
+third of all) is salted, its references spread over several groups with a copy of the range each.
 """
 
 from __future__ import annotations
@@ -14,16 +16,23 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parents per range, references per group, and the most ranges of one target.
+from tickloom.operators.skew import BROADCAST_ROWS, broadcast_if_small
+from tickloom.session import ensure_checkpoint_dir
+
+#: Parents per range, references per group, and ranges told apart by their quantiles: larger ones are cut by hashes.
 PARENTS_PER_RANGE = 400_000
 REFS_PER_GROUP = 400_000
-MAX_RANGES = 4096
+QUANTILE_RANGES = 4096
+#: Slabs of time that a key of too many versions is cut into at most.
+SLABS = 1024
 
 _NONE = np.iinfo(np.int64).min
 _EVER = np.iinfo(np.int64).max
+#: Later than any removal: the end of a version never removed, where ends are compared.
+_LAST = "9999-12-31 23:59:59"
 
 
 @dataclass(frozen=True)
@@ -112,6 +121,52 @@ def _range_of(df: DataFrame, key: str, splits: list[float], name: str) -> DataFr
     return b.transform(with_double).withColumn(name, F.col("_b").cast("int")).drop("_d", "_b")
 
 
+def _slabs_of_versions(parent: DataFrame, per_range: int) -> DataFrame | None:
+    """``target, key, slabs``: instants between which the versions of a key are about ``per_range``, for keys of more versions; None without such keys."""
+    n = F.count(F.lit(1))
+    heavy = parent.groupBy("target", "key").agg(n.alias("n")).where(F.col("n") > per_range)
+    if not heavy.limit(1).count():
+        return None
+    versions = parent.join(broadcast_if_small(heavy), ["target", "key"]).where("begin IS NOT NULL")
+    steps = F.transform(F.sequence(F.lit(1), F.least(F.ceil(F.col("n") / per_range).cast("int"), F.lit(SLABS)) - 1), lambda i: i)
+    fine = versions.groupBy("target", "key", "n").agg(F.percentile_approx("begin", [i / SLABS for i in range(1, SLABS)], 10 * SLABS).alias("q"))
+    # of the fine quantiles as many as slabs are wanted
+    count = F.size(steps) + 1
+    # approximate quantiles may differ from run to run; references and parents must see the same ones
+    ensure_checkpoint_dir(parent.sparkSession)
+    return fine.select("target", "key", F.array_distinct(F.transform(steps, lambda i: F.get("q", F.least(F.floor(i * SLABS / count).cast("int"), F.lit(SLABS - 1)) - 1))).alias("slabs")).checkpoint()
+
+
+def _slab(at: str) -> Column:
+    """How many of the key's instants lie at or before ``at``; 0 for keys without slabs and an unknown time."""
+    return F.coalesce(F.size(F.filter("slabs", lambda s: s <= F.col(at))), F.lit(0)).cast("int")
+
+
+def _in_slabs(parent: DataFrame, slabs: DataFrame) -> DataFrame:
+    """Parents with their slab; slabs of one key also get a version for all before them, and a mark of the last one after.
+
+    A reference in a slab is not before any version of the slabs before it, so of these only the
+    latest end matters; of those after it only that there are some.
+    """
+    p = parent.join(slabs, ["target", "key"], "left").withColumn("slab", _slab("begin"))
+    cut = p.where("slabs IS NOT NULL")
+    end = F.coalesce("end", F.lit(_LAST).cast(parent.schema["end"].dataType))
+    each = cut.groupBy("target", "key", "rng", "cut", "slab").agg(F.min("begin").alias("first"), F.max("begin").alias("last"), F.max(F.when(F.col("begin").isNotNull(), end)).alias("ends"))
+    # one row a slab, at most SLABS a key; slabs without versions of their own may still hold references
+    every = cut.select("target", "key", "rng", "cut", "slabs").distinct().select("target", "key", "rng", "cut", F.explode(F.sequence(F.lit(0), F.size("slabs"))).alias("slab"))
+    along = Window.partitionBy("target", "key").orderBy("slab")
+    before, after = along.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("target", "key").orderBy(F.desc("slab")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = every.join(each, ["target", "key", "rng", "cut", "slab"], "left").select(
+        "target", "key", "rng", "cut", "slab",
+        F.struct(F.min("first").over(before).alias("begin"), F.max("ends").over(before).alias("end")).alias("was"),
+        F.struct(F.max("last").over(after).alias("begin"), F.max("last").over(after).alias("end")).alias("comes"),
+    )
+    cols = ["target", "key", "rng", "cut", "slab", "begin", "end"]
+    # a row without begin says no more than that the key is known
+    carried = carry.select("target", "key", "rng", "cut", "slab", F.inline(F.array("was", "comes")))
+    return p.select(*cols).unionByName(carried.select(*cols))
+
+
 def orphan_references(
     tables: Callable[[str], DataFrame],
     references: list[Reference],
@@ -120,6 +175,9 @@ def orphan_references(
     begin: str = "ingest_ts",
     end: str = "removed_ts",
     none_key: int = -1,
+    per_range: int = PARENTS_PER_RANGE,
+    per_group: int = REFS_PER_GROUP,
+    quantile_ranges: int = QUANTILE_RANGES,
 ) -> DataFrame:
     """``tbl, ref_id, fk, kind, at`` of each reference whose record was not there at that time, once.
 
@@ -131,15 +189,13 @@ def orphan_references(
     """
     targets = list(dict.fromkeys((r.target, r.key) for r in references))
     no = {t: i for i, t in enumerate(targets)}
-    steps = [i / MAX_RANGES for i in range(1, MAX_RANGES)]
     parents, splits = [], {}
     for t, k in targets:
         p = tables(t).select(F.col(k).cast("long").alias("key"), F.col(begin).alias("begin"), F.col(end).alias("end")).where("key IS NOT NULL")
-        n = p.count()
-        ranges = min(MAX_RANGES, -(-n // PARENTS_PER_RANGE)) if n else 1
+        ranges = max(1, min(quantile_ranges, -(-p.count() // per_range)))
         cuts: list[float] = []
         if ranges > 1:
-            q = p.agg(F.percentile_approx("key", steps[MAX_RANGES // ranges - 1 :: max(1, MAX_RANGES // ranges)], 4 * ranges + 1000).alias("q")).first()["q"]
+            q = p.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 4 * ranges + 1000).alias("q")).first()["q"]
             cuts = sorted({float(x) for x in q})
         splits[(t, k)] = cuts
         parents.append(_range_of(p, "key", cuts, "rng").withColumn("target", F.lit(no[(t, k)])))
@@ -163,18 +219,39 @@ def orphan_references(
         )
     ref = reduce(DataFrame.unionByName, refs)
 
-    # at most MAX_RANGES rows a target: how many salts each range needs
-    crowded = ref.groupBy("target", "rng").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > REFS_PER_GROUP).collect()
-    if crowded:
-        spark = ref.sparkSession
-        salts = F.broadcast(spark.createDataFrame([(r.target, r.rng, -(-r.n // REFS_PER_GROUP)) for r in crowded], "target int, rng int, salts int"))
-        ref = ref.join(salts, ["target", "rng"], "left").withColumn("salt", F.pmod(F.xxhash64("ref_id", "key"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-        parent = parent.join(salts, ["target", "rng"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    # at most quantile_ranges rows a target: ranges that quantiles could not make small enough
+    sizes = parent.groupBy("target", "rng").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * per_range).collect()
+    spark, slabs = ref.sparkSession, None
+    if sizes:
+        large = F.broadcast(spark.createDataFrame([(r.target, r.rng, -(-r.n // per_range)) for r in sizes], "target int, rng int, cuts int"))
+        by_hash = F.pmod(F.xxhash64("key"), F.coalesce("cuts", F.lit(1))).cast("int")
+        ref, parent = (df.join(large, ["target", "rng"], "left").withColumn("cut", by_hash) for df in (ref, parent))
+        slabs = _slabs_of_versions(parent.where("cuts IS NOT NULL"), per_range)
+        ref, parent = ref.drop("cuts"), parent.drop("cuts")
+        # of versions without begin it is enough to know that there are any
+        unknown = F.col("begin").isNull()
+        parent = parent.where(~unknown).unionByName(parent.where(unknown).withColumn("end", F.lit(None).cast(parent.schema["end"].dataType)).distinct())
+    else:
+        ref, parent = ref.withColumn("cut", F.lit(0)), parent.withColumn("cut", F.lit(0))
+    if slabs is None:
+        ref, parent = ref.withColumn("slab", F.lit(0)), parent.withColumn("slab", F.lit(0))
+    else:
+        slabs = broadcast_if_small(slabs)
+        ref, parent = ref.join(slabs, ["target", "key"], "left").withColumn("slab", _slab("at")).drop("slabs"), _in_slabs(parent, slabs)
+
+    group = ["target", "rng", "cut", "slab"]
+    crowded = ref.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > per_group).select(*group, F.ceil(F.col("n") / per_group).cast("int").alias("salts"))
+    salts = crowded.limit(BROADCAST_ROWS + 1).collect()
+    if salts:
+        salts = F.broadcast(spark.createDataFrame(salts, crowded.schema)) if len(salts) <= BROADCAST_ROWS else crowded
+        ref = ref.join(salts, group, "left").withColumn("salt", F.pmod(F.xxhash64("ref_id", "key"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        parent = parent.join(salts, group, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     else:
         ref, parent = ref.withColumn("salt", F.lit(0)), parent.withColumn("salt", F.lit(0))
 
     at_type = dict(ref.dtypes)["at"]
-    group = ["target", "rng", "salt"]
+    group = [*group, "salt"]
+    parent = parent.select(*group, "key", "begin", "end")
     missed = (
         ref.groupBy(*group).cogroup(parent.groupBy(*group)).applyInArrow(_probe, f"fk_no int, ref_id long, at {at_type}, kind string")
     )

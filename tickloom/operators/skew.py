@@ -6,6 +6,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.session import ensure_checkpoint_dir
+
 #: Rows up to which a side counts as small enough to broadcast once it has been counted.
 BROADCAST_ROWS = 200_000
 
@@ -98,3 +100,37 @@ def carried(
     )
     names = [*past, *ahead]
     return near.join(far, [*by, "_cell"], "left").withColumns({n: F.coalesce(n, f"_f_{n}") for n in names}).select(*df.columns, *names)
+
+
+def quantile_buckets(df: DataFrame, by: list[str], x: str, buckets: int = 64, name: str = "_b") -> DataFrame:
+    """``df`` with the number of its bucket: how many of the group's quantiles of ``x`` lie below the row's.
+
+    The cuts are quantiles, so that no outlier leaves all other rows in one bucket; rows alike in
+    ``x`` share one. NULL in ``x`` is bucket -1, before all others; NaN is in the last.
+    """
+    v = F.col(x).cast("double")
+    ranks = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    sketch = F.kll_sketch_agg_double(F.when(~F.isnan(v), v))
+    cuts = df.groupBy(*by).agg(F.when(F.count(F.when(~F.isnan(v), v)) > 0, F.kll_sketch_get_quantile_double(sketch, ranks)).alias("_cuts"))
+    # sketches differ from run to run; all that follows must see the same cuts
+    ensure_checkpoint_dir(df.sparkSession)
+    cuts = cuts.checkpoint()
+    wide = join_null_safe(df, cuts, by) if by else df.crossJoin(F.broadcast(cuts))  # one row
+    # binary search: the number of cuts below the value
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((buckets - 1).bit_length()))])
+    below = F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(F.coalesce(F.get("_cuts", n + step - 1) < v, F.lit(False)), step).otherwise(0))
+    return wide.withColumn(name, F.when(v.isNull(), -1).otherwise(below).cast("int")).drop("_cuts")
+
+
+def ordered_rank(df: DataFrame, by: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """0-based position of each row in its ``by`` group, in ascending ``order`` (a number first), although one group may hold all rows.
+
+    Only rows of one bucket of the first column's quantiles are sorted together; the sizes of the
+    buckets before are added. NULLs come first. A NULL in ``by`` is a group of its own.
+    """
+    b = quantile_buckets(df, by, order[0])
+    sizes = b.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    sizes = sizes.select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = b.withColumn("_in", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order)) - 1)
+    return join_null_safe(inside, sizes, by, ["_b"]).select(*df.columns, (F.col("_in") + F.col("_before")).alias(name))

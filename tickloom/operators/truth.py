@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.skew import join_null_safe
+from tickloom.operators.skew import join_null_safe, ordered_rank
 
 
 def best_segment(backtrack: DataFrame, key: str = "hit_row", segments: str = "segment_ids", fractions: str = "fraction") -> DataFrame:
@@ -125,7 +125,7 @@ def prompt_of_final(final: DataFrame, refs: DataFrame | None = None) -> DataFram
 def relabel_by_time(df: DataFrame, label: str, time: str, noise: int = -1, name: str = "group_no") -> DataFrame:
     """Labels renumbered from 0 by mean time, then label; noise stays noise."""
     mean = df.where(F.col(label) != noise).groupBy(label).agg(F.avg(time).alias("_t"))
-    no = mean.withColumn(name, (F.row_number().over(Window.orderBy("_t", label)) - 1).cast("int")).drop("_t")
+    no = ordered_rank(mean, [], ["_t", label], name).select(label, F.col(name).cast("int").alias(name))
     return df.join(no, label, "left").withColumn(name, F.coalesce(name, F.lit(noise)))
 
 

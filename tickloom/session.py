@@ -31,13 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder (as a URI) below the folder that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a local temporary folder is made, and set for ``checkpoint()`` too.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the session runs
+    on one machine, as in tests, a temporary folder is made, and set for ``checkpoint()`` too; on a
+    cluster that is an error, since its executors would write where no other can read.
     """
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tickloom_")
-        spark.sparkContext.setCheckpointDir(base)
+    ensure_checkpoint_dir(spark)
+    base = spark.sparkContext.getCheckpointDir()
     if "://" not in base and not base.startswith("file:"):
         base = "file://" + os.path.abspath(base)
     if base.startswith("file:/") and not base.startswith("file://"):
@@ -46,8 +45,14 @@ def shared_dir(spark: SparkSession, what: str) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Set the folder of checkpoints from ``spark.checkpoint.dir``; see ``shared_dir``."""
     if not spark.sparkContext.getCheckpointDir():
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tickloom_")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise RuntimeError(f"spark.checkpoint.dir is unset and {master} is no single machine: name a folder that all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="tickloom_")
         spark.sparkContext.setCheckpointDir(base)
 
 

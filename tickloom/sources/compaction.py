@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from tickloom.operators.skew import join_null_safe, sliced_rank
 
 TARGET_BYTES = 128 << 20
-MAX_GROUPS = 4096
+#: Groups that are planned together; beyond that there are several blocks of groups, planned alike.
+BLOCK_GROUPS = 1024
 #: Size classes per doubling of the size: members of a class differ by 4.4 % at most.
 CLASSES_PER_OCTAVE = 16
 
@@ -65,22 +66,26 @@ def deal_classes(classes: list[tuple[int, float, int]], groups: int) -> dict[int
     return out
 
 
-def plan_groups(files: DataFrame, key: str, size: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """``files`` with ``group_id``: balanced groups of about ``target_bytes``, at most MAX_GROUPS.
+def plan_groups(files: DataFrame, key: str, size: str, target_bytes: int = TARGET_BYTES, block_groups: int = BLOCK_GROUPS) -> DataFrame:
+    """``files`` with ``group_id``: balanced groups of about ``target_bytes``, as many as the input needs.
 
     A NULL size counts as 0. ``key`` identifies a file; rows with equal keys and sizes may be told
-    apart in any way. The driver sees one row per size class (about 1,000 at most), never a file.
+    apart in any way. The driver sees one row per size class (about 1,000 at most), never a file, and
+    deals the classes to ``block_groups`` groups at most: of more groups there are several blocks.
+    Each takes every so many-th file of each class, so that one plan serves all of them.
     """
     width = F.coalesce(F.col(size), F.lit(0)).cast("double")
     cls = F.floor(CLASSES_PER_OCTAVE * F.log2(width + 1)).cast("int")
     classed = files.withColumn("_cls", cls)
     sizes = classed.groupBy("_cls").agg(F.avg(width).alias("mean"), F.count(F.lit(1)).alias("n")).collect()
     total = sum(r["mean"] * r["n"] for r in sizes)
-    groups = min(MAX_GROUPS, max(1, math.ceil(total / target_bytes)))
-    dealt = deal_classes([(r["_cls"], r["mean"], r["n"]) for r in sizes], groups)
-    if groups == 1:
+    wanted = max(1, math.ceil(total / target_bytes))
+    if wanted == 1:
         return classed.drop("_cls").withColumn("group_id", F.lit(0))
-    # per class, where its runs end: at most MAX_GROUPS numbers for each of the classes
+    blocks = -(-wanted // block_groups)
+    groups = -(-wanted // blocks)
+    dealt = deal_classes([(r["_cls"], r["mean"], -(-r["n"] // blocks)) for r in sizes], groups)
+    # per class, where its runs end: at most BLOCK_GROUPS numbers for each of the classes
     table = {c: (np.cumsum([n for _, n in runs]), np.array([g for g, _ in runs])) for c, runs in dealt.items()}
     shared = files.sparkSession.sparkContext.broadcast(table)
     ranked = sliced_rank(classed, ["_cls"], [key], name="_rank")
@@ -94,7 +99,9 @@ def plan_groups(files: DataFrame, key: str, size: str, target_bytes: int = TARGE
             for one in np.unique(c):
                 ends, ids = shared.value[int(one)]
                 at = c == one
-                g[at] = ids[np.minimum(np.searchsorted(ends, r[at], side="right"), len(ids) - 1)]
+                # classes begin at different blocks, so that rare large files spread over them
+                block, rank = (r[at] + int(one)) % blocks, r[at] // blocks
+                g[at] = block * groups + ids[np.minimum(np.searchsorted(ends, rank, side="right"), len(ids) - 1)]
             yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [pa.array(g)], names=[*names, "group_id"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
@@ -153,7 +160,7 @@ def consolidate(rows: DataFrame, out: str, expected: tuple[int, int] | None = No
 
     The files are published only if their rows and the exclusive or of the rows' hashes agree with
     what was to be written (``expected``, or counted here); else nothing is published and an error
-    is raised.
+    is raised. The driver sees one row per written file of about TARGET_BYTES, 8 for each GB.
     """
     spark: SparkSession = rows.sparkSession
     body = [c for c in rows.columns if c != "group_id"]
@@ -259,12 +266,12 @@ def consolidate_reports(shards: DataFrame, out: str, target_bytes: int = TARGET_
 
     The tiny files are the scheduled items, as large as the reports that they still contribute.
     """
-    kept = unique_reports(shards)
+    once = unique_reports(shards)
     # one row per tiny file, kept: the contents are parsed once for the plan and once to be written
-    files = kept.groupBy("shard_id").agg(F.sum(F.octet_length("report")).alias("bytes"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*kept.columns)).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    files = once.groupBy("shard_id").agg(F.sum(F.octet_length("report")).alias("bytes"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*once.columns)).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
     whole = files.agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x")).first()
     plan = plan_groups(files.select("shard_id", "bytes"), "shard_id", "bytes", target_bytes).drop("bytes")
-    rows = join_null_safe(kept, plan, ["shard_id"])
-    consolidate(rows.select(*kept.columns, "group_id"), out, (whole["n"] or 0, whole["x"] or 0))
+    rows = join_null_safe(once, plan, ["shard_id"])
+    consolidate(rows.select(*once.columns, "group_id"), out, (whole["n"] or 0, whole["x"] or 0))
     files.unpersist()
     return read_consolidated(shards.sparkSession, out, REPORT_DDL)

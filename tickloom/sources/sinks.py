@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.skew import quantile_buckets
+
 SHORT = (-32768, 32767)
 
 
@@ -61,13 +63,11 @@ def overwrite_columns(hits: DataFrame, result: DataFrame, by: list[str], columns
 def work_list(items: DataFrame, file: str, event: str, stride: int, offset: int, slices: int = 64) -> DataFrame:
     """Every ``stride``-th item from ``offset`` on, in the order of file and event; repeated items count once.
 
-    Positions come from counts per file and per slice of the event numbers, so no file, however
+    Positions come from counts per file and per slice between quantiles of the event numbers, so no file, however
     large, is ordered in one task.
     """
     d = items.select(file, event).where(F.col(file).isNotNull() & F.col(event).isNotNull()).distinct()
-    span = d.agg(F.min(event).alias("_lo"), F.max(event).alias("_hi"))  # one row
-    part = F.least(F.floor((F.col(event) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * slices), F.lit(slices - 1))
-    cut = d.crossJoin(F.broadcast(span)).withColumn("_p", part.cast("int")).drop("_lo", "_hi")
+    cut = quantile_buckets(d, [], event, slices, "_p")
     sizes = cut.groupBy(file, "_p").agg(F.count(F.lit(1)).alias("_n"))
     files = sizes.groupBy(file).agg(F.sum("_n").alias("_n"))
     over_files = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)  # one row a file
