@@ -140,7 +140,7 @@ def test_line_helpers():
     assert N.gmm_split(two).max() == 1 and L.split_mixed(two, np.zeros(120, int), [0]).max() == 1
 
 
-def test_pipeline_in_spark_reports_failures(spark, monkeypatch):
+def test_pipeline_in_spark_reports_failures(spark):
     xyz, e, tpc, actual, var, model, true = event()
     hits = [(1, i, *map(float, p), float(w), int(t)) for i, (p, w, t) in enumerate(zip(xyz, e, tpc))]
     hits += [(2, i, *r[2:]) for i, r in enumerate(hits[:5])] + [(1, 9999, float("nan"), 0.0, 0.0, 1.0, 0), hits[0]]
@@ -154,9 +154,12 @@ def test_pipeline_in_spark_reports_failures(spark, monkeypatch):
     s = {r.event_id: (r.ok, r.error) for r in pipeline.status(out).collect()}
     assert s[1] == (True, None) and s[2] == (False, "ValueError: no light")
     assert pipeline.match(h.limit(0), l, pipeline.Options()).count() == 0
-    monkeypatch.setattr(pipeline, "MOST_HITS", 5)
-    s = {r.event_id: r.error for r in pipeline.status(pipeline.match(h.where("event_id = 1"), l, pipeline.Options())).collect()}
-    assert s == {1: "more than 5 hits"}
+    # an event too large for one task is matched TPC by TPC: every hit has a result, no cluster reaches over two TPCs
+    q = pipeline.match(h, l, pipeline.Options("2x2", iters=100, rules=RULES), lambda: models.LinearLight(12, TICKS, PEAK), whole_hits=50).toPandas().set_index("hit_row")
+    one = q[q.event_id == 1].sort_index()
+    assert len(one) == len(true) and (np.abs(one.t0.to_numpy() - true) <= 2).mean() > 0.9
+    assert (one[one.cluster_id >= 0].groupby("cluster_id").tpc.nunique() == 1).all() and one.error.isna().all()
+    assert set(q[q.event_id == 2].error) == {"ValueError: no light"}
 
 
 def test_models_in_spark(spark):
