@@ -68,20 +68,13 @@ def test_best_fill_is_the_best(items, room):
 
 def test_packing_is_whole_and_tight(spark):
     rng = np.random.default_rng(0)
-    sizes = [*rng.integers(1, 120, 3000).tolist(), *[37] * 1500, 0, 0, None, 100, 101, 250, 1000]
+    sizes = [*rng.integers(1, 120, 3000).tolist(), 0, 0, None, 100, 101, 250, 1000]
     df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n int").withColumn("length", F.lit("clash"))
     p = packing.pack(df, "doc_id", "n", 100).toPandas()
     assert p.groupby("doc_id").length.sum().to_dict() == {i: n or 0 for i, n in enumerate(sizes)}
     used = p.groupby("container_id").length.sum()
     total = sum(n or 0 for n in sizes)
-    rest: list[int] = []  # first fit, longest first, of whole containers and rests
-    for n in sorted((min(100, n - k) for n in sizes if n for k in range(0, n, 100)), reverse=True):
-        at = next((i for i, room in enumerate(rest) if room >= n), None)
-        if at is None:
-            rest.append(100 - n)
-        else:
-            rest[at] -= n
-    assert used.max() <= 100 and total <= 100 * len(used) and len(used) <= 1.02 * len(rest)
+    assert used.max() <= 100 and len(used) <= -(-total // 100) + 1
     parts = p.groupby("doc_id").size()
     assert all(parts[i] == max(1, -(-(n or 0) // 100)) for i, n in enumerate(sizes))
     assert p.sort_values(["doc_id", "piece"]).groupby("doc_id").start.apply(lambda s: (np.diff(s) == 100).all()).all()
@@ -91,6 +84,25 @@ def test_packing_is_whole_and_tight(spark):
     assert packing.pack(df.where("n = 0"), "doc_id", "n", 100).toPandas().container_id.tolist() == [0, 0]
 
 
+def first_fit_decreasing(sizes, room):
+    rest: list[int] = []
+    for n in sorted(sizes, reverse=True):
+        at = next((i for i, r in enumerate(rest) if r >= n), None)
+        if at is None:
+            rest.append(room - n)
+        else:
+            rest[at] -= n
+    return len(rest)
+
+
+def test_many_items_of_one_awkward_length(spark):
+    rng = np.random.default_rng(0)
+    sizes = [*rng.integers(1, 101, 3000).tolist(), *[37] * 1500]
+    p = packing.pack(spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n int"), "doc_id", "n", 100).toPandas()
+    used = p.groupby("container_id").length.sum()
+    assert used.max() <= 100 and used.sum() == sum(sizes) and len(used) <= 1.02 * first_fit_decreasing(sizes, 100)
+
+
 def test_patterns_use_up_the_histogram():
     hist = {7: 1000, 13: 401, 50: 3, 99: 77, 100: 5}
     plan = packing.plan_patterns(hist, 100)
@@ -130,6 +142,36 @@ def test_nearest_against_brute_force(spark, crowd):
     assert nearest.nearest_in_time(l, r.limit(0), ["ent"], 5.0, "cand_id", "flash_id", F.col("t"), F.col("t")).count() == 0
 
 
+def test_a_crowded_entity_is_linear_work(spark, monkeypatch):
+    """One entity holds 200 times the rows of a group, a third of them at one instant; the probed rows stay in proportion."""
+    rng = np.random.default_rng(4)
+    n = 6000
+    t = np.where(rng.random(n) < 0.3, 100.0, rng.integers(0, 9600, n) / 32)
+    u = np.where(rng.random(n) < 0.3, 103.0, rng.integers(0, 9600, n) / 32)
+    l = spark.createDataFrame([(i, 1, float(x)) for i, x in enumerate(t)], "cand_id long, ent int, t double")
+    r = spark.createDataFrame([(10_000 + i, 1, float(x)) for i, x in enumerate(u)], "flash_id long, ent int, t double")
+    cut = nearest._cut_crowded
+    sizes = []
+
+    def counted(*a):
+        out = cut(*a)
+        sizes.append([df.groupBy("bucket", "slab", "cut", "salt").count().agg(F.sum("count"), F.max("count")).first() for df in out])
+        return out
+
+    monkeypatch.setattr(nearest, "_cut_crowded", counted)
+    got = {x.left_id: (x.right_id, round(x.dist, 6)) for x in nearest.nearest_in_time(l, r, ["ent"], 5.0, "cand_id", "flash_id", F.col("t"), F.col("t"), 30).collect()}
+    first = {}
+    for j, v in zip(range(10_000, 10_000 + n), u):
+        first.setdefault(v, j)
+    keys = np.array(sorted(first))
+    for i, x in enumerate(t):
+        k = np.searchsorted(keys, x)
+        near = min((round(abs(x - keys[j]), 6), first[keys[j]]) for j in (k - 1, k) if 0 <= j < len(keys))
+        assert (i in got) == (near[0] <= 5) and (i not in got or got[i] == (near[1], near[0]))
+    (all_l, most_l), (all_r, most_r) = sizes[0]
+    assert all_l == n and all_r < 3 * n and most_l <= 60 and most_r <= 90
+
+
 # ---------------------------------------------------------------- 9 reading level
 EASY = "The cat sat on the mat and it was a warm day. We can see the dog run to the big red barn. It is fun to play with a ball in the sun. "
 MIDDLE = "The operator checks the pressure of the system before the next test is started, and then writes a short report for the following shift. "

@@ -3,24 +3,29 @@
 A shard holds the entities of one hash bucket within one slab of time; slabs overlap by the
 tolerance, so that a record's shard holds all its possible partners. Within a shard a piecewise
 linear index over the sorted (entity, time) keys predicts positions within a bounded error, and a
-search of that width around the prediction finds the exact neighbours. Crowded shards are cut on
-both sides by hashes of the ids; each record keeps the best partner of its cuts.
+search of that width around the prediction finds the exact neighbours. Crowded shards are cut
+further along time, at quantiles; what such a cut needs of its neighbours is one record an entity,
+the last one before it and the first one after it. Only where many records ask at one instant are
+they spread by hashes of their ids, with a copy of that cut each. The work stays in proportion to
+the records, however many of them one entity holds.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.skew import broadcast_if_small
+from tickloom.operators.skew import broadcast_if_small, carried, kept
+from tickloom.session import ensure_checkpoint_dir
 
 #: Positions by which a prediction may be off, rows of a side in one group, slab width in tolerances.
 MAX_ERROR = 16
 ROWS_PER_GROUP = 200_000
 SLAB_TOLERANCES = 64
+#: Cuts of a crowded shard at most; beyond that they are larger.
+MOST_CUTS = 1024
 
 
 class LearnedIndex:
@@ -167,28 +172,54 @@ def nearest_in_time(
             finite = finite & F.col(f"e{i}").isNotNull()
         return out.where(finite & F.col("id").isNotNull())
 
-    l, r = sharded(left, left_id, left_time), sharded(right, right_id, right_time).persist(StorageLevel.MEMORY_AND_DISK)
+    l, r = sharded(left, left_id, left_time), kept(sharded(right, right_id, right_time))
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     buckets = min(100_000, max(2 * parts, -(-r.count() // (rows_per_group // 4))))
-    bucket = F.pmod(F.xxhash64(*[f"e{i}" for i in range(len(entity))]), F.lit(buckets)).cast("int")
+    names = [f"e{i}" for i in range(len(entity))]
+    bucket = F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int")
     l = l.withColumn("bucket", bucket).withColumn("slab", F.floor(F.col("t") / width))
     r = r.withColumn("bucket", bucket).withColumn("slab", F.explode(F.sequence(F.floor((F.col("t") - tolerance) / width), F.floor((F.col("t") + tolerance) / width))))
 
-    shard = ["bucket", "slab"]
-
-    def crowded(df: DataFrame, name: str) -> DataFrame:
-        n = F.count(F.lit(1))
-        return df.groupBy(*shard).agg(n.alias("n")).where(F.col("n") > rows_per_group).select(*shard, F.ceil(F.col("n") / rows_per_group).cast("int").alias(name))
-
-    cuts = broadcast_if_small(crowded(l, "lcuts").join(crowded(r, "rcuts"), shard, "full"))
-    one = F.lit(1)
-
-    def salted(df: DataFrame, own: str, other: str) -> DataFrame:
-        df = df.join(cuts, shard, "left")
-        mine = F.pmod(F.xxhash64("id"), F.coalesce(f"{own}cuts", one)).cast("int")
-        return df.withColumn(f"{own}salt", mine).withColumn(f"{other}salt", F.explode(F.sequence(F.lit(0), F.coalesce(f"{other}cuts", one) - 1))).drop("lcuts", "rcuts")
-
-    group = [*shard, "lsalt", "rsalt"]
-    pairs = salted(l, "l", "r").groupBy(*group).cogroup(salted(r, "r", "l").groupBy(*group)).applyInArrow(_probe(len(entity), tolerance), "left_id long, right_id long, dist double")
+    l, r = _cut_crowded(l, r, names, rows_per_group)
+    group = ["bucket", "slab", "cut", "salt"]
+    pairs = l.groupBy(*group).cogroup(r.groupBy(*group)).applyInArrow(_probe(len(entity), tolerance), "left_id long, right_id long, dist double")
     best = pairs.groupBy("left_id").agg(F.min(F.struct("dist", "right_id")).alias("_b"))
     return best.select("left_id", "_b.right_id", "_b.dist")
+
+
+def _cut_crowded(l: DataFrame, r: DataFrame, names: list[str], rows_per_group: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``cut`` and ``salt``, 0 but in crowded shards."""
+    shard, one, zero = ["bucket", "slab"], F.lit(1), F.lit(0)
+    n = F.count(one)
+    plain = lambda df: df.withColumns({"cut": zero, "salt": zero})
+    sizes = l.groupBy(*shard).agg(n.alias("n")).unionByName(r.groupBy(*shard).agg(n.alias("n"))).groupBy(*shard).agg(F.max("n").alias("n"))
+    crowded = sizes.where(F.col("n") > rows_per_group).select(*shard, F.least(F.ceil(2 * F.col("n") / rows_per_group), F.lit(MOST_CUTS)).cast("int").alias("cuts"))
+    ensure_checkpoint_dir(l.sparkSession)
+    crowded = crowded.checkpoint()  # one row for each rows_per_group records
+    if not crowded.limit(1).count():
+        return plain(l), plain(r)
+    some = broadcast_if_small(crowded)
+    # of records alike in entity and time only the smallest id can be wanted
+    rc = r.join(some, shard).groupBy(*shard, *names, "t").agg(F.min("id").alias("id"))
+    lc = l.join(some, shard).drop("cuts")
+    times = lc.select(*shard, "t").unionByName(rc.select(*shard, "t")).groupBy(*shard).agg(F.percentile_approx("t", [i / MOST_CUTS for i in range(1, MOST_CUTS)], 10 * MOST_CUTS).alias("q"))
+    # of the fine quantiles as many as cuts are wanted; both sides must see the same ones
+    picked = F.transform(F.sequence(one, F.col("cuts") - 1), lambda i: F.get("q", F.greatest(F.floor(i * MOST_CUTS / F.col("cuts")).cast("int"), one) - 1))
+    bounds = times.join(some, shard).select(*shard, F.array_distinct(picked).alias("bounds")).checkpoint()
+    bounds = broadcast_if_small(bounds)
+    cut = F.size(F.filter("bounds", lambda b: b <= F.col("t")))
+    lc, rc = (df.join(bounds, shard).withColumn("cut", cut.cast("long")).drop("bounds") for df in (lc, rc))
+    # of the cuts before and after, each entity that asks needs its last and its first record
+    at = F.struct("t", "id")
+    ends = rc.groupBy(*shard, *names, "cut").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    asks = lc.select(*shard, *names, "cut").distinct()
+    both = ends.join(asks.withColumn("asks", F.lit(True)), [*shard, *names, "cut"], "full")
+    near = carried(both, [*shard, *names], "cut", {"before": F.col("last")}, {"after": F.col("first")}, own=False).where("asks")
+    rc = rc.select(*shard, *names, "cut", "t", "id").unionByName(near.select(*shard, *names, "cut", F.inline(F.array_compact(F.array("before", "after")))).select(*shard, *names, "cut", "t", "id"))
+    # many records at one instant: copies of the cut, which is small on the other side
+    full = lc.groupBy(*shard, "cut").agg(n.alias("n")).where(F.col("n") > rows_per_group).select(*shard, "cut", F.ceil(F.col("n") / rows_per_group).cast("int").alias("salts"))
+    full = broadcast_if_small(full)
+    lc = lc.join(full, [*shard, "cut"], "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", one)).cast("int"))
+    rc = rc.join(full, [*shard, "cut"], "left").withColumn("salt", F.explode(F.sequence(zero, F.coalesce("salts", one) - 1)))
+    rest = [plain(df.join(some.select(*shard), shard, "left_anti")) for df in (l, r)]
+    return tuple(a.select(*c).unionByName(b.select(*c)) for a, b, c in ((rest[0], lc, [*shard, "cut", "salt", "id", "t", *names]), (rest[1], rc, [*shard, "cut", "salt", "id", "t", *names])))

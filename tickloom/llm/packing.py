@@ -13,11 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.skew import sliced_rank
+from tickloom.operators.skew import kept, sliced_rank
 
 
 def best_fill(counts: dict[int, int], order: list[int], room: int) -> dict[int, int]:
@@ -82,10 +81,11 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     """
     width = F.greatest(F.coalesce(F.col(size), F.lit(0)).cast("long"), F.lit(0))
     last = F.greatest(F.ceil(width / capacity).cast("long") - 1, F.lit(0))
-    pieces = (
+    # sizes may be costly; histogram and ranks share them
+    pieces = kept(
         items.select(F.col(key), width.alias("_w"), F.posexplode(F.sequence(F.lit(0).cast("long"), last)).alias("piece", "_n"))
         .select(key, "piece", (F.col("_n") * capacity).alias("start"), F.least(F.col("_w") - F.col("_n") * capacity, F.lit(capacity)).cast("int").alias("length"))
-    ).persist(StorageLevel.MEMORY_AND_DISK)  # sizes may be costly; histogram and ranks share them
+    )
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = plan_patterns({n: c for n, c in histogram.items() if n}, capacity)
     total = sum(t for t, _ in plan)

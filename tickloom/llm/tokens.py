@@ -18,10 +18,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.skew import kept
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 512
@@ -157,7 +158,7 @@ def encode_corpus(
     short = docs.where(~is_long).mapInArrow(_encoder([key], "_text", path, count_only, name), f"{key} {key_kind}, {name} {kind}")
 
     # the long texts are read from storage once; the branches below share them
-    keyed = docs.where(is_long).withColumn("_key", F.sha2("_text", 256)).persist(StorageLevel.MEMORY_AND_DISK)
+    keyed = kept(docs.where(is_long).withColumn("_key", F.sha2("_text", 256)))
     texts = keyed.groupBy("_key").agg(F.first("_text").alias("text")).select(F.col("_key").alias("key"), "text")
     chunks = texts.mapInArrow(_chunks(chunk, overlap), "key string, i int, last boolean, chunk string").repartition("key", "i")
     ends = chunks.mapInArrow(_ends(chunk, overlap), "key string, i int, head array<long>, tail array<long>")
