@@ -99,8 +99,11 @@ def dbscan(points: DataFrame, key: str, eps: float, least: int, by: list[str] |
 
 
 def labels_by_energy(clusters: DataFrame, hits: DataFrame, key: str, energy: str, by: list[str], first: int = 0) -> DataFrame:
-    """``by, key, label``: clusters numbered from ``first`` by summed energy, largest first; -1 for none."""
-    e = clusters.join(hits.select(*by, key, energy), [*by, key]).where("cluster IS NOT NULL").groupBy(*by, "cluster").agg(F.sum(energy).alias("_e"))
+    """``by, key, label``: clusters numbered from ``first`` by summed energy, largest first; -1 for none.
+
+    Energies alike to 6 decimals are ties, so that no order of summation changes a label; ties by cluster.
+    """
+    e = clusters.join(hits.select(*by, key, energy), [*by, key]).where("cluster IS NOT NULL").groupBy(*by, "cluster").agg(F.round(F.sum(energy), 6).alias("_e"))
     ranked = ordered_rank(e.withColumn("_less", -F.col("_e")), by, ["_less", "cluster"], "_r")
     no = ranked.select(*by, "cluster", (F.col("_r") + first).cast("int").alias("label"))
     return clusters.join(no, [*by, "cluster"], "left").select(*by, key, F.coalesce("label", F.lit(-1)).alias("label"))

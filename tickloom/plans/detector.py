@@ -370,7 +370,12 @@ def merged_seeds(spark, d):
     return fl.merged_seeds(event_flashes(spark, d).where("tpc IS NOT NULL"), ["light_id", "tpc"], TWO)
 
 
-@query("thinned_seeds")
+_ND_TIME = "(((hit_time_range[1] + coalesce(hit_time_range[2], hit_time_range[1])) / 2) / 16 - 5)"
+_THINNED = f"""(SELECT light_id, tpc, list_reduce(list_prepend([]::DOUBLE[], list([t] ORDER BY t)), lambda acc, x: CASE WHEN len(acc) = 0 OR x[1] - acc[-1] > 5 THEN list_concat(acc, x) ELSE acc END) AS seeds
+  FROM (SELECT DISTINCT light_id, tpc, greatest(0::DOUBLE, least(800::DOUBLE, floor(t + 0.5))) AS t FROM (SELECT light_id, tpc, {_ND_TIME} AS t FROM {_EVENT_FLASHES} WHERE {_GOOD} AND tpc IS NOT NULL) WHERE {_not_nan('t')}) GROUP BY 1, 2)"""
+
+
+@query("thinned_seeds", f"SELECT * FROM {_THINNED}")
 def thinned_seeds(spark, d):
     return fl.thinned_seeds(event_flashes(spark, d).where("tpc IS NOT NULL"), ["light_id", "tpc"], ND)
 
@@ -422,7 +427,14 @@ def mark_assignment(spark, d):
     return fl.candidate_rows(t.withColumn("candidates", fl.mark_assignment(F.col("candidates"), F.lit(300.0), 50.0)), ["event_id", "tpc"])
 
 
-@query("replay_assignments")
+@query(
+    "replay_assignments",
+    f"""WITH c AS (SELECT event_id, tpc, list({{'t0': t0, 'received': received}} ORDER BY t0) AS c FROM {_CTABLE} GROUP BY 1, 2),
+a AS (SELECT event_id, tpc, list([{{'t0': t0, 'received': true}}] ORDER BY -(t0 % 7), cand_id, t0) FILTER (t0 IS NOT NULL AND {_not_nan('t0')}) AS a FROM candidates WHERE received AND event_id IS NOT NULL AND tpc IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT c.event_id, c.tpc, list_reduce(list_prepend(c.c, coalesce(a.a, [])), lambda acc, x: list_append(list_filter(acc, lambda v: abs(v.t0 - x[1].t0) > 5), {{'t0': coalesce(list_sort(list_transform(list_filter(acc,
+    lambda v: v.received AND abs(v.t0 - x[1].t0) <= 5), lambda v: {{'d': abs(v.t0 - x[1].t0), 't': v.t0}}))[1].t, x[1].t0), 'received': true}})) AS c FROM c JOIN a ON a.event_id = c.event_id AND a.tpc = c.tpc)
+SELECT event_id, tpc, u.t0 AS t0, u.received AS received FROM (SELECT event_id, tpc, unnest(c) AS u FROM r)""",
+)
 def replay_assignments(spark, d):
     t = candidate_table(spark, d)
     a = table(spark, d, "candidates").where("received AND event_id IS NOT NULL AND tpc IS NOT NULL").groupBy("event_id", "tpc").agg(
@@ -431,7 +443,11 @@ def replay_assignments(spark, d):
     return fl.candidate_rows(t.join(a, ["event_id", "tpc"]).withColumn("candidates", fl.replay_assignments(F.col("candidates"), F.col("a"))).drop("a"), ["event_id", "tpc"])
 
 
-@query("amend_with_tracks")
+@query(
+    "amend_with_tracks",
+    f"""SELECT f.light_id, f.tpc, list_reduce(list_prepend(f.seeds, coalesce(t.a, [])), lambda acc, x: CASE WHEN len(list_filter(acc, lambda v: abs(v - x[1]) <= 10)) > 0 THEN list_sort(list_concat(list_filter(acc, lambda v: abs(v - x[1]) > 10), x)) ELSE acc END) AS seeds
+FROM {_THINNED} f JOIN (SELECT light_id, tpc, list([t0] ORDER BY t0 DESC, cand_id) FILTER (t0 IS NOT NULL AND {_not_nan('t0')}) AS a FROM candidates WHERE light_id IS NOT NULL AND tpc IS NOT NULL GROUP BY 1, 2) t ON t.light_id = f.light_id AND t.tpc = f.tpc""",
+)
 def amend_with_tracks(spark, d):
     f = fl.thinned_seeds(event_flashes(spark, d).where("tpc IS NOT NULL"), ["light_id", "tpc"], ND)
     t = table(spark, d, "candidates").where("light_id IS NOT NULL AND tpc IS NOT NULL").groupBy("light_id", "tpc").agg(F.collect_list(F.struct(F.col("t0").alias("energy"), F.col("cand_id").alias("cluster"), "t0")).alias("a"))
@@ -464,7 +480,20 @@ def source_detail(spark, d):
     return fl.source_detail(c, assigned_hits(spark, d), ["event_id", "tpc"]).drop("labels").withColumn("energy", F.round("energy", 6))
 
 
-@query("snap_to_charge")
+def _canonical_sql(src: str) -> str:
+    """SQL: ``event_id, tpc, t0`` of ``src`` without times rounding to 0, merged to the medians of their gap groups."""
+    some = f"(SELECT event_id, tpc, t0 FROM {src} WHERE t0 IS NOT NULL AND {_not_nan('t0')} AND round_even(t0, 0) <> 0)"
+    return f"(SELECT event_id, tpc, median(t0) AS t0 FROM {_islands_sql(some, 'event_id, tpc', 't0', 5)} GROUP BY event_id, tpc, gap_id)"
+
+
+_SNAP = _canonical_sql("(SELECT * FROM candidates WHERE event_id IS NOT NULL AND tpc IS NOT NULL)")
+_NEAR_HITS = f"(SELECT f.event_id, f.tpc, f.t0, h.t_0::DOUBLE AS x, h.e FROM {_SNAP} f JOIN {_LOADED} h ON h.event_id = f.event_id AND h.hit_tpc_id = f.tpc AND h.t_0 >= 0 AND abs(h.t_0 - f.t0) <= 5 WHERE h.e > 0)"
+
+
+@query(
+    "snap_to_charge",
+    f"""SELECT * FROM {_canonical_sql(f'(SELECT f.event_id, f.tpc, coalesce(m.v, f.t0) AS t0 FROM {_SNAP} f LEFT JOIN {_quantile_sql(0.5, "x", "e", _NEAR_HITS, "event_id, tpc, t0")} m ON m.event_id = f.event_id AND m.tpc = f.tpc AND m.t0 = f.t0)')}""",
+)
 def snap_to_charge(spark, d):
     c = table(spark, d, "candidates").where("event_id IS NOT NULL AND tpc IS NOT NULL")
     return fl.snap_to_charge(c, assigned_hits(spark, d), ["event_id", "tpc"])

@@ -164,18 +164,41 @@ def support_tiles(spark, d):
     return support.bright_tiles(channel_light(spark, d), ["light_id", "tpc"], "channel", "light", 2, 2).select("light_id", "tpc", "channel")
 
 
-@query("support_runs")
+def _share_sql(share: float, by: str) -> str:
+    """SQL: the rows of the channel light that hold ``share`` of the light of their group."""
+    src = f"(SELECT *, channel // 3 AS side FROM {_CHL})"
+    return f"(SELECT * FROM (SELECT *, coalesce(sum(light) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(light) OVER (PARTITION BY {by}) AS t FROM {src} WINDOW w AS (PARTITION BY {by} ORDER BY light DESC, channel)) WHERE t > 0 AND light > 0 AND b < {share} * t)"
+
+
+@query(
+    "support_runs",
+    f"""WITH s AS (SELECT light_id, tpc, side, min(channel) AS first, max(channel) AS last FROM (SELECT *, sum(g) OVER (PARTITION BY light_id, tpc, side ORDER BY channel) AS isl FROM
+  (SELECT light_id, tpc, side, channel, CASE WHEN channel - lag(channel) OVER (PARTITION BY light_id, tpc, side ORDER BY channel) > 3 THEN 1 ELSE 0 END AS g FROM {_share_sql(0.9, 'light_id, tpc')})) GROUP BY light_id, tpc, side, isl)
+SELECT light_id, tpc, side, first, last, light FROM (SELECT s.*, light, row_number() OVER (PARTITION BY s.light_id, s.tpc, s.side ORDER BY light DESC, first) AS r FROM s JOIN (SELECT s.light_id, s.tpc, s.side, s.first AS f, round(sum(c.light), 5) AS light FROM s
+  JOIN {_CHL} c ON c.light_id = s.light_id AND c.tpc = s.tpc AND c.channel BETWEEN s.first AND s.last AND c.channel // 3 = s.side GROUP BY 1, 2, 3, 4) l ON l.light_id = s.light_id AND l.tpc = s.tpc AND l.side = s.side AND l.f = s.first) WHERE r = 1""",
+)
 def support_runs(spark, d):
-    return support.side_runs(channel_light(spark, d), ["light_id", "tpc"], "channel", "light", 3)
+    return support.side_runs(channel_light(spark, d), ["light_id", "tpc"], "channel", "light", 3).withColumn("light", F.round("light", 5))
 
 
-@query("support_widened")
+@query(
+    "support_widened",
+    f"""SELECT light_id, tpc, unnest(range(side * 3 + greatest(a - 1, 0), side * 3 + least(b + 1, 2) + 1)) AS channel FROM (SELECT light_id, tpc, side, min(channel % 3) AS a, max(channel % 3) AS b FROM {_share_sql(0.5, 'light_id, tpc')} GROUP BY 1, 2, 3)""",
+)
 def support_widened(spark, d):
     s = support.top_share(channel_light(spark, d), ["light_id", "tpc"], "channel", "light", 0.5)
     return support.widened(s, ["light_id", "tpc"], 3, 1)
 
 
-@query("support_after_veto")
+_VETO = f"(SELECT DISTINCT light_id, tpc, channel FROM {_L0} WHERE len(list_filter(actual, lambda x: x > 300)) > 6)"
+_KEPT = f"(SELECT light_id, tpc, channel FROM {_share_sql(0.9, 'light_id, tpc')} s ANTI JOIN {_VETO} v ON v.light_id = s.light_id AND v.tpc = s.tpc AND v.channel = s.channel)"
+
+
+@query(
+    "support_after_veto",
+    f"""SELECT * FROM {_KEPT} UNION ALL SELECT a.* FROM (SELECT DISTINCT light_id, tpc, channel FROM {_L0}) a ANTI JOIN {_VETO} v ON v.light_id = a.light_id AND v.tpc = a.tpc AND v.channel = a.channel
+WHERE (a.light_id, a.tpc) IN (SELECT (light_id, tpc) FROM {_share_sql(0.9, 'light_id, tpc')}) AND (a.light_id, a.tpc) NOT IN (SELECT (light_id, tpc) FROM {_KEPT})""",
+)
 def support_after_veto(spark, d):
     l = light_table(spark, d)
     s = support.top_share(channel_light(spark, d), ["light_id", "tpc"], "channel", "light")
@@ -212,7 +235,10 @@ def overflow_ranking(spark, d):
     return light.overflow_ranking(s, ["light_id"], "tpc", RULES).select("light_id", "tpc", "t0", "source_rank")
 
 
-@query("destination_ranking")
+@query(
+    "destination_ranking",
+    f"SELECT light_id, tpc, t0, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY light_id, tpc ORDER BY window_deficit DESC, t0) AS r FROM {_SUMMARY} WHERE abs(t0) > 5 AND window_deficit >= 100) WHERE r <= 10",
+)
 def destination_ranking(spark, d):
     s = light.window_summaries(light_table(spark, d), light_candidates(spark, d), ["light_id", "tpc"], RULES)
     return light.destination_ranking(s, ["light_id", "tpc"], F.lit(0.0), 5.0, RULES).select("light_id", "tpc", "t0", "rank")
@@ -239,14 +265,36 @@ def residual_curves(spark, d):
     return light.residual_curves(light_table(spark, d), ["light_id", "tpc"]).select("light_id", "tpc", F.round(F.array_max("deficit"), 3).alias("top"))
 
 
-@query("residual_seeds")
+def curves(spark, d) -> DataFrame:
+    """Residual curves, rounded, so that heights alike are ties in any order of summation."""
+    c = light.residual_curves(light_table(spark, d), ["light_id", "tpc"])
+    return c.withColumns({n: F.transform(n, lambda v: F.round(v, 6)) for n in ("deficit", "overflow")})
+
+
+def _curve_sql(value: str) -> str:
+    return f"""(SELECT light_id, tpc, tick, round(sum(v) OVER (PARTITION BY light_id, tpc ORDER BY tick ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) / 11, 6) AS v FROM (SELECT light_id, tpc, tick, sum(greatest({value}, 0)) AS v FROM {_TICK} GROUP BY 1, 2, 3))"""
+
+
+def _peaks_sql(src: str, floor: str, n: int, separation: int) -> str:
+    """SQL: ``light_id, tpc, p`` (a list) of the highest ticks from ``floor`` on, each far enough from those before."""
+    return f"""(SELECT light_id, tpc, list_reduce(list_prepend([]::BIGINT[], list([tick] ORDER BY v DESC, tick)), lambda acc, x: CASE WHEN len(acc) < {n} AND len(list_filter(acc, lambda k: abs(k - x[1]) < {separation})) = 0 THEN list_concat(acc, x) ELSE acc END) AS p
+  FROM (SELECT s.* FROM {src} s JOIN (SELECT light_id, tpc, max(v) AS top, {floor} AS f FROM {src} GROUP BY 1, 2) m ON m.light_id = s.light_id AND m.tpc = s.tpc WHERE m.top > 0 AND s.v >= m.f) GROUP BY 1, 2)"""
+
+
+_RESIDUAL_PEAKS = _peaks_sql(_curve_sql("a - m"), "greatest(0.3::DOUBLE * max(v), avg(v) + sqrt(greatest(avg(v * v) - avg(v) ** 2, 0)))", 4, 10)
+
+
+@query("residual_seeds", f"SELECT * FROM (SELECT light_id, tpc, CAST(unnest(p) - 20 AS DOUBLE) AS t0 FROM {_RESIDUAL_PEAKS}) WHERE t0 BETWEEN 0 AND {TICKS}")
 def residual_seeds(spark, d):
-    return light.seeds_from_residual(light.residual_curves(light_table(spark, d), ["light_id", "tpc"]), ["light_id", "tpc"], TICKS, peak=20)
+    return light.seeds_from_residual(curves(spark, d), ["light_id", "tpc"], TICKS, peak=20)
 
 
-@query("residual_peaks")
+@query(
+    "residual_peaks",
+    " UNION ALL ".join(f"SELECT light_id, tpc, {sign} AS sign, CAST(unnest(p) AS INTEGER) AS tick FROM {_peaks_sql(_curve_sql(v), '0.3::DOUBLE * max(v)', 3, 8)}" for sign, v in ((1, "a - m"), (-1, "m - a"))),
+)
 def residual_peaks(spark, d):
-    return light.signed_peaks(light.residual_curves(light_table(spark, d), ["light_id", "tpc"]), ["light_id", "tpc"], 3, 8, 0.3)
+    return light.signed_peaks(curves(spark, d), ["light_id", "tpc"], 3, 8, 0.3)
 
 
 @query(
@@ -349,14 +397,21 @@ def local_density(spark, d):
     return spatial.local_density(points(spark, d), "e", "hit_row", r=12.0, by=["event_id"]).withColumn("rho", F.round("rho", 6))
 
 
-@query("fragment_edges")
+@query(
+    "fragment_edges",
+    f"SELECT DISTINCT event_id, least(a, b) AS a, greatest(a, b) AS b FROM (SELECT *, row_number() OVER (PARTITION BY event_id, a ORDER BY dist, b) AS r FROM {_PAIRS}) WHERE r <= 16 AND dist / 6 - 0.1::DOUBLE * least(ln(1 + greatest(ea, 0)), ln(1 + greatest(eb, 0))) <= 1.25",
+)
 def fragment_edges(spark, d):
     return spatial.fragment_edges(points(spark, d), "e", "hit_row", r=12.0, by=["event_id"])
 
 
-@query("noise_neighbors")
+@query(
+    "noise_neighbors",
+    f"""SELECT event_id, hit_row, cluster, round(dist, 6) AS dist FROM (SELECT *, min(dist) OVER (PARTITION BY event_id, hit_row) AS low FROM (SELECT a.event_id, a.hit_row, b.cluster, min({_D}) AS dist FROM {_P} a JOIN {_P} b
+  ON a.event_id = b.event_id AND a.cluster = 7 AND b.cluster <> 7 AND abs(a.x - b.x) <= 40 AND {_D} <= 40 GROUP BY 1, 2, 3)) WHERE dist <= 1.2 * low""",
+)
 def noise_neighbors(spark, d):
-    return spatial.noise_neighbors(points(spark, d), "hit_row", "cluster", noise=7, by=["event_id"])
+    return spatial.noise_neighbors(points(spark, d), "hit_row", "cluster", noise=7, by=["event_id"]).withColumn("dist", F.round("dist", 6))
 
 
 @query(
@@ -369,7 +424,16 @@ def radius_components(spark, d):
     return components.radius_components(points(spark, d), "hit_row", 12.0, ["event_id"])
 
 
-@query("density_clusters")
+_DBSCAN = f"""WITH RECURSIVE n AS MATERIALIZED (SELECT event_id, a, b FROM {_PAIRS}), core AS MATERIALIZED (SELECT event_id, a AS node FROM n GROUP BY 1, 2 HAVING count(*) + 1 >= 3),
+e AS MATERIALIZED (SELECT n.* FROM n SEMI JOIN core c ON c.event_id = n.event_id AND c.node = n.a SEMI JOIN core k ON k.event_id = n.event_id AND k.node = n.b),
+r(event_id, node, root) AS (SELECT event_id, node, node FROM core UNION SELECT e.event_id, e.b, r.root FROM r JOIN e ON e.event_id = r.event_id AND e.a = r.node WHERE r.root < e.b),
+comp AS MATERIALIZED (SELECT event_id, node, min(root) AS c FROM r GROUP BY 1, 2), border AS (SELECT n.event_id, n.a AS node, min(k.c) AS c FROM n JOIN comp k ON k.event_id = n.event_id AND k.node = n.b GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT p.event_id, p.hit_row, coalesce(k.c, b.c) AS cluster, p.e FROM {_P} p LEFT JOIN comp k ON k.event_id = p.event_id AND k.node = p.hit_row LEFT JOIN border b ON b.event_id = p.event_id AND b.node = p.hit_row),
+no AS (SELECT event_id, cluster, CAST(row_number() OVER (PARTITION BY event_id ORDER BY round(sum(e), 6) DESC, cluster) - 1 AS INTEGER) AS label FROM l WHERE cluster IS NOT NULL GROUP BY 1, 2)
+SELECT l.event_id, l.hit_row, coalesce(no.label, -1) AS label FROM l LEFT JOIN no ON no.event_id = l.event_id AND no.cluster = l.cluster"""
+
+
+@query("density_clusters", _DBSCAN)
 def density_clusters(spark, d):
     p = points(spark, d)
     return components.labels_by_energy(components.dbscan(p, "hit_row", 12.0, 3, ["event_id"]), p, "hit_row", "e", ["event_id"])
@@ -381,20 +445,42 @@ def principal_axes(spark, d):
     return a.select("event_id", "cluster", "n_hits", *[F.round(c, 4).alias(c) for c in ("energy", "length", "linearity", "planarity", "transverse_rms")])
 
 
-@query("suspicious_clusters")
+@query(
+    "suspicious_clusters",
+    f"""SELECT event_id, cluster, reasons FROM (SELECT event_id, cluster, n, energy, list_filter([CASE WHEN cluster % 3 = 0 THEN 'unassigned' END, CASE WHEN lin < 0.82 THEN 'low_linearity' END, CASE WHEN width > 4 THEN 'wide_cluster' END,
+  CASE WHEN score > 0.10 THEN 'weak_matrix_margin' END, CASE WHEN coalesce(gain, 0) <= 0 THEN 'weak_light_improvement' END], lambda x: x IS NOT NULL) AS reasons FROM (SELECT event_id, cluster, count(*) AS n, sum(e) AS energy, count_if(y > 0) / count(*) AS lin, round(stddev_pop(z) / 60, 9) AS width,
+  round(max(e) / sum(e), 9) AS score, round(avg(e) - 1.2, 9) AS gain FROM {_P} WHERE cluster >= 0 GROUP BY 1, 2)) WHERE n >= 8 AND energy >= 1 AND len(reasons) > 0""",
+)
 def suspicious_clusters(spark, d):
-    a = components.principal_axes(points(spark, d).where("cluster >= 0"), ["event_id", "cluster"], "e")
-    c = a.withColumns({"assigned": F.col("cluster") % 3 > 0, "normalized_score": F.lit(0.05), "gain_per_mev": F.col("linearity") - 0.3})
-    return light.suspicious_clusters(c).select("event_id", "cluster", "reasons")
+    # shares and spreads of the hits play the scores of the light
+    c = points(spark, d).where("cluster >= 0").groupBy("event_id", "cluster").agg(
+        F.count(F.lit(1)).alias("n_hits"), F.sum("e").alias("energy"), (F.count_if(F.col("y") > 0) / F.count(F.lit(1))).alias("linearity"), F.round(F.stddev_pop("z") / 60, 9).alias("transverse_rms"),
+        F.round(F.max("e") / F.sum("e"), 9).alias("normalized_score"), F.round(F.avg("e") - 1.2, 9).alias("gain_per_mev"),
+    )
+    return light.suspicious_clusters(c.withColumn("assigned", F.col("cluster") % 3 > 0)).select("event_id", "cluster", "reasons")
+
+
+_ENDS = f"(SELECT event_id, t_cluster_id AS cluster, sum(e) AS energy, arg_min([x, y, z], hit_row) AS p, arg_max([x, y, z], hit_row) AS q FROM {_LOADED} WHERE t_cluster_id >= 0 GROUP BY 1, 2)"
+_UNIT = f"(SELECT *, [q[i] - p[i] for i in [1, 2, 3]] AS v, sqrt(list_sum([(q[i] - p[i]) ** 2 for i in [1, 2, 3]])) AS len FROM {_ENDS})"
+_TPC_CENTERS = f"(SELECT event_id, t_cluster_id AS cluster, hit_tpc_id AS tpc, avg(y) AS yc, avg(z) AS zc FROM {_LOADED} WHERE t_cluster_id >= 0 AND hit_tpc_id IS NOT NULL GROUP BY 1, 2, 3)"
+_SWAPS = f"""(WITH n AS (SELECT event_id, cluster, count(DISTINCT tpc) AS n FROM {_TPC_CENTERS} GROUP BY 1, 2), t AS (SELECT u.*, n.n FROM {_UNIT} u JOIN n ON n.event_id = u.event_id AND n.cluster = u.cluster),
+  s AS (SELECT a.event_id, a.cluster AS a, b.cluster AS b, count(*) AS n, avg(sqrt((a.yc - b.yc) ** 2 + (a.zc - b.zc) ** 2)) AS yz FROM {_TPC_CENTERS} a JOIN {_TPC_CENTERS} b ON a.event_id = b.event_id AND a.tpc = b.tpc AND a.cluster < b.cluster GROUP BY 1, 2, 3)
+  SELECT s.event_id, s.a, s.b, s.n AS shared, ta.n + tb.n - 2 * s.n AS other, least(ta.energy, tb.energy) / greatest(ta.energy, tb.energy, 1e-6) AS ratio, abs(list_sum([ta.v[i] * tb.v[i] for i in [1, 2, 3]])) / greatest(ta.len * tb.len, 1e-12) AS cosine, s.yz,
+    least({", ".join(f"sqrt((ta.{i}[2] - tb.{k}[2]) ** 2 + (ta.{i}[3] - tb.{k}[3]) ** 2)" for i in "pq" for k in "pq")}) AS ends FROM s JOIN t ta ON ta.event_id = s.event_id AND ta.cluster = s.a JOIN t tb ON tb.event_id = s.event_id AND tb.cluster = s.b)"""
 
 
-@query("swap_candidates")
+@query(
+    "swap_candidates",
+    f"SELECT event_id, a, b, round(5 * shared - 1.5 * other + 3 * ratio + 4 * cosine - 0.08 * yz - 0.04 * ends, 4) AS priority FROM {_SWAPS} WHERE ratio >= 0.5 AND shared >= 1 AND other <= 60 AND cosine >= cos(radians(60)) AND yz <= 200 AND ends <= 400",
+)
 def swap_candidates(spark, d):
-    p = loaded(spark, d).withColumn("cluster", F.col("t_cluster_id").cast("int")).where("cluster >= 0")
-    a = components.principal_axes(p, ["event_id", "cluster"], "e")
-    half = F.col("length") / 2
-    t = a.select("event_id", "cluster", "energy", "dx", "dy", "dz", *[(F.col(f"c{v}") + s * half * F.col(f"d{v}")).alias(f"{v}{i}") for i, s in ((1, -1), (2, 1)) for v in "yz"])
-    c = p.groupBy("event_id", "cluster", F.col("hit_tpc_id").alias("tpc")).agg(F.avg("y").alias("yc"), F.avg("z").alias("zc"))
+    p = loaded(spark, d).withColumn("cluster", F.col("t_cluster_id")).where("cluster >= 0")
+    # a cluster's line runs from its first hit to its last
+    at = F.struct("x", "y", "z")
+    t = p.groupBy("event_id", "cluster").agg(F.sum("e").alias("energy"), F.min_by(at, "hit_row").alias("p"), F.max_by(at, "hit_row").alias("q"))
+    size = F.greatest(F.sqrt(sum(F.pow(F.col(f"q.{v}") - F.col(f"p.{v}"), 2) for v in "xyz")), F.lit(1e-6))
+    t = t.select("event_id", "cluster", "energy", *[((F.col(f"q.{v}") - F.col(f"p.{v}")) / size).alias(f"d{v}") for v in "xyz"], *[F.col(f"{e}.{v}").alias(f"{v}{i}") for i, e in ((1, "p"), (2, "q")) for v in "yz"])
+    c = p.where("hit_tpc_id IS NOT NULL").groupBy("event_id", "cluster", F.col("hit_tpc_id").alias("tpc")).agg(F.avg("y").alias("yc"), F.avg("z").alias("zc"))
     return spatial.swap_candidates(t, c, ["event_id"], angle=60.0, shared_yz=200.0, endpoint_yz=400.0, most_other=60).select("event_id", "a", "b", F.round("priority", 4).alias("priority"))
 
 
@@ -461,7 +547,16 @@ def overflow_counts(spark, d):
     return sinks.overflow_counts(table(spark, d, "lineitem"), "l_extendedprice", ["l_returnflag"])
 
 
-@query("training_samples")
+_VOX = f"({_bin('x', -350, 350, 50)} * 20 + {_bin('y', -100, 100, 20)}) * 30 + {_bin('z', 400, 1000, 30)}"
+
+
+@query(
+    "training_samples",
+    f"""WITH v AS (SELECT light_id, tpc, list(vox ORDER BY vox) AS voxels, list(energy ORDER BY vox) AS energies FROM (SELECT light_id, hit_tpc_id % 8 AS tpc, {_VOX} AS vox, round(sum(e), 6) AS energy FROM {_LOADED} GROUP BY 1, 2, 3) GROUP BY 1, 2),
+w AS (SELECT DISTINCT w.wvfm_row, w.light_id, w.adc AS tpc, l.channel, w.ch, list_max(w.samples)::DOUBLE AS peak, f.file_id FROM {_W} w JOIN {_LUT} l ON l.adc = w.adc AND l.ch = w.ch JOIN (SELECT DISTINCT wvfm_row, file_id FROM wvfm) f ON f.wvfm_row = w.wvfm_row),
+t AS (SELECT w.light_id, w.tpc, list(CASE WHEN m.dead THEN -10000 ELSE peak END ORDER BY channel, CASE WHEN m.dead THEN -10000 ELSE peak END) AS targets FROM w LEFT JOIN (SELECT DISTINCT file_id, adc, ch, dead FROM channel_mask WHERE dead) m ON m.file_id = w.file_id AND m.adc = w.tpc AND m.ch = w.ch GROUP BY 1, 2)
+SELECT v.light_id, v.tpc, voxels, energies, targets FROM v JOIN t ON t.light_id = v.light_id AND t.tpc = v.tpc""",
+)
 def training_samples(spark, d):
     w = waveforms(spark, d)
     lut = w.select("adc", "ch").distinct().withColumn("channel", (F.row_number().over(Window.partitionBy("adc").orderBy("ch")) - 1).cast("int"))
@@ -471,4 +566,5 @@ def training_samples(spark, d):
     l = w.join(lut, ["adc", "ch"]).withColumn("tpc", F.col("adc"))
     pairs = h.select("light_id", "tpc").distinct()
     dead = table(spark, d, "channel_mask").where("dead")
-    return tables.training_samples(pairs, h, l, BOX, ["light_id", "tpc"], dead, mask_by=["file_id", "adc", "ch"])
+    s = tables.training_samples(pairs, h, l, BOX, ["light_id", "tpc"], dead, mask_by=["file_id", "adc", "ch"])
+    return s.select("light_id", "tpc", F.transform("voxels", lambda v: v["vox"]).alias("voxels"), F.transform("voxels", lambda v: F.round(v["energy"], 6)).alias("energies"), "targets")

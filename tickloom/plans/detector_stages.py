@@ -11,7 +11,7 @@ from tickloom.operators import components, geometry, light, metrics, spatial, tr
 from tickloom.operators import flash as fl
 from tickloom.operators.geometry import TWO
 from tickloom.plans.detector import _LOADED, QUERIES, SQL, event_flashes, loaded, query
-from tickloom.plans.detector_light import _C, _D, _L0, _TICK, _W, TICKS, light_candidates, light_table, points, waveforms
+from tickloom.plans.detector_light import _C, _D, _L, _L0, _P, _PAIRS, _TICK, _W, TICKS, light_candidates, light_table, points, waveforms
 from tickloom.session import table
 from tickloom.sources import sinks
 from tickloom.stages import match as M
@@ -42,9 +42,16 @@ def scan_chi2(spark, d):
     return scans.scan_chi2(images(spark, d), ["light_id", "tpc"], SEARCH).withColumn("score", F.round("score", 3))
 
 
-@query("scan_smoothed")
+_SMOOTH = f"(SELECT light_id, tpc, channel, tick, s, sum(a) OVER w / 5 AS a, sum(m) OVER w / 5 AS m FROM {_CELL} WINDOW w AS (PARTITION BY light_id, tpc, channel ORDER BY tick ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))"
+
+
+@query(
+    "scan_smoothed",
+    f"""SELECT light_id, tpc, CAST(arg_min(t0, (round(v, 6), t0)) AS INTEGER) AS t0, round(min(v), 3) AS score FROM (SELECT c.light_id, c.tpc, g.s0 AS t0, avg((least(coalesce(p.m, 0), 60780) - c.a) ** 2 / greatest(c.s, 1e-6)) AS v
+  FROM {_SMOOTH} c CROSS JOIN (SELECT unnest(range(0, {SEARCH + 1})) AS s0) g LEFT JOIN {_SMOOTH} p ON p.light_id = c.light_id AND p.tpc = c.tpc AND p.channel = c.channel AND p.tick = c.tick - g.s0 GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+)
 def scan_smoothed(spark, d):
-    return scans.scan_smoothed(images(spark, d), ["light_id", "tpc"], SEARCH)
+    return scans.scan_smoothed(images(spark, d), ["light_id", "tpc"], SEARCH).withColumn("score", F.round("score", 3))
 
 
 @query(
@@ -80,7 +87,11 @@ def overlay_samples(spark, d):
     return models.overlay_samples(s, ["tpc"], 3, TICKS, 7, most_shift=20).select("tpc", "set_no", "source_count", F.round(F.array_max("samples"), 3).alias("peak"))
 
 
-@query("sampled_ranks")
+@query(
+    "sampled_ranks",
+    """WITH s AS (SELECT wvfm_row, round(list_max(actual), 4) AS peak FROM """ + _L0 + """), r AS (SELECT *, row_number() OVER (ORDER BY peak, wvfm_row) - 1 AS r, count(*) OVER () AS n FROM s)
+SELECT wvfm_row, peak FROM r WHERE r IN (SELECT CAST(floor(i * (n - 1) / 199) AS BIGINT) FROM (SELECT unnest(range(0, 200)) AS i), (SELECT count(*) AS n FROM s))""",
+)
 def sampled_ranks(spark, d):
     s = table_ranks(spark, d)
     return models.evenly_ranked(s, "peak", "wvfm_row", 200)
@@ -94,7 +105,14 @@ def hits_in_tpcs(spark, d) -> DataFrame:
     return loaded(spark, d).where("hit_tpc_id >= 0").select("event_id", "light_id", "hit_row", "x", "y", "z", "e", (F.col("hit_tpc_id") % 8).cast("int").alias("tpc"))
 
 
-@query("predicted_images")
+_CENTERS = "(SELECT unnest(range(0, 6)) AS channel)"
+
+
+@query(
+    "predicted_images",
+    f"""SELECT event_id, t_cluster_id::INTEGER AS cluster, CAST(hit_tpc_id % 8 AS INTEGER) AS tpc, CAST(channel AS INTEGER) AS channel, round(least(sum(greatest(e, 0) * exp(-((y - (channel % 3 - 1) * 60) ** 2 + (tanh(z / 500) * 30 - CASE WHEN channel < 3 THEN -30 ELSE 30 END) ** 2) / 22500)) * 60, 60780), 4) AS peak
+FROM {_LOADED}, {_CENTERS} WHERE hit_tpc_id >= 0 AND t_cluster_id >= 0 GROUP BY 1, 2, 3, 4""",
+)
 def predicted_images(spark, d):
     h = loaded(spark, d).where("hit_tpc_id >= 0 AND t_cluster_id >= 0").select("event_id", F.col("t_cluster_id").cast("int").alias("cluster"), (F.col("hit_tpc_id") % 8).cast("int").alias("tpc"), "x", "y", "z", "e")
     i = models.predict_images(h, ["event_id", "cluster"], lambda: models.LinearLight(6, TICKS, PEAK))
@@ -125,11 +143,19 @@ def match_nd(spark, d):
     return pipeline.status(pipeline.match(hits_in_tpcs(spark, d), event_light(spark, d), o, lambda: models.LinearLight(6, TICKS, PEAK)))
 
 
-@query("move_relabel")
+_MOVES = f"(SELECT DISTINCT event_id, t_0 AS seq, CASE WHEN t_0 % 2 = 0 THEN 'a spatial' ELSE 'b light' END AS kind FROM {_LOADED} WHERE hit_tpc_id >= 0 AND t_0 >= 0)"
+
+
+@query(
+    "move_relabel",
+    f"""SELECT h.event_id, h.hit_row, CAST(coalesce(t.top + m.n, h.hit_tpc_id % 8) AS INTEGER) AS cluster_id FROM {_LOADED} h JOIN (SELECT event_id, max(hit_tpc_id % 8) AS top FROM {_LOADED} WHERE hit_tpc_id >= 0 GROUP BY 1) t ON t.event_id = h.event_id
+LEFT JOIN (SELECT event_id, seq, row_number() OVER (PARTITION BY event_id ORDER BY kind, seq) AS n FROM {_MOVES}) m ON m.event_id = h.event_id AND m.seq = h.t_0 WHERE h.hit_tpc_id >= 0""",
+)
 def move_relabel(spark, d):
-    lab = hits_in_tpcs(spark, d).select("event_id", "hit_row", F.col("tpc").alias("cluster_id"))
-    moves = lab.where("hit_row % 50 = 0").groupBy("event_id", (F.col("hit_row") % 7).alias("seq")).agg(F.sort_array(F.collect_list("hit_row")).alias("hits")).withColumn("kind", F.when(F.col("seq") % 2 == 0, F.lit("a spatial")).otherwise(F.lit("b light")))
-    return sinks.move_relabel(lab, moves, ["event_id"])
+    h = loaded(spark, d).where("hit_tpc_id >= 0").select("event_id", "hit_row", (F.col("hit_tpc_id") % 8).cast("int").alias("cluster_id"), "t_0")
+    # all hits of one time are one move
+    moves = h.where("t_0 >= 0").groupBy("event_id", F.col("t_0").alias("seq")).agg(F.sort_array(F.collect_list("hit_row")).alias("hits")).withColumn("kind", F.when(F.col("seq") % 2 == 0, F.lit("a spatial")).otherwise(F.lit("b light")))
+    return sinks.move_relabel(h.drop("t_0"), moves, ["event_id"])
 
 
 # ---------------------------------------------------------------- evaluation and smaller operators
@@ -191,16 +217,33 @@ def mixed_time_pairs(spark, d):
     return spatial.mixed_time_pairs(h, "hit_row", "t", ["event_id"], 12.0).drop("n_hits")
 
 
-@query("density_seeds")
+_RHO = f"(SELECT p.event_id, p.hit_row, p.x, p.y, p.z, p.cluster, coalesce(round(r.rho, 9), 0) AS rho FROM {_P} p LEFT JOIN (SELECT event_id, a, sum((1 + 0.25 * ln(1 + greatest(eb, 0))) * exp(-dist * dist / 18)) AS rho FROM (SELECT *, row_number() OVER (PARTITION BY event_id, a ORDER BY dist, b) AS r FROM {_PAIRS}) WHERE r <= 16 GROUP BY 1, 2) r ON r.event_id = p.event_id AND r.a = p.hit_row)"
+
+
+def density(spark, d) -> DataFrame:
+    """Local densities, rounded, so that densities alike are ties in any order of summation."""
+    return spatial.local_density(points(spark, d), "e", "hit_row", r=12.0, by=["event_id"]).withColumn("rho", F.round("rho", 9))
+
+
+@query(
+    "density_seeds",
+    f"""WITH p AS MATERIALIZED (SELECT * FROM {_RHO}), h AS MATERIALIZED (SELECT p.* FROM p JOIN (SELECT event_id, quantile_cont(rho, 0.8) AS q FROM p GROUP BY 1) c ON c.event_id = p.event_id WHERE rho >= q)
+SELECT event_id, hit_row, CAST(r AS INTEGER) AS rank FROM (SELECT a.*, row_number() OVER (PARTITION BY event_id ORDER BY rho DESC, hit_row) AS r FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE a.event_id = b.event_id AND a.hit_row <> b.hit_row AND (b.rho > a.rho OR (b.rho = a.rho AND b.hit_row < a.hit_row)) AND {_D} <= 8)) WHERE r <= 12""",
+)
 def density_seeds(spark, d):
-    p = points(spark, d)
-    return spatial.density_seeds(spatial.local_density(p, "e", "hit_row", r=12.0, by=["event_id"]), p, "hit_row", ["event_id"])
+    return spatial.density_seeds(density(spark, d), points(spark, d), "hit_row", ["event_id"])
 
 
-@query("promoted_islands")
+@query(
+    "promoted_islands",
+    f"""WITH RECURSIVE p AS MATERIALIZED (SELECT * FROM {_RHO}), e AS MATERIALIZED (SELECT event_id, a, b FROM {_PAIRS} WHERE ca = 7 AND cb = 7),
+r(event_id, node, root) AS (SELECT event_id, hit_row, hit_row FROM p WHERE cluster = 7 UNION SELECT e.event_id, e.b, r.root FROM r JOIN e ON e.event_id = r.event_id AND e.a = r.node WHERE r.root < e.b),
+c AS MATERIALIZED (SELECT event_id, node, min(root) AS island FROM r GROUP BY 1, 2), good AS (SELECT c.event_id, c.island FROM c JOIN p ON p.event_id = c.event_id AND p.hit_row = c.node JOIN (SELECT event_id, quantile_cont(rho, 0.45) AS q FROM p GROUP BY 1) q ON q.event_id = c.event_id
+  GROUP BY 1, 2, q.q HAVING count(*) >= 2 AND round(avg(p.rho), 9) >= q.q)
+SELECT c.event_id, c.node AS hit_row, c.island FROM c SEMI JOIN good g ON g.event_id = c.event_id AND g.island = c.island""",
+)
 def promoted_islands(spark, d):
-    p = points(spark, d)
-    return components.promoted_islands(p, spatial.local_density(p, "e", "hit_row", r=12.0, by=["event_id"]), "hit_row", "cluster", ["event_id"], 12.0, 2, noise=7)
+    return components.promoted_islands(points(spark, d), density(spark, d), "hit_row", "cluster", ["event_id"], 12.0, 2, noise=7)
 
 
 @query(
@@ -223,7 +266,11 @@ def formatted_light(spark, d):
     return f.select("light_id", "tpc", "channel", (F.round(F.array_max("samples"), 3) + 0.0).alias("peak"))
 
 
-@query("filled_channels")
+@query(
+    "filled_channels",
+    f"""SELECT e.light_id, e.tpc, c.channel, coalesce(round(list_max(p.actual), 3), 0) AS peak FROM (SELECT DISTINCT light_id, tpc FROM {_L0} WHERE channel % 2 = 0) e JOIN (SELECT DISTINCT tpc, channel FROM {_L0}) c ON c.tpc = e.tpc
+LEFT JOIN (SELECT light_id, tpc, channel, any_value(actual) AS actual FROM {_L0} WHERE channel % 2 = 0 GROUP BY 1, 2, 3) p ON p.light_id = e.light_id AND p.tpc = e.tpc AND p.channel = c.channel""",
+)
 def filled_channels(spark, d):
     l = light_table(spark, d)
     patch = l.where("channel % 2 = 0").select("light_id", "tpc", "channel", F.col("actual").alias("samples")).dropDuplicates(["light_id", "tpc", "channel"])
@@ -231,7 +278,12 @@ def filled_channels(spark, d):
     return f.select("light_id", "tpc", "channel", F.round(F.array_max("samples"), 3).alias("peak"))
 
 
-@query("added_images")
+@query(
+    "added_images",
+    f"""WITH l AS MATERIALIZED (SELECT light_id, tpc, channel, any_value(actual) AS a, any_value(model) AS m FROM {_L} GROUP BY 1, 2, 3), k AS (SELECT unnest(range(0, {TICKS})) AS tick)
+SELECT light_id, tpc, channel, round(max(v), 3) AS peak FROM (SELECT light_id, tpc, channel, tick, greatest(0, least(60780, sum(v))) AS v FROM (SELECT light_id, tpc, channel, tick, abs(a[tick + 1]) AS v FROM l, k
+  UNION ALL SELECT l.light_id, l.tpc, l.channel, k.tick, coalesce(CASE WHEN k.tick - c.t0 BETWEEN 0 AND {TICKS - 1} THEN l.m[CAST(k.tick - c.t0 AS INTEGER) + 1] END, 0) FROM l JOIN {_C} c ON c.light_id = l.light_id AND c.tpc = l.tpc, k) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3""",
+)
 def added_images(spark, d):
     l = light_table(spark, d).dropDuplicates(["light_id", "tpc", "channel"])
     base = l.select("light_id", "tpc", "channel", F.transform("actual", lambda v: F.abs(v)).alias("samples"))
@@ -239,11 +291,16 @@ def added_images(spark, d):
     return light.add_images(base, img, ["light_id", "tpc"]).select("light_id", "tpc", "channel", F.round(F.array_max("samples"), 3).alias("peak"))
 
 
-@query("waveform_pairs")
+@query(
+    "waveform_pairs",
+    f"""WITH l AS MATERIALIZED (SELECT light_id, tpc, channel, any_value(actual) AS a, list_max(any_value(model)) AS m FROM {_L} GROUP BY 1, 2, 3),
+t AS (SELECT light_id, tpc, arg_max(list_position(a, list_max(a)) - 1, (list_max(a), -channel, -list_position(a, list_max(a)))) AS tick FROM l GROUP BY 1, 2)
+SELECT l.light_id, l.tpc, l.channel, round(greatest(0, least(60780, m)), 3) AS peak, CAST(CASE WHEN m > 0 THEN t.tick ELSE 0 END AS INTEGER) AS tick FROM l JOIN t ON t.light_id = l.light_id AND t.tpc = l.tpc""",
+)
 def waveform_pairs(spark, d):
     l = light_table(spark, d).dropDuplicates(["light_id", "tpc", "channel"]).select("light_id", "tpc", "channel", F.col("actual").alias("samples"), F.array_max("model").alias("peak"))
     p = light.waveform_pairs(l, A.default_template(TICKS, 10, 8.0), ["light_id", "tpc"])
-    return p.select("light_id", "tpc", "channel", F.round(F.array_max("predicted"), 3).alias("peak"))
+    return p.select("light_id", "tpc", "channel", F.round(F.array_max("predicted"), 3).alias("peak"), A.peak_tick(F.col("predicted")).cast("int").alias("tick"))
 
 
 @query(

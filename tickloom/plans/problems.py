@@ -173,7 +173,15 @@ def p5_extras(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- 6 many small files
-@query("p6_found")
+@query(
+    "p6_found",
+    """WITH c AS (SELECT shard_id, content FROM shard_files WHERE trim(content, E' \\n\\t\\r') <> ''),
+l AS (SELECT shard_id, CASE WHEN json_valid(content) THEN [content] ELSE list_filter(string_split_regex(content, '\\r?\\n'), lambda x: trim(x, E' \\n\\t\\r') <> '') END AS parts FROM c),
+v AS (SELECT shard_id, unnest(parts)::JSON AS v FROM l WHERE len(list_filter(parts, lambda x: NOT json_valid(x))) = 0),
+r AS (SELECT unnest(CASE WHEN json_type(v) = 'ARRAY' THEN from_json(v, '["JSON"]') ELSE [v] END) AS r FROM v),
+f AS (SELECT json_extract_string(r, '$.file') AS path, json_extract_string(r, '$.event_id') AS e, json_type(r, '$.event_id') AS k FROM r WHERE json_type(r) = 'OBJECT' AND json_type(r, '$.file') = 'VARCHAR')
+SELECT DISTINCT regexp_replace(regexp_extract(regexp_replace(replace(path, chr(92), '/'), '/+$', ''), '[^/]*$'), '[.]hdf5$', '') AS file, TRY_CAST(e AS BIGINT) AS event_id FROM f WHERE path <> '' AND k IN ('UBIGINT', 'BIGINT', 'VARCHAR', 'DOUBLE') AND TRY_CAST(e AS BIGINT) IS NOT NULL AND (k <> 'DOUBLE' OR TRY_CAST(e AS DOUBLE) = TRY_CAST(e AS BIGINT))""",
+)
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     out = consolidate_reports(table(spark, d, "shard_files"), shared_dir(spark, "reports"))
     return out.select("file", "event_id")
