@@ -18,7 +18,7 @@ def line(rng, a, b, n, width=0.2):
     return np.asarray(a) + t * (np.asarray(b) - np.asarray(a)) + rng.normal(0, width, (n, 3))
 
 
-def event(seed=0):
+def event(seed=0, reach=150.0):
     """A track through two TPCs and two blobs, each with its own time; the light is the model's own plus noise."""
     rng = np.random.default_rng(seed)
     parts = [(line(rng, (0, -50, 0), (60, 50, 40), 160), 12.0), (rng.normal((-40, 20, 60), 1.0, (60, 3)), 33.0), (rng.normal((-40, -40, -60), 1.0, (40, 3)), 55.0)]
@@ -26,7 +26,7 @@ def event(seed=0):
     true = np.concatenate([np.full(len(p), t) for p, t in parts])
     tpc = (xyz[:, 0] > 30).astype(int)
     e = rng.uniform(0.5, 1.5, len(xyz))
-    model = models.LinearLight(12, TICKS, PEAK)
+    model = models.LinearLight(12, TICKS, PEAK, reach=reach)
     actual = {}
     for t in (0, 1):
         img = sum(S.shifted(model.image(*xyz[(true == x) & (tpc == t)].T, e[(true == x) & (tpc == t)], t), x) for x in np.unique(true))
@@ -56,8 +56,8 @@ def test_nd_times_and_frozen_tracks():
     assert M.changed_since(ev, snap) == 3
 
 
-def placed(times):
-    xyz, e, tpc, actual, var, model, true = event()
+def placed(times, **how):
+    xyz, e, tpc, actual, var, model, true = event(**how)
     ev = M.Event(xyz, e, tpc, actual, var, model, RULES, candidates={0: [12.0, 33.0, 55.0], 1: [12.0]})
     ev.label = np.unique(true, return_inverse=True)[1]
     ev.images = ev.predict()
@@ -89,6 +89,32 @@ def test_light_rescue_moves_the_donor_home():
     assert M.relabel_moves(ev).max() == 3
 
 
+def test_late_donors_are_permuted_home():
+    # both blobs stand at the other's time; many earlier candidates must not crowd these out of the pool
+    ev, true = placed([12.0, 55.0, 33.0], reach=40.0)
+    ev.candidates = {0: [1.0, 3.0, 5.0, 7.0, 12.0, 33.0, 55.0], 1: [12.0]}
+    ev.rules = M.rules_of("2x2", search=SEARCH, peak=PEAK, half_window=8, gate_channels=99, least_channels=1, severe=1.0, overflow_adc=20.0, model_adc=20.0)
+    severe = [(x, M.overflow(ev, 0, x)) for x in (33.0, 55.0)]
+    gain = M.gates(ev.rules, False)[1]
+    copy = ev.t0.copy()
+    assert M.permute_donors(ev, 0, severe, M.Gates(0, gain.chi2, 1e9), set()) == 0 and (ev.t0[np.isfinite(copy)] == copy[np.isfinite(copy)]).all()  # too little for each MeV
+    assert M.light_rescue(ev) == 2 and {m["kind"] for m in ev.moves} == {"reshuffle"}
+    for t in (33.0, 55.0):
+        assert (np.abs(ev.t0[true == t] - t) < 1).mean() > 0.9
+
+
+def test_later_passes_ask_for_more_and_extreme_overflow_overrides_the_veto():
+    r = M.rules_of("nd")
+    (single, joint), (late, late_joint) = M.gates(r, False), M.gates(r, True)
+    assert (single.channels, single.chi2, single.per_mev) == (8, 500.0, 10.0) and (late.channels, late.chi2, late.per_mev) == (12, 2000.0, 25.0)
+    assert (joint.chi2, joint.per_mev) == (500.0, 10.0) and (late_joint.chi2, late_joint.per_mev) == (2000.0, 25.0)
+    assert single.passed(8, 500.0, 50.0) and not single.passed(7, 500.0, 50.0) and not single.passed(8, 500.0, 51.0) and not single.passed(8, 499.0, 1.0)
+    ev, _ = placed([12.0, 33.0, 55.0])
+    assert M.overridden(ev, (22, 250.0, 1e6, 12), 14, 5000.0, 100.0)
+    for over, fewer, gain, energy in (((21, 250.0, 0.0, 12), 14, 5000.0, 100.0), ((22, 249.0, 0.0, 12), 14, 5000.0, 100.0), ((22, 250.0, 0.0, 11), 14, 5000.0, 100.0), ((22, 250.0, 0.0, 12), 13, 5000.0, 100.0), ((22, 250.0, 0.0, 12), 14, 5000.0, 101.0)):
+        assert not M.overridden(ev, over, fewer, gain, energy)
+
+
 def test_small_phase_and_beam_place_by_candidates():
     for how in (M.place_small, lambda ev, c: M.place_beam(ev, 0, c)):
         ev, _ = placed([12.0])

@@ -9,7 +9,7 @@ from tickloom.functions import arrays as A
 from tickloom.functions import scans
 from tickloom.operators import components, geometry, light, metrics, spatial, truth
 from tickloom.operators import flash as fl
-from tickloom.operators.geometry import TWO
+from tickloom.operators.geometry import ND, TWO
 from tickloom.plans.detector import _LOADED, QUERIES, SQL, event_flashes, loaded, query
 from tickloom.plans.detector_light import _C, _D, _L, _L0, _P, _PAIRS, _TICK, _W, TICKS, light_candidates, light_table, points, waveforms
 from tickloom.session import table
@@ -136,11 +136,59 @@ def match_2x2(spark, d):
     return pipeline.match(hits_in_tpcs(spark, d), event_light(spark, d), o, lambda: models.LinearLight(6, TICKS, PEAK))
 
 
+#: TPCs of the larger detector and channels of each.
+ND_TPCS, ND_CHANNELS = 70, 120
+ND_RULES = M.rules_of("nd", search=SEARCH, peak=PEAK, resolution=2.0, separation=1.0, half_window=4, overflow_adc=50.0, model_adc=50.0, least_channels=3, gate_channels=1)
+
+
+def nd_hits(spark, d) -> DataFrame:
+    return loaded(spark, d).where(F.col("hit_tpc_id").between(0, ND_TPCS - 1)).select("event_id", "light_id", "hit_row", "x", "y", "z", "e", F.col("hit_tpc_id").cast("int").alias("tpc"))
+
+
+def nd_light(spark, d) -> DataFrame:
+    """Light of all TPCs that have hits, 120 channels each: the test tables' few waveforms of an event repeat over them."""
+    seeds = fl.merged_seeds(event_flashes(spark, d).where("tpc IS NOT NULL"), ["light_id", "tpc"], ND)
+    seeds = seeds.groupBy("light_id", "tpc").agg(F.sort_array(F.collect_set(F.rint(F.col("t0") % (SEARCH + 1)))).alias("seeds"))
+    tpcs = nd_hits(spark, d).select("event_id", "light_id", "tpc").distinct()
+    have = light_table(spark, d).select("light_id", F.col("tpc").alias("_adc"), "channel", F.col("actual").alias("samples")).dropDuplicates(["light_id", "_adc", "channel"])
+    per = have.groupBy("_adc").agg((F.max("channel") + 1).alias("_n"))  # one row an adc
+    many = have.join(F.broadcast(per), "_adc").withColumn("channel", F.explode(F.sequence(F.col("channel"), F.lit(ND_CHANNELS - 1), F.col("_n"))))
+    adcs = per.agg(F.sort_array(F.collect_list("_adc")).alias("_adcs"))  # one row
+    of = tpcs.crossJoin(F.broadcast(adcs)).withColumn("_adc", F.get("_adcs", F.col("tpc") % F.size("_adcs"))).drop("_adcs")
+    l = of.join(many, ["light_id", "_adc"]).join(seeds, ["light_id", "tpc"], "left")
+    return l.select("event_id", "tpc", "channel", "samples", F.transform("samples", lambda _: F.lit(400.0)).alias("variance"), "seeds")
+
+
+def matched_nd(spark, d, **options) -> DataFrame:
+    o = pipeline.Options("nd", iters=800, rules=ND_RULES, eps=30.0, reach=8.0, **options)
+    return pipeline.match(nd_hits(spark, d), nd_light(spark, d), o, lambda: models.LinearLight(ND_CHANNELS, TICKS, PEAK))
+
+
 @query("match_nd")
 def match_nd(spark, d):
-    rules = M.rules_of("nd", search=SEARCH, peak=PEAK, resolution=2.0, separation=1.0, half_window=4, overflow_adc=50.0, model_adc=50.0, least_channels=3, gate_channels=1)
-    o = pipeline.Options("nd", rescue=True, absorb=True, expand=True, iters=800, rules=rules, eps=30.0, reach=8.0)
-    return pipeline.status(pipeline.match(hits_in_tpcs(spark, d), event_light(spark, d), o, lambda: models.LinearLight(6, TICKS, PEAK)))
+    return pipeline.status(matched_nd(spark, d, rescue=True, absorb=True, expand=True))
+
+
+@query("family_expand_nd")
+def family_expand_nd(spark, d):
+    """Hits by the stage that gave their cluster its time, where families take over clusters that were left without one."""
+    return by_stage(matched_nd(spark, d, expand=True))
+
+
+@query("region_grow_nd")
+def region_grow_nd(spark, d):
+    """The same where regions grow from tracks and well-matched clusters; settled times stay."""
+    return by_stage(matched_nd(spark, d, grow=True))
+
+
+@query("beam_nd")
+def beam_nd(spark, d):
+    """The same where the small clusters of a TPC are placed together by a beam, as in older versions."""
+    return by_stage(matched_nd(spark, d, beam=True))
+
+
+def by_stage(result: DataFrame) -> DataFrame:
+    return result.groupBy("event_id", "stage").agg(F.count(F.lit(1)).alias("n_hits"), F.count_if(F.col("t0") >= 0).alias("n_matched"), F.count_distinct("cluster_id").alias("n_clusters"))
 
 
 _MOVES = f"(SELECT DISTINCT event_id, t_0 AS seq, CASE WHEN t_0 % 2 = 0 THEN 'a spatial' ELSE 'b light' END AS kind FROM {_LOADED} WHERE hit_tpc_id >= 0 AND t_0 >= 0)"

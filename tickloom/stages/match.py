@@ -61,7 +61,19 @@ class Rules:
     donor_hits: int = 4
     donor_energy: float = 0.2
     most_donors: int = 80
+    # donors of several overflowing times permuted together
     severe: float = 100.0
+    reshuffle_rows: int = 3
+    reshuffle_pool: int = 4
+    reshuffle_most: int = 6
+    reshuffle_chi2: float = 500.0
+    reshuffle_per_mev: float = 10.0
+    # gates of second and later passes
+    later_channels: int = 12
+    later_chi2: float = 2000.0
+    later_per_mev: float = 25.0
+    # overflow so extreme that even a long track may be moved: channels, those at the peak, severity, channels gained, chi2, chi2 per MeV
+    override: tuple[float, ...] = (22, 12, 250.0, 14, 5000.0, 50.0)
 
 
 TWO_RULES = Rules()
@@ -580,19 +592,19 @@ def window_loss(ev: Event, t: int, base: np.ndarray, times) -> float:
     return float((((base - ev.actual[t])[:, m]) ** 2 / np.maximum(ev.variance[t][:, m], 1e-6)).sum())
 
 
-def overflow(ev: Event, t: int, t0: float, base: np.ndarray | None = None) -> tuple[int, float, float]:
-    """Channels that overflow near ``t0``, the severity, and the summed overflow."""
+def overflow(ev: Event, t: int, t0: float, base: np.ndarray | None = None) -> tuple[int, float, float, int]:
+    """Channels that overflow near ``t0``, the severity, the summed overflow, and channels that overflow at the peak itself."""
     r = ev.rules
     m = ev.base[t] if base is None else base
     k = int(np.rint(t0)) + r.peak
     if not 0 <= k < m.shape[1]:
-        return 0, 0.0, 0.0
+        return 0, 0.0, 0.0, 0
     lo, hi = max(0, k - r.half_window), k + r.half_window + 1
     d = (m - ev.actual[t])[:, lo:hi]
     over = (d > np.maximum(r.sigma * np.sqrt(ev.variance[t][:, lo:hi]), r.overflow_adc)) & (m[:, lo:hi] > r.model_adc)
     n, total = int(over.any(1).sum()), float(d[over].sum())
-    peak = float(np.where(over[:, k - lo], d[:, k - lo], 0).sum())
-    return n, peak / max(n, 1) + 0.002 * total, total
+    at = over[:, k - lo]
+    return n, float(d[at, k - lo].sum()) / max(n, 1) + 0.002 * total, total, int(at.sum())
 
 
 def donors(ev: Event, t: int, t0: float) -> list[np.ndarray]:
@@ -613,9 +625,29 @@ def vetoed(ev: Event, hits: np.ndarray) -> bool:
     return top >= 0 and "track" in ev.kind.get(int(top), "") and len(np.unique(ev.tpc[ev.label == top])) >= ev.rules.veto_tpcs
 
 
-def accept_move(ev: Event, before: int, after: int, gain: float, energy: float) -> bool:
-    r = ev.rules
-    return before - after >= r.gate_channels and gain >= r.gate_chi2 and gain / max(energy, 1e-9) >= r.gate_per_mev
+@dataclass(frozen=True)
+class Gates:
+    """What a move must gain: channels that no longer overflow, chi2, and chi2 for each MeV moved."""
+
+    channels: int
+    chi2: float
+    per_mev: float
+
+    def passed(self, channels: int, gain: float, energy: float) -> bool:
+        return channels >= self.channels and gain >= self.chi2 and gain / max(energy, 1e-9) >= self.per_mev
+
+
+def gates(r: Rules, later: bool) -> tuple[Gates, Gates]:
+    """The gates of single moves and of permutations (these ask for no channels); stricter after the first pass."""
+    if not later:
+        return Gates(r.gate_channels, r.gate_chi2, r.gate_per_mev), Gates(0, r.reshuffle_chi2, r.reshuffle_per_mev)
+    return Gates(r.later_channels, r.later_chi2, r.later_per_mev), Gates(0, max(r.reshuffle_chi2, r.later_chi2), max(r.reshuffle_per_mev, r.later_per_mev))
+
+
+def overridden(ev: Event, over: tuple[int, float, float, int], fewer: int, gain: float, energy: float) -> bool:
+    """Whether the overflow at the old time and the gain are so large that a track's veto doesn't count."""
+    have = (over[0], over[3], over[1], fewer, gain, gain / max(energy, 1e-6))
+    return all(h >= least for h, least in zip(have, ev.rules.override))
 
 
 def moved_base(ev: Event, t: int, hits: np.ndarray, old: float, new: float) -> np.ndarray:
@@ -635,46 +667,77 @@ def commit_move(ev: Event, t: int, hits: np.ndarray, old: float, new: float, bas
     ev.moves.append({"kind": how, "tpc": t, "old": old, "new": new, "hits": hits.tolist(), "energy": float(ev.e[hits].sum())})
 
 
-def light_rescue(ev: Event, passes: int = 2, reshuffle: bool = True) -> int:
+def overflows(ev: Event) -> list[tuple[int, float, tuple]]:
+    """TPC, time and ``overflow`` of all assigned times with enough overflowing channels, the most severe first."""
+    rows = []
+    for t in sorted(ev.actual):
+        for x in sorted({float(np.rint(v)) for v in ev.t0[(ev.tpc == t) & np.isfinite(ev.t0)]} - {0.0}):
+            over = overflow(ev, t, x)
+            if over[0] >= ev.rules.least_channels:
+                rows.append((t, x, over))
+    return sorted(rows, key=lambda r: (-r[2][1], r[0], r[1]))
+
+
+@dataclass
+class Trial:
+    """A donor's hits, its old and new time, and what the windows of both gain in chi2."""
+
+    gain: float
+    hits: np.ndarray
+    old: float
+    new: float
+    base: np.ndarray
+
+
+def best_trial(ev: Event, t: int, x: float, barred: set[tuple[int, float, float]]) -> Trial | None:
+    """Of all donors at a time and all other candidates of the TPC the move that gains most."""
+    best = None
+    targets = [y for y in sorted({float(np.rint(v)) for v in ev.candidates.get(t, [])}) if y != x and (t, y, x) not in barred]
+    for hits in donors(ev, t, x):
+        old = float(np.median(ev.t0[hits]))
+        for y in targets:
+            b = moved_base(ev, t, hits, old, y)
+            gain = window_loss(ev, t, ev.base[t], (x, y)) - window_loss(ev, t, b, (x, y))
+            if best is None or gain > best.gain:
+                best = Trial(gain, hits, old, y, b)
+    return best
+
+
+def light_rescue(ev: Event, passes: int = 1, reshuffle: bool = True) -> int:
     """Donor groups moved from overflowing times to others while the chi2 of the windows falls enough.
 
-    Per pass and TPC first small sets of donors of several severe times are permuted together, then
-    the most severe times give up their single best donor. A move that undoes an earlier one is skipped.
+    Per pass first the donors of several severe times of a TPC are permuted together, then the most
+    severe times give up their single best donor. A move that undoes an earlier one is skipped;
+    passes after the first ask for more. A track over many TPCs stays unless the overflow is extreme.
     """
     r = ev.rules
     done: set[tuple[int, float, float]] = set()
     per_tpc: dict[int, int] = {}
     total = 0
-    for _ in range(passes):
+    for no in range(passes):
+        single, joint = gates(r, no > 0)
         n = 0
-        rows = []
-        for t in sorted(ev.actual):
-            for x in sorted({float(np.rint(v)) for v in ev.t0[(ev.tpc == t) & np.isfinite(ev.t0)]} - {0.0}):
-                channels, severity, _ = overflow(ev, t, x)
-                if channels >= r.least_channels:
-                    rows.append((-severity, t, x))
-        rows.sort()
+        rows = overflows(ev)
         if reshuffle:
-            for t in sorted({t for _, t, _ in rows}):
-                severe = [x for s, k, x in rows if k == t and -s >= r.severe]
-                if len(severe) >= 2 and total + n < r.most_moves:
-                    n += permute_donors(ev, t, severe[:3])
-        for _, t, x in rows:
+            shuffled = 0
+            for t in sorted({t for t, _, _ in rows}):
+                severe = [(x, over) for k, x, over in rows if k == t and over[1] >= r.severe][: r.reshuffle_rows]
+                if len(severe) >= 2 and shuffled < r.reshuffle_most and total + n < r.most_moves:
+                    moved = permute_donors(ev, t, severe, joint, done)
+                    shuffled += bool(moved)
+                    n += moved
+            if shuffled:
+                rows = overflows(ev)
+        for t, x, over in rows:
             if total + n >= r.most_moves or per_tpc.get(t, 0) >= r.most_moves_tpc:
                 continue
-            best = None
-            before = overflow(ev, t, x)[0]
-            targets = [y for y in sorted({float(np.rint(v)) for v in ev.candidates.get(t, [])}) if y != x and (t, y, x) not in done]
-            for hits in donors(ev, t, x):
-                old = float(np.median(ev.t0[hits]))
-                for y in targets:
-                    b = moved_base(ev, t, hits, old, y)
-                    gain = window_loss(ev, t, ev.base[t], (x, y)) - window_loss(ev, t, b, (x, y))
-                    if best is None or gain > best[0]:
-                        best = (gain, hits, old, y, b)
-            if best and accept_move(ev, before, overflow(ev, t, x, best[4])[0], best[0], float(ev.e[best[1]].sum())) and not vetoed(ev, best[1]):
-                commit_move(ev, t, best[1], best[2], best[3], best[4], "light")
-                done.add((t, x, best[3]))
+            m = best_trial(ev, t, x, done)
+            if m is None:
+                continue
+            energy, fewer = float(ev.e[m.hits].sum()), over[0] - overflow(ev, t, x, m.base)[0]
+            if single.passed(fewer, m.gain, energy) and (not vetoed(ev, m.hits) or overridden(ev, over, fewer, m.gain, energy)):
+                commit_move(ev, t, m.hits, m.old, m.new, m.base, "light")
+                done.add((t, x, m.new))
                 per_tpc[t] = per_tpc.get(t, 0) + 1
                 n += 1
         total += n
@@ -683,32 +746,43 @@ def light_rescue(ev: Event, passes: int = 2, reshuffle: bool = True) -> int:
     return total
 
 
-def permute_donors(ev: Event, t: int, times: list[float], pool: int = 4) -> int:
-    """The best of all ways to give the strongest donor of each time one of the pooled times, if it gains enough."""
-    picked = [(d[0], float(np.median(ev.t0[d[0]]))) for x in times if (d := donors(ev, t, x))][:3]
-    if len(picked) < 2:
+def permute_donors(ev: Event, t: int, severe: list[tuple[float, tuple]], gate: Gates, barred: set[tuple[int, float, float]]) -> int:
+    """The best of all ways to give each severe time's donor one of the pooled times; the number of donors moved.
+
+    The pool holds the old and the best new time of each donor, in the order of severity. All is
+    refused when a moved donor is a track that must stay.
+    """
+    picked = [(m, over) for x, over in severe if (m := best_trial(ev, t, x, barred)) is not None]
+    pool = list(dict.fromkeys(float(np.rint(x)) for m, _ in picked for x in (m.old, m.new)))[: ev.rules.reshuffle_pool]
+    if len(picked) < 2 or len(pool) < 2:
         return 0
-    targets = sorted({o for _, o in picked} | {float(np.rint(c)) for c in ev.candidates.get(t, [])})[:pool]
-    bare = ev.base[t] - sum(S.shifted(ev.image(h, t), o) for h, o in picked)
-    best = (0.0, None)
-    now = window_loss(ev, t, ev.base[t], targets)
-    for choice in itertools.product(targets, repeat=len(picked)):
-        if all(x == o for x, (_, o) in zip(choice, picked)):
+    stays = [[float(np.rint(m.old)) == x for x in pool] for m, _ in picked]
+    # what each donor's move to each time adds to the base
+    shift = []
+    for m, _ in picked:
+        img = ev.image(m.hits, t)
+        off = S.shifted(img, m.old)
+        shift.append([np.zeros_like(off) if m.old == x else S.shifted(img, x) - off for x in pool])
+    now, best, choice = window_loss(ev, t, ev.base[t], pool), 0.0, None
+    for pick in itertools.product(range(len(pool)), repeat=len(picked)):
+        if all(stays[i][k] for i, k in enumerate(pick)):
             continue
-        b = np.clip(bare + sum(S.shifted(ev.image(h, t), x) for (h, _), x in zip(picked, choice)), 0, ev.rules.clip)
-        gain = now - window_loss(ev, t, b, targets)
-        if gain > best[0]:
-            best = (gain, choice, b)
-    if best[1] is None or best[0] < ev.rules.gate_chi2:
+        b = np.clip(ev.base[t] + sum(np.zeros_like(ev.base[t]) if stays[i][k] else shift[i][k] for i, k in enumerate(pick)), 0, ev.rules.clip)
+        gain = now - window_loss(ev, t, b, pool)
+        if gain > best:
+            best, choice = gain, pick
+    if choice is None:
         return 0
-    ev.base[t] = best[2]
-    n = 0
-    for (h, o), x in zip(picked, best[1]):
-        if x != o:
-            ev.t0[h] = x
-            ev.moves.append({"kind": "reshuffle", "tpc": t, "old": o, "new": x, "hits": h.tolist(), "energy": float(ev.e[h].sum())})
-            n += 1
-    return n
+    moved = [(m, over, pool[k]) for i, ((m, over), k) in enumerate(zip(picked, choice)) if not stays[i][k]]
+    energy = float(sum(ev.e[m.hits].sum() for m, _, _ in moved))
+    if energy <= 0 or not gate.passed(0, best, energy):
+        return 0
+    if any(vetoed(ev, m.hits) and not overridden(ev, over, over[0], best, energy) for m, over, _ in moved):
+        return 0
+    for m, _, x in moved:
+        commit_move(ev, t, m.hits, m.old, x, moved_base(ev, t, m.hits, m.old, x), "reshuffle")
+        barred.add((t, float(np.rint(m.old)), x))
+    return len(moved)
 
 
 def grid_correct(ev: Event, offsets=(-2, -1, 0, 1, 2)) -> int:
