@@ -166,6 +166,45 @@ def test_line_helpers():
     assert N.gmm_split(two).max() == 1 and L.split_mixed(two, np.zeros(120, int), [0]).max() == 1
 
 
+def naive_time(image, base, actual, var, search, mean=False):
+    """The shift of lowest chi2, by shifting and summing cell by cell."""
+    best = None
+    for s in range(search + 1):
+        moved = np.zeros_like(image)
+        moved[:, s:] = image[:, : image.shape[1] - s]
+        loss = ((np.minimum(base + moved, 60780.0) - actual) ** 2 / var)
+        loss = loss.mean() if mean else loss.sum()
+        if best is None or loss < best[0]:
+            best = (loss, s)
+    return best[1]
+
+
+def test_both_detectors_on_a_fixed_event_worked_out_by_hand(spark):
+    """Four TPCs with a blob each: no light is shared, so each time is the lowest point of its own curve, here found again without the stages."""
+    rng = np.random.default_rng(11)
+    model = models.LinearLight(12, TICKS, PEAK)
+    times = [7.0, 21.0, 40.0, 63.0]
+    places = [(-100, -50, 400), (100, 60, -300), (-90, 80, -200), (80, -70, 250)]
+    hits, light, want = [], [], {}
+    for t, when in enumerate(times):
+        p = rng.normal(places[t], 0.8, (70, 3))
+        e = rng.uniform(0.5, 1.5, 70)
+        img = model.image(*p.T, e, t)
+        a = S.shifted(img, when) + rng.normal(0, 3, img.shape)
+        hits += [(5, 100 * t + i, *map(float, q), float(w), t) for i, (q, w) in enumerate(zip(p, e))]
+        light += [(5, t, c, a[c].tolist(), [50.0] * TICKS, [when]) for c in range(12)]
+        want[t] = naive_time(img, np.zeros_like(img), a, 50.0, SEARCH)
+    assert want == dict(enumerate(times))
+    h = spark.createDataFrame(hits, "event_id long, hit_row long, x double, y double, z double, e double, tpc int")
+    l = spark.createDataFrame(light, "event_id long, tpc int, channel int, samples array<double>, variance array<double>, seeds array<double>")
+    for o in (pipeline.Options("2x2", iters=100, rules=RULES, grow=True, colocate=True, rescue=True, expand=True), pipeline.Options("nd", iters=100, rules=M.rules_of("nd", search=SEARCH, peak=PEAK, half_window=8), eps=3.0, rescue=True, absorb=True, expand=True)):
+        got = pipeline.match(h, l, o, lambda: models.LinearLight(12, TICKS, PEAK)).toPandas()
+        assert len(got) == len(hits) and got.error.isna().all()
+        for t, when in want.items():
+            own = got[(got.tpc == t) & (got.cluster_id >= 0)]
+            assert len(own) >= 60 and (np.abs(own.t0 - when) <= 1).all(), (o.detector, t, own.t0.unique())
+
+
 def test_pipeline_in_spark_reports_failures(spark):
     xyz, e, tpc, actual, var, model, true = event()
     hits = [(1, i, *map(float, p), float(w), int(t)) for i, (p, w, t) in enumerate(zip(xyz, e, tpc))]

@@ -161,3 +161,43 @@ def test_scores(spark):
     assert (s.n, s.mean, s.std) == (2, 2.5, 0.5)
     h = metrics.weighted_histogram(spark.createDataFrame([(-200.0, 1.0), (200.0, 1.0), (0.0, 2.0), (999.0, 4.0)], "x double, w double"), "x", "w", -200, 200, 5)
     assert {x.bin: x.weight_share for x in h.collect()} == {0: 0.125, 79: 0.125, 40: 0.25}
+
+
+FAKE_H5PY = """
+import numpy as np
+
+
+class File:
+    def __init__(self, path, mode="r"):
+        self.tables = np.load(path)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.tables.close()
+
+    def __getitem__(self, name):
+        return self.tables[name]
+"""
+
+
+def test_hdf5_tables_by_a_stand_in(spark, tmp_path, monkeypatch):
+    """The data source over a stand-in for h5py, which is not installed here: all rows of all files, row numbers, chosen columns."""
+    import sys
+
+    if "h5py" not in sys.modules:
+        module = tmp_path / "h5py.py"
+        module.write_text(FAKE_H5PY)
+        monkeypatch.syspath_prepend(str(tmp_path))
+        spark.sparkContext.addPyFile(str(module))
+    rows = np.array([(i, 0.5 * i, i % 3) for i in range(7)], dtype=[("id", "i8"), ("E", "f8"), ("io_group", "i4")])
+    for name in ("a.npz", "b.npz"):
+        with open(tmp_path / name, "wb") as f:
+            np.savez(f, hits=rows)
+    assert tables.register_hdf5(spark)
+    df = spark.read.format("hdf5_table").schema("row long, id long, E double").option("path", f"{tmp_path}/*.npz").option("dataset", "hits").load()
+    got = sorted((r.row, r.id, r.E) for r in df.collect())
+    assert got == sorted([(i, i, 0.5 * i) for i in range(7)] * 2)
+    assert df.where("id > 4").agg({"E": "sum"}).first()[0] == 2 * (2.5 + 3.0)
+    monkeypatch.delitem(sys.modules, "h5py", raising=False)
