@@ -187,6 +187,24 @@ def test_prose_is_told_from_the_rest():
     assert reading.describe("- " + "\n- ".join((EASY * 2).split(". ")))[0] >= 60
 
 
+OTHER_LANGUAGES = {
+    "nl": "De nieuwe detector meet elke dag het licht van de deeltjes die door het vat gaan, en in de avond schrijft de groep een kort verslag over wat er mis ging. We hebben de pomp opnieuw gestart omdat de druk te laag was, maar na een uur was alles weer in orde. Of dat zo blijft is nog niet zeker, want de oude kabel in de kelder is erg warm. ",
+    "it": "Il nuovo rivelatore misura ogni giorno la luce delle particelle che passano nel serbatoio, e la sera il gruppo scrive una breve relazione su quello che non ha funzionato. Abbiamo riavviato la pompa perché la pressione era troppo bassa, ma dopo un'ora tutto era di nuovo a posto. Non sappiamo ancora se resterà così, perché il vecchio cavo in cantina è molto caldo. ",
+    "pt": "O novo detector mede todos os dias a luz das partículas que passam pelo tanque, e à noite o grupo escreve um breve relatório sobre o que correu mal. Reiniciámos a bomba porque a pressão era demasiado baixa, mas depois de uma hora tudo estava de novo em ordem. Ainda não sabemos se vai ficar assim, pois o cabo velho na cave está muito quente. ",
+    "pl": "Nowy detektor mierzy codziennie światło cząstek, które przechodzą przez zbiornik, a wieczorem grupa pisze krótki raport o tym, co się nie udało. Uruchomiliśmy pompę ponownie, bo ciśnienie było za niskie, ale po godzinie wszystko znowu działało. Nie wiemy jeszcze, czy tak zostanie, bo stary kabel w piwnicy jest bardzo gorący. ",
+    "sv": "Den nya detektorn mäter varje dag ljuset från de partiklar som går genom tanken, och på kvällen skriver gruppen en kort rapport om vad som gick fel. Vi startade pumpen igen eftersom trycket var för lågt, men efter en timme var allt bra igen. Om det förblir så är inte säkert, för den gamla kabeln i källaren är mycket varm. ",
+}
+
+
+@pytest.mark.parametrize("lang", OTHER_LANGUAGES)
+def test_languages_that_no_word_list_names_are_no_case(lang):
+    text = OTHER_LANGUAGES[lang]
+    for t in (text, text * 3, text.replace(". ", ".\n") * 2):
+        assert reading.describe(t)[0] == 0
+    # English prose beside it still counts
+    assert reading.describe(EASY * 2 + "\n\n" + text * 2)[0] == len((EASY * 2).split())
+
+
 def test_bands_on_held_out_documents(spark):
     rng = np.random.default_rng(0)
     words = {b: [w for w in t.lower().replace(".", "").replace(",", "").split()] for b, t in zip(reading.BANDS, (EASY, MIDDLE, HARD_TEXT))}
