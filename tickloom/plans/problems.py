@@ -34,12 +34,37 @@ def _faulty(spark: SparkSession, d: str) -> DataFrame:
     return faulty_waveforms(table(spark, d, "wvfm"), table(spark, d, "channel_mask"), table(spark, d, "clip_settings"), table(spark, d, "light_events"))
 
 
-@query("p1_found")
+def _excursions_sql(w: int) -> str:
+    """SQL: whether an excursion of ``w`` ticks leads out of the corridor of the three ticks on either side, beyond the fence."""
+    before, after, own = f"list_slice(v, greatest(i - 3, 1), i - 1)", f"list_slice(v, i + {w}, i + {w + 2})", f"list_slice(v, i, i + {w - 1})"
+    corridor = f"[greatest(list_max({before}), list_max({after})), least(list_min({before}), list_min({after}))]"
+    heights = f"list_transform({own}, lambda x: greatest(x - c[1], c[2] - x))"
+    ok = f"len(list_filter({own}, lambda x: x IS NULL)) = 0 AND list_min(h) > 0 AND c[1] - c[2] < 0.5 * list_min(h) AND list_max(h) <= 4 * list_min(h) AND list_max(h) > fence"
+    inner = f"list_transform([{corridor}], lambda c: list_transform([{heights}], lambda h: list_max({before}) IS NOT NULL AND list_max({after}) IS NOT NULL AND {ok})[1])[1]"
+    return f"len(list_filter(range(2, len(v) - {w} + 1), lambda i: coalesce({inner}, false))) > 0"
+
+
+#: The rules by list operations, with exact quantiles over all hours of a channel.
+_FAULTY_SQL = f"""WITH w AS (SELECT DISTINCT wvfm_row, file_id, adc, ch, samples, list_transform(coalesce(samples, []), lambda x: CASE WHEN isfinite(x) THEN x::DOUBLE END) AS v FROM wvfm),
+d AS (SELECT *, list_max(v) - list_min(v) AS spread, list_sort(list_filter(list_transform(range(1, len(v)), lambda i: v[i + 1] - v[i]), lambda x: x IS NOT NULL)) AS d FROM w),
+f AS (SELECT *, CASE WHEN len(v) >= 8 AND len(d) >= 7 AND spread > 1 THEN greatest(d[least(CAST(floor(len(d) * 0.75) AS BIGINT), len(d) - 1) + 1] - d[CAST(floor(len(d) * 0.25) AS BIGINT) + 1], 0.3 * 1.349 * sqrt(2)) END AS iqr FROM d),
+n AS (SELECT adc, ch, quantile_cont(iqr, 0.4) AS iqr FROM f WHERE iqr IS NOT NULL GROUP BY 1, 2), rails AS (SELECT adc, median(saturation_clip_threshold) AS rail FROM clip_settings WHERE isfinite(saturation_clip_threshold) GROUP BY 1),
+j AS (SELECT f.*, n.iqr * 15 / (1.349 * sqrt(2)) AS fence, r.rail FROM f LEFT JOIN n ON n.adc = f.adc AND n.ch = f.ch LEFT JOIN rails r ON r.adc = f.adc),
+s AS (SELECT wvfm_row, file_id, adc, ch, CASE WHEN len(list_filter(samples, lambda x: x < 0 OR x > 65535)) > 0 THEN 'impossible'
+  WHEN len(list_filter(range(1, len(v) - 14), lambda i: len(list_filter(list_slice(v, i, i + 15), lambda x: x IS NULL)) = 0 AND list_max(list_slice(v, i, i + 15)) - list_min(list_slice(v, i, i + 15)) <= 1 AND list_max(list_slice(v, i, i + 15)) < coalesce(rail * 0.999, 'inf'::DOUBLE))) > 0 THEN 'stuck'
+  WHEN fence IS NOT NULL AND ({' OR '.join(_excursions_sql(w) for w in (1, 2, 3))}) THEN 'spike' END AS reason FROM j),
+c AS (SELECT f.file_id, f.adc, f.ch, count(DISTINCT wvfm_row) AS n, max(spread) AS most, count_if(spread > 1) AS vary, count(spread) AS known, avg(f.iqr) AS own, any_value(n.iqr) AS iqr FROM f LEFT JOIN n ON n.adc = f.adc AND n.ch = f.ch GROUP BY 1, 2, 3),
+faulty AS (SELECT 'wvfm' AS tbl, wvfm_row AS row_id, reason FROM s ANTI JOIN (SELECT * FROM channel_mask WHERE dead) m ON m.file_id = s.file_id AND m.adc = s.adc AND m.ch = s.ch WHERE reason IS NOT NULL
+  UNION SELECT 'channel_mask', mask_row, CASE WHEN dead THEN 'alive' ELSE 'unmarked' END FROM channel_mask m JOIN c ON c.file_id = m.file_id AND c.adc = m.adc AND c.ch = m.ch WHERE n >= 3 AND CASE WHEN coalesce(dead, false) THEN 2 * vary > known AND own >= 0.25 * coalesce(iqr, 0) ELSE most <= 1 END
+  UNION SELECT 'clip_settings', set_row, 'setting' FROM clip_settings s LEFT JOIN rails r ON r.adc = s.adc WHERE saturation_clip_threshold IS NOT NULL AND (NOT isfinite(saturation_clip_threshold) OR abs(saturation_clip_threshold - rail) > 0.01 * abs(rail)))"""
+
+
+@query("p1_found", f"{_FAULTY_SQL} SELECT tbl, row_id FROM faulty")
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return _faulty(spark, d).select("tbl", "row_id")
 
 
-@query("p1_report")
+@query("p1_report", f"{_FAULTY_SQL} SELECT tbl, reason, count(*) AS n_rows FROM faulty GROUP BY 1, 2")
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return _faulty(spark, d).groupBy("tbl", "reason").agg(F.count(F.lit(1)).alias("n_rows"))
 
