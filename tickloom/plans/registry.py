@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tickloom.plans import detector_stages, problems
+from tickloom.plans import detector_parts, detector_stages, problems
 
-QUERIES = problems.QUERIES | detector_stages.QUERIES
-SQL = problems.SQL | detector_stages.SQL
+QUERIES = problems.QUERIES | detector_stages.QUERIES | detector_parts.QUERIES
+SQL = problems.SQL | detector_stages.SQL | detector_parts.SQL
 FLAGSHIP = "truth_residual_summary"
