@@ -11,6 +11,7 @@ JSON; ``promote`` replays rescued values into further typed columns.
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,7 +141,8 @@ def field_profile(records: DataFrame, target: dict[str, str], payload: str = "pa
     e = e.withColumn("num", F.coalesce("num", F.when(~truth, F.expr("try_cast(text AS double)"))))
     word = F.col("text").isNotNull() & F.col("num").isNull() & ~truth
     frac = F.when(F.col("kind") == "array", F.col("num") != F.rint("num")).otherwise((F.col("kind") == "fraction") | F.coalesce(F.col("text").rlike(r"[.eE]"), F.lit(False)))
-    shape = F.regexp_replace(F.regexp_replace(F.col("text"), r"\p{L}", "a"), r"\d", "9")
+    # shapes are compared by their hashes: numbers are aggregated in place, strings would be sorted
+    shape = F.xxhash64(F.regexp_replace(F.regexp_replace(F.col("text"), r"\p{L}", "a"), r"\d", "9"))
     return e.groupBy(*FILE, "field").agg(
         *[F.count_if(F.col("kind") == t).alias(t) for t in TYPES],
         F.count_if(F.col("long")).alias("long"),
@@ -191,9 +193,10 @@ def _likeness(a: dict, b: dict) -> float | None:
     return d if alike and (shared > 0.4 * width or few and shared >= 0) else None
 
 
-def _match(group: pd.DataFrame) -> pd.DataFrame:
+def _match(group: pa.Table) -> pa.Table:
     """The changes of one file; a removed and an added field that carry the same quantity are one, closest pairs first."""
-    gone, new, other = (group[group["side"] == s].to_dict("records") for s in ("removed", "added", "retyped"))
+    rows = group.to_pylist()
+    gone, new, other = ([r for r in rows if r["side"] == s] for s in ("removed", "added", "retyped"))
     pairs = sorted((d, a["field"], b["field"]) for a in gone for b in new if (d := _likeness(a, b)) is not None)
     olds, news, out = set(), set(), []
     for _, a, b in pairs:
@@ -204,10 +207,9 @@ def _match(group: pd.DataFrame) -> pd.DataFrame:
     out += [("removed", a["field"], "") for a in gone if a["field"] not in olds]
     out += [("added", "", b["field"]) for b in new if b["field"] not in news]
     out += [("retyped", x["field"], x["field"]) for x in other]
-    first = group.iloc[0]
-    return pd.DataFrame(
-        [(first["dataset"], first["campaign"], first["file_no"], *row) for row in out], columns=[*FILE, "change", "field_old", "field_new"]
-    )
+    names = ["change", "field_old", "field_new"]
+    of_file = {c: pa.array([rows[0][c]] * len(out), group.schema.field(c).type) for c in FILE}
+    return pa.table(of_file | {n: pa.array([o[i] for o in out], pa.string()) for i, n in enumerate(names)})
 
 
 def _filed(records: DataFrame) -> DataFrame:
@@ -247,7 +249,7 @@ def field_changes(records: DataFrame, target: dict[str, str] | None = None, payl
     both = here.join(there, key, "full").withColumnRenamed("at_no", "file_no")
     side = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("new_kind") != F.col("old_kind"), "retyped")
     changed = both.withColumn("side", side).where("side IS NOT NULL").select(*FILE, "field", "side", F.inline(F.array(F.coalesce("new", "old"))))
-    return changed.groupBy(*FILE).applyInPandas(_match, "dataset string, campaign string, file_no long, change string, field_old string, field_new string")
+    return changed.groupBy(*FILE).applyInArrow(_match, "dataset string, campaign string, file_no long, change string, field_old string, field_new string")
 
 
 def first_names(changes: DataFrame) -> DataFrame:
