@@ -211,9 +211,24 @@ def drift(spark):
 def test_field_changes(spark):
     got = {(r.file_no, r.change, r.field_old, r.field_new) for r in rescue.field_changes(drift(spark)).collect()}
     assert got == {(2, "renamed", "x", "pos_x"), (3, "retyped", "E", "E"), (3, "added", "", "note"), (5, "renamed", "pos_x", "x_cm"), (5, "removed", "E", ""), (5, "added", "", "crate")}
+    # whatever the target schema takes, the rest is rescued: the changes are the same
+    again = rescue.field_changes(drift(spark), {"id": "bigint", "x": "double", "E": "double", "note": "string", "crate": "boolean"})
+    assert {(r.file_no, r.change, r.field_old, r.field_new) for r in again.collect()} == got
+    long = rescue.ingest_long(drift(spark), {"id": "bigint", "E": "double"})
+    taken = long.groupBy("field").agg(F.count("num").alias("num"), F.count("rescued").alias("rescued")).collect()
+    assert {r.field: (r.num > 0, r.rescued > 0) for r in taken} == {"id": (True, True), "E": (True, True), "x": (False, True), "pos_x": (False, True), "note": (False, True), "x_cm": (False, True), "crate": (False, True), None: (False, False)}
     assert rescue.field_changes(drift(spark).limit(0)).count() == 0
 
 
+def test_records_of_unnamed_campaigns_conform(spark):
+    rows = [(i, None if i % 2 else "hits", None, no, json.dumps({"x" if no == 1 else "pos_x": 100 * i + 0.5})) for no in (1, 2) for i in range(20)]
+    raw = spark.createDataFrame(rows, "raw_id long, dataset string, campaign string, file_no int, payload string")
+    changes = rescue.field_changes(raw)
+    assert {(r.dataset, r.campaign, r.change) for r in changes.collect()} == {("hits", "", "renamed"), ("", "", "renamed")}
+    out = rescue.conform(raw, {"x": "double"}, changes).collect()
+    assert len(out) == 40 and all(r.x == 100 * r.raw_id + 0.5 and r._rescued is None and r.campaign is None for r in out)
+
+
 def test_conform_rescues_and_replays(spark):
     raw = drift(spark)
     t = rescue.conform(raw, {"id": "bigint", "x": "double", "E": "double"}, rescue.field_changes(raw))

@@ -1,11 +1,11 @@
 """Rescue-column ingestion of JSON records whose fields drift from file to file.
 
-``ingest`` enforces a target schema and rescues what does not fit. ``field_changes`` ingests strictly,
-reduces the typed and rescued fields of each file to a few statistics and compares each file with
-the one before it; it tells a renamed field by the quantity that it carries on. ``conform`` replays
-these changes: it ingests again, under the names that each file uses, into one typed table with
-fields under their first name and a ``_rescued`` column with every unknown or uncastable value as
-JSON; ``promote`` replays rescued values into further typed columns.
+``ingest`` enforces a target schema and rescues what does not fit; ``ingest_long`` does so to the
+letter, a row per field. ``field_changes`` reduces the taken and rescued values of each file to a few
+statistics and compares each file with the one before it; it tells a renamed field by the quantity
+that it carries on. ``conform`` replays these changes: it ingests under the names that each file
+uses, into one typed table with fields under their first name and a ``_rescued`` column with every
+unknown or uncastable value as JSON; ``promote`` replays rescued values into further typed columns.
 """
 
 from __future__ import annotations
@@ -71,18 +71,16 @@ def _whole(v: Column, typed: Column, kind: str) -> Column:
 
 
 #: What a column of a type takes when nothing but values written as its own type are let in.
-_WRITTEN = {"bigint": "integer", "int": "integer", "double": "fraction", "string": "string", "boolean": "boolean", "array<double>": "array"}
+_WRITTEN = {"bigint": "integer", "int": "integer", "double": "fraction", "string": "string", "boolean": "boolean"}
 
 
-def ingest(records: DataFrame, target: dict[str, str], payload: str = "payload", strict: bool = False, names: Column | None = None) -> DataFrame:
+def ingest(records: DataFrame, target: dict[str, str], payload: str = "payload", names: Column | None = None) -> DataFrame:
     """The target schema enforced: the columns of ``records``, ``_t0, _t1, ..`` of ``target``, and ``_rescued``.
 
     ``_rescued`` maps names to the values (variants) that no column took whole: unknown fields, what
     can't be cast, what holds more than the column does. It is NULL for a payload that is no JSON
     object. ``names`` is a map of first names to the names in the record's file. Casts are generous
-    (numbers written as strings, arrays of one, objects around a ``v``), and JSON nulls are dropped;
-    with ``strict`` a column takes only values written as its own type, and all else is rescued,
-    JSON nulls too.
+    (numbers written as strings, arrays of one, objects around a ``v``), and JSON nulls are dropped.
     """
     rows = records.withColumn("_m", F.from_json(payload, "map<string,variant>"))
     here = [F.lit(f) if names is None else F.coalesce(F.element_at(names, F.lit(f)), F.lit(f)) for f in target]
@@ -90,53 +88,49 @@ def ingest(records: DataFrame, target: dict[str, str], payload: str = "payload",
     rows = rows.select("*", *[n.alias(f"_n{i}") for i, n in enumerate(here)])
     rows = rows.select("*", *[F.element_at("_m", F.col(f"_n{i}")).alias(f"_v{i}") for i in range(len(here))])
 
-    def typed(i: int, kind: str) -> Column:
-        v = F.col(f"_v{i}")
-        if not strict:
-            return _typed(v, kind)
-        got = F.when(_type(v) == _WRITTEN[kind], F.try_variant_get(v, "$", kind))
-        if kind.startswith("array"):
-            got = let(got, lambda t: F.when((F.size(t) > 0) & _whole(v, t, kind) & F.forall(t, lambda x: x.isNotNull()), t))
-        return got
-
-    rows = rows.select("*", *[typed(i, kind).alias(f"_t{i}") for i, kind in enumerate(target.values())])
+    rows = rows.select("*", *[_typed(F.col(f"_v{i}"), kind).alias(f"_t{i}") for i, kind in enumerate(target.values())])
     taken = []
     for i, kind in enumerate(target.values()):
         v, t = F.col(f"_v{i}"), F.col(f"_t{i}")
-        done = t.isNotNull() if strict else t.isNotNull() & _whole(v, t, kind) | F.is_variant_null(v)
-        taken.append(F.when(done, F.col(f"_n{i}")))
+        taken.append(F.when(t.isNotNull() & _whole(v, t, kind) | F.is_variant_null(v), F.col(f"_n{i}")))
     rest = let(F.array_compact(F.array(*taken)), lambda u: F.map_filter("_m", lambda k, _: ~F.array_contains(u, k))) if taken else F.col("_m")
     return rows.select(*records.columns, *[f"_t{i}" for i in range(len(taken))], rest.alias("_rescued"))
 
 
-def _entries(target: dict[str, str]) -> Column:
-    """All fields of a strictly ingested record: ``field, kind``, and ``text`` or ``num`` of the quantity, ``long`` for arrays of several."""
-
-    def entry(field: Column, kind: Column, text: Column, num: Column, long: Column) -> Column:
-        return F.struct(field.alias("field"), kind.alias("kind"), text.cast("string").alias("text"), num.cast("double").alias("num"), long.cast("boolean").alias("long"))
-
-    own, none = [], F.lit(None)
-    for i, (field, kind) in enumerate(target.items()):
-        t, as_text = F.col(f"_t{i}"), _WRITTEN[kind] in ("string", "boolean")
-        first, long = (F.get(t, F.lit(0)), F.size(t) > 1) if kind.startswith("array") else (t, none)
-        own.append(F.when(t.isNotNull(), entry(F.lit(field), F.lit(_WRITTEN[kind]), first if as_text else none, none if as_text else first, long)))
+def ingest_long(records: DataFrame, target: dict[str, str], payload: str = "payload") -> DataFrame:
+    """The target schema enforced to the letter, a row per record and field: FILE, ``field, kind, num, text, rescued``.
 
-    def rescued(e: Column) -> Column:
-        many = F.when(e["k"] == "array", F.try_variant_get(e["v"], "$[1]", "string").isNotNull())
-        return entry(e["f"], e["k"], _inner(e["v"], e["k"]), none, many)
-
-    others = F.transform(F.map_entries("_rescued"), lambda e: F.struct(e["key"].alias("f"), e["value"].alias("v"), _type(e["value"]).alias("k")))
-    return F.array_compact(F.concat(F.array(*own), F.coalesce(F.transform(others, rescued), F.array()))) if own else F.transform(others, rescued)
+    A field of ``target`` written as its column's own type is taken: numbers as ``num``, flags and
+    strings as ``text``. Every other value (unknown fields, other types, JSON nulls, arrays) is kept
+    whole in ``rescued``. A record that is no JSON object, or has no fields, has one row, of the NULL field.
+    """
+    e = records.select(*FILE, F.explode_outer(F.from_json(payload, "map<string,variant>")).alias("field", "value"))
+    e = e.select("*", F.schema_of_variant("value").alias("_s")).select(*FILE, "field", "value", _type_of_schema(F.col("_s")).alias("kind"))
+    wanted = {f: _WRITTEN[t] for f, t in target.items() if t in _WRITTEN}
+    # the fields of each type together: one test a type, however many fields there are
+    fits = F.lit(False)
+    for t in dict.fromkeys(wanted.values()):
+        fits = fits | ((F.col("kind") == t) & F.col("field").isin([f for f, k in wanted.items() if k == t]))
+    e = e.withColumn("fits", F.coalesce(fits, F.lit(False)))
+    number = F.col("kind").isin("integer", "fraction")
+    return e.select(
+        *FILE, "field", "kind",
+        F.when(F.col("fits") & number, F.try_variant_get("value", "$", "double")).alias("num"),
+        F.when(F.col("fits") & ~number, F.try_variant_get("value", "$", "string")).alias("text"),
+        F.when(~F.col("fits"), F.col("value")).alias("rescued"),
+    )
 
 
 def field_profile(records: DataFrame, target: dict[str, str], payload: str = "payload") -> DataFrame:
     """One row per file and field: counts by type and what the field's quantity looks like.
 
-    Taken from the strictly ingested records: fields of ``target`` that are written as they should
-    be are read off their columns, all others off the rescued values. The profile does not depend
-    on ``target``. The NULL field stands for the records without fields.
+    Values that the columns took are read as they are, rescued ones are replayed: the quantity is
+    looked for inside them. The profile does not depend on ``target``. The NULL field stands for the
+    records without fields.
     """
-    e = ingest(records.select(*FILE, payload), target, payload, strict=True).select(*FILE, F.inline_outer(_entries(target)))
+    e = ingest_long(records, target, payload)
+    e = e.withColumn("long", F.when(F.col("kind") == "array", F.try_variant_get("rescued", "$[1]", "string").isNotNull()))
+    e = e.withColumn("text", F.coalesce("text", _inner(F.col("rescued"), F.col("kind")))).drop("rescued")
     truth = F.lower("text").isin("true", "false")
     e = e.withColumn("num", F.coalesce("num", F.when(~truth, F.expr("try_cast(text AS double)"))))
     word = F.col("text").isNotNull() & F.col("num").isNull() & ~truth
