@@ -183,8 +183,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _conformed(spark: SparkSession, d: str, dataset: str, target: dict[str, str]) -> DataFrame:
-    raw = table(spark, d, "raw_records").where(F.col("dataset") == dataset).dropDuplicates(["raw_id", "payload"])
-    return promote(conform(raw, target, field_changes(raw, target)), APPROVED).withColumn("_rescued", F.to_json("_rescued"))
+    stored = table(spark, d, "raw_records").where(F.col("dataset") == dataset)
+    # repeated rows change nothing about the fields of a file, and come out once
+    raw = stored.dropDuplicates(["raw_id", "payload"])
+    return promote(conform(raw, target, field_changes(stored, target)), APPROVED).withColumn("_rescued", F.to_json("_rescued"))
 
 
 @query("p5_hits_full")

@@ -283,7 +283,7 @@ def conform(records: DataFrame, target: dict[str, str], changes: DataFrame, payl
     marks = files.withColumn("names", F.lit(None).cast("map<string,string>")).withColumn("_file", F.lit(True)).unionByName(steps.withColumn("_file", F.lit(False)))
     marks = marks.groupBy(*FILE).agg(F.max("_file").alias("_file"), F.first("names", ignorenulls=True).alias("names"))
     of_file = carried(marks, CAMPAIGN, "file_no", {"_names": F.col("names")}).where(F.col("_file") & F.col("_names").isNotNull())
-    of_file = of_file.select(*[F.col(c).alias(f"_file_{c}") for c in FILE], "_names")
+    of_file = kept(of_file.select(*[F.col(c).alias(f"_file_{c}") for c in FILE], "_names"))  # a row for each file with renamed fields
     on = [F.coalesce(records[c], F.lit("")) == F.col(f"_file_{c}") for c in CAMPAIGN] + [records["file_no"].cast("long") == F.col("_file_file_no")]
     rows = ingest(records.join(broadcast_if_small(of_file), on, "left"), target, payload, names=F.col("_names"))
     keep = [c for c in records.columns if c != payload and c not in target]
