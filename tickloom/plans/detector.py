@@ -107,7 +107,7 @@ def rows_by_index(spark, d):
 @query(
     "event_of_range",
     """SELECT p.hit_row AS probe_id, min(g.event_id) AS event_row FROM (SELECT DISTINCT hit_row FROM hits WHERE hit_row IS NOT NULL) p
-  JOIN (SELECT event_id, min(hit_row) AS a, max(hit_row) + 1 AS b FROM event_hits WHERE hit_row > 0 AND event_id > 0 GROUP BY 1) g ON g.a <= p.hit_row AND p.hit_row < g.b AND g.b - g.a <= 5000 GROUP BY 1""",
+  JOIN (SELECT event_id, min(hit_row) AS a, max(hit_row) + 1 AS b FROM event_hits WHERE hit_row > 0 AND event_id > 0 GROUP BY 1) g ON g.a <= p.hit_row AND p.hit_row < g.b GROUP BY 1""",
 )
 def event_of_range(spark, d):
     regions = table(spark, d, "event_hits").where("hit_row > 0 AND event_id > 0").groupBy(F.col("event_id").alias("event_row")).agg(F.min("hit_row").alias("start"), (F.max("hit_row") + 1).alias("stop"))

@@ -504,7 +504,7 @@ def compact_labels(spark, d):
 
 
 # ---------------------------------------------------------------- sinks
-_SH = "(SELECT file_id, hit_row, arg_max({'t': t_0, 'c': t_cluster_id}, (greatest(coalesce(t_0, -1), -1), coalesce(t_cluster_id, -32768))) AS v FROM hits WHERE hit_row % 3 <> 0 AND hit_row IS NOT NULL GROUP BY 1, 2)"
+_SH = "(SELECT file_id, hit_row, arg_max({'t': t_0, 'c': t_cluster_id}, (greatest(coalesce(t_0, -1), -1), coalesce(t_cluster_id, -32768))) AS v FROM hits WHERE hit_row IS NOT NULL GROUP BY 1, 2)"
 
 
 def shards(spark, d) -> DataFrame:
@@ -523,7 +523,7 @@ def scatter(spark, d):
 @query(
     "file_summary",
     """SELECT n.file_id, n_calib_hits, n_assigned, n_calib_hits - n_assigned AS n_unassigned, n_events FROM
-(SELECT file_id, count(*) AS n_calib_hits, count(t) AS n_assigned FROM (SELECT file_id, hit_row, max(CASE WHEN t_0 >= 0 AND hit_row % 3 <> 0 THEN t_0 END) AS t FROM hits WHERE hit_row IS NOT NULL GROUP BY 1, 2) GROUP BY 1) n
+(SELECT file_id, count(*) AS n_calib_hits, count(t) AS n_assigned FROM (SELECT file_id, hit_row, max(CASE WHEN t_0 >= 0 THEN t_0 END) AS t FROM hits WHERE hit_row IS NOT NULL GROUP BY 1, 2) GROUP BY 1) n
 FULL JOIN (SELECT file_id, count(DISTINCT event_id) AS n_events FROM charge_events GROUP BY 1) e USING (file_id)""",
 )
 def file_summary(spark, d):
