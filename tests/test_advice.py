@@ -67,7 +67,7 @@ def test_tracks_are_drawn_as_often_as_in_the_reference(monkeypatch):
     monkeypatch.setattr(pipeline.L, "labels_nd", stop)
     monkeypatch.setattr(pipeline, "match", lambda hits, light, o, make: options.append(o))
     monkeypatch.setattr(pipeline, "status", lambda result: result)
-    for name in ("hits_in_tpcs", "event_light"):
+    for name in ("hits_in_tpcs", "event_light", "nd_hits", "nd_light"):
         monkeypatch.setattr(detector_stages, name, lambda spark, d: None)
     options = [pipeline.Options("2x2"), pipeline.Options("nd")]
     detector_stages.match_2x2(None, "")
