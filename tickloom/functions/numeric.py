@@ -152,11 +152,19 @@ def ransac_line(p: np.ndarray, iters: int, reach: float, least: int, rng: np.ran
     ok = length > 1e-9
     u, i = u[ok] / length[ok, None], i[ok]
     best, mask = -1, None
+    # about the middle, so that squares stay small; distances by matrix products
+    q = p - p.mean(0)
+    square, turned = (q * q).sum(1), np.ascontiguousarray(q.T)
     for a in range(0, len(u), max(1, 2_000_000 // n)):
         b = a + max(1, 2_000_000 // n)
-        q = p[None] - p[i[a:b]][:, None]
-        along = np.einsum("knd,kd->kn", q, u[a:b])
-        near = (q * q).sum(2) - along**2 <= reach * reach
+        o = q[i[a:b]]
+        along = u[a:b] @ turned - (u[a:b] * o).sum(1)[:, None]
+        gap = (-2 * o) @ turned
+        gap += square
+        gap += square[i[a:b]][:, None]
+        along *= along
+        gap -= along
+        near = gap <= reach * reach
         count = near.sum(1)
         k = count.argmax()
         if count[k] > best:

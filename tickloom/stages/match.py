@@ -100,6 +100,7 @@ class Event:
     place: dict[int, float] = field(default_factory=dict)
     log: list[dict] = field(default_factory=list)
     moves: list[dict] = field(default_factory=list)
+    recent: dict[tuple[int, float], list] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.t0 = np.full(len(self.e), np.nan) if self.t0 is None else self.t0
@@ -110,6 +111,17 @@ class Event:
         h = hits[self.tpc[hits] == tpc]
         return self.model.image(*self.xyz[h].T, self.e[h], tpc) if len(h) else np.zeros_like(self.actual[tpc])
 
+    def family_image(self, hits: np.ndarray, tpc: int, t0: float) -> np.ndarray:
+        """``image``; the last two of each TPC and time are remembered, as one move's families are the next one's."""
+        known = self.recent.setdefault((tpc, t0), [])
+        for own, img in known:
+            if len(own) == len(hits) and np.array_equal(own, hits):
+                return img
+        img = self.image(hits, tpc)
+        known.insert(0, (hits, img))
+        del known[2:]
+        return img
+
     def predict(self, label: np.ndarray | None = None) -> dict[tuple[int, int], np.ndarray]:
         label = self.label if label is None else label
         out = {}
@@ -654,9 +666,11 @@ def moved_base(ev: Event, t: int, hits: np.ndarray, old: float, new: float) -> n
     """The base of a TPC after hits moved: their families' images predicted anew, old ones taken off."""
     b = ev.base[t].copy()
     was, to = families(ev, t, old), families(ev, t, new)
-    stay, joined = np.setdiff1d(was, hits), np.union1d(to, hits)
+    moved, arrived = np.zeros(len(ev.e), bool), np.zeros(len(ev.e), bool)
+    moved[hits] = arrived[hits] = arrived[to] = True
+    stay, joined = was[~moved[was]], np.nonzero(arrived)[0]
     for group, x, sign in ((was, old, -1), (to, new, -1), (stay, old, 1), (joined, new, 1)):
-        b += sign * S.shifted(ev.image(group, t), x)
+        b += sign * S.shifted(ev.family_image(group, t, x), x)
     return np.clip(b, 0, ev.rules.clip)
 
 
@@ -830,10 +844,16 @@ def spatial_repair(ev: Event, contact: float = 4.0, same: float = 10.0, radius:
         def score(hits: np.ndarray, f) -> np.ndarray:
             c, u, own, w = f
             near = np.full(len(hits), np.inf)
-            for i in range(0, len(own), 2000):
-                d = np.sqrt(((ev.xyz[hits][:, None] - ev.xyz[own[i : i + 2000]][None]) ** 2).sum(2))
+            step = max(1, 1_000_000 // max(len(hits), 1))
+            for i in range(0, len(own), step):
+                d = np.zeros((len(hits), len(own[i : i + step])))
+                for axis in range(3):
+                    gap = ev.xyz[hits, axis][:, None] - ev.xyz[own[i : i + step], axis]
+                    gap *= gap
+                    d += gap
                 d[d == 0] = np.inf
                 near = np.minimum(near, d.min(1))
+            near = np.sqrt(near)
             return w[0] * N.line_gap(ev.xyz[hits], c, u) + w[1] * np.where(np.isfinite(near), near, 0) + w[2] * np.sqrt(((ev.xyz[hits] - c) ** 2).sum(1)) / 10
 
         for k in (0, 1):
@@ -841,14 +861,15 @@ def spatial_repair(ev: Event, contact: float = 4.0, same: float = 10.0, radius:
             if not len(hits):
                 continue
             own, other = score(hits, fit[k]), score(hits, fit[1 - k])
-            pick = hits[(np.minimum(own, other) <= worse) | (other <= own + slack)]
+            near = (np.minimum(own, other) <= worse) | (other <= own + slack)
+            pick, own, other = hits[near], own[near], other[near]
             if not len(pick):
                 continue
             part = N.radius_components(ev.xyz[pick], radius)
             target = (tb, ta)[k]
-            for g in range(part.max() + 1):
-                some = pick[part == g]
-                o, n = score(some, fit[k]), score(some, fit[1 - k])
+            order = np.argsort(part, kind="stable")
+            for at in np.split(order, np.nonzero(np.diff(part[order]))[0] + 1):
+                some, o, n = pick[at], own[at], other[at]
                 w = np.clip(ev.e[some], 1e-9, None)
                 go = some if (w @ n) / w.sum() < (w @ o) / w.sum() - margin else some[n < o - margin]
                 if len(go) and len(go) < len(side[k]):
