@@ -189,14 +189,17 @@ def orphan_references(
     """
     targets = list(dict.fromkeys((r.target, r.key) for r in references))
     no = {t: i for i, t in enumerate(targets)}
-    parents, splits = [], {}
+    parents, splits, uneven = [], {}, False
     for t, k in targets:
         p = tables(t).select(F.col(k).cast("long").alias("key"), F.col(begin).alias("begin"), F.col(end).alias("end")).where("key IS NOT NULL")
-        ranges = max(1, min(quantile_ranges, -(-p.count() // per_range)))
+        wanted = -(-p.count() // per_range)
+        ranges = max(1, min(quantile_ranges, wanted))
         cuts: list[float] = []
         if ranges > 1:
             q = p.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 4 * ranges + 1000).alias("q")).first()["q"]
             cuts = sorted({float(x) for x in q})
+        # quantiles make ranges alike, unless too few were taken or one key spans several of them
+        uneven = uneven or wanted > ranges or len(cuts) < ranges - 1
         splits[(t, k)] = cuts
         parents.append(_range_of(p, "key", cuts, "rng").withColumn("target", F.lit(no[(t, k)])))
     parent = reduce(DataFrame.unionByName, parents)
@@ -220,7 +223,7 @@ def orphan_references(
     ref = reduce(DataFrame.unionByName, refs)
 
     # at most quantile_ranges rows a target: ranges that quantiles could not make small enough
-    sizes = parent.groupBy("target", "rng").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * per_range).collect()
+    sizes = parent.groupBy("target", "rng").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * per_range).collect() if uneven else []
     spark, slabs = ref.sparkSession, None
     if sizes:
         large = F.broadcast(spark.createDataFrame([(r.target, r.rng, -(-r.n // per_range)) for r in sizes], "target int, rng int, cuts int"))
