@@ -224,8 +224,9 @@ def orphan_references(
 
     # at most quantile_ranges rows a target: ranges that quantiles could not make small enough
     sizes = parent.groupBy("target", "rng").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * per_range).collect() if uneven else []
-    spark, slabs = ref.sparkSession, None
+    spark, slabs, group = ref.sparkSession, None, ["target", "rng"]
     if sizes:
+        group.append("cut")
         large = F.broadcast(spark.createDataFrame([(r.target, r.rng, -(-r.n // per_range)) for r in sizes], "target int, rng int, cuts int"))
         by_hash = F.pmod(F.xxhash64("key"), F.coalesce("cuts", F.lit(1))).cast("int")
         ref, parent = (df.join(large, ["target", "rng"], "left").withColumn("cut", by_hash) for df in (ref, parent))
@@ -234,26 +235,21 @@ def orphan_references(
         # of versions without begin it is enough to know that there are any
         unknown = F.col("begin").isNull()
         parent = parent.where(~unknown).unionByName(parent.where(unknown).withColumn("end", F.lit(None).cast(parent.schema["end"].dataType)).distinct())
-    else:
-        ref, parent = ref.withColumn("cut", F.lit(0)), parent.withColumn("cut", F.lit(0))
-    if slabs is None:
-        ref, parent = ref.withColumn("slab", F.lit(0)), parent.withColumn("slab", F.lit(0))
-    else:
+    if slabs is not None:
+        group.append("slab")
         slabs = broadcast_if_small(slabs)
         ref, parent = ref.join(slabs, ["target", "key"], "left").withColumn("slab", _slab("at")).drop("slabs"), _in_slabs(parent, slabs)
 
-    group = ["target", "rng", "cut", "slab"]
     crowded = ref.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > per_group).select(*group, F.ceil(F.col("n") / per_group).cast("int").alias("salts"))
     salts = crowded.limit(BROADCAST_ROWS + 1).collect()
     if salts:
         salts = F.broadcast(spark.createDataFrame(salts, crowded.schema)) if len(salts) <= BROADCAST_ROWS else crowded
         ref = ref.join(salts, group, "left").withColumn("salt", F.pmod(F.xxhash64("ref_id", "key"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
         parent = parent.join(salts, group, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    else:
-        ref, parent = ref.withColumn("salt", F.lit(0)), parent.withColumn("salt", F.lit(0))
+        group = [*group, "salt"]
 
     at_type = dict(ref.dtypes)["at"]
-    group = [*group, "salt"]
+    ref = ref.select(*group, "fk_no", "ref_id", "key", "at")
     parent = parent.select(*group, "key", "begin", "end")
     missed = (
         ref.groupBy(*group).cogroup(parent.groupBy(*group)).applyInArrow(_probe, f"fk_no int, ref_id long, at {at_type}, kind string")
