@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,6 @@ FOREIGN = frozenset(
     "el los las una uno y o es son no que en por para con sin del al antes después porque aunque cada".split()
 ) - frozenset("a no o y as an in on is do me".split())
 
-_token = regex.compile(r"\S+")
 _word = regex.compile(r"\p{Latin}+(?:['’\-‐]\p{Latin}+)*")
 _odd = regex.compile(r"[=\[\]{}<>|_\\@^~]|\w\(|0x")
 _number = regex.compile(r"[+\-±]?\d[\d.,:]*%?")
@@ -44,6 +44,21 @@ _end = regex.compile(r"(?<=[.!?])[\"')\]]*\s+(?=[\"'(]*\p{Lu}|[-*•]\s)")
 _STRIP = ".,;:!?()\"'’“”…*#-–—•"
 
 
+@lru_cache(maxsize=200_000)
+def _judged_token(tok: str) -> tuple[str | None, int, int, float]:
+    """A token's word ('' for a number, None for neither), its weight against prose, and how English and how foreign it is."""
+    core = tok.strip(_STRIP)
+    if not core:
+        return None, 0, 0, 0.0
+    if _word.fullmatch(core):
+        w = core.lower()
+        return w, 0, int(w in ENGLISH), (w in FOREIGN and w not in ENGLISH) + 0.5 * (not w.isascii())
+    odd = _odd.search(tok)
+    if _number.fullmatch(core) and not odd:
+        return "", 0, 0, 0.0
+    return None, 2 if odd else 1, 0, 0.0
+
+
 def prose_lines(text: str) -> list[tuple[int, str, list[str]]]:
     """The lines of running English prose: number, text, and words in lower case, '' standing for a number.
 
@@ -54,23 +69,20 @@ def prose_lines(text: str) -> list[tuple[int, str, list[str]]]:
     lines = []
     english = foreign = 0
     for no, raw in enumerate(text.splitlines()):
-        words, numbers, other = [], 0, 0
-        for tok in _token.findall(raw):
-            core = tok.strip(_STRIP)
-            if not core:
-                continue
-            if _word.fullmatch(core):
-                words.append(core.lower())
-            elif _number.fullmatch(core) and not _odd.search(tok):
-                words.append("")
-                numbers += 1
+        words, numbers, other, e, f = [], 0, 0, 0, 0.0
+        for tok in raw.split():
+            # tokens recur; long ones do not, and are not kept
+            word, odd, en, fo = _judged_token(tok) if len(tok) <= 40 else _judged_token.__wrapped__(tok)
+            if word is not None:
+                words.append(word)
+                numbers += not word
+                e += en
+                f += fo
             else:
-                other += 2 if _odd.search(tok) else 1
+                other += odd
         n = len(words) - numbers
         if n < 2 or n < 0.75 * (n + numbers + other):
             continue
-        e = sum(w in ENGLISH for w in words)
-        f = sum(w in FOREIGN and w not in ENGLISH for w in words) + 0.5 * sum(not w.isascii() for w in words)
         english, foreign = english + e, foreign + f
         lines.append(((no, raw, words), e, f, n))
     total = sum(n for *_, n in lines)
