@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.eager import KeyedJoin, eager_join_aggregate, heavy_keys
 from tickloom.operators.references import Reference, orphan_references, orphan_report, probe_sorted
-from tickloom.operators.skew import broadcast_if_small, carried, ordered_rank, sliced_rank
+from tickloom.operators import skew
+from tickloom.operators.skew import broadcast_if_small, carried, kept, ordered_rank, release, sliced_rank
 from tickloom.operators.spikes import SpikeRules, faulty_waveforms, waveform_features
 from tickloom.session import shared_dir
 from tickloom.sources import compaction, rescue
@@ -37,6 +38,20 @@ def test_broadcast_only_when_small(spark):
     assert "broadcast" not in broadcast_if_small(spark.range(6), 5)._jdf.queryExecution().logical().toString().lower()
 
 
+def test_kept_frames_are_released_whatever_became_of_their_session(spark):
+    df = kept(spark.range(10).withColumn("v", F.rand()))
+    first = df.agg(F.sum("v")).first()
+    assert df.is_cached and df.agg(F.sum("v")).first() == first
+
+    class Gone:
+        def unpersist(self):
+            raise RuntimeError("the session has ended")
+
+    skew._kept.append(Gone())
+    release()
+    assert not skew._kept and not df.is_cached and df.count() == 10
+
+
 # ---------------------------------------------------------------- 4 heavy keys
 def test_eager_aggregation_equals_the_join(spark):
     left = spark.createDataFrame([(1, "a", 0)] * 50 + [(1, "b", 0), (2, "b", 0), (None, "b", 0), (9, "c", 0), (2, None, 0)], "k int, g string, v int")

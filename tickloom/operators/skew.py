@@ -24,7 +24,11 @@ def kept(df: DataFrame) -> DataFrame:
 def release() -> None:
     """Unpersist what operators have kept; results not read yet are still right, they are computed anew."""
     while _kept:
-        _kept.pop().unpersist()
+        df = _kept.pop()
+        try:
+            df.unpersist()
+        except Exception:  # noqa: BLE001 - its session has ended, and with it what was kept
+            continue
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
