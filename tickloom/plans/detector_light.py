@@ -439,7 +439,24 @@ def density_clusters(spark, d):
     return components.labels_by_energy(components.dbscan(p, "hit_row", 12.0, 3, ["event_id"]), p, "hit_row", "e", ["event_id"])
 
 
-@query("principal_axes")
+def _cross_sql(p: str, q: str) -> str:
+    return f"[{p}[2] * {q}[3] - {p}[3] * {q}[2], {p}[3] * {q}[1] - {p}[1] * {q}[3], {p}[1] * {q}[2] - {p}[2] * {q}[1]]"
+
+
+#: Eigenvalues of a symmetric matrix in closed form; the main direction is at right angles to two rows of the matrix less its largest.
+_AXES = f"""WITH p AS (SELECT event_id, cluster, x, y, z, greatest(coalesce(e, 0), 1e-8) AS w FROM {_P} WHERE cluster >= 0), m AS (SELECT event_id, cluster, count(*) AS n, sum(w) AS sw, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * z) / sum(w) AS mz FROM p GROUP BY 1, 2),
+c AS (SELECT p.event_id, p.cluster, any_value(n) AS n, any_value(sw) AS sw, any_value(mx) AS mx, any_value(my) AS my, any_value(mz) AS mz, sum(w * (x - mx) ** 2) / any_value(sw) AS a, sum(w * (y - my) ** 2) / any_value(sw) AS b, sum(w * (z - mz) ** 2) / any_value(sw) AS c,
+  sum(w * (x - mx) * (y - my)) / any_value(sw) AS d, sum(w * (x - mx) * (z - mz)) / any_value(sw) AS e, sum(w * (y - my) * (z - mz)) / any_value(sw) AS f FROM p JOIN m ON m.event_id = p.event_id AND m.cluster = p.cluster GROUP BY 1, 2),
+s AS (SELECT *, (a + b + c) / 3 AS q, sqrt(((a - (a + b + c) / 3) ** 2 + (b - (a + b + c) / 3) ** 2 + (c - (a + b + c) / 3) ** 2 + 2 * (d * d + e * e + f * f)) / 6) AS r FROM c),
+t AS (SELECT *, CASE WHEN r > 0 THEN acos(greatest(-1, least(1, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / (2 * r ** 3)))) / 3 ELSE 0 END AS phi FROM s),
+l AS (SELECT *, q + 2 * r * cos(phi) AS l1, greatest(q + 2 * r * cos(phi + 2 * pi() / 3), 0) AS l3, 3 * q AS tr FROM t), rows_ AS (SELECT *, [a - l1, d, e] AS r1, [d, b - l1, f] AS r2, [e, f, c - l1] AS r3, greatest(tr - l1 - l3, 0) AS l2 FROM l),
+k AS (SELECT *, list_sort(list_transform([{_cross_sql('r1', 'r2')}, {_cross_sql('r1', 'r3')}, {_cross_sql('r2', 'r3')}], lambda v: {{'n': sqrt(v[1] ** 2 + v[2] ** 2 + v[3] ** 2), 'v': v}}), 'DESC')[1] AS u FROM rows_),
+g AS (SELECT p.event_id, p.cluster, max(((x - mx) * u.v[1] + (y - my) * u.v[2] + (z - mz) * u.v[3]) / greatest(u.n, 1e-300)) - min(((x - mx) * u.v[1] + (y - my) * u.v[2] + (z - mz) * u.v[3]) / greatest(u.n, 1e-300)) AS length FROM p JOIN k ON k.event_id = p.event_id AND k.cluster = p.cluster GROUP BY 1, 2)
+SELECT k.event_id, k.cluster, k.n AS n_hits, round(sw, 4) AS energy, round(length, 4) AS length, round(CASE WHEN n < 3 THEN n - 1 ELSE l1 / greatest(tr, 1e-12) END, 4) AS linearity, round(CASE WHEN n < 3 THEN 0 ELSE (l1 + l2) / greatest(tr, 1e-12) END, 4) AS planarity,
+  round(CASE WHEN n < 3 THEN 0 ELSE sqrt(l2 + l3) END, 4) AS transverse_rms FROM k JOIN g ON g.event_id = k.event_id AND g.cluster = k.cluster"""
+
+
+@query("principal_axes", _AXES)
 def principal_axes(spark, d):
     a = components.principal_axes(points(spark, d).where("cluster >= 0"), ["event_id", "cluster"], "e")
     return a.select("event_id", "cluster", "n_hits", *[F.round(c, 4).alias(c) for c in ("energy", "length", "linearity", "planarity", "transverse_rms")])
