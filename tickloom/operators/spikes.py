@@ -202,7 +202,11 @@ def faulty_waveforms(waveforms: DataFrame, masks: DataFrame, settings: DataFrame
     rows. Extra columns are not read.
     """
     f = features(waveforms, ["wvfm_row", "light_id", "file_id", "adc", "ch"], "samples", rules)
-    f = kept(f.join(broadcast_if_small(light_hours(light)), "light_id", "left").drop("light_id"))
+    # waveforms without a light event may be many: where the join shuffles they are spread
+    none = F.col("light_id").isNull() | (F.col("light_id") == -1)
+    f = f.withColumn("_spread", F.when(none, F.pmod(F.xxhash64("wvfm_row"), F.lit(1000)) + 1).otherwise(0))
+    hours = broadcast_if_small(light_hours(light)).withColumn("_spread", F.lit(0).cast("long"))
+    f = kept(f.join(hours, ["light_id", "_spread"], "left").drop("light_id", "_spread"))
     thr = F.col("saturation_clip_threshold").cast("double")
     finite = thr.isNotNull() & ~F.isnan(thr) & (F.abs(thr) != float("inf"))
     rails = settings.where(finite).groupBy("adc").agg(F.kll_sketch_agg_double(thr).alias("_s"))
