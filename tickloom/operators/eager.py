@@ -47,7 +47,12 @@ def eager_join_aggregate(
     ls = key_states(left if stored else left.where(F.col(on).isNotNull()), [on, *group], {f"_l{i}": c for i, (_, c) in enumerate(ours)})
     rs = key_states(right.where(F.col(on).isNotNull()), [on], {f"_s{i}": c for i, (_, c) in enumerate(theirs)})
     ls = ls.select(F.col(on).alias("_k"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("n").alias("_n"), *[f"_l{i}" for i in range(len(ours))])
-    joined = ls.join(rs.withColumnsRenamed({on: "_k", "n": "_m"}), "_k", "left" if stored else "inner")
+    rs = rs.withColumnsRenamed({on: "_k", "n": "_m"})
+    if stored:
+        # states without a key match nothing and may be many: they are spread
+        spread = F.pmod(F.xxhash64(*[f"_g{i}" for i in range(len(group))]), F.lit(1000)) + 1
+        ls, rs = ls.withColumn("_spread", F.when(F.col("_k").isNull(), spread).otherwise(0)), rs.withColumn("_spread", F.lit(0).cast("long"))
+    joined = ls.join(rs, ["_k", "_spread"] if stored else "_k", "left" if stored else "inner")
     times = F.coalesce("_m", F.lit(0))
     return joined.groupBy(*[F.col(f"_g{i}").alias(g) for i, g in enumerate(group)]).agg(
         F.sum(F.col("_n") * times).alias(count),
