@@ -5,12 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.numeric import components
-from tickloom.operators.skew import join_null_safe, ordered_rank
-from tickloom.operators.spatial import XYZ, close_pairs, within
+from tickloom.functions.numeric import components, dbscan_links, grid_components
+from tickloom.operators.blocks import MOST, blocks, by_block, places
+from tickloom.operators.skew import broadcast_if_small, join_null_safe, kept, kept_once, ordered_rank
+from tickloom.operators.spatial import XYZ, place_known
 from tickloom.session import ensure_checkpoint_dir
 
 
@@ -72,30 +73,143 @@ def connected_components(nodes: DataFrame, edges: DataFrame, by: list[str] | Non
     return nodes.select(*by, node).distinct().join(root, [*by, node], "left").withColumn("component", F.coalesce("component", node))
 
 
-def radius_components(points: DataFrame, key: str, r: float, by: list[str] | None = None, axes: tuple[str, ...] = XYZ) -> DataFrame:
-    """``by, key, component``: points linked by steps of at most ``r``."""
-    by = by or []
-    return connected_components(points.select(*by, F.col(key).alias("node")), close_pairs(points, key, r, by, axes), by).withColumnRenamed("node", key)
-
+def radius_components(points: DataFrame, key: str, r: float, by: list[str] | None = None, axes: tuple[str, ...] = XYZ, most: int = MOST) -> DataFrame:
+    """``by, key, component``: points linked by steps of at most ``r``.
 
-def dbscan(points: DataFrame, key: str, eps: float, least: int, by: list[str] | None = None, axes: tuple[str, ...] = XYZ) -> DataFrame:
+    No pairs are listed: components are found in blocks of about ``most`` points, over grid cells.
+    Where a group was cut, the components of its slabs are joined over the points they share. Equal
+    keys are one point.
+    """
+    by = by or []
+    p = kept_once(points.select(*by, F.col(key).cast("long").alias("_k"), *axes), points)
+    part, cut = blocks(p, by, r * 1.000001, axes, most)
+
+    def kernel(t: pa.Table, group: np.ndarray):
+        k = t["_k"].to_numpy()
+        # repeated keys are one point
+        node = nodes_of(group, k)
+        low = least_of(joined(grid_components(places(t, axes), r, group), node), k)
+        rows = once(node, t["_own"].to_numpy())
+        return rows, [k[rows], low[rows], t["_own"].take(pa.array(rows)), t["_cut"].take(pa.array(rows))]
+
+    found = by_block(part, by, "_k long, component long, _own boolean, _cut boolean", kernel)
+    found = _merged(found, by, cut)
+    return _and_lone(found.distinct() if cut else found, p, by, axes).select(*by, F.col("_k").alias(key), F.coalesce("component", "_k").alias("component"))
+
+
+def nodes_of(group: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """A number for each key of each group."""
+    order = np.lexsort((k, group))
+    new = np.ones(len(k), bool)
+    new[1:] = (np.diff(group[order]) != 0) | (np.diff(k[order]) != 0)
+    node = np.empty(len(k), np.int64)
+    node[order] = np.cumsum(new) - 1
+    return node
+
+
+def once(node: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """One row of each node, one that the block owns if there is any."""
+    order = np.lexsort((~own, node))
+    return np.sort(order[np.diff(node[order], prepend=-1) != 0])
+
+
+def _and_lone(found: DataFrame, p: DataFrame, by: list[str], axes: tuple[str, ...]) -> DataFrame:
+    """``found`` and, with NULL, the points that ``blocks`` leaves out."""
+    known = place_known(axes)
+    for k in by:
+        known = known & F.col(k).isNotNull()
+    lone = p.where(~known).select(*by, "_k").distinct()
+    if not lone.limit(1).count():
+        return found
+    same = [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in [*by, "_k"]]
+    lone = lone.join(found.select(*[F.col(k).alias(f"_by_{k}") for k in [*by, "_k"]]), same, "left_anti")
+    return found.unionByName(lone, allowMissingColumns=True)
+
+
+def joined(root: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Components where rows of one node belong together."""
+    n = len(root)
+    if not n or node.max() + 1 == n:
+        return root
+    first = np.zeros(node.max() + 1, np.int64)
+    first[node] = np.arange(n)
+    top = root.max() + 1
+    return components(top, root, root[first[node]])[root]
+
+
+def least_of(part: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The smallest key of each row's component."""
+    ids, at = np.unique(part, return_inverse=True)
+    low = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(low, at, k)
+    return low[at]
+
+
+def _merged(found: DataFrame, by: list[str], cut: bool) -> DataFrame:
+    """Rows that blocks own, components of cut groups by the smallest one that shared points link them to.
+
+    Rows with ``_border`` true link nothing.
+    """
+    if not cut:
+        return found.where("_own").drop("_own", "_cut")
+    found = kept(found)
+    links = "_cut AND component IS NOT NULL" + (" AND NOT _border" if "_border" in found.columns else "")
+    own = found.where(f"{links} AND _own").select(*by, "_k", F.col("component").alias("a"))
+    near = found.where(links).select(*by, "_k", F.col("component").alias("b"))
+    edges = kept(own.join(near, [*by, "_k"]).select(*by, "a", "b").where("a <> b").distinct())
+    nodes = edges.select(*by, F.col("a").alias("node")).unionByName(edges.select(*by, F.col("b").alias("node")))
+    root = connected_components(nodes, edges, by).select(*by, F.col("node").alias("component"), F.col("component").alias("_root"))
+    mine = found.where("_own")
+    whole, apart = mine.where("NOT _cut"), mine.where("_cut").join(broadcast_if_small(root), [*by, "component"], "left").withColumn("component", F.coalesce("_root", "component")).drop("_root")
+    return whole.unionByName(apart).drop("_own", "_cut")
+
+
+def dbscan(points: DataFrame, key: str, eps: float, least: int, by: list[str] | None = None, axes: tuple[str, ...] = XYZ, most: int = MOST) -> DataFrame:
     """``by, key, cluster``: density clusters, named by their smallest core point; NULL for noise.
 
     A core point has at least ``least`` points within ``eps``, itself counted. A border point joins
     the cluster with the smallest name among those of the core points within ``eps``, so the result
-    does not depend on any order of visits.
+    does not depend on any order of visits. Blocks as in ``radius_components``; a slab reaches 2
+    ``eps`` beyond its own points, so that it knows all core points within ``eps`` of these.
     """
     by = by or []
-    p = points.select(*by, F.col(key).alias("k"), *axes)
-    near = within(p, p, eps, by, axes).select(*by, "l_k", "r_k")
-    core = near.groupBy(*by, F.col("l_k").alias("node")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(*by, "node")
-    mine, other = core.withColumnRenamed("node", "l_k"), core.withColumnRenamed("node", "r_k")
-    links = near.where("l_k < r_k").join(mine, [*by, "l_k"], "left_semi").join(other, [*by, "r_k"], "left_semi")
-    cc = connected_components(core, links.select(*by, F.col("l_k").alias("a"), F.col("r_k").alias("b")), by)
-    border = near.join(cc.withColumnRenamed("node", "r_k"), [*by, "r_k"]).groupBy(*by, F.col("l_k").alias(key)).agg(F.min("component").alias("_c"))
-    own = cc.withColumnRenamed("node", key)
-    out = points.select(*by, key).distinct().join(own, [*by, key], "left").join(border, [*by, key], "left")
-    return out.select(*by, key, F.coalesce("component", "_c").alias("cluster"))
+    p = kept_once(points.select(*by, F.col(key).cast("long").alias("_k"), *axes), points)
+    part, cut = blocks(p, by, 2 * eps * 1.000001, axes, most)
+
+    def kernel(t: pa.Table, group: np.ndarray):
+        node = nodes_of(group, t["_k"].to_numpy())
+        if node.max(initial=-1) + 1 < len(node):  # repeated keys are one point
+            rows = once(node, t["_own"].to_numpy())
+            t, group = t.take(pa.array(rows)).combine_chunks(), group[rows]
+        else:
+            rows = np.arange(len(node))
+        of_row = rows
+        k, own, parted = t["_k"].to_numpy(), t["_own"].to_numpy(), t["_cut"].to_numpy()
+        core, comp, at, of = dbscan_links(places(t, axes), eps, least, group)
+        name = np.zeros(len(k), np.int64)
+        name[core] = least_of(comp[core], k[core])
+        low = np.full(comp.max(initial=-1) + 1, -1)
+        low[comp[core]] = name[core]
+        # of a border point of a group in one block the smallest name; else all, to be compared once they are joined
+        order = np.lexsort((low[of], at))
+        at, of = at[order], low[of[order]]
+        some = own[at] & (parted[at] | (np.diff(at, prepend=-1) != 0))
+        at, of = at[some], of[some]
+        alone = own & ~core
+        alone[at] = False
+        in_core, alone = np.nonzero(core)[0], np.nonzero(alone)[0]
+        rows = np.concatenate([in_core, at, alone])
+        label = pa.array(np.concatenate([name[in_core], of, np.zeros(len(alone), np.int64)]), mask=np.arange(len(rows)) >= len(in_core) + len(at))
+        border = np.zeros(len(rows), bool)
+        border[len(in_core) :] = True
+        return of_row[rows], [k[rows], label, own[rows], parted[rows], border]
+
+    found = by_block(part, by, "_k long, component long, _own boolean, _cut boolean, _border boolean", kernel)
+    found = _merged(found, by, cut)
+    if cut:
+        found = found.groupBy(*by, "_k").agg(F.min("component").alias("component"))
+    found = found.select(*by, "_k", "component")
+    return _and_lone(found, p, by, axes).select(*by, F.col("_k").alias(key), F.col("component").alias("cluster"))
 
 
 def labels_by_energy(clusters: DataFrame, hits: DataFrame, key: str, energy: str, by: list[str], first: int = 0) -> DataFrame:
@@ -103,8 +217,12 @@ def labels_by_energy(clusters: DataFrame, hits: DataFrame, key: str, energy: str
 
     Energies alike to 6 decimals are ties, so that no order of summation changes a label; ties by cluster.
     """
+    clusters = kept(clusters)
     e = clusters.join(hits.select(*by, key, energy), [*by, key]).where("cluster IS NOT NULL").groupBy(*by, "cluster").agg(F.round(F.sum(energy), 6).alias("_e"))
-    ranked = ordered_rank(e.withColumn("_less", -F.col("_e")), by, ["_less", "cluster"], "_r")
+    if by:  # one row a cluster
+        ranked = e.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_e"), "cluster")) - 1)
+    else:
+        ranked = ordered_rank(e.withColumn("_less", -F.col("_e")), by, ["_less", "cluster"], "_r")
     no = ranked.select(*by, "cluster", (F.col("_r") + first).cast("int").alias("label"))
     return clusters.join(no, [*by, "cluster"], "left").select(*by, key, F.coalesce("label", F.lit(-1)).alias("label"))
 

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import numeric as N
+from tickloom.operators import components
+from tickloom.operators.blocks import blocks, by_block, places
+from tickloom.operators.skew import kept, slices_for
 from tickloom.plans.detector import _LOADED, QUERIES, SQL, loaded, query
 from tickloom.plans.detector_light import _C, _D, _DBSCAN, _P, _PAIRS, _SUMMARY, _TICK, TICKS, light_candidates, light_table
 from tickloom.stages import labels as L
@@ -23,17 +27,35 @@ _KIND = "['track', 'cluster', 'em_shower'][CAST(cluster % 3 AS INTEGER) + 1]"
 _H = f"(SELECT event_id, hit_row, x, y, z, e, t_0, CAST(hit_tpc_id AS INTEGER) AS tpc, t_cluster_id AS cluster FROM {_LOADED} WHERE t_cluster_id >= 0 AND hit_tpc_id >= 0)"
 
 
+def clustered(spark, d: str) -> DataFrame:
+    h = loaded(spark, d, ("t_0", "hit_tpc_id", "t_cluster_id")).where("t_cluster_id >= 0 AND hit_tpc_id >= 0")
+    return h.select("event_id", "hit_row", "x", "y", "z", "e", "t_0", F.col("hit_tpc_id").cast("int").alias("tpc"), F.col("t_cluster_id").cast("long").alias("cluster"))
+
+
 def per_event(spark, d: str, kernel: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    """The kernel on the hits of each event in the order of their rows, with their places as an array."""
-    h = loaded(spark, d).where("t_cluster_id >= 0 AND hit_tpc_id >= 0").select("event_id", "hit_row", "x", "y", "z", "e", "t_0", F.col("hit_tpc_id").cast("int").alias("tpc"), F.col("t_cluster_id").cast("long").alias("cluster"))
+    """The kernel on the hits of each event in the order of their rows, with their places as an array; events by hash in one call of Python."""
+    h = clustered(spark, d)
+    return h.groupBy(F.pmod(F.xxhash64("event_id"), F.lit(slices_for(h)))).applyInArrow(each_event(kernel, schema), f"event_id long, {schema}")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("hit_row", ignore_index=True)
-        out = kernel(g, g[["x", "y", "z"]].to_numpy())
-        out.insert(0, "event_id", g["event_id"].iloc[0])
-        return out
 
-    return h.groupBy("event_id").applyInPandas(run, f"event_id long, {schema}")
+def each_event(kernel: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> Callable[[pa.Table], pa.Table]:
+    """The kernel on each event of a table. Columns get the types of ``schema``, whatever pandas makes of an event without rows."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+    fields = pa.schema([("event_id", pa.int64()), *[(n, kinds[k]) for n, k in (c.split() for c in schema.split(", "))]])
+
+    def run(t: pa.Table) -> pa.Table:
+        g = t.to_pandas().sort_values(["event_id", "hit_row"], ignore_index=True)
+        ids, first = np.unique(g["event_id"].to_numpy(), return_index=True)
+        found = []
+        for i, a, b in zip(ids.tolist(), first, [*first[1:], len(g)]):
+            one = g.iloc[a:b].reset_index(drop=True)
+            out = kernel(one, one[["x", "y", "z"]].to_numpy())
+            if len(out):
+                out.insert(0, "event_id", i)
+                found.append(out)
+        return pa.Table.from_pandas(pd.concat(found, ignore_index=True), fields, preserve_index=False).combine_chunks() if found else fields.empty_table()
+
+    return run
 
 
 def kinds(g: pd.DataFrame) -> dict[int, str]:
@@ -46,12 +68,17 @@ def kinds(g: pd.DataFrame) -> dict[int, str]:
   ON a.event_id = b.event_id AND a.cluster = 7 AND b.cluster <> 7 GROUP BY 1, 2, 3)) WHERE low <= 40 AND dist <= 1.2 * low""",
 )
 def kernel_noise_list(spark, d):
-    def run(g, p):
-        found = L.noise_list(p, np.where(g["cluster"] == 7, -1, g["cluster"]))
-        rows = g["hit_row"].to_numpy()
-        return pd.DataFrame({"hit_row": [int(rows[i]) for _, i, _ in found], "cluster": [c for *_, c in found], "dist": [round(x, 6) for x, *_ in found]})
+    part, _ = blocks(kept(clustered(spark, d).select("event_id", "hit_row", "x", "y", "z", "cluster")), ["event_id"], 1.2 * 40 * 1.000001)
+
+    def run(t: pa.Table, group: np.ndarray):
+        c = t["cluster"].to_numpy()
+        lost = (c == 7) & t["_own"].to_numpy()
+        use = np.nonzero(lost | (c != 7))[0]
+        at, of, dist = N.nearest_labels(places(t)[use], lost[use], c[use], 40.0, 1.2, group[use])
+        at = use[at]
+        return at, [t["hit_row"].to_numpy()[at], of, dist]
 
-    return per_event(spark, d, run, "hit_row long, cluster long, dist double")
+    return by_block(part, ["event_id"], "hit_row long, cluster long, dist double", run).withColumn("dist", F.round("dist", 6))
 
 
 @query(
@@ -61,36 +88,26 @@ r(event_id, node, root) AS (SELECT event_id, hit_row, hit_row FROM {_H} UNION SE
 SELECT event_id, node AS hit_row, min(root) AS component FROM r GROUP BY 1, 2""",
 )
 def kernel_components(spark, d):
-    def run(g, p):
-        part, rows = N.radius_components(p, 12.0), g["hit_row"].to_numpy()
-        least = pd.Series(rows).groupby(part).min()
-        return pd.DataFrame({"hit_row": rows, "component": least.loc[part].to_numpy()})
-
-    return per_event(spark, d, run, "hit_row long, component long")
+    return components.radius_components(clustered(spark, d), "hit_row", 12.0, ["event_id"])
 
 
 @query("kernel_dbscan", _DBSCAN.replace(_PAIRS, f"(SELECT a.event_id, a.hit_row AS a, b.hit_row AS b FROM {_H} a JOIN {_H} b ON a.event_id = b.event_id AND a.hit_row <> b.hit_row AND abs(a.x - b.x) <= 12 AND {_D} <= 12)").replace(_P, _H).split("no AS (")[0].rstrip().rstrip(",") + " SELECT event_id, hit_row, cluster FROM l")
 def kernel_dbscan(spark, d):
     """Density clusters named by their smallest core point; NULL for noise."""
-
-    def run(g, p):
-        lab, rows = N.dbscan_labels(p, 12.0, 3), g["hit_row"].to_numpy()
-        a, b = N.radius_pairs(p, 12.0)
-        core = np.bincount(np.concatenate([a, b]), minlength=len(p)) + 1 >= 3
-        name = pd.Series(rows[core]).groupby(lab[core]).min()
-        return pd.DataFrame({"hit_row": rows, "cluster": pd.array([int(name[c]) if c >= 0 else None for c in lab], dtype="Int64")})
-
-    return per_event(spark, d, run, "hit_row long, cluster long")
+    return components.dbscan(clustered(spark, d), "hit_row", 12.0, 3, ["event_id"])
 
 
 @query("kernel_cluster_links", f"SELECT DISTINCT a.event_id, a.cluster AS a, b.cluster AS b FROM {_H} a JOIN {_H} b ON a.event_id = b.event_id AND a.cluster < b.cluster AND abs(a.x - b.x) <= 12 AND {_D} <= 12")
 def kernel_cluster_links(spark, d):
-    def run(g, p):
-        links = N.cluster_links(p, g["cluster"].to_numpy(), 12.0)
-        pairs = sorted((a, b) for a, bs in links.items() for b in bs if a < b)
-        return pd.DataFrame({"a": [x for x, _ in pairs], "b": [x for _, x in pairs]})
+    part, cut = blocks(kept(clustered(spark, d).select("event_id", "x", "y", "z", "cluster")), ["event_id"], 12.0 * 1.000001)
+
+    def run(t: pa.Table, group: np.ndarray):
+        of, a, b = N.linked_labels(places(t), t["cluster"].to_numpy(), 12.0, group)
+        _, first = np.unique(group, return_index=True)
+        return first[of], [a, b]
 
-    return per_event(spark, d, run, "a long, b long")
+    links = by_block(part, ["event_id"], "a long, b long", run)
+    return links.distinct() if cut else links
 
 
 @query("kernel_shower_tpcs", f"SELECT event_id, tpc FROM (SELECT event_id, tpc, count(*) AS n, sum(e) AS energy FROM {_H} WHERE cluster % 3 = 2 GROUP BY 1, 2) WHERE n >= 2 AND energy >= 2.5")
