@@ -54,3 +54,18 @@ def test_kernel_without_rows_in_an_event():
     assert run(t).to_pylist() == [{"event_id": 2, "cluster": 4, "part": "primary"}]
     none = run(t.slice(0, 2))
     assert none.num_rows == 0 and none.schema.field("part").type == pa.string()
+
+
+def test_components_in_slabs_are_those_of_whole_groups(spark):
+    df = cloud()
+    df.loc[5, "x"] = np.nan
+    want = {}
+    for ev, g in df.groupby("ev"):
+        ok = g["x"].notna()
+        want |= {(ev, k): k for k in g["k"][~ok]}
+        p, k = g[ok][list("xyz")].to_numpy(), g[ok]["k"].to_numpy()
+        part = N.grid_components(p, 2.5)
+        want |= {(ev, k[i]): k[part == part[i]].min() for i in range(len(k))}
+    for most in (200, 10**6):
+        got = C.radius_components(spark.createDataFrame(df), "k", 2.5, ["ev"], most=most).collect()
+        assert {(r.ev, r.k): r.component for r in got} == want and len(got) == len(df)
