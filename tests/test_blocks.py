@@ -69,3 +69,13 @@ def test_components_in_slabs_are_those_of_whole_groups(spark):
     for most in (200, 10**6):
         got = C.radius_components(spark.createDataFrame(df), "k", 2.5, ["ev"], most=most).collect()
         assert {(r.ev, r.k): r.component for r in got} == want and len(got) == len(df)
+
+
+def test_noise_list_measures_only_near_hits(monkeypatch):
+    def fail(*_):
+        raise AssertionError("all hits measured against all")
+
+    monkeypatch.setattr(N, "nearest", fail)
+    p = np.array([[0.0, 0, 0], [3, 0, 0], [0, 3.5, 0], [0, 0, 3.7], [500, 0, 0], [539, 0, 0], [900, 0, 0]])
+    found = L.noise_list(p, np.array([-1, 2, 5, 6, -1, 5, -1]))
+    assert found == [(3.0, 0, 2), (3.5, 0, 5), (39.0, 4, 5)]
