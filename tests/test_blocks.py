@@ -79,3 +79,12 @@ def test_noise_list_measures_only_near_hits(monkeypatch):
     p = np.array([[0.0, 0, 0], [3, 0, 0], [0, 3.5, 0], [0, 0, 3.7], [500, 0, 0], [539, 0, 0], [900, 0, 0]])
     found = L.noise_list(p, np.array([-1, 2, 5, 6, -1, 5, -1]))
     assert found == [(3.0, 0, 2), (3.5, 0, 5), (39.0, 4, 5)]
+
+
+def test_labels_by_energy_of_slabs(spark):
+    df = cloud().assign(e=1.0)
+    h = spark.createDataFrame(df)
+    whole, cut = (C.labels_by_energy(C.dbscan(h, "k", 3.0, 4, ["ev"], most=m), h, "k", "e", ["ev"]).toPandas().sort_values(["ev", "k"], ignore_index=True) for m in (10**6, 200))
+    pd.testing.assert_frame_equal(whole, cut)
+    n = whole[whole["label"] >= 0].groupby(["ev", "label"]).size()
+    assert len(whole) == len(df) and all(v.is_monotonic_decreasing for _, v in n.groupby("ev"))
