@@ -88,3 +88,9 @@ def test_labels_by_energy_of_slabs(spark):
     pd.testing.assert_frame_equal(whole, cut)
     n = whole[whole["label"] >= 0].groupby(["ev", "label"]).size()
     assert len(whole) == len(df) and all(v.is_monotonic_decreasing for _, v in n.groupby("ev"))
+
+
+def test_links_of_a_crowded_place(no_pairs):
+    label = np.arange(len(no_pairs)) % 40
+    links = N.cluster_links(np.concatenate([no_pairs, [[500.0, 0, 0]]]), np.append(label, 40), 12.0)
+    assert links[40] == set() and all(links[c] == set(range(40)) - {c} for c in range(40))
