@@ -94,3 +94,8 @@ def test_links_of_a_crowded_place(no_pairs):
     label = np.arange(len(no_pairs)) % 40
     links = N.cluster_links(np.concatenate([no_pairs, [[500.0, 0, 0]]]), np.append(label, 40), 12.0)
     assert links[40] == set() and all(links[c] == set(range(40)) - {c} for c in range(40))
+
+
+def test_components_of_a_crowded_place(no_pairs):
+    assert (N.radius_components(no_pairs, 12.0) == 0).all()
+    assert N.radius_components(np.concatenate([no_pairs, no_pairs + 100]), 12.0).max() == 1
