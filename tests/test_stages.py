@@ -240,3 +240,18 @@ def test_models_in_spark(spark):
     o = models.overlay_samples(s, ["g"], 2, 3, 1, most_shift=2).collect()
     assert sorted(r.source_count for r in o) == [2] * 4
     assert [r.v for r in models.evenly_ranked(spark.range(11).selectExpr("id", "double(id) AS v"), "v", "id", 3).orderBy("v").collect()] == [0, 5, 10]
+
+
+def test_light_that_repeats_over_tpcs_comes_once(spark):
+    """Six waveforms stand for the 12 channels of a TPC; whole and TPC by TPC the result is that of light laid out before."""
+    xyz, e, tpc, actual, _, _, _ = event()
+    hits = spark.createDataFrame([(1, i, *map(float, p), float(w), int(t)) for i, (p, w, t) in enumerate(zip(xyz, e, tpc))], "event_id long, hit_row long, x double, y double, z double, e double, tpc int")
+    waves = {a: actual[a][:6].tolist() for a in (0, 1)}
+    long = [(1, t, c, waves[t][c % 6], [100.0] * TICKS, [12.0, 33.0, 55.0]) for t in (0, 1) for c in range(12)]
+    once = [(1, a, c, waves[a][c], 6, [0, 1], 100.0, None) for a in (0, 1) for c in range(6)] + [(1, t, -1, None, None, None, None, [12.0, 33.0, 55.0]) for t in (0, 1)]
+    long = spark.createDataFrame(long, "event_id long, tpc int, channel int, samples array<double>, variance array<double>, seeds array<double>")
+    once = spark.createDataFrame(once, "event_id long, tpc int, channel int, samples array<double>, every int, adcs array<int>, noise double, seeds array<double>")
+    o = pipeline.Options("2x2", iters=150, rules=RULES, reach=1.1)
+    for most in (10**6, 100):
+        a, b = (sorted(map(tuple, pipeline.match(hits, l, o, lambda: models.LinearLight(12, TICKS, PEAK), most).collect())) for l in (long, once))
+        assert a == b and len(a) == len(xyz) and all(r[-1] is None for r in a)
