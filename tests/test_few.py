@@ -53,3 +53,19 @@ def test_nearest_other_compares_no_crowd_with_all(monkeypatch):
     monkeypatch.setattr(N, "_between", counted)
     assert (N.nearest_other(p, q) == np.sqrt(d.min(1))).all()
     assert most <= 1_000_000
+
+
+def test_hits_and_light_are_shuffled_once(spark):
+    from tickloom.sources import tables
+    from tickloom.stages import pipeline
+
+    hits = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1.0, 0)], "hit_row long, x double, y double, z double, e double, tpc int")
+    rows = spark.createDataFrame([(5, 1)], "event_id long, hit_row long")
+    light = spark.createDataFrame([(5, 9, 1)], "event_id long, light_id long, ref_id long")
+    plan = tables.load_events(hits, rows, light)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(event_id") <= 1  # of the light, not of the hits
+    h = hits.selectExpr("5L AS event_id", "*")
+    l = spark.createDataFrame([(5, 0, 0, [0.0] * 48, [1.0] * 48, [])], "event_id long, tpc int, channel int, samples array<double>, variance array<double>, seeds array<double>")
+    plan = pipeline.match(h.unionByName(h), l)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
+    assert pipeline.match(h.unionByName(h), l).count() == 1  # repeated rows count once
