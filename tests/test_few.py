@@ -69,3 +69,23 @@ def test_hits_and_light_are_shuffled_once(spark):
     plan = pipeline.match(h.unionByName(h), l)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 2
     assert pipeline.match(h.unionByName(h), l).count() == 1  # repeated rows count once
+
+
+def test_nd_waveforms_are_shuffled_once_as_stored(spark, tmp_path):
+    from tickloom.plans import detector_stages
+
+    wave = [10.0] * 47
+    tables = {
+        "wvfm": ([(4, 9, 0, 5, [*wave, 16.0]), (3, 9, 0, 5, [*wave, 12.0]), (3, 9, 0, 5, [*wave, 12.0]), (5, 9, 0, 7, [*wave, 10.0]), (6, 8, 3, 7, [*wave, 10.0]), (7, 9, None, 1, [*wave, 10.0])], "wvfm_row long, light_id long, adc int, ch int, samples array<float>"),
+        "light_flash": ([(9, 1)], "light_id long, flash_id long"),
+        "flash": ([(1, 0, [100.0, 120.0], 5.0, 3)], "flash_id long, tpc int, hit_time_range array<double>, tot_max double, n_sum_hits int"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    light = detector_stages.nd_light(spark, str(tmp_path), spark.createDataFrame([(1, 9), (1, 9), (2, 7)], "event_id long, light_id long"))
+    got = {r.channel: r for r in light.collect()}
+    assert len(got) == light.count() == 3 and {r.event_id for r in got.values()} == {1} and got[-1].seeds is not None and got[-1].samples is None
+    assert got[0].samples[-1] == 2.0 and got[1].samples[-1] == 0.0  # the first row of a channel counts
+    assert [(got[0].every, got[0].adcs), (got[1].every, got[1].adcs)] == [(2, [0, 3])] * 2
+    plan = light._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(wvfm_row" not in plan and "REPARTITION_BY_COL" in plan
