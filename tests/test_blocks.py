@@ -99,3 +99,16 @@ def test_links_of_a_crowded_place(no_pairs):
 def test_components_of_a_crowded_place(no_pairs):
     assert (N.radius_components(no_pairs, 12.0) == 0).all()
     assert N.radius_components(np.concatenate([no_pairs, no_pairs + 100]), 12.0).max() == 1
+
+
+@pytest.mark.parametrize("most", [200, 10**6])
+def test_slabs_of_unique_keys_compare_only_their_ends(spark, monkeypatch, most):
+    df = cloud()
+    h = spark.createDataFrame(df)
+    seen = []
+    merged = C._merged
+    monkeypatch.setattr(C, "_merged", lambda found, *a: seen.append(found.where("_cut").selectExpr("count(*) n", "count_if(_shared) s").first()) or merged(found, *a))
+    for of in (lambda **o: C.radius_components(h, "k", 2.5, ["ev"], most=most, **o), lambda **o: C.dbscan(h, "k", 3.0, 4, ["ev"], most=most, **o)):
+        plain, unique = ({tuple(r) for r in of(unique=u).collect()} for u in (False, True))
+        assert plain == unique and of(unique=True).count() == len(df)
+    assert all(r.s < r.n or not r.n for r in seen)

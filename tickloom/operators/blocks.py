@@ -21,7 +21,7 @@ MOST = 300_000
 
 
 def blocks(points: DataFrame, by: list[str], reach: float, axes: tuple[str, ...] = XYZ, most: int = MOST) -> tuple[DataFrame, bool]:
-    """``points`` with ``_part`` (the block), ``_own`` (false: only near the slab) and ``_cut`` (its group lies in several blocks), and whether any is cut.
+    """``points`` with ``_part`` (the block), ``_own`` (false: only near the slab), ``_cut`` (its group lies in several blocks) and ``_shared`` (another slab may have it too), and whether any is cut.
 
     Points without a known place, or with a NULL in ``by``, are near nothing and left out.
     """
@@ -37,7 +37,7 @@ def blocks(points: DataFrame, by: list[str], reach: float, axes: tuple[str, ...]
     spread = F.pmod(F.xxhash64(*by), F.lit(max(1, -(-rest // (most // 2))))) if by else F.lit(0)
     large = [r for r in rows if r["_big"]]
     if not large:
-        return p.withColumns({"_part": spread.cast("long"), "_own": F.lit(True), "_cut": F.lit(False)}), False
+        return p.withColumns({"_part": spread.cast("long"), "_own": F.lit(True), "_cut": F.lit(False), "_shared": F.lit(False)}), False
     kinds = [points.schema[k] for k in by]
     cell = F.floor(F.col(axes[0]) / reach).cast("long")
     ends = []  # group, block, its first and last cell
@@ -68,7 +68,7 @@ def blocks(points: DataFrame, by: list[str], reach: float, axes: tuple[str, ...]
     slabs = F.broadcast(spark.createDataFrame(ends, _schema(kinds, "_p long, _a long, _b long")))
     key = [F.col(k) == F.col(f"_by_{k}") for k in by]
     j = p.withColumn("_c", cell).join(slabs.withColumnsRenamed({k: f"_by_{k}" for k in by}), [*key, F.col("_a").isNull() | F.col("_c").between(F.col("_a") - 1, F.col("_b") + 1)], "left")
-    out = j.withColumns({"_part": F.coalesce("_p", spread.cast("long")), "_own": F.coalesce(F.col("_c").between(F.col("_a"), F.col("_b")), F.lit(True)), "_cut": F.col("_a").isNotNull()})
+    out = j.withColumns({"_part": F.coalesce("_p", spread.cast("long")), "_own": F.coalesce(F.col("_c").between(F.col("_a"), F.col("_b")), F.lit(True)), "_cut": F.col("_a").isNotNull(), "_shared": F.coalesce((F.col("_c") <= F.col("_a")) | (F.col("_c") >= F.col("_b")), F.lit(False))})
     return out.drop("_c", "_p", "_a", "_b", *[f"_by_{k}" for k in by]), bool(cut)
 
 

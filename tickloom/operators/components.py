@@ -73,12 +73,13 @@ def connected_components(nodes: DataFrame, edges: DataFrame, by: list[str] | Non
     return nodes.select(*by, node).distinct().join(root, [*by, node], "left").withColumn("component", F.coalesce("component", node))
 
 
-def radius_components(points: DataFrame, key: str, r: float, by: list[str] | None = None, axes: tuple[str, ...] = XYZ, most: int = MOST) -> DataFrame:
+def radius_components(points: DataFrame, key: str, r: float, by: list[str] | None = None, axes: tuple[str, ...] = XYZ, most: int = MOST, unique: bool = False) -> DataFrame:
     """``by, key, component``: points linked by steps of at most ``r``.
 
     No pairs are listed: components are found in blocks of about ``most`` points, over grid cells.
     Where a group was cut, the components of its slabs are joined over the points they share. Equal
-    keys are one point.
+    keys are one point; with ``unique`` the caller knows that a key comes once in a group, and only
+    points near the ends of a slab are compared.
     """
     by = by or []
     p = kept_once(points.select(*by, F.col(key).cast("long").alias("_k"), *axes), points)
@@ -90,11 +91,11 @@ def radius_components(points: DataFrame, key: str, r: float, by: list[str] | Non
         node = nodes_of(group, k)
         low = least_of(joined(grid_components(places(t, axes), r, group), node), k)
         rows = once(node, t["_own"].to_numpy())
-        return rows, [k[rows], low[rows], t["_own"].take(pa.array(rows)), t["_cut"].take(pa.array(rows))]
+        return rows, [k[rows], low[rows], *(t[c].take(pa.array(rows)) for c in ("_own", "_cut", "_shared"))]
 
-    found = by_block(part, by, "_k long, component long, _own boolean, _cut boolean", kernel)
-    found = _merged(found, by, cut)
-    return _and_lone(found.distinct() if cut else found, p, by, axes).select(*by, F.col("_k").alias(key), F.coalesce("component", "_k").alias("component"))
+    found = by_block(part, by, "_k long, component long, _own boolean, _cut boolean, _shared boolean", kernel)
+    found = _merged(found, by, cut, unique)
+    return _and_lone(found.distinct() if cut and not unique else found, p, by, axes).select(*by, F.col("_k").alias(key), F.coalesce("component", "_k").alias("component"))
 
 
 def nodes_of(group: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -145,15 +146,15 @@ def least_of(part: np.ndarray, k: np.ndarray) -> np.ndarray:
     return low[at]
 
 
-def _merged(found: DataFrame, by: list[str], cut: bool) -> DataFrame:
+def _merged(found: DataFrame, by: list[str], cut: bool, unique: bool = False) -> DataFrame:
     """Rows that blocks own, components of cut groups by the smallest one that shared points link them to.
 
-    Rows with ``_border`` true link nothing.
+    Rows with ``_border`` true link nothing. With ``unique`` only rows with ``_shared`` are compared.
     """
     if not cut:
-        return found.where("_own").drop("_own", "_cut")
+        return found.where("_own").drop("_own", "_cut", "_shared")
     found = kept(found)
-    links = "_cut AND component IS NOT NULL" + (" AND NOT _border" if "_border" in found.columns else "")
+    links = "_cut AND component IS NOT NULL" + " AND _shared" * unique + (" AND NOT _border" if "_border" in found.columns else "")
     own = found.where(f"{links} AND _own").select(*by, "_k", F.col("component").alias("a"))
     near = found.where(links).select(*by, "_k", F.col("component").alias("b"))
     edges = kept(own.join(near, [*by, "_k"]).select(*by, "a", "b").where("a <> b").distinct())
@@ -161,16 +162,20 @@ def _merged(found: DataFrame, by: list[str], cut: bool) -> DataFrame:
     root = connected_components(nodes, edges, by).select(*by, F.col("node").alias("component"), F.col("component").alias("_root"))
     mine = found.where("_own")
     whole, apart = mine.where("NOT _cut"), mine.where("_cut").join(broadcast_if_small(root), [*by, "component"], "left").withColumn("component", F.coalesce("_root", "component")).drop("_root")
-    return whole.unionByName(apart).drop("_own", "_cut")
+    if unique and "_border" in found.columns:  # only a border point has several rows
+        border = apart.where("_border").groupBy(*by, "_k").agg(F.min("component").alias("component"))
+        whole, apart = whole.unionByName(apart.where("NOT _border")).select(*by, "_k", "component"), border
+    return whole.unionByName(apart).drop("_own", "_cut", "_shared")
 
 
-def dbscan(points: DataFrame, key: str, eps: float, least: int, by: list[str] | None = None, axes: tuple[str, ...] = XYZ, most: int = MOST) -> DataFrame:
+def dbscan(points: DataFrame, key: str, eps: float, least: int, by: list[str] | None = None, axes: tuple[str, ...] = XYZ, most: int = MOST, unique: bool = False) -> DataFrame:
     """``by, key, cluster``: density clusters, named by their smallest core point; NULL for noise.
 
     A core point has at least ``least`` points within ``eps``, itself counted. A border point joins
     the cluster with the smallest name among those of the core points within ``eps``, so the result
     does not depend on any order of visits. Blocks as in ``radius_components``; a slab reaches 2
-    ``eps`` beyond its own points, so that it knows all core points within ``eps`` of these.
+    ``eps`` beyond its own points, so that it knows all core points within ``eps`` of these. ``unique``
+    as there.
     """
     by = by or []
     p = kept_once(points.select(*by, F.col(key).cast("long").alias("_k"), *axes), points)
@@ -185,6 +190,7 @@ def dbscan(points: DataFrame, key: str, eps: float, least: int, by: list[str] |
             rows = np.arange(len(node))
         of_row = rows
         k, own, parted = t["_k"].to_numpy(), t["_own"].to_numpy(), t["_cut"].to_numpy()
+        shared = t["_shared"].to_numpy()
         core, comp, at, of = dbscan_links(places(t, axes), eps, least, group)
         name = np.zeros(len(k), np.int64)
         name[core] = least_of(comp[core], k[core])
@@ -202,11 +208,11 @@ def dbscan(points: DataFrame, key: str, eps: float, least: int, by: list[str] |
         label = pa.array(np.concatenate([name[in_core], of, np.zeros(len(alone), np.int64)]), mask=np.arange(len(rows)) >= len(in_core) + len(at))
         border = np.zeros(len(rows), bool)
         border[len(in_core) :] = True
-        return of_row[rows], [k[rows], label, own[rows], parted[rows], border]
+        return of_row[rows], [k[rows], label, own[rows], parted[rows], border, shared[rows]]
 
-    found = by_block(part, by, "_k long, component long, _own boolean, _cut boolean, _border boolean", kernel)
-    found = _merged(found, by, cut)
-    if cut:
+    found = by_block(part, by, "_k long, component long, _own boolean, _cut boolean, _border boolean, _shared boolean", kernel)
+    found = _merged(found, by, cut, unique)
+    if cut and not unique:
         found = found.groupBy(*by, "_k").agg(F.min("component").alias("component"))
     found = found.select(*by, "_k", "component")
     return _and_lone(found, p, by, axes).select(*by, F.col("_k").alias(key), F.col("component").alias("cluster"))

@@ -88,13 +88,13 @@ r(event_id, node, root) AS (SELECT event_id, hit_row, hit_row FROM {_H} UNION SE
 SELECT event_id, node AS hit_row, min(root) AS component FROM r GROUP BY 1, 2""",
 )
 def kernel_components(spark, d):
-    return components.radius_components(clustered(spark, d), "hit_row", 12.0, ["event_id"])
+    return components.radius_components(clustered(spark, d), "hit_row", 12.0, ["event_id"], unique=True)
 
 
 @query("kernel_dbscan", _DBSCAN.replace(_PAIRS, f"(SELECT a.event_id, a.hit_row AS a, b.hit_row AS b FROM {_H} a JOIN {_H} b ON a.event_id = b.event_id AND a.hit_row <> b.hit_row AND abs(a.x - b.x) <= 12 AND {_D} <= 12)").replace(_P, _H).split("no AS (")[0].rstrip().rstrip(",") + " SELECT event_id, hit_row, cluster FROM l")
 def kernel_dbscan(spark, d):
     """Density clusters named by their smallest core point; NULL for noise."""
-    return components.dbscan(clustered(spark, d), "hit_row", 12.0, 3, ["event_id"])
+    return components.dbscan(clustered(spark, d), "hit_row", 12.0, 3, ["event_id"], unique=True)
 
 
 @query("kernel_cluster_links", f"SELECT DISTINCT a.event_id, a.cluster AS a, b.cluster AS b FROM {_H} a JOIN {_H} b ON a.event_id = b.event_id AND a.cluster < b.cluster AND abs(a.x - b.x) <= 12 AND {_D} <= 12")
