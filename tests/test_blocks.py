@@ -112,3 +112,26 @@ def test_slabs_of_unique_keys_compare_only_their_ends(spark, monkeypatch, most):
         plain, unique = ({tuple(r) for r in of(unique=u).collect()} for u in (False, True))
         assert plain == unique and of(unique=True).count() == len(df)
     assert all(r.s < r.n or not r.n for r in seen)
+
+
+def test_noise_list_leaves_far_hits_out_of_cells(monkeypatch):
+    rng = np.random.default_rng(2)
+    p = np.concatenate([rng.uniform(0, 60, (400, 3)), rng.uniform(0, 60, (20_000, 3)) + [500, 0, 0]])
+    label, group = rng.integers(0, 9, len(p)), np.repeat([4, 2, 4], [300, 100, 20_000])
+    lost = np.arange(len(p)) % 9 == 0
+    lost[400:] = False
+    want = set()
+    for i in np.nonzero(lost)[0]:
+        b = np.nonzero(~lost & (group == group[i]))[0]
+        d = N.apart(p, np.full(len(b), i), b)
+        want |= {(i, c, d[label[b] == c].min()) for c in set(label[b[d <= 1.2 * d.min()]])} if d.min() <= 40 else set()
+    held = []
+
+    class Counted(N.Grid):
+        def __init__(self, q, *more):
+            held.append(len(q))
+            super().__init__(q, *more)
+
+    monkeypatch.setattr(N, "Grid", Counted)
+    assert set(zip(*N.nearest_labels(p, lost, label, 40.0, 1.2, group))) == want and want
+    assert max(held) < 3_000
