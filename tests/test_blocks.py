@@ -1,5 +1,7 @@
 """Components, density clusters and links without lists of pairs; groups cut into slabs."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -135,3 +137,44 @@ def test_noise_list_leaves_far_hits_out_of_cells(monkeypatch):
     monkeypatch.setattr(N, "Grid", Counted)
     assert set(zip(*N.nearest_labels(p, lost, label, 40.0, 1.2, group))) == want and want
     assert max(held) < 3_000
+
+
+def scattered(n, groups, labels, width):
+    rng = np.random.default_rng(3)
+    p, label, group = rng.uniform(0, width, (n, 3)), rng.integers(0, labels, n) * 3 - 1, rng.integers(0, groups, n)
+    i, j = N.radius_pairs(p, 12.0)
+    ok = (group[i] == group[j]) & (label[i] != label[j])
+    i, j = i[ok], j[ok]
+    return (p, label, 12.0, group), set(zip(group[i], np.minimum(label[i], label[j]), np.maximum(label[i], label[j])))
+
+
+def test_links_of_small_events_hold_no_table_of_labels(monkeypatch):
+    def fail(*_):
+        raise AssertionError("labels of small events held against each other")
+
+    monkeypatch.setattr(N, "_seekers", fail)
+    given, want = scattered(6_000, 70, 40, 120)
+    got = list(zip(*N.linked_labels(*given)))
+    assert set(got) == want and got == sorted(want) and want
+
+
+def test_links_of_very_many_labels_take_little_memory():
+    given, want = scattered(12_000, 1, 6_000, 300)
+    tracemalloc.start()
+    got = list(zip(*N.linked_labels(*given)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == sorted(want) and want
+    assert most < 1e8
+
+
+def test_links_by_several_tables(monkeypatch):
+    given, want = scattered(6_000, 5, 40, 120)
+    tables = []
+    table = N._table_links
+    monkeypatch.setattr(N, "_table_links", lambda *a: tables.append(len(a[0])) or table(*a))
+    for small, pairs, n in ((2_000, 25_000_000, 0), (1_000, 25_000_000, 1), (1_000, 1_600, 5), (1_000, 1_599, 0)):
+        monkeypatch.setattr(N, "SMALL", small)
+        monkeypatch.setattr(N, "PAIRS", pairs)
+        tables.clear()
+        assert list(zip(*N.linked_labels(*given))) == sorted(want) and len(tables) == n
