@@ -178,3 +178,19 @@ def test_links_by_several_tables(monkeypatch):
         monkeypatch.setattr(N, "PAIRS", pairs)
         tables.clear()
         assert list(zip(*N.linked_labels(*given))) == sorted(want) and len(tables) == n
+
+
+def test_noise_list_of_a_crowded_place_takes_little_memory():
+    rng = np.random.default_rng(4)
+    p = np.concatenate([rng.normal(0, 0.1, (2_000, 3)), rng.normal(0, 0.1, (4_000, 3)) + [20, 0, 0]])
+    lost, label = np.arange(len(p)) < 2_000, np.arange(len(p)) % 3
+    tracemalloc.start()
+    at, of, dist = N.nearest_labels(p, lost, label, 40.0, 1.2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert list(zip(at, of)) == [(i, c) for i in range(2_000) for c in range(3)]
+    for c in range(3):
+        b = 2_000 + np.nonzero(label[2_000:] == c)[0]
+        want = [N.apart(p, np.full(len(b), i), b).min() for i in range(0, 2_000, 100)]
+        assert (dist[of == c][::100] == want).all()
+    assert most < 2.5e8
