@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import numeric as N
 from tickloom.plans import detector_stages
+from tickloom.stages import labels as L
 from tickloom.stages import match as M
 from tickloom.stages import models, pipeline
 
@@ -48,7 +49,7 @@ def told(spark, monkeypatch, query: str) -> list[tuple]:
     return sorted((r.event_id, r.stage, r.n_hits) for r in out.collect())
 
 
-@pytest.mark.parametrize("query", ["beam_nd", "match_2x2"])
+@pytest.mark.parametrize("query", ["beam_nd", "match_2x2", "match_nd"])
 def test_events_of_any_size_come_whole(spark, monkeypatch, query):
     assert told(spark, monkeypatch, query) == [(1, f"{HITS} hits, 2 TPCs, 2 waveforms", HITS), (2, "10 hits, 2 TPCs, 2 waveforms", 10)]
 
@@ -95,3 +96,19 @@ def test_moves_add_up_the_light_of_moved_hits_only(monkeypatch):
     for (t, x), (light, m) in ev.sums.items():
         at = M.families(ev, t, x)
         assert m == len(at) and np.allclose(light, light_of(at), rtol=1e-12)
+
+
+def test_segments_far_apart_or_aslant_are_not_measured(monkeypatch):
+    rng = np.random.default_rng(8)
+    seg = []
+    for k in range(400):
+        p, u = rng.uniform(-400, 400, 3), rng.normal(0, 1, 3)
+        q = p + u / np.linalg.norm(u) * 50
+        seg += [L.Segment(k % 7, np.array([], int), p, q, 0.9), L.Segment((k + 1) % 7, np.array([], int), q + 1.0, q + 1.0 + (q - p) + rng.normal(0, 4, 3), 0.95)]
+    measured = []
+    line_line = N.line_line
+    monkeypatch.setattr(N, "line_line", lambda *a: measured.append(1) or line_line(*a))
+    norm, norms = np.linalg.norm, []
+    monkeypatch.setattr(np.linalg, "norm", lambda *a, **k: norms.append(1) or norm(*a, **k))
+    track = L.join_segments(seg)
+    assert len(np.unique(track)) < 420 and len(norms) < 20_000 and len(measured) < 5_000
