@@ -49,7 +49,7 @@ def told(spark, monkeypatch, query: str) -> list[tuple]:
     return sorted((r.event_id, r.stage, r.n_hits) for r in out.collect())
 
 
-@pytest.mark.parametrize("query", ["beam_nd", "match_2x2", "match_nd", "family_expand_nd"])
+@pytest.mark.parametrize("query", ["beam_nd", "match_2x2", "match_nd", "family_expand_nd", "region_grow_nd"])
 def test_events_of_any_size_come_whole(spark, monkeypatch, query):
     assert told(spark, monkeypatch, query) == [(1, f"{HITS} hits, 2 TPCs, 2 waveforms", HITS), (2, "10 hits, 2 TPCs, 2 waveforms", 10)]
 
